@@ -168,6 +168,8 @@ def _matcher(shared, span: int, k: int, everything: bool):
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 base = d.cut
                 rows = range(b - a) if everything else np.unique(doc).tolist()
+                if not len(rows):
+                    continue
                 yield pd.DataFrame({
                     "doc_id": ids.iloc[a:b].take(list(rows)),
                     "n_words": np.diff(base)[list(rows)],
