@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lengths, packing, secrets
+from . import decontaminate, fertility, lengths, packing, secrets
 from .storage import documents
 
 
@@ -20,6 +20,10 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir)))
 
 
+def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(documents(spark, sf_dir))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
