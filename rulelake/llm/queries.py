@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, lengths, packing, secrets
+from . import decontaminate, fertility, language, lengths, packing, secrets
 from .storage import documents
 
 
@@ -20,6 +20,11 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir)))
 
 
+def op4_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs.where(~language.held_out())))
+
+
 def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rules(documents(spark, sf_dir))
 
