@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, language, lengths, packing, secrets
+from . import decontaminate, fertility, language, lengths, packing, secrets, signature
 from .storage import documents
 
 
@@ -20,6 +20,10 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir)))
 
 
+def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature.similar_groups(documents(spark, sf_dir), words=3, percent=90)
+
+
 def op4_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.identify(docs, language.train(docs.where(~language.held_out())))
