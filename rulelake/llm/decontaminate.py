@@ -124,27 +124,32 @@ class Index:
         return np.concatenate(begin), np.concatenate(end), np.concatenate(item)
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """Broadcast (ids, texts) of about block_bytes of the query set each, one at least."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
+        F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = 1 + total // block_bytes
+    for b in range(n):
+        rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)).collect()
+        yield spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+
+
 def spans(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6,
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document and benchmark block: doc_id, n_words, hit word ranges and the item ids that occur.
 
     Blocks after the first only return documents with hits.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = 1 + total // block_bytes
+    blocks = list(_blocks(benchmark, block_bytes))
     out = None
-    for b in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        rows = block.collect()  # about block_bytes of the query set
-        shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+    for b, shared in enumerate(blocks):
         part = documents.select("doc_id", "text").mapInPandas(
             _matcher(shared, span, k, everything=b == 0),
             "doc_id long, n_words long, begin array<int>, end array<int>, items array<string>")
         out = part if out is None else out.unionByName(part)
-    return out if n_blocks == 1 else _joined(out)
+    return out if len(blocks) == 1 else _joined(out)
 
 
 def _joined(parts: DataFrame) -> DataFrame:
@@ -200,3 +205,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 10, k:
                 "contaminated": np.array(hit, np.int64) > 0})
     return spans(documents, benchmark, span, k, block_bytes).mapInPandas(
         digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns as they are, that share no such span with any item. Each benchmark block is a
+    filter that the scan passes through; nothing is joined or shuffled."""
+    out = documents
+    for shared in _blocks(benchmark, block_bytes):
+        out = out.mapInPandas(_filter(shared, span, k), documents.schema)
+    return out
+
+
+def _filter(shared, span: int, k: int):
+    def run(batches):
+        index = Index(*shared.value, span, k)
+        for pdf in batches:
+            texts, keep = pdf["text"].tolist(), np.ones(len(pdf), bool)
+            for a, b in K.slices(texts):
+                d = Text(texts[a:b])
+                keep[a + d.doc[index.hits(d)[0]]] = False
+            yield pdf[keep]
+    return run
