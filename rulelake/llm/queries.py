@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, language, lengths, packing, repeats, secrets, signature
+from . import decontaminate, fertility, language, lengths, packing, repeats, secrets, signature, toolcalls, urlfilter
 from .storage import documents
 
 
@@ -20,6 +20,16 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir)))
 
 
+def op2_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return toolcalls.link(toolcalls.calls_of(turns), toolcalls.results_of(turns), toolcalls.SCHEMAS)
+
+
+def op6_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.judge(urlfilter.captures_of(pages), urlfilter.events_of(pages)).drop("url")
+
+
 def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature.similar_groups(documents(spark, sf_dir), words=3, percent=90)
 
@@ -50,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_tool_linking": toolcalls.SQL, "op6_temporal_lists": urlfilter.SQL}
