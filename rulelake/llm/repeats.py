@@ -36,6 +36,8 @@ from .storage import Table, partitions, small
 SPAN, GRAM = 100, 16
 #: Runs that a shard sorts at once; runs of one anchor beyond which windows are dealt out by content.
 FLUSH, HOT = 2_000_000, 50_000
+#: Windows whose intervals are refined at once (whole anchors).
+SLAB = 500_000
 
 CUTS = {"doc": "<i8", "begin": "<i8", "end": "<i8"}
 RUNS = {"anchor": "<u8", "content": "<u8", "of": "<i8", "at": "<i8", "n": "<i4"}
@@ -115,18 +117,23 @@ def union(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[at], begin[at], (upto - rank)[np.append(at[1:], len(doc)) - 1]
 
 
+def symbols(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        out |= buf[at + k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
 def refine(buf: np.ndarray, at: np.ndarray, interval: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement: windows buf[at:at+span] in intervals; returns the windows that are left in an
     interval of several after span bytes (indexes, sorted by interval), and their intervals."""
-    padded, wide = np.append(buf, np.zeros(8, np.uint8)), np.zeros(len(buf), np.uint64)
-    for k in range(8):
-        wide |= padded[k:k + len(buf)].astype(np.uint64) << np.uint64(8 * k)
     left = np.argsort(interval, kind="stable")
     interval = interval[left]
     steps = [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]
     for step in [None, *steps]:
         if step is not None:
-            symbol = wide[at[left] + step]
+            symbol = symbols(buf, at[left] + step)
             order = np.lexsort((symbol, interval))
             left, symbol, interval = left[order], symbol[order], interval[order]
             head = np.ones(len(left), bool)
@@ -266,6 +273,29 @@ def _fetch(texts: DataFrame, parts: int, span: int, gram: int) -> DataFrame:
     return texts.mapInPandas(run, schema(fields))
 
 
+def slabs(edges: np.ndarray, upto: np.ndarray, limit: int = SLAB):
+    """Slices of whole groups (edges: their first items; upto: running sum of their weights) of about limit weight."""
+    first = 0
+    for e, nxt in zip(edges, np.append(edges[1:], len(upto))):
+        before = upto[first - 1] if first else 0
+        if upto[nxt - 1] - before >= limit or nxt == len(upto):
+            yield slice(first, nxt)
+            first = nxt
+
+
+def _refined(x: dict, runs: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of the windows of these runs that repeat an earlier one of the same runs."""
+    n = x["n"][runs].astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    anchors = np.unique(x["anchor"][runs], return_inverse=True)[1]
+    left, interval = refine(x["bytes"], start[owner] + inner, anchors[owner], span)
+    d, a = x["of"][runs][owner[left]], (x["at"][runs][owner] + inner)[left]
+    order, head = first_of_equal([interval], d, a)
+    again = later(order, head, d, a)
+    return d[again], a[again], a[again] + span
+
+
 def _merge(rows: DataFrame, parts: int, span: int) -> DataFrame:
     """Ranges to cut that the interleave refinement of the fetched windows finds."""
     fields = BYTES | {f"cut_{k}": v for k, v in CUTS.items()}
@@ -274,16 +304,14 @@ def _merge(rows: DataFrame, parts: int, span: int) -> DataFrame:
         x = gather(batches, fields)
         # the runs of one sender lie one after another, and so do their bytes
         length = x["n"].astype(np.int64) + span - 1
-        start = np.cumsum(length) - length
-        n = x["n"].astype(np.int64)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner = np.repeat(np.arange(len(n)), n)
-        anchors = np.unique(x["anchor"], return_inverse=True)[1]
-        left, interval = refine(x["bytes"], start[owner] + inner, anchors[owner] if len(owner) else owner, span)
-        d, a = x["of"][owner[left]], (x["at"][owner] + inner)[left]
-        order, head = first_of_equal([interval], d, a)
-        again = later(order, head, d, a)
-        found = [(x["cut_doc"], x["cut_begin"], x["cut_end"]), (d[again], a[again], a[again] + span)]
+        start, order = np.cumsum(length) - length, np.argsort(x["anchor"], kind="stable")
+        anchor = x["anchor"][order]
+        edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+        upto = np.cumsum(x["n"][order].astype(np.int64))
+        found = [(x["cut_doc"], x["cut_begin"], x["cut_end"])]
+        for some in slabs(edges, upto):
+            runs = order[some]
+            found.append(_refined(x, runs, start[runs], span))
         order, head = first_of_equal([x["key"]], x["key_of"], x["key_at"])
         again = later(order, head, x["key_of"], x["key_at"])
         found.append((x["key_of"][again], x["key_at"][again], x["key_at"][again] + span))
