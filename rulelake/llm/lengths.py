@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import tokens
 from .packing import encoder
+from .storage import Table
 
 RANGE = 1024
 
@@ -32,7 +33,8 @@ def histogram(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 for n, k in zip(*(x.tolist() for x in np.unique(encoder(path).counts(texts[a:b]), return_counts=True))):
                     seen[n] = seen.get(n, 0) + k
         yield pd.DataFrame({"length": list(seen), "n_docs": list(seen.values())}, dtype=np.int64)
-    return documents.select("text").mapInPandas(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    counted = documents.select("text").mapInPandas(run, "length long, n_docs long")
+    return Table(counted.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))).df  # texts are encoded once, however often it is read
 
 
 def suffix_sums(hist: DataFrame, span: int = RANGE) -> DataFrame:
