@@ -170,8 +170,12 @@ def cycles(steps: DataFrame) -> DataFrame:
         if (now := core.count()) == n:
             break
         n = now
-    starts = core.select(F.col("x").alias("start"), F.col("y").alias("node"))
-    reach = closure(starts, core)
+    reach = cut(core.select(F.col("x").alias("start"), F.col("y").alias("node")))
+    n = -1
+    while (now := reach.count()) != n:  # paths double in length each round
+        n = now
+        twice = reach.join(reach.select(F.col("start").alias("node"), F.col("node").alias("to")), "node").select("start", F.col("to").alias("node"))
+        reach = cut(reach.union(twice).distinct())
     mutual = reach.alias("r").join(reach.select(F.col("start").alias("node"), F.col("node").alias("start")), ["start", "node"], "left_semi")
     return mutual.groupBy(F.col("start").alias("node")).agg(F.concat(F.lit("cycle:"), F.array_join(F.array_sort(F.collect_set("node")), "+")).alias("cycle"))
 

@@ -3,12 +3,11 @@
 A guard that cannot be parsed does not silence its rule: the rule fires and carries the error.
 """
 
-from __future__ import annotations
-
 import ast
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +112,6 @@ def checked(expression: str):
 
 def restricted(expression: str):
     """A vectorised UDF of the bindings map: 'true', 'false' or the error. It must give a boolean."""
-    import pandas as pd
-
     code = checked(expression)
 
     @F.pandas_udf("string")
