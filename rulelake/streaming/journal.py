@@ -57,8 +57,8 @@ def classify(event: str, agent: str | None, interrupted: bool, last: str | None,
     return "correction" if interrupted else "mid_turn"
 
 
-def prompt_classes(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Prompts with their class, by a state machine for each session; a session silent for the time to live is forgotten."""
+def prompt_classes(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Prompts with their class, by a state machine for each session; with a time to live, a session silent so long is forgotten."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -72,12 +72,16 @@ def prompt_classes(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
                 out.append((key[0], r.seq, mode))
             last, turn = r.event, r.event if r.event in ("prompt", "stop", "session_end") else turn
         state.update((last, turn))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["sid", "seq", "mode"])
     return events.select("sid", "seq", "event", "agent", "interrupted").groupBy("sid").applyInPandasWithState(
-        run, "sid string, seq long, mode string", "last string, turn string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        run, "sid string, seq long, mode string", "last string, turn string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
-def sink(stream: DataFrame, checkpoint: str, act: Callable[[DataFrame, int], None]):
-    """Starts a query that hands each micro-batch to a consumer; a batch that is handed over again has the same number."""
-    return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).start()
+def sink(stream: DataFrame, checkpoint: str, act: Callable[[DataFrame, int], None], drain: bool = False):
+    """Starts a query that hands each micro-batch to a consumer; a batch that is handed over again has the same number.
+    drain: take what is there and stop."""
+    writer = stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if drain else writer).start()
