@@ -132,3 +132,16 @@ def normalised_path(path: Column) -> Column:
         (p == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
         F.concat(acc, F.array(p))))
     return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
+
+
+def code_text(command: Column) -> Column:
+    """A shell text without what is only data: heredoc bodies, quoted strings and comments."""
+    bare = F.regexp_replace(command, r"(?s)<<-?\s*(['\"]?)(\w+)\1(.*?)\n\s*\2\b", "")
+    bare = F.regexp_replace(bare, r"""'[^']*'|"(?:\\.|[^"\\])*\"""", "")
+    return F.regexp_replace(bare, r"(?m)(^|\s)#.*$", "$1")
+
+
+def command_matches(command: Column, words: str, in_code: bool = True) -> Column:
+    """Whether a simple command starts with the words (blanks count as one); in_code: outside quotes and heredocs."""
+    text = code_text(command) if in_code else command
+    return F.exists(segments(text), lambda s: F.startswith(F.concat(F.regexp_replace(s, r"\s+", " "), F.lit(" ")), F.lit(words + " ")))

@@ -83,3 +83,9 @@ def totals(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Items by family without personal ones, for every source; an unavailable source has null."""
     n = items.where(~F.col("personal")).groupBy("family").agg(F.count("*").alias("n"))
     return sources.join(n, "family", "left").withColumn("n", F.when(F.col("available"), F.coalesce("n", F.lit(0))))
+
+
+def code(reconciled: DataFrame) -> DataFrame:
+    """Bindings (see graph.reconcile) that no longer stand as they were: moved or stale symbols, with where they went."""
+    return reconciled.where(F.col("state") != "bound").select(
+        F.lit("code").alias("family"), "rule", "symbol", "state", F.array_join("relocated", ",").alias("now_at"))

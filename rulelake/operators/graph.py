@@ -321,3 +321,9 @@ def derive_all(edges: DataFrame, wanted: Sequence[str] | None = None) -> DataFra
         rows = DERIVATIONS[name](known)
         out = rows if out is None else out.unionByName(rows)
     return out.dropDuplicates(["p", "a"])
+
+
+def not_reported(reported: DataFrame, capabilities: Sequence[str]) -> DataFrame:
+    """Subjects with the capabilities of a fixed list on which nothing is reported about them."""
+    asked = reported.select("subject").distinct().select("subject", F.explode(F.array(*map(F.lit, capabilities))).alias("capability"))
+    return asked.join(reported.select("subject", "capability"), ["subject", "capability"], "left_anti")

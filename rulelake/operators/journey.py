@@ -237,3 +237,22 @@ def commits(runs: DataFrame) -> DataFrame:
     before = F.lag("head").over(Window.partitionBy("repo").orderBy("seq"))
     moves = F.col("command").rlike(r"\bgit\b.*\b(commit|merge|rebase|cherry-pick|pull|am|revert)\b")
     return runs.withColumn("before", before).where((F.col("head") != F.col("before")) & (F.coalesce("exit", F.lit(0)) == 0) & moves)
+
+
+def attribution(spark, rules: Iterable[Rule]) -> DataFrame:
+    """(predicate, key, rules): which rules ask for each window fact; key holds the fact's leading arguments."""
+    found: dict[tuple[str, str], set[str]] = {}
+    for rule in rules:
+        for c in rule.conditions:
+            if c.predicate in ASKED and c.args:
+                s, w, k = ASKED[c.predicate]
+                found.setdefault((c.predicate, ",".join(c.args[:k if k is not None else (w or 0) + 1])), set()).add(rule.id)
+    return spark.createDataFrame([(p, key, sorted(ids)) for (p, key), ids in sorted(found.items())], "predicate string, key string, rules array<string>")
+
+
+def attributed(facts_: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """Window facts (predicate, args) with the rules that ask for them."""
+    by = attribution(facts_.sparkSession, rules)
+    joined = F.array_join("args", ",")
+    return facts_.join(F.broadcast(by.withColumnRenamed("predicate", "__p")), (F.col("predicate") == F.col("__p")) & (
+        (joined == F.col("key")) | F.startswith(joined, F.concat("key", F.lit(",")))), "left").drop("__p", "key")

@@ -154,3 +154,21 @@ def compose_tables(layered: DataFrame) -> tuple[DataFrame, DataFrame]:
                                   "place_layer": F.first("layer").over(w), "place_ord": F.first("ord").over(w)})
     return (marked.where("after IS NULL").drop("before", "after"),
             marked.where("before IS NOT NULL").select("rule_id", F.col("before").alias("loser_layer"), F.col("layer").alias("winner_layer")))
+
+
+def all_any(clause: dict, most: int = 64) -> list[list[str]]:
+    """Alternatives (lists of tests) of a nested {"all": [...]}, {"any": [...]} or {"is": test}; an error beyond a cap."""
+    def walk(c: dict) -> list[list[str]]:
+        if not isinstance(c, dict) or len(c) != 1:
+            raise PolicyError("a clause has one key")
+        (key, value), = c.items()
+        if key == "is":
+            return [[value]]
+        if key not in ("all", "any") or not value:
+            raise PolicyError(f"unknown or empty clause {key!r}")
+        parts = [walk(v) for v in value]
+        out = [p for part in parts for p in part] if key == "any" else [sum(pick, []) for pick in itertools.product(*parts)]
+        if len(out) > most:
+            raise PolicyError(f"more than {most} alternatives")
+        return out
+    return [list(dict.fromkeys(a)) for a in walk(clause)]

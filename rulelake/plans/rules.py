@@ -199,3 +199,28 @@ def annotated_delta(now: DataFrame, before: DataFrame) -> DataFrame:
 def occurrence(facts: DataFrame, order: str) -> DataFrame:
     """facts with their number among equal (predicate, args), from 0."""
     return facts.withColumn("occurrence", F.row_number().over(Window.partitionBy("predicate", "args").orderBy(order)) - 1)
+
+
+def needed(rules: Iterable[Rule]) -> set[str]:
+    """Predicates that some condition or guard names: only these relations are worth reading."""
+    out = {c.predicate for r in rules for c in r.conditions if c.predicate}
+    found = (guards.parse(c.script) for r in rules for c in r.conditions if c.script)
+    return out | {g.predicate for g in found if g}
+
+
+def pruned(facts: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """The facts of the needed predicates; a table partitioned by predicate is read only there."""
+    return facts.where(F.col("predicate").isin(*sorted(needed(rules)) or [""]))
+
+
+def edited_files(files: DataFrame) -> DataFrame:
+    """edited_file(path) facts, the context to which graph rules are scoped."""
+    from ..operators.facts import facts_of
+
+    return facts_of(files.select(F.col("file").alias("path")).distinct(), "edited_file", ["path"])
+
+
+def graph_audit(facts: DataFrame, rules: Iterable[Rule], files: DataFrame) -> DataFrame:
+    """Graph rules over the whole tree: every file counts as edited, and all rules fire once."""
+    rules = list(rules)
+    return Session(pruned(facts, rules).unionByName(edited_files(files)), rules).fire()
