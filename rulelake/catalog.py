@@ -582,7 +582,7 @@ def steps(spark, d):
 SELECT s AS start, count(*) AS n, sum(y) AS total FROM r GROUP BY 1""")
 def _(spark, d):
     starts = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("start"), F.col("s_suppkey").cast("string").alias("node"))
-    return graph.closure(starts, steps(spark, d)).groupBy(F.col("start").cast("int").alias("start")).agg(F.count("*").alias("n"), F.sum(F.col("node").cast("long")).alias("total"))
+    return graph.closure(starts, steps(spark, d), deep=True).groupBy(F.col("start").cast("int").alias("start")).agg(F.count("*").alias("n"), F.sum(F.col("node").cast("long")).alias("total"))
 
 
 @query("u7_cycles", f"""WITH RECURSIVE {STEPS}, r AS (SELECT x, y FROM steps UNION SELECT r.x, steps.y FROM r JOIN steps ON r.y = steps.x)

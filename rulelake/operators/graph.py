@@ -124,15 +124,23 @@ def data_flows(edges: DataFrame) -> DataFrame:
     return pairs(edges, "consumes_data", "deserializes", of=("consumer", "artifact")).select("artifact", "consumer").distinct()
 
 
-def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None, include_start: bool = True) -> DataFrame:
+def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None, include_start: bool = True, deep: bool = False) -> DataFrame:
     """(start, node) reached by steps (x, y), delta by delta; stop nodes are reached but not passed.
 
-    Each round joins only what the last one found, and is written to the shared folder.
+    Each round joins only what the last one found, and is written to the shared folder. deep (without stop nodes): for
+    small graphs with long paths, where the steps themselves double in length each round.
     """
     from ..plans.tables import cut
 
     reached = starts.select("start", F.col("start").alias("node")).distinct() if "node" not in starts.columns else starts.distinct()
     delta = reached = cut(reached)
+    if deep and stop is None:
+        hop, n = cut(steps.select("x", "y").distinct()), -1
+        while (now := reached.count()) != n:
+            n = now
+            reached = cut(reached.union(reached.join(hop.withColumnRenamed("x", "node"), "node").select("start", "y")).distinct())
+            hop = cut(hop.union(hop.alias("a").join(hop.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", "b.y")).distinct())
+        return reached if include_start else reached.where("start <> node")
     while True:
         go = delta if stop is None else delta.join(stop.select(F.col(stop.columns[0]).alias("node")), "node", "left_anti")
         found = go.join(steps.select(F.col("x").alias("node"), "y"), "node").select("start", F.col("y").alias("node")).distinct()

@@ -117,6 +117,7 @@ def test_cycles_and_closure_against_brute_force(spark):
         starts = spark.createDataFrame([("0",), ("1",)], "start string")
         want = {(a, a) for a in "01"} | {(a, b) for a, b in reach if a in "01"}
         assert {(x.start, x.node) for x in graph.closure(starts, df).collect()} == want
+        assert {(x.start, x.node) for x in graph.closure(starts, df, deep=True).collect()} == want
     stop = spark.createDataFrame([("2",)], "s string")
     line = spark.createDataFrame([("1", "2"), ("2", "3")], "x string, y string")
     assert {x.node for x in graph.closure(spark.createDataFrame([("1",)], "start string"), line, stop).collect()} == {"1", "2"}
