@@ -1,8 +1,12 @@
 """Similarity join of shingle sets with signature trees.
 
-1. Every set is cut, by the value of its shingle hashes, into so many segments that two similar enough sets must
-   agree on a whole non-empty one (pigeonhole over the largest possible difference at their size).  Equal segments
-   link documents into candidate components; nothing else can be similar.
+1. Sets are routed so that similar ones meet.  At high similarity every set is cut, by the value of its shingle
+   hashes, into so many segments that two similar sets must agree on a whole non-empty one (pigeonhole over the
+   largest possible difference at their size).  At lower similarity such segments would be small and passages that
+   many documents share would tie unrelated ones; there the sets meet in their rarest shingles: the prefix of a
+   global order by counted frequency, so long that two similar sets share an eighth of a set in it.  Pairs are made
+   only in groups of a few sets and must share that many; a larger group is tied as a whole.  What meets forms
+   candidate components; nothing else can be similar.
 2. A component's sets (equal sets once) go to one block, or to several of bounded volume.  In a block they form a
    signature tree: leaves hold a bitmap of hashed shingles, inner nodes the OR of their children's bitmaps and the
    range of set sizes.  A dual traversal compares nodes with nodes and drops a pair if the largest overlap that its
@@ -35,6 +39,15 @@ BLOCK_SHINGLES, HUBS = 2_000_000, 32
 #: (key, document) pairs that a task holds before it sends them on.
 FLUSH = 3_000_000
 FAN = 8
+#: Segments route sets only if they hold so many shingles on average.
+WIDE = 8
+#: Slots of counted shingles, by bits of their hash; only the order of the prefix depends on them. A shingle is common
+#: from so many documents on.
+SLOT_BITS, COMMON = 24, 3
+#: Prefixes are longer by this share of a set, and two sets must share as much in them; groups of so many sets make pairs.
+SHARED, FEW = 8, 8
+#: The count of a tie that needs no other.
+ENOUGH = 1 << 30
 
 
 class Sizes:
@@ -83,16 +96,98 @@ def segment_keys(grams: np.ndarray, cut: np.ndarray, sizes: Sizes) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def stars(keys: np.ndarray, docs: np.ndarray):
-    """The least document of each key, and the distinct (document, least) of the others."""
+def prefix_keys(grams: np.ndarray, cut: np.ndarray, sizes: Sizes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' first shingles by (weight, hash), and the number of the set of each: so many that two similar sets
+    share at least max(1, n // SHARED) of them, n being the smaller size."""
+    n = np.diff(cut)
+    doc = K.doc_of(cut)
+    counted = grams < np.uint64(1 << 63)
+    weight = np.where(counted, weights[(grams >> np.uint64(63 - SLOT_BITS)).astype(np.int64) & ((1 << SLOT_BITS) - 1)], 255)
+    order = np.lexsort((weight, doc))  # stable: by hash within a weight
+    first = (np.arange(len(grams)) - cut[:-1][doc]) < (n + (-sizes.percent * n) // 100 + np.maximum(1, n // SHARED))[doc]
+    return grams[order[first]], doc[first]
+
+
+def frequencies(documents: DataFrame, words: int) -> np.ndarray:
+    """Weights of shingles by slot: 0 if rare, else the logarithm of the number of documents with the commonest shingle
+    of the slot. Shingles with the lower half of the hash values are counted, exactly but for their last 31 bits; the
+    prefixes hardly ever need others (these come last). The table has a fixed size, whatever the input."""
+    parts = partitions(documents.sparkSession)
+    edges = (np.arange(parts + 1) << SLOT_BITS) // parts
+    low = 32 - SLOT_BITS
+
+    def send(held: list):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted(values >> np.uint32(low), edges)
+        return pd.DataFrame({"part": np.arange(parts, dtype=np.int32), "values": [values[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])],
+                             "n": [np.minimum(n[x:y], 255).astype(np.uint8).tobytes() for x, y in zip(cut[:-1], cut[1:])]})
+
+    def count(batches):
+        held, total = [], 0
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in K.slices(texts):
+                grams, _ = K.word_shingles(*K.buffer(texts[a:b]), words)
+                held.append((grams[grams < np.uint64(1 << 63)] >> np.uint64(31)).astype(np.uint32))
+                total += len(held[-1])
+                if total > FLUSH:
+                    yield send(held)
+                    held, total = [], 0
+        if total:
+            yield send(held)
+
+    def add(batches):
+        rows = pd.concat([*batches, pd.DataFrame({"part": [], "values": [], "n": []})])
+        for part, some in rows.groupby("part"):
+            part = int(part)
+            values = np.frombuffer(b"".join(some["values"]), np.uint32)
+            n = np.frombuffer(b"".join(some["n"]), np.uint8)
+            order = np.argsort(values, kind="stable")
+            values, n = values[order], n[order].astype(np.int64)
+            head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            if not len(head):
+                continue
+            total = np.add.reduceat(n, head)
+            common = total >= COMMON
+            out = np.zeros(edges[part + 1] - edges[part], np.uint8)
+            np.maximum.at(out, (values[head[common]] >> np.uint32(low)).astype(np.int64) - edges[part], np.log2(total[common]).astype(np.uint8))
+            yield pd.DataFrame({"part": [np.int32(part)], "weights": [out.tobytes()]})
+
+    rows = documents.select("text").mapInPandas(count, "part int, values binary, n binary").repartition(parts, "part").mapInPandas(add, "part int, weights binary")
+    weights = np.zeros(1 << SLOT_BITS, np.uint8)
+    for r in rows.toLocalIterator():
+        weights[edges[r.part]:edges[r.part + 1]] = np.frombuffer(r.weights, np.uint8)
+    return weights
+
+
+def grouped(keys: np.ndarray, docs: np.ndarray, few: int):
+    """Distinct (key, document) rows in order, the start of each row's group, and whether the group is a large one."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    keys, docs = keys[fresh], docs[fresh]
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
-    least = docs[head][np.cumsum(head) - 1] if len(keys) else docs
-    other = docs != least
-    edges = np.unique(np.stack([docs[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[head], docs[head], edges
+    starts = np.flatnonzero(head)
+    size = np.diff(np.append(starts, len(keys)))
+    return keys, docs, np.repeat(starts, size), np.repeat(size > few, size)
+
+
+def ties(docs: np.ndarray, start: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Distinct (document, least document) of the large groups."""
+    least = docs[start]
+    other = large & (docs != least)
+    return np.unique(np.stack([docs[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+
+
+def pairs_of(docs: np.ndarray, start: np.ndarray, large: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (later, earlier) pairs of the small groups, and in how many groups they meet."""
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, few):
+        at = np.flatnonzero((start[step:] == start[:-step]) & ~large[step:])
+        found.append(np.stack([docs[at + step], docs[at]], axis=1))
+    return np.unique(np.concatenate(found), axis=0, return_counts=True)
 
 
 def _int64(blobs) -> np.ndarray:
@@ -112,16 +207,27 @@ def shapes(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def candidates(documents: DataFrame, words: int, sizes: Sizes) -> DataFrame:
-    """Edges (a, b) that connect all documents that share a segment.
+def candidates(documents: DataFrame, words: int, sizes: Sizes, weights: np.ndarray | None = None) -> DataFrame:
+    """Edges (a, b, n): documents that share a segment are connected by edges with n ENOUGH. If weights are given, so
+    are those that meet in a shingle with more than FEW; fewer make pairs, and n of a pair (summed) is how often.
 
-    Tasks resolve their own keys first, so a key reaches its partition at most once from each; keys travel as
+    Tasks tie their own large groups first, so a key reaches its partition a few times from each; keys travel as
     packed arrays.
     """
     parts = partitions(documents.sparkSession)
+    order_by = None if weights is None else documents.sparkSession.sparkContext.broadcast(weights)
+
+    def keys_of(texts):
+        grams, cut = K.word_shingles(*K.buffer(texts), words)
+        return segment_keys(grams, cut, sizes) if order_by is None else prefix_keys(grams, cut, sizes, order_by.value)
+
+    few = 1 if weights is None else FEW
 
     def send(keys: list, docs: list):
-        keys, docs, edges = stars(np.concatenate(keys), np.concatenate(docs))
+        keys, docs, start, large = grouped(np.concatenate(keys), np.concatenate(docs), few)
+        edges = ties(docs, start, large)
+        first = np.arange(len(keys)) - start <= few  # of a large group enough to be large wherever it arrives
+        keys, docs = keys[first], docs[first]
         part = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         keys, docs, cut = keys[order], docs[order], np.searchsorted(part[order], np.arange(parts + 1))
@@ -138,7 +244,7 @@ def candidates(documents: DataFrame, words: int, sizes: Sizes) -> DataFrame:
             pdf = pdf[pdf["doc_id"].notna()]
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy(np.int64)
             for a, b in K.slices(texts):
-                some, owner = segment_keys(*K.word_shingles(*K.buffer(texts[a:b]), words), sizes)
+                some, owner = keys_of(texts[a:b])
                 keys.append(some)
                 docs.append(ids[a:b][owner])
                 held += len(some)
@@ -150,12 +256,13 @@ def candidates(documents: DataFrame, words: int, sizes: Sizes) -> DataFrame:
 
     def meet(batches):
         rows = pd.concat([*batches, pd.DataFrame({"keys": [b""], "docs": [b""], "edges": [b""]})])
-        _, _, edges = stars(_int64(rows["keys"]).view(np.uint64), _int64(rows["docs"]))
-        edges = np.unique(np.concatenate([edges, _int64(rows["edges"]).reshape(-1, 2)]), axis=0)
-        yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+        _, docs, start, large = grouped(_int64(rows["keys"]).view(np.uint64), _int64(rows["docs"]), few)
+        edges = np.unique(np.concatenate([ties(docs, start, large), _int64(rows["edges"]).reshape(-1, 2)]), axis=0)
+        some, n = pairs_of(docs, start, large, few)
+        yield pd.DataFrame({"a": np.append(edges[:, 0], some[:, 0]), "b": np.append(edges[:, 1], some[:, 1]), "n": np.append(np.full(len(edges), ENOUGH), n)})
 
     packed = documents.select("doc_id", "text").mapInPandas(cut_up, "part int, keys binary, docs binary, edges binary")
-    return packed.repartition(parts, "part").mapInPandas(meet, "a long, b long")
+    return packed.repartition(parts, "part").mapInPandas(meet, "a long, b long, n long")
 
 
 class Forest:
@@ -295,9 +402,10 @@ def _ship(documents: DataFrame, places: DataFrame) -> DataFrame:
         "cid", F.explode("blocks").alias("block"), "node", "label", "text")
 
 
-def similar_groups(documents: DataFrame, words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar_groups(documents: DataFrame, words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES,
+                   segments: bool | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id that links reach) and class_id (least doc_id
-    with the same set)."""
+    with the same set). segments: route by segments or by rare shingles; by default as the similarity allows."""
     sizes = Sizes(percent)
     shape = Table(shapes(documents, words))
     full = shape.df.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -306,10 +414,14 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     # rows of one id with different texts tie their classes together
     same_id = member.df.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
 
-    raw = candidates(documents, words, sizes)
-    edges = raw.distinct()
+    weights = None
+    if segments is False or segments is None and 100 + percent < 2 * WIDE * (100 - percent):
+        weights = frequencies(documents, words)
+    raw = candidates(documents, words, sizes, weights)
+    edges = raw.groupBy("a", "b").agg(F.sum("n").alias("n"))
     for c in ("a", "b"):
-        edges = edges.join(member.df.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}")), c)
+        edges = edges.join(member.df.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}"), F.col("n_shingles").alias(f"size_{c}")), c)
+    edges = edges.where(F.col("n") >= F.greatest(F.lit(1), F.expr(f"least(size_a, size_b) div {SHARED}")))
     near = components(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     sized = near.df.join(member.df.select("node", "n_shingles").distinct(), "node")
     total = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))

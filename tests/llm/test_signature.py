@@ -56,11 +56,11 @@ def docs(seed, n=120):
             (None, out[0][1]), (1007, "long " + " ".join(r.choices(vocab, k=20_000)))]
 
 
-@pytest.mark.parametrize("seed,size,percent,block", [(1, 3, 90, 2_000_000), (2, 3, 90, 300), (3, 5, 80, 2_000_000), (4, 5, 80, 200), (5, 2, 50, 400)])
-def test_against_brute_force(spark, seed, size, percent, block):
+@pytest.mark.parametrize("seed,size,percent,block,segments", [(1, 3, 90, 2_000_000, None), (2, 3, 90, 300, False), (3, 5, 80, 2_000_000, True), (4, 5, 80, 200, None), (5, 2, 50, 400, None)])
+def test_against_brute_force(spark, seed, size, percent, block, segments):
     data = docs(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], SCHEMA).repartition(5)
-    rows = signature.similar_groups(df, size, percent, block).collect()
+    rows = signature.similar_groups(df, size, percent, block, segments).collect()
     assert len(rows) == len(data)
     want = brute(data, size, percent)
     for r in rows:
@@ -88,6 +88,32 @@ def test_pigeonhole_keys_meet_for_every_similar_pair():
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_prefixes_of_similar_sets_share_enough():
+    r = np.random.default_rng(8)
+    weights = r.integers(0, 4, 1 << signature.SLOT_BITS).astype(np.uint8)
+    for percent in (60, 80):
+        sizes = signature.Sizes(percent)
+        for _ in range(300):
+            n = int(r.integers(1, 150))
+            a = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            drop, add = int(r.integers(0, n // 4 + 1)), int(r.integers(0, n // 4 + 1))
+            b = np.concatenate([a[drop:], r.integers(0, 1 << 63, add, dtype=np.uint64)])
+            if 100 * (n - drop) < percent * (n + add):
+                continue
+            keys, owner = signature.prefix_keys(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, n, n + len(b)]), sizes, weights)
+            shared = set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+            assert len(shared) >= max(1, min(n, len(b)) // signature.SHARED)
+
+
+def test_small_groups_make_pairs_and_large_ones_ties():
+    keys = np.array([5, 5, 5, 7, 7, 9, 5, 5, 7, 7], np.uint64)
+    docs = np.array([1, 2, 3, 1, 2, 4, 4, 3, 2, 9], np.int64)
+    _, d, start, large = signature.grouped(keys, docs, 3)
+    assert signature.ties(d, start, large).tolist() == [[2, 1], [3, 1], [4, 1]]
+    some, n = signature.pairs_of(d, start, large, 3)
+    assert some.tolist() == [[2, 1], [9, 1], [9, 2]] and n.tolist() == [1, 1, 1]
+
+
 def test_tree_loses_no_link():
     r = np.random.default_rng(3)
     sizes = signature.Sizes(80)
