@@ -137,7 +137,7 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return run[offsets[1:]] - run[offsets[:-1]]
 
 
-def slices(texts, limit: int = 2_000_000):
+def slices(texts, limit: int = 1_000_000):
     """Index ranges of texts so that each has about limit characters (one long text stands alone)."""
     begin, total = 0, 0
     for i, t in enumerate(texts):

@@ -37,7 +37,7 @@ from .storage import Table, partitions, small
 #: Shingles of a block at most (a larger component has several), and common members of such blocks (about).
 BLOCK_SHINGLES, HUBS = 2_000_000, 32
 #: (key, document) pairs that a task holds before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 FAN = 8
 #: Segments route sets only if they hold so many shingles on average.
 WIDE = 8
