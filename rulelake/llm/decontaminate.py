@@ -26,6 +26,8 @@ from . import kernels as K
 
 #: Bytes of benchmark text that one broadcast block holds.
 BLOCK_BYTES = 8_000_000
+#: With several blocks, characters of documents that meet a block's index before the next one is built.
+GATHERED = 32_000_000
 
 
 def winnow(hashes: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
@@ -138,49 +140,55 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 
 def spans(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6,
           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document and benchmark block: doc_id, n_words, hit word ranges and the item ids that occur.
+    """Per document row: doc_id, n_words, hit word ranges and the item ids that occur.
 
-    Blocks after the first only return documents with hits.
+    Each row meets all benchmark blocks in the task that reads it, so its result does not depend on their number.
     """
-    blocks = list(_blocks(benchmark, block_bytes))
-    out = None
-    for b, shared in enumerate(blocks):
-        part = documents.select("doc_id", "text").mapInPandas(
-            _matcher(shared, span, k, everything=b == 0),
-            "doc_id long, n_words long, begin array<int>, end array<int>, items array<string>")
-        out = part if out is None else out.unionByName(part)
-    return out if len(blocks) == 1 else _joined(out)
-
-
-def _joined(parts: DataFrame) -> DataFrame:
-    """The blocks' rows of a document in one."""
-    return parts.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("begin")).alias("begin"),
-        F.flatten(F.collect_list("end")).alias("end"), F.flatten(F.collect_list("items")).alias("items"))
-
-
-def _matcher(shared, span: int, k: int, everything: bool):
+    return documents.select("doc_id", "text").mapInPandas(
+        _matcher(list(_blocks(benchmark, block_bytes)), span, k),
+        "doc_id long, n_words long, begin array<int>, end array<int>, items array<string>")
+
+
+def _gathered(batches, least: int):
+    """(ids, texts) of whole batches, so many that their texts have at least so many characters."""
+    ids, texts, size = [], [], 0
+    for pdf in batches:
+        ids += [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
+        new = pdf["text"].tolist()
+        texts += new
+        size += sum(len(t) for t in new if t is not None)
+        if size >= least:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _matcher(blocks: list, span: int, k: int):
     def run(batches):
-        index = Index(*shared.value, span, k)
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"]
-            for a, b in K.slices(texts):
-                d = Text(texts[a:b])
-                begin, end, item = index.hits(d)
-                doc = d.doc[begin]
+        one = Index(*blocks[0].value, span, k) if len(blocks) == 1 else None
+        for ids, texts in _gathered(batches, 0 if one else GATHERED):
+            slices = list(K.slices(texts))
+            found = [[] for _ in slices]
+            for shared in blocks:  # one index at a time
+                index = one or Index(*shared.value, span, k)
+                names = np.array(index.ids, object)
+                for s, (a, b) in enumerate(slices):
+                    d = Text(texts[a:b])
+                    begin, end, item = index.hits(d)
+                    doc = d.doc[begin]
+                    found[s].append((np.diff(d.cut), doc, begin - d.cut[doc], end - d.cut[doc], names[item]))
+            for (a, b), parts in zip(slices, found):
+                doc, begin, end, item = (np.concatenate(x) for x in list(zip(*parts))[1:])
                 order = np.lexsort((end, begin, doc))
                 begin, end, doc, item = begin[order], end[order], doc[order], item[order]
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                base = d.cut
-                rows = range(b - a) if everything else np.unique(doc).tolist()
-                if not len(rows):
-                    continue
                 yield pd.DataFrame({
-                    "doc_id": ids.iloc[a:b].take(list(rows)),
-                    "n_words": np.diff(base)[list(rows)],
-                    "begin": [begin[cut[i]:cut[i + 1]] - base[i] for i in rows],
-                    "end": [end[cut[i]:cut[i + 1]] - base[i] for i in rows],
-                    "items": [sorted({index.ids[x] for x in np.unique(item[cut[i]:cut[i + 1]])}) for i in rows],
+                    "doc_id": pd.array(ids[a:b], dtype="Int64"),
+                    "n_words": parts[0][0],
+                    "begin": [begin[x:y] for x, y in zip(cut[:-1], cut[1:])],
+                    "end": [end[x:y] for x, y in zip(cut[:-1], cut[1:])],
+                    "items": [sorted(set(item[x:y])) for x, y in zip(cut[:-1], cut[1:])],
                 })
     return run
 

@@ -58,3 +58,15 @@ def test_empty_tables(spark):
     d, none = spark.createDataFrame([(1, "a b c", 1), (None, "x", 1)], SCHEMA), spark.createDataFrame([], SCHEMA)
     assert {r.n_hit for r in decontaminate.contamination(d, none).collect()} == {0}
     assert decontaminate.contamination(none, d).collect() == []
+
+
+def test_rows_do_not_depend_on_the_number_of_blocks(spark):
+    docs, items = cases(4)
+    docs = [(None if i % 3 else 7, t) for i, t in docs]  # null and repeated ids with different texts
+    d = spark.createDataFrame([(a, b, 1) for a, b in docs], SCHEMA)
+    b = spark.createDataFrame([(7, t, i) for i, t in items], SCHEMA)
+    plain = lambda rows: sorted(map(repr, rows))
+    want = plain((i, *brute([(0, t)], items)[0]) for i, t in docs)
+    for block in (8_000_000, 60):
+        rows = decontaminate.contamination(d, b, block_bytes=block).collect()
+        assert plain(tuple(r) for r in rows) == want
