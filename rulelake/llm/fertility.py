@@ -131,17 +131,16 @@ def group_heads(group: np.ndarray) -> np.ndarray:
 
 def measures(m: Meter, texts) -> dict[str, np.ndarray]:
     """Characters per token, byte-fallback share, token entropy and main script of each text."""
-    w = m.words(texts)
-    n_docs = len(w.offsets) - 1
-    doc = K.doc_of(w.offsets)
-    pieces = np.bincount(doc, m.n_pieces.data[w.rows], n_docs)
-    fallback = np.bincount(doc, m.n_bytes.data[w.rows], n_docs)
-    lo = m.begin.data[w.rows]
-    n = m.begin.data[w.rows + 1] - lo
-    total = np.zeros(len(n) + 1, np.int64)
-    np.cumsum(n, out=total[1:])
-    ids = m.pool.data[np.arange(total[-1]) + np.repeat(lo - total[:-1], n)]
-    cut = total[w.offsets]
+    n_docs = len(texts)
+    pieces, fallback, cut, found = np.zeros(n_docs), np.zeros(n_docs), 0, []
+    for w in m.parts(texts):
+        doc = K.doc_of(w.offsets)
+        pieces += np.bincount(doc, m.n_pieces.data[w.rows], n_docs)
+        fallback += np.bincount(doc, m.n_bytes.data[w.rows], n_docs)
+        some, at = m.part_ids(w)
+        found.append(some)
+        cut = cut + at
+    ids = np.concatenate(found) if len(found) > 1 else found[0]
     n_tokens = np.diff(cut)
     keys = np.sort(K.doc_of(cut) << 32 | ids)
     head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)

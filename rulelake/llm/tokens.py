@@ -130,7 +130,7 @@ class Growing:
 
 
 class Words:
-    """The words of a batch of texts as rows of the encoder's table."""
+    """Words of a batch of texts as rows of the encoder's table, and the texts' offsets in them."""
 
     def __init__(self, rows: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         self.rows, self.offsets, self.starts, self.ends = rows, offsets, starts, ends
@@ -163,29 +163,43 @@ class Encoder:
             self.pool.append(np.array(got.ids, np.int32))
             self.begin.append(ends)
 
-    def words(self, texts) -> Words:
-        if self.table.n > self.table.size // 2:
-            self.clear()
+    def parts(self, texts):
+        """Words of all texts in consecutive parts, none with more words than half the table holds. The table's
+        rows that a part names are valid until the next part is taken."""
         cp, docs = code_points(texts)
         starts = self.cutter.starts(cp, docs)
         ends = np.append(starts[1:], len(cp)) if len(starts) else starts
-        keys = K.Prefix(cp.astype(np.uint64) + np.uint64(1)).ranges(starts, ends)
+        prefix = K.Prefix(cp.astype(np.uint64) + np.uint64(1))
+        offsets, step = np.searchsorted(starts, docs), self.table.size // 2
+        for at in range(0, max(1, len(starts)), step):
+            a, b = starts[at:at + step], ends[at:at + step]
+            yield Words(self._rows(cp, prefix.ranges(a, b), a, b), np.clip(offsets - at, 0, len(a)), a, b)
+
+    def _rows(self, cp: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if self.table.n > self.table.size // 2:
+            self.clear()
         keys[keys == 0] = 1
         rows = self.table.find(keys)
         lost = np.flatnonzero(rows < 0)
         if len(lost):
             fresh, which, back = np.unique(keys[lost], return_index=True, return_inverse=True)
             if self.table.n + len(fresh) > self.table.size * 3 // 4:
-                self.clear()
-                if len(fresh) > self.table.size // 2:
-                    raise MemoryError("a slice has more distinct words than the word table")
-                return self.words(texts)
+                self.clear()  # an empty table has room for all words of a part
+                return self._rows(cp, keys, starts, ends)
             at = lost[which]
             base = self.begin.n - 1
             self._learn([cp[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[at], ends[at])])
             self.table.add(fresh, np.arange(base, base + len(fresh)))
             rows[lost] = base + back
-        return Words(rows, np.searchsorted(starts, docs), starts, ends)
+        return rows
+
+    def part_ids(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a part's words and the texts' offsets in them."""
+        lo = self.begin.data[w.rows]
+        n = self.begin.data[w.rows + 1] - lo
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        return self.pool.data[np.arange(total[-1]) + np.repeat(lo - total[:-1], n)], total[w.offsets]
 
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the texts' offsets in them."""
@@ -195,13 +209,9 @@ class Encoder:
             direct = {i: self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in odd}
             for i in odd:
                 texts[i] = None
-        w = self.words(texts)
-        lo = self.begin.data[w.rows]
-        n = self.begin.data[w.rows + 1] - lo
-        total = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=total[1:])
-        ids = self.pool.data[np.arange(total[-1]) + np.repeat(lo - total[:-1], n)]
-        offsets = total[w.offsets]
+        found = [self.part_ids(w) for w in self.parts(texts)]
+        ids = np.concatenate([x for x, _ in found]) if len(found) > 1 else found[0][0]
+        offsets = sum(x for _, x in found)
         if odd:
             parts = [direct[i] if i in direct else ids[offsets[i]:offsets[i + 1]] for i in range(len(texts))]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)

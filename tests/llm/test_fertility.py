@@ -63,6 +63,15 @@ def test_measures_against_the_libraries():
     assert fertility.measures(m, ["🙂 漢"])["fallback_share"][0] == pytest.approx(bytes_ / sum(len(sp.encode(w)) for w in words))
 
 
+def test_measures_of_more_words_than_the_table_holds():
+    path, pieces = tokens.vocabulary(), tokens.vocabulary("piece_bpe_32k.model")
+    whole, m = fertility.Meter(path, pieces), fertility.Meter(path, pieces)
+    m.table = tokens.WordTable(1 << 8)
+    some = ["a 🙂 b", None, " ".join(f"{i * 7919} 漢{i}" for i in range(2000)), "the end"]
+    got, want = fertility.measures(m, some), fertility.measures(whole, some)
+    assert all(list(got[k]) == pytest.approx(list(want[k])) if k != "script" else list(got[k]) == list(want[k]) for k in want)
+
+
 def test_bands_reject_and_keep(spark):
     r = random.Random(2)
     vocab = ["river", "stone", "walks", "over", "green", "house", "morning", "light", "under", "small", "old", "quiet", "road", "and", "the",

@@ -39,6 +39,16 @@ def test_word_table_is_emptied_when_full(monkeypatch):
         assert np.array_equal(e.ids(texts)[0], whole.ids(texts)[0])
 
 
+def test_one_text_with_more_words_than_the_table_holds():
+    whole, e = tokens.Encoder(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
+    e.table = tokens.WordTable(1 << 8)
+    texts = ["short one", None, " ".join(str(10**6 + 7919 * i) for i in range(3000)), "", "the end"]
+    for _ in range(2):
+        for got, want in zip(e.ids(texts), whole.ids(texts)):
+            assert np.array_equal(got, want)
+    assert e.ids(texts)[0].tolist() == [x for t in texts for x in e.tokenizer.encode(t or "", add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("totals,weights", [([5000, 700, 1], [5000, 700, 1]), ([300, 3000, 9000], [1, 1, 1]), ([1000], [7]), ([640, 640], [3, 5])])
 def test_schedule_is_the_sequential_round_robin(totals, weights):
     s = packing.Schedule(np.array(totals), np.array(weights), 128, 1024)
