@@ -9,9 +9,11 @@ windows and partitions exactly as one sequential round-robin would carry them.
 
 The windows are 1024 tokens; what remains at the very end is cut into powers of two, so nothing is padded.
 
-Memory: one partition's Arrow batches, the word table, and arrays of one number per queue.  Sources beyond
-``max_queues`` share queues by hash.  Defined results: null and empty texts are one token (the end id); repeated
-rows are packed each; a null source is a queue of its own; other columns are not read; an empty table gives no rows.
+Memory: one partition's Arrow batches, the word table, and arrays of one number per queue.  Every source has its own
+queue, however many there are; beyond ``max_queues`` the places of slots that lie close together are counted off in
+one sorted stretch of the stream instead of one sum over the queues for each.  Defined results: null and empty texts
+are one token (the end id); repeated rows are packed each; a null source is a queue of its own (shown as '', as is
+the queue of the source ''); other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from . import tokens
 from .storage import Table, small
 
 WINDOW, QUANTUM, MAX_QUEUES = 1024, 128, 256
+#: Slots that one stretch of the stream counts off at most.
+STRETCH = 1 << 20
 _ENCODERS: dict[str, tokens.Encoder] = {}
 
 
@@ -38,11 +42,10 @@ def encoder(path: str) -> tokens.Encoder:
     return _ENCODERS[path]
 
 
-def encoded(documents: DataFrame, vocabulary: str, end_id: int, max_queues: int) -> DataFrame:
-    """doc_id, queue name, n, ids (little-endian unsigned), and the place in its queue within the block."""
-    few = documents.select("source").distinct().limit(max_queues + 1).count() <= max_queues
-    name = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    queue = name if few else F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")
+def encoded(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id, queue ('=' and the source, '' for null), n, ids (little-endian unsigned), and the place in its queue
+    within the block."""
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
     def run(batches):
         from pyspark import TaskContext
@@ -72,8 +75,9 @@ def encoded(documents: DataFrame, vocabulary: str, end_id: int, max_queues: int)
 class Schedule:
     """Where each slot of each queue lies in the one global token stream."""
 
-    def __init__(self, totals: np.ndarray, weights: np.ndarray, quantum: int, window: int):
+    def __init__(self, totals: np.ndarray, weights: np.ndarray, quantum: int, window: int, max_queues: int = MAX_QUEUES):
         self.totals, self.weights, self.quantum, self.window = totals, weights, quantum, window
+        self.max_queues, self.slots = max_queues, -(-totals // quantum)
         self.total = int(totals.sum())
         rest, ends = self.total % window, []
         while rest:
@@ -83,6 +87,50 @@ class Schedule:
 
     def places(self, queue: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Tokens that are served before the slot."""
+        if len(self.totals) <= self.max_queues or not len(slot):
+            return self._each(queue, slot)
+        out = np.zeros(len(slot), np.int64)
+        # quotients of 53 bits tell any two due times apart while 2 * slots * weight is below 2**52
+        exact = int(2 * self.slots.max() + 1) * int(self.weights.max()) < 1 << 52
+        order = np.lexsort((queue, (2 * slot + 1) / self.weights[queue]))
+        todo = [order] if exact else [order[i:i + 1] for i in range(len(order))]
+        while todo:
+            some = todo.pop()
+            first, last = self._before(queue[some[0]], slot[some[0]]), self._before(queue[some[-1]], slot[some[-1]])
+            n = last - first
+            if len(some) == 1:
+                out[some] = self._served(first)
+            elif n.sum() <= STRETCH and n.sum() <= len(some) * len(n):
+                out[some] = self._stretch(queue[some], slot[some], first, n)
+            else:
+                todo += [some[:len(some) // 2], some[len(some) // 2:]]
+        return out
+
+    def _before(self, queue: int, slot: int) -> np.ndarray:
+        """Of each queue, how many slots come before this one."""
+        own, r = self.weights[queue], np.arange(len(self.totals))
+        x = (2 * slot + 1) * self.weights - own
+        before = np.where(r < queue, x // (2 * own) + 1, -((-x) // (2 * own)))
+        before[queue] = slot
+        return np.minimum(np.maximum(before, 0), self.slots)
+
+    def _served(self, before: np.ndarray) -> int:
+        return int(np.minimum(before * self.quantum, self.totals).sum())
+
+    def _stretch(self, queue: np.ndarray, slot: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Places of slots in the order of the stream, counted off over all n slots of each queue from the first."""
+        r = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + first[r]
+        order = np.lexsort((r, (2 * j + 1) / self.weights[r]))
+        upto = np.zeros(len(r) + 1, np.int64)
+        np.cumsum(np.minimum(self.quantum, self.totals[r] - j * self.quantum)[order], out=upto[1:])
+        rank = np.empty(len(r) + 1, np.int64)
+        rank[order], rank[-1] = np.arange(len(r)), len(r)
+        at = (np.cumsum(n) - n)[queue] + slot - first[queue]
+        at[slot >= (first + n)[queue]] = len(r)  # the last one itself comes after all of these
+        return self._served(first) + upto[rank[at]]
+
+    def _each(self, queue: np.ndarray, slot: np.ndarray) -> np.ndarray:
         out = np.zeros(len(slot), np.int64)
         due = 2 * slot + 1
         own = self.weights[queue]
@@ -145,13 +193,13 @@ def pack(documents: DataFrame, vocabulary: str | None = None, targets: dict[str,
     targets gives token proportions by source (missing sources get the smallest given one); by default each
     source's share of all tokens, which every window then holds until the end.
     """
-    staged = Table(encoded(documents, vocabulary or tokens.vocabulary(), end_id, max_queues))
+    staged = Table(encoded(documents, vocabulary or tokens.vocabulary(), end_id))
     per_block = staged.df.groupBy("queue", "block").agg(F.sum("n").alias("n"))
-    sums = {r.queue: r.n for r in staged.df.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # max_queues rows
+    sums = {r.queue: r.n for r in staged.df.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one row a source
     names = sorted(sums)
     totals = np.array([sums[q] for q in names], np.int64)
-    aim = None if targets is None else np.array([targets.get(q, min(targets.values())) for q in names], float)
-    schedule = Schedule(totals, integer_weights(totals, aim), quantum, window) if names else None
+    aim = None if targets is None else np.array([targets.get(q[1:], min(targets.values())) for q in names], float)
+    schedule = Schedule(totals, integer_weights(totals, aim), quantum, window, max_queues) if names else None
     number = {q: i for i, q in enumerate(names)}
     offsets = per_block.withColumn("base", F.sum("n").over(
         Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select(
@@ -168,7 +216,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, targets: dict[str,
             cuts = [wide[d][4 * s:4 * (s + k)] for d, s, k in zip(doc.tolist(), begin.tolist(), size.tolist())]
             out = {"doc_id": pdf["doc_id"].to_numpy()[doc], "start": begin, "length": size,
                    "ids_crc32": np.array([zlib.crc32(x) for x in cuts], np.int64), "doc_tokens": n[doc],
-                   "sequence_id": seq, "offset": offset, "queue": pdf["queue"].to_numpy()[doc]}
+                   "sequence_id": seq, "offset": offset, "queue": pdf["queue"].str[1:].to_numpy()[doc]}
             yield pd.DataFrame(out | ({"ids": cuts} if with_ids else {}))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     return staged.df.join(small(offsets), ["queue", "block"]).mapInPandas(run, schema + (", ids binary" if with_ids else ""))

@@ -2,6 +2,7 @@ import heapq
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -65,6 +66,34 @@ def test_schedule_is_the_sequential_round_robin(totals, weights):
     assert at == sum(totals)
 
 
+@pytest.mark.parametrize("seed,n,equal", [(1, 700, False), (2, 300, True), (3, 40, False)])
+def test_many_queues_have_the_places_of_the_sequential_round_robin(seed, n, equal):
+    r = np.random.default_rng(seed)
+    totals = r.integers(1, 6000, n) * r.choice([1, 1, 20], n)
+    weights = np.full(n, 7) if equal else np.maximum(1, r.integers(1, 1 << 20, n) // r.choice([1, 1000], n))
+    s = packing.Schedule(totals, weights, 128, 1024, max_queues=16)
+    queue = np.repeat(np.arange(n), s.slots)
+    slot = np.concatenate([np.arange(x) for x in s.slots])
+    order = sorted(range(len(slot)), key=lambda i: (Fraction(int(2 * slot[i] + 1), int(weights[queue[i]])), queue[i]))
+    size = np.minimum(128, totals[queue] - 128 * slot)[order]
+    want = np.empty(len(slot), np.int64)
+    want[order] = np.cumsum(size) - size
+    assert np.array_equal(s.places(queue, slot), want)
+    for pick in (r.permutation(len(slot))[:500], np.flatnonzero(queue == 3), np.array([5])):
+        assert np.array_equal(s.places(queue[pick], slot[pick]), want[pick])
+
+
+def test_each_of_many_sources_keeps_its_target(spark):
+    names = [f"s{i}" for i in range(300)]
+    rows = [(i * 40 + k, "a b c d e f g h i j k l m n o" * 60, x, "x", 1) for i, x in enumerate(names) for k in range(3 if i else 40)]
+    rows += [(20_000, "null source", None, "x", 1), (20_001, "empty source", "", "x", 1)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), targets=dict.fromkeys(names, 1.0) | {"s0": 100.0}).collect()
+    assert {r.queue for r in got} == {*names, ""}
+    early = [r for r in got if r.sequence_id < 30]
+    share = sum(r.length for r in early if r.queue == "s0") / sum(r.length for r in early)
+    assert share == pytest.approx(100 / (100 + 299 + 2), abs=0.05)
+
+
 @pytest.mark.parametrize("targets,queues", [(None, 256), ({"a": 0.2, "b": 0.5, "c": 0.3}, 256), (None, 2)])
 def test_packing_covers_every_id_once(spark, targets, queues):
     rows = docs()
