@@ -36,11 +36,21 @@ SCRIPTS = {
 NAMES = ("none", *SCRIPTS)
 #: Per script: least and most characters per token, most byte-fallback share, least entropy of the tokens in bits
 #: (it grows with a text's length, so it is a bound for the shortest texts that pass the word count).
-#: A script that is not listed has the bands of "other".
+#: Each script lies between prose and random letters of its block as measured with the public vocabularies (prose of
+#: several languages for greek, cyrillic, hebrew, arabic and indic, whose Malayalam has a fallback share of 0.64).
+#: A script that given bands do not list has their bands of "other".
 BANDS = {
     "latin": (1.2, 8.0, 0.12, 4.5),
     "none": (1.0, 8.0, 0.5, 3.0),
-    "other": (0.2, 4.0, 0.9, 3.0),
+    "greek": (0.62, 4.0, 0.5, 3.5),
+    "cyrillic": (0.7, 4.0, 0.35, 3.5),
+    "hebrew": (0.62, 4.0, 0.12, 3.5),
+    "arabic": (0.66, 4.0, 0.4, 3.5),
+    "indic": (0.34, 4.0, 0.76, 2.8),
+    "thai": (0.4, 4.0, 0.2, 3.0),
+    "kana": (0.6, 4.0, 0.25, 4.0),
+    "hangul": (0.36, 4.0, 0.45, 4.0),
+    "han": (0.4, 4.0, 0.55, 4.5),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOL = np.zeros(256, bool)
@@ -158,7 +168,7 @@ def measures(m: Meter, texts) -> dict[str, np.ndarray]:
 
 def verdict(found: dict[str, np.ndarray], bands: dict) -> np.ndarray:
     """Whether each text lies in the bands of its script."""
-    at = [bands.get(s, bands["other"]) for s in found["script"]]
+    at = [bands[s] if s in bands else bands["other"] for s in found["script"]]
     low, high, most, least = np.array(at, float).reshape(-1, 4).T
     return ((found["chars_per_token"] >= low) & (found["chars_per_token"] <= high)
             & (found["fallback_share"] <= most) & (found["token_entropy"] >= least))

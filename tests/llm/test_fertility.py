@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -81,3 +82,28 @@ def test_bands_reject_and_keep(spark):
     rows = fertility.rules(spark.createDataFrame([(1, clean, "x", 1), (2, junk, "x", 1)], SCHEMA)).collect()
     assert {x.doc_id: (x.base_failed, x.kept) for x in rows} == {1: (False, True), 2: (False, False)}
     assert fertility.rules(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+CLEAN = {
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άτομο έχει δικαίωμα στη ζωή, την ελευθερία και την προσωπική του ασφάλεια.",
+    "cyrillic": "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность.",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. כל אדם יש לו הזכות לחיים, לחירות ולביטחון אישי.",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. لكل فرد الحق في الحياة والحرية وسلامة شخصه.",
+    "indic": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। प्रत्येक व्यक्ति को जीवन, स्वाधीनता और वैयक्तिक सुरक्षा का अधिकार है।",
+    "thai": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ ทุกคนมีสิทธิในชีวิต เสรีภาพ และความมั่นคงแห่งตัวตน",
+    "kana": "すべてのひとびとは、うまれながらにしてじゆうであり、かつ、そんげんとけんりとについてびょうどうである。ひとは、りせいとりょうしんとをさずけられており、たがいにどうほうのせいしんをもってこうどうしなければならない。すべてのひとは、せいめい、じゆうおよびしんたいのあんぜんにたいするけんりをもつ。",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다.",
+    "han": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有权享有生命、自由和人身安全。任何人不得使为奴隶或奴役，一切形式的奴隶制度和奴隶买卖，均应予以禁止。",
+}
+
+
+@pytest.mark.parametrize("script", sorted(CLEAN))
+def test_each_script_has_a_band_between_prose_and_junk(script):
+    m = fertility.meter(tokens.vocabulary(), tokens.vocabulary("piece_bpe_32k.model"))
+    r = random.Random(6)
+    letters = [chr(c) for a, b in fertility.SCRIPTS[script] for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "L"]
+    rare = sorted(set(letters) - set(CLEAN[script]))
+    junk = [" ".join("".join(r.choices(x, k=r.randint(3, 8))) for _ in range(n)) for x in (letters, rare) for n in (60, 400)]
+    found = fertility.measures(m, [CLEAN[script], *junk])
+    assert set(found["script"]) == {script}
+    assert fertility.verdict(found, fertility.BANDS).tolist() == [True] + [False] * len(junk)
