@@ -52,6 +52,20 @@ def test_markov_separates_random_from_ordinary(spark):
     assert np.mean([bool(s) for s in scanner.spans(plain)]) < 0.02
 
 
+def test_markov_scores_short_runs_and_runs_without_digits(spark):
+    r = random.Random(9)
+    words = ["customer", "ledger", "monthly", "report", "handler", "request", "island", "window", "session", "value"]
+    docs = [(i, " ".join("_".join(r.choices(words, k=3)) + str(r.randint(1, 9)) for _ in range(200)), "en", 1) for i in range(40)]
+    scanner = secrets.Scanner(secrets.train(spark.createDataFrame(docs, SCHEMA)))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    # ten words are a poor model of the ordinary: short keys are told less surely than with a corpus
+    for alphabet, n, least in ((letters, 32, 0.9), (letters, 16, 0.6), (letters + "0123456789", 16, 0.6), (letters + "0123456789", 19, 0.6)):
+        keys = ["".join(r.choices(alphabet, k=n)) for _ in range(300)]
+        assert np.mean([s == [(0, 3, n)] for s in scanner.spans(keys)]) > least
+    plain = ["_".join(r.choices(words, k=k)) for k in (2, 3, 4) for _ in range(100)]
+    assert np.mean([bool(s) for s in scanner.spans(plain)]) < 0.02
+
+
 def test_masking_keeps_the_rest(spark):
     docs = [(1, "see é token = abcdefgh12 end", "en", 28), (2, None, None, None), (3, "clean", "fr", 5), (3, "clean", "fr", 5)]
     rows = secrets.masked(spark.createDataFrame(docs, SCHEMA)).collect()
