@@ -1,12 +1,18 @@
 """Quality rules from tokeniser fertility.
 
-Public vocabularies measure each text: characters per token and the entropy of its tokens (byte-level BPE), and
-the share of tokens that fall back to single bytes (a piece vocabulary with byte fallback, word by word).  A text
-outside the band of its main script is rejected.  Beside these stand plain counts: words, symbols, repeated lines
-and words in repeated three-word windows.
+Public vocabularies measure each text: characters per token, tokens per word and the entropy of its tokens
+(byte-level BPE), and the share of tokens that fall back to single bytes (a piece vocabulary with byte fallback, word
+by word).  Beside these stand plain counts: words, symbols, repeated lines and words in repeated three-word windows.
+
+A text is rejected outside one of two kinds of band.  Fixed ones hold for its main script.  The others are taken from
+all documents that pass the plain rules, by language label (without one: by script) and by length, since entropy grows
+with it: the quartiles of each measure, widened by SPREAD times their distance.  Quartiles stay where they are while
+fewer than a quarter of a group is junk on one side.  Lengths go by powers of two of the words; a length with fewer
+than LEAST texts takes the band of the whole group, and a group with fewer has only the fixed band.
 
 Defined results: null and empty texts have no words and are rejected; a text without letters has the script
-``none``; repeated rows give repeated results; only doc_id and text are read; an empty table gives no rows.
+``none``; repeated rows give repeated results; columns other than doc_id, text and lang are not read, and lang may be
+absent; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,10 +21,12 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokens
+from .storage import Table, small
 
 #: Scripts by ranges of code points; fixed values from the public Unicode blocks.
 SCRIPTS = {
@@ -53,6 +61,12 @@ BANDS = {
     "han": (0.4, 4.0, 0.55, 4.5),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Bands by group reach so many distances of the quartiles beyond these (a distance is at least NARROW of the middle);
+#: fewer texts than LEAST make no band.
+SPREAD, NARROW, LEAST = 2.0, 0.03, 30
+#: Quartiles are exact to a hundredth; beyond MOST_BIN all values are alike.
+BINS, MOST_BIN = 100, 100_000
+GROUPED = ("chars_per_token", "tokens_per_word", "token_entropy")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -174,8 +188,22 @@ def verdict(found: dict[str, np.ndarray], bands: dict) -> np.ndarray:
             & (found["fallback_share"] <= most) & (found["token_entropy"] >= least))
 
 
+def bands_by_group(measured: DataFrame, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+    """Rows (group, length, measure, low, high) of the bands that all the rows given make, where length is null for a
+    whole group. Rows are counted into bins first, so a group of any size is a bounded number of rows."""
+    told = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.least(F.floor(F.col(m) * BINS), F.lit(MOST_BIN)).alias("bin")) for m in GROUPED])).alias("m")
+    binned = measured.select("group", "length", told).groupBy("group", "length", "m.measure", "m.bin").count()
+    binned = binned.unionByName(binned.withColumn("length", F.lit(None).cast("int")).groupBy("group", "length", "measure", "bin").agg(F.sum("count").alias("count")))
+    upto = Window.partitionBy("group", "length", "measure").orderBy("bin")
+    ranked = binned.withColumns({"upto": F.sum("count").over(upto), "n": F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("n") * k, F.col("bin")))
+    found = ranked.groupBy("group", "length", "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("n").alias("n")).where(F.col("n") >= least)
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(NARROW / 2) * (F.col("q1") + F.col("q3"))) * F.lit(spread)
+    return found.select("group", "length", "measure", ((F.col("q1") - wide) / BINS).alias("low"), ((F.col("q3") + 1 + wide) / BINS).alias("high"))
+
+
 def rules(documents: DataFrame, path: str | None = None, pieces: str | None = None, bands: dict = BANDS,
-          min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT) -> DataFrame:
+          min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT, spread: float = SPREAD) -> DataFrame:
     """Per document: the plain counts, base_failed, kept, and the measures."""
     path = path or tokens.vocabulary()
     pieces = pieces or tokens.vocabulary("piece_bpe_32k.model")
@@ -187,8 +215,25 @@ def rules(documents: DataFrame, path: str | None = None, pieces: str | None = No
                 out = counts(texts[a:b])
                 failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > max_repeat * out["n_words"])
                 found = measures(meter(path, pieces), texts[a:b])
+                found["tokens_per_word"] = found["n_tokens"] / np.maximum(out["n_words"], 1)
+                label = pdf["lang"].iloc[a:b].to_numpy(object)
                 yield pd.DataFrame({"doc_id": ids.iloc[a:b].to_numpy(), **out, "base_failed": failed,
-                                    "kept": ~failed & verdict(found, bands), **found})
-    return documents.select("doc_id", "text").mapInPandas(
+                                    "inside": ~failed & verdict(found, bands), **found,
+                                    "group": [f"script {s}" if x is None else f"lang {x}" for x, s in zip(label, found["script"])],
+                                    "length": np.frexp(np.maximum(out["n_words"], 1))[1]})
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    measured = Table(documents.select("doc_id", "text", lang.alias("lang")).mapInPandas(
         run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-             "kept boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string")
+             "inside boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, "
+             "tokens_per_word double, group string, length int"))
+    pivot = bands_by_group(measured.df.where("NOT base_failed"), spread).groupBy("group", "length").agg(
+        F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("band"))  # three measures
+    pivot = Table(pivot).df
+    by_length = pivot.where("length IS NOT NULL").withColumnRenamed("band", "own")
+    whole = pivot.where("length IS NULL").drop("length").withColumnRenamed("band", "all")
+    rows = measured.df.join(small(by_length), ["group", "length"], "left").join(small(whole), "group", "left")
+    band = F.coalesce("own", "all")
+    within = F.lit(True)
+    for m in GROUPED:
+        within = within & F.coalesce(F.col(m).between(band[m]["low"], band[m]["high"]), F.lit(True))
+    return rows.withColumn("kept", F.col("inside") & within).drop("inside", "own", "all", "group", "length")

@@ -107,3 +107,39 @@ def test_each_script_has_a_band_between_prose_and_junk(script):
     found = fertility.measures(m, [CLEAN[script], *junk])
     assert set(found["script"]) == {script}
     assert fertility.verdict(found, fertility.BANDS).tolist() == [True] + [False] * len(junk)
+
+
+def quartile_bands(rows, spread):
+    """Brute force of the bands by group and length."""
+    def band(values):
+        bins = sorted(min(math.floor(v * fertility.BINS), fertility.MOST_BIN) for v in values)
+        q1, q3 = (bins[math.ceil(len(bins) * k / 4) - 1] for k in (1, 3))
+        wide = spread * max(q3 - q1, fertility.NARROW / 2 * (q1 + q3))
+        return (q1 - wide) / fertility.BINS, (q3 + 1 + wide) / fertility.BINS
+    groups = {}
+    for r in rows:
+        if not r.base_failed:
+            name = f"lang {r.lang}" if r.lang is not None else f"script {r.script}"
+            for length in (None, r.n_words.bit_length()):
+                groups.setdefault((name, length), []).append(r)
+    return {k: {m: band([getattr(x, m) for x in v]) for m in fertility.GROUPED} for k, v in groups.items() if len(v) >= fertility.LEAST}
+
+
+def test_bands_by_language_against_brute_force_and_planted_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(None, None, "en"), (None, "one two " * 60, None), (-1, " ".join(f"w{i}" for i in range(70)), None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = fertility.rules(docs).join(docs.select("doc_id", "lang"), "doc_id", "left").collect()
+    bands = quartile_bands(got, fertility.SPREAD)
+    assert len({k for k, _ in bands}) >= 4
+    clean, junk = [], []
+    for r in got:
+        name = f"lang {r.lang}" if r.lang is not None else f"script {r.script}"
+        band = bands.get((name, r.n_words.bit_length())) or bands.get((name, None)) or {}
+        inside = bool(fertility.verdict({"script": [r.script]} | {m: getattr(r, m) for m in ("chars_per_token", "fallback_share", "token_entropy")}, fertility.BANDS)[0])
+        want = not r.base_failed and inside and all(a <= getattr(r, m) <= b for m, (a, b) in band.items())
+        assert r.kept == want, r
+        if not r.base_failed and r.doc_id is not None and r.doc_id >= 0:
+            (junk if 20 * r.n_symbols > r.word_chars else clean).append(r.kept)
+    assert len(junk) > 30 and sum(junk) < 0.2 * len(junk)
+    assert sum(clean) >= 0.99 * len(clean)
