@@ -108,12 +108,14 @@ def held_out(id_column: str = "doc_id"):
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE) -> Model:
-    """From text and lang of (about) so many of the labelled rows, chosen by a hash of the text."""
+    """From text and lang of (about) so many of the labelled rows, shared out evenly among the languages (those with
+    fewer rows give all) and chosen by a hash of the text."""
     usable = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull())
     prior = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    share = min(1.0, rows / max(1, sum(prior.values())))
-    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    each = rows / max(1, len(prior))
+    share = F.create_map(*[F.lit(x) for lang, n in prior.items() for x in (lang, int(min(1.0, each / n) * (1 << 30)))]) if prior else F.create_map().cast("map<string,int>")
+    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
 
     def count(batches):
         for pdf in batches:

@@ -77,3 +77,11 @@ def test_stage_keeps_clean_rows_and_columns(spark):
     assert kept.schema == df.schema
     ids = {r.doc_id for r in kept.collect()}
     assert set(range(300)) <= ids and not ids & {300, 301, 302}
+
+
+def test_rare_languages_are_learned_beside_common_ones(spark):
+    r = random.Random(8)
+    common = [(i, " ".join(r.choices(VOCAB["en"].split(), k=20)) + f" {i}", "en", 1) for i in range(3000)]
+    rare = [(5000 + i, " ".join(r.choices(VOCAB["es"].split(), k=20)) + f" {i}", "es", 1) for i in range(12)]
+    model = language.train(spark.createDataFrame(common + rare, SCHEMA), rows=100)
+    assert model.predict([x[1] for x in rare])[0] == ["es"] * 12
