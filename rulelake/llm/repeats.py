@@ -34,6 +34,8 @@ from .blobs import by_part, deal, gather, schema
 from .storage import Table, partitions, small
 
 SPAN, GRAM = 100, 16
+#: Bits of a hash that give way to its place.
+PLACE_BITS = 24
 #: Runs that a shard sorts at once; runs of one anchor beyond which windows are dealt out by content.
 FLUSH, HOT = 2_000_000, 50_000
 #: Windows whose intervals are refined at once (whole anchors).
@@ -54,6 +56,16 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - have)], x[width - have:]) if width > have else x
 
 
+def least_places(hashes: np.ndarray, width: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """Where the least hash of each window of that width lies, by all bits but the last (the first of equals). Places
+    are counted within stretches of 2**bits, so a window's result depends on its own hashes alone."""
+    low, out = np.uint64((1 << bits) - 1), []
+    for a in range(0, max(1, len(hashes) - width + 1), (1 << bits) - width + 1):
+        some = hashes[a:a + (1 << bits)]
+        out.append((sliding_least((some & ~low) | np.arange(len(some), dtype=np.uint64), width) & low).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 class Runs:
     """Runs of windows of a batch: document number, first window, number of windows, anchor, content hash."""
 
@@ -68,9 +80,7 @@ class Runs:
         prefix = K.byte_prefix(self.buf)
         at = np.arange(n - gram + 1)
         hashes = prefix.ranges(at, at + gram)
-        bits = np.uint64(24 if n < 1 << 24 else 40)
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        where = (sliding_least((hashes & ~low) | at.astype(np.uint64), span - gram + 1) & low).astype(np.int64)
+        where = least_places(hashes, span - gram + 1)
         inside = np.zeros(n + 1, np.int8)  # windows that lie in one document
         np.add.at(inside, self.starts[:-1][sizes >= span], 1)
         np.add.at(inside, (self.starts[:-1] + sizes - span + 1)[sizes >= span], -1)

@@ -80,3 +80,13 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, text, "x", 1), (1, text, "x", 1), (None, text, "x", 1), (2, text, "x", 1)], SCHEMA)
     assert sorted((str(r.doc_id), r.n_removed) for r in repeats.remove_repeats(df).collect()) == [("1", 0), ("1", 0), ("2", 300), ("None", 0)]
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_anchors_do_not_depend_on_what_stands_around():
+    r = np.random.default_rng(5)
+    hashes = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    hashes[1500:1580] = hashes[100:180]
+    for width in (1, 7, 60):
+        got = repeats.least_places(hashes, width, 8)
+        top = hashes >> np.uint64(8)
+        assert got.tolist() == [i + int(top[i:i + width].argmin()) for i in range(len(hashes) - width + 1)]
