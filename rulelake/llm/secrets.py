@@ -156,17 +156,15 @@ class Scanner:
                 i = int(np.searchsorted(starts, x, side="right")) - 1
                 found.append((i, 3, x - int(starts[i]), y - int(starts[i])))
         out: list[list[tuple[int, int, int]]] = [[] for _ in parts]
-        for i, kind, x, y in found:
-            head = part_points(parts[i], x)
-            out[i].append((head, kind, head + y - x))  # spans are ASCII
+        if found:
+            points = np.zeros(len(buf) + 1, np.int64)  # code points before each byte
+            np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+            for i, kind, x, y in found:
+                head = int(points[starts[i] + x] - points[starts[i]])
+                out[i].append((head, kind, head + y - x))  # spans are ASCII
         return [sorted(x) for x in out]
 
 
-def part_points(part: bytes, upto: int) -> int:
-    """Code points before a byte offset."""
-    return len(part[:upto].decode("utf-8", "surrogatepass"))
-
-
 def _told(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -206,13 +204,15 @@ def mask(text: str, spans: list[tuple[int, int, int]], filler: str = "[SECRET]")
 
 
 def masked(documents: DataFrame, model: np.ndarray | None = None) -> DataFrame:
-    """The documents with secrets masked in text, and n_chars following the new text; other columns stay."""
+    """The documents with secrets masked in text, and n_chars (if it is a long) following the new text; other columns
+    stay."""
     scanner = Scanner(train(documents) if model is None else model)
+    counted = dict(documents.dtypes).get("n_chars") == "bigint"
 
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
-            new, counts = list(texts), pdf["n_chars"].tolist() if "n_chars" in pdf else []
+            new, counts = list(texts), pdf["n_chars"].tolist() if counted else []
             for a, b in K.slices(texts):
                 for i, s in enumerate(scanner.spans(texts[a:b]), a):
                     if s:
@@ -220,5 +220,5 @@ def masked(documents: DataFrame, model: np.ndarray | None = None) -> DataFrame:
                         if counts:
                             counts[i] = len(new[i])
             pdf = pdf.assign(text=pd.Series(new, dtype=object, index=pdf.index))
-            yield pdf.assign(n_chars=pd.array(counts, dtype="Int64")) if counts else pdf
+            yield pdf.assign(n_chars=pd.array([None if pd.isna(n) else int(n) for n in counts], dtype="Int64")) if counts else pdf
     return documents.mapInPandas(run, documents.schema)

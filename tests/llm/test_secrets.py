@@ -71,3 +71,15 @@ def test_masking_keeps_the_rest(spark):
     rows = secrets.masked(spark.createDataFrame(docs, SCHEMA)).collect()
     assert [(r.doc_id, r.text, r.n_chars) for r in rows] == [(1, "see é [SECRET] end", 18), (2, None, None), (3, "clean", 5), (3, "clean", 5)]
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_masking_leaves_other_kinds_of_n_chars_alone(spark):
+    rows = secrets.masked(spark.createDataFrame([(1, "token = abcdefgh12 end", "x"), (2, "clean", None)], "doc_id long, text string, n_chars string"), np.zeros(secrets.N ** 2)).collect()
+    assert [(r.text, r.n_chars) for r in rows] == [("[SECRET] end", "x"), ("clean", None)]
+
+
+def test_many_spans_in_a_long_text():
+    some = " ".join(f"é token = abcdefgh{i:05d}" for i in range(20_000))
+    spans = secrets.Scanner(np.zeros(secrets.N ** 2)).spans([None, some])
+    assert spans[0] == [] and len(spans[1]) == 20_000
+    assert all(some[a:b] == f"token = abcdefgh{i:05d}" for i, (a, _, b) in enumerate(spans[1]))
