@@ -9,7 +9,7 @@ the block, so no task orders a whole conversation.
 
 Defined results: calls and results with a null conversation or identifier are unanswered calls and orphan results;
 of several calls (results) of one identifier the first by turn and content is linked and the others are duplicates;
-arguments that are no JSON object are ``unparsable`` and serialised as null; a null turn stands first; repeated rows
+arguments that are no JSON object, or repeat a key, are ``unparsable`` and serialised as null; a null turn stands first; repeated rows
 are events of their own; other columns are not read; empty tables give no rows.
 """
 
@@ -52,7 +52,7 @@ def errors(name: Column, arguments: Column, schemas: dict) -> Column:
                 F.coalesce(far, F.lit(False)), F.lit(f"range:{field}"))
             found.append(F.array(complaint))
         out = F.when(name == tool, F.array_sort(F.array_compact(F.concat(*found)))).otherwise(out)
-    return F.when(keys.isNull(), F.array(F.lit("unparsable"))).otherwise(out)
+    return F.when(keys.isNull() | parsed.isNull(), F.array(F.lit("unparsable"))).otherwise(out)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict, turns: int = TURNS) -> DataFrame:

@@ -8,9 +8,12 @@ list name).
 Captures are reduced to distinct (host, day) before anything is joined, so a host with a third of all captures is
 one row a day; the interval table is broadcast only if counted small, and Spark can split the join otherwise.
 
+The host is what follows the last ``@`` of the authority, lower-cased, without port and closing dots; an IPv6 address
+keeps its brackets, and addresses have no parent domains.
+
 Defined results: a null or unusable URL has a null host and no active entry; a null day likewise; of events of one
 list, domain and day the last by ``seq`` (then ``remove``) holds; repeated captures are each judged; list entries
-with a null domain, day or action are ignored; other columns are not read; empty lists block nothing.
+with a null domain, day or action are ignored; other columns stay as they are, but those named like one of the seven new ones are replaced; empty lists block nothing.
 """
 
 from __future__ import annotations
@@ -21,15 +24,19 @@ from pyspark.sql import functions as F
 from .storage import small
 
 
+#: The host of a URL, and an address in four numbers.
+HOST, ADDRESS = r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}(?:[^/\\?#]*@)?(\[[0-9A-Za-z:.%]*\]|[^/\\:?#@\[\]]*)", r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
+
+
 def host_of(url: Column) -> Column:
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)", 1))
+    found = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.+$", "")
     return F.when(found != "", found)
 
 
 def parents(host: Column) -> Column:
     """The host and its parent domains of two labels at least."""
     labels = F.split(host, r"\.")
-    return F.when(F.size(labels) < 2, F.array(host)).otherwise(F.transform(
+    return F.when((F.size(labels) < 2) | host.startswith("[") | host.rlike(ADDRESS), F.array(host)).otherwise(F.transform(
         F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
@@ -42,10 +49,14 @@ def intervals(events: DataFrame) -> DataFrame:
                         F.col("last.action").alias("action")).where("action = 'add'").drop("action")
 
 
+NEW = ("host", "n_active", "matched_list", "matched_domain", "listed_since", "blocked")
+
+
 def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     """captures (url, day and any others) with host, n_active, matched_list, matched_domain, listed_since, blocked."""
-    with_host = captures.withColumn("host", host_of(F.col("url")))
-    asked = with_host.where("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
+    at = {c: f"c{i}" for i, c in enumerate(captures.columns) if c not in NEW}  # columns by number: no name clashes
+    rows = captures.select(*[F.col(f"`{c}`").alias(x) for c, x in at.items()]).withColumn("host", host_of(F.col(at["url"]))).withColumn("day", F.col(at["day"]))
+    asked = rows.where("host IS NOT NULL AND day IS NOT NULL").select("host", "day").distinct()
     entries = intervals(events)
     hits = asked.withColumn("domain", F.explode(parents(F.col("host")))).join(small(entries), "domain").where(
         "since <= day AND (until IS NULL OR day < until)")
@@ -53,8 +64,9 @@ def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
     verdict = hits.groupBy("host", "day").agg(F.count("*").alias("n_active"), best.alias("b")).select(
         "host", "day", "n_active", F.col("b.list").alias("matched_list"), F.col("b.domain").alias("matched_domain"),
         F.col("b.since").alias("listed_since"))
-    return with_host.join(verdict, ["host", "day"], "left").withColumns({
-        "n_active": F.coalesce("n_active", F.lit(0)), "blocked": F.col("matched_domain").isNotNull()})
+    return rows.join(verdict, ["host", "day"], "left").select(
+        *[F.col(x).alias(c) for c, x in at.items()], "host", F.coalesce("n_active", F.lit(0)).alias("n_active"), "matched_list", "matched_domain",
+        "listed_since", F.col("matched_domain").isNotNull().alias("blocked"))
 
 
 # The query: the table pages has neither fetch days nor lists, so both are derived from it by rule.
@@ -79,13 +91,14 @@ def events_of(pages: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH p AS (
-  SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)), '') AS host,
+  SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}(?:[^/\\?#]*@)?(\[[0-9A-Za-z:.%]*\]|[^/\\:?#@\[\]]*)', 1)), '.'), '') AS host,
          DATE '2024-01-01' + CAST(((page_id * 37) % 366 + 366) % 366 AS INTEGER) AS day
   FROM pages
 ), q AS (
   SELECT *, string_split(host, '.') AS l FROM p
 ), r AS (
-  SELECT *, CASE WHEN host IS NULL THEN [] WHEN len(l) < 2 THEN [host] ELSE list_transform(range(1, len(l)), lambda i: array_to_string(l[i:], '.')) END AS ds FROM q
+  SELECT *, CASE WHEN host IS NULL THEN []
+         WHEN len(l) < 2 OR starts_with(host, '[') OR regexp_matches(host, '^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$') THEN [host] ELSE list_transform(range(1, len(l)), lambda i: array_to_string(l[i:], '.')) END AS ds FROM q
 ), d AS (
   SELECT DISTINCT unnest(ds) AS domain FROM r
 ), n AS (

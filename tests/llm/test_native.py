@@ -113,3 +113,26 @@ def test_temporal_lists_against_brute_force(spark):
         assert (x.host, x.n_active, x.blocked) == (host, len(active), bool(active))
         assert (x.matched_list, x.matched_domain) == (min(active)[1:] if active else (None, None))
     assert not any(x.blocked for x in urlfilter.judge(c, e.limit(0)).collect()) and urlfilter.judge(c.limit(0), e).collect() == []
+
+
+def test_hosts_and_their_parents(spark):
+    want = {"http://u@a:b@evil.com/x": ("evil.com", ["evil.com"]), "http://A.b.Com./x": ("a.b.com", ["a.b.com", "b.com"]), "http://[2001:db8::1]:80/x": ("[2001:db8::1]", ["[2001:db8::1]"]),
+            "http://1.2.3.4:80": ("1.2.3.4", ["1.2.3.4"]), "https://evil.com\\@good.com/": ("evil.com", ["evil.com"]), "http://...": (None, None), "http://a.b@": (None, None), "http:/x.com": (None, None),
+            "http://1.2.3.4.com": ("1.2.3.4.com", ["1.2.3.4.com", "2.3.4.com", "3.4.com", "4.com"]), "mailto:x@a.com": (None, None)}
+    rows = spark.createDataFrame([(u,) for u in want], "url string")
+    got = {r.url: (r.h, r.p) for r in rows.select("url", urlfilter.host_of(rows.url).alias("h"), urlfilter.parents(urlfilter.host_of(rows.url)).alias("p")).collect()}
+    assert got == want
+
+
+def test_captures_with_clashing_columns(spark):
+    e = spark.createDataFrame([("l", "a.com", dt.date(2024, 1, 1), "add", 1)], "list string, domain string, day date, action string, seq int")
+    c = spark.createDataFrame([("http://x.a.com", dt.date(2024, 2, 1), 7, "own", "d", "s")], "url string, day date, n_active int, host string, domain string, since string")
+    row = urlfilter.judge(c, e).first().asDict()
+    assert row == {"url": "http://x.a.com", "day": dt.date(2024, 2, 1), "domain": "d", "since": "s", "host": "x.a.com", "n_active": 1, "matched_list": "l", "matched_domain": "a.com",
+                   "listed_since": dt.date(2024, 1, 1), "blocked": True}
+
+
+def test_arguments_with_a_repeated_key_are_unparsable(spark):
+    calls = spark.createDataFrame([(1, 0, "c", "search", '{"query":"a","query":"b"}')], "conv_id long, turn int, call_id string, name string, arguments string")
+    row = toolcalls.link(calls, spark.createDataFrame([], "conv_id long, turn int, call_id string, content string"), SCHEMAS).first()
+    assert row.status == "invalid" and json.loads(row.json) == {"arguments": None, "call_id": "c", "errors": ["unparsable"], "name": "search", "result": None}
