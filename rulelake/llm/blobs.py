@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+
 
 def schema(fields: dict[str, str]) -> str:
     return ", ".join(["part int", *(f"{name} binary" for name in fields)])
@@ -26,8 +28,11 @@ def deal(part: np.ndarray, parts: int, fields: dict[str, str], values: dict[str,
 def gather(batches, fields: dict[str, str]) -> dict[str, np.ndarray]:
     """All arrays that reached this partition."""
     rows = [pdf for pdf in batches]
-    return {name: np.frombuffer(b"".join(x for pdf in rows for x in pdf[name]), kind) for name, kind in fields.items()}
+    out = {name: np.frombuffer(b"".join(x for pdf in rows for x in pdf.pop(name)), kind) for name, kind in fields.items()}
+    K.release()
+    return out
 
 
 def by_part(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(parts, "part")
+    """Rows to the partition that ``part`` names, each to one of its own."""
+    return rows.repartitionById(parts, "part")

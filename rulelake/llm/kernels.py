@@ -8,6 +8,9 @@ strings collide with probability about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -49,16 +52,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that are kept between batches; a longer text makes its own.
+KEPT_POWERS = 1 << 22
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
     """Like powers(), kept between batches."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        have = _POWERS[int(base)] = powers(max(n, 1 << 16), base)
+        have = powers(max(n, 1 << 16), base)
+        if n <= KEPT_POWERS:
+            _POWERS[int(base)] = have
     return have[:n]
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after their task and would keep it."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 class Prefix:
     """Prefix sums from which the hash of any range of a sequence of uint64 codes is read off."""
 
@@ -148,3 +171,4 @@ def slices(texts, limit: int = 1_000_000):
         total += n
     if begin < len(texts):
         yield begin, len(texts)
+    release()
