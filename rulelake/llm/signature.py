@@ -4,8 +4,9 @@
    hashes, into so many segments that two similar sets must agree on a whole non-empty one (pigeonhole over the
    largest possible difference at their size).  At lower similarity such segments would be small and passages that
    many documents share would tie unrelated ones; there the sets meet in their rarest shingles: the prefix of a
-   global order by counted frequency, so long that two similar sets share an eighth of a set in it.  Pairs are made
-   only in groups of a few sets and must share that many; a larger group is tied as a whole.  What meets forms
+   global order by counted frequency, so long that two similar sets share an eighth of a set in it.  Only sets of
+   similar size meet.  Pairs are made in groups of a few sets, and their meetings are added up over all partitions
+   before any becomes a row: it must share that many.  A larger group is tied along its sizes.  What meets forms
    candidate components; nothing else can be similar.
 2. A component's sets (equal sets once) go to one block, or to several of bounded volume.  In a block they form a
    signature tree: leaves hold a bitmap of hashed shingles, inner nodes the OR of their children's bitmaps and the
@@ -19,7 +20,7 @@ The links found span the graph of all links, so its connected components are exa
 Documents that share a segment are never paired; a set meets the others only inside its blocks.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; rows with
-the same doc_id are one node; a null doc_id is reported with a null component and links with nothing; other
+the same doc_id are one node (one_of_each tells such rows apart by their texts); a null doc_id is reported with a null component and links with nothing; other
 columns are not read; an empty table gives no rows.
 """
 
@@ -31,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .blobs import by_part, deal, gather, schema
 from .components import components
-from .storage import Table, partitions, small
+from .storage import Table, partitions, small, spread_join
 
 #: Shingles of a block at most (a larger component has several), and common members of such blocks (about).
 BLOCK_SHINGLES, HUBS = 2_000_000, 32
@@ -48,6 +50,10 @@ SLOT_BITS, COMMON = 24, 3
 SHARED, FEW = 8, 8
 #: The count of a tie that needs no other.
 ENOUGH = 1 << 30
+#: What meets in a partition: shingles (or segments), documents and their size buckets, and ties found before.
+MEETING = {"key": "<u8", "doc": "<i8", "bucket": "<u1", "tied": "<i8", "to": "<i8"}
+#: Pairs on their way to be added up: documents, the smaller size bucket, and how often they met.
+PAIRS = {"a": "<i8", "b": "<i8", "bucket": "<u1", "n": "<i4"}
 
 
 class Sizes:
@@ -153,45 +159,57 @@ def frequencies(documents: DataFrame, words: int) -> np.ndarray:
             np.maximum.at(out, (values[head[common]] >> np.uint32(low)).astype(np.int64) - edges[part], np.log2(total[common]).astype(np.uint8))
             yield pd.DataFrame({"part": [np.int32(part)], "weights": [out.tobytes()]})
 
-    rows = documents.select("text").mapInPandas(count, "part int, values binary, n binary").repartition(parts, "part").mapInPandas(add, "part int, weights binary")
+    rows = by_part(documents.select("text").mapInPandas(count, "part int, values binary, n binary"), parts).mapInPandas(add, "part int, weights binary")
     weights = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in rows.toLocalIterator():
         weights[edges[r.part]:edges[r.part + 1]] = np.frombuffer(r.weights, np.uint8)
     return weights
 
 
-def grouped(keys: np.ndarray, docs: np.ndarray, few: int):
-    """Distinct (key, document) rows in order, the start of each row's group, and whether the group is a large one."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[fresh], docs[fresh]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    starts = np.flatnonzero(head)
-    size = np.diff(np.append(starts, len(keys)))
-    return keys, docs, np.repeat(starts, size), np.repeat(size > few, size)
-
-
-def ties(docs: np.ndarray, start: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """Distinct (document, least document) of the large groups."""
-    least = docs[start]
-    other = large & (docs != least)
-    return np.unique(np.stack([docs[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-
-
-def pairs_of(docs: np.ndarray, start: np.ndarray, large: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (later, earlier) pairs of the small groups, and in how many groups they meet."""
-    found = [np.zeros((0, 2), np.int64)]
-    for step in range(1, few):
-        at = np.flatnonzero((start[step:] == start[:-step]) & ~large[step:])
-        found.append(np.stack([docs[at + step], docs[at]], axis=1))
-    return np.unique(np.concatenate(found), axis=0, return_counts=True)
-
-
-def _int64(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int64)
+class Meeting:
+    """Distinct (key, bucket, document) rows in order; groups of equal keys are large beyond few rows."""
+
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, buckets: np.ndarray, few: int):
+        order = np.lexsort((docs, buckets, keys))
+        keys, docs, buckets = keys[order], docs[order], buckets[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (buckets[1:] != buckets[:-1])
+        self.keys, self.docs, self.buckets, self.few = keys[fresh], docs[fresh], buckets[fresh].astype(np.int64), few
+        self.head = np.ones(len(self.keys), bool)
+        self.head[1:] = self.keys[1:] != self.keys[:-1]
+        starts = np.flatnonzero(self.head)
+        size = np.diff(np.append(starts, len(self.keys)))
+        self.start, self.large = np.repeat(starts, size), np.repeat(size > few, size)
+
+    def ties(self) -> np.ndarray:
+        """Distinct (document, least document) along the sizes of the large groups: rows that follow each other in a
+        group by the same or the next bucket hang together."""
+        cut = self.head.copy()
+        cut[1:] |= self.buckets[1:] - self.buckets[:-1] > 1
+        at = np.flatnonzero(cut)
+        if not len(at):
+            return np.zeros((0, 2), np.int64)
+        least = np.repeat(np.minimum.reduceat(self.docs, at), np.diff(np.append(at, len(cut))))
+        other = self.large & (self.docs != least)
+        return np.unique(np.stack([self.docs[other], least[other]], axis=1), axis=0)
+
+    def to_send(self) -> np.ndarray:
+        """Rows that other tasks have to see: all of the small groups, and of a large one, whose rows are tied
+        already, enough to be large wherever it arrives and one of each bucket."""
+        lead = self.head.copy()
+        lead[1:] |= self.buckets[1:] != self.buckets[:-1]
+        return lead | (np.arange(len(self.keys)) - self.start <= self.few)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (later, earlier) pairs of the small groups, their smaller bucket, and in how many groups they meet."""
+        found = [np.zeros((0, 3), np.int64)]
+        for step in range(1, self.few):
+            at = np.flatnonzero((self.start[step:] == self.start[:-step]) & ~self.large[step:]
+                                & (self.buckets[step:] - self.buckets[:-step] <= 1) & (self.docs[step:] != self.docs[:-step]))
+            x, y = self.docs[at + step], self.docs[at]
+            found.append(np.stack([np.maximum(x, y), np.minimum(x, y), self.buckets[at]], axis=1))
+        some, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return some[:, :2], some[:, 2], n
 
 
 def shapes(documents: DataFrame, words: int) -> DataFrame:
@@ -208,61 +226,67 @@ def shapes(documents: DataFrame, words: int) -> DataFrame:
 
 
 def candidates(documents: DataFrame, words: int, sizes: Sizes, weights: np.ndarray | None = None) -> DataFrame:
-    """Edges (a, b, n): documents that share a segment are connected by edges with n ENOUGH. If weights are given, so
-    are those that meet in a shingle with more than FEW; fewer make pairs, and n of a pair (summed) is how often.
+    """Edges (a, b) of documents of similar size: those that share a segment are connected. If weights are given, so
+    are those that meet in a shingle with more than FEW, and pairs that meet so often as their prefixes ask for.
 
-    Tasks tie their own large groups first, so a key reaches its partition a few times from each; keys travel as
-    packed arrays.
+    Tasks tie their own large groups first, so a key reaches its partition a few times from each; keys and pairs
+    travel as packed arrays, and a pair is a row only once its meetings in all partitions are added up.
     """
     parts = partitions(documents.sparkSession)
     order_by = None if weights is None else documents.sparkSession.sparkContext.broadcast(weights)
+    few = 1 if weights is None else FEW
 
     def keys_of(texts):
         grams, cut = K.word_shingles(*K.buffer(texts), words)
-        return segment_keys(grams, cut, sizes) if order_by is None else prefix_keys(grams, cut, sizes, order_by.value)
-
-    few = 1 if weights is None else FEW
+        keys, owner = segment_keys(grams, cut, sizes) if order_by is None else prefix_keys(grams, cut, sizes, order_by.value)
+        return keys, owner, sizes.bucket(np.maximum(np.diff(cut), 1)).astype(np.uint8)[owner]
 
-    def send(keys: list, docs: list):
-        keys, docs, start, large = grouped(np.concatenate(keys), np.concatenate(docs), few)
-        edges = ties(docs, start, large)
-        first = np.arange(len(keys)) - start <= few  # of a large group enough to be large wherever it arrives
-        keys, docs = keys[first], docs[first]
-        part = (keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        keys, docs, cut = keys[order], docs[order], np.searchsorted(part[order], np.arange(parts + 1))
-        to = np.minimum(np.arange(len(edges)) * parts // max(1, len(edges)), parts - 1)
-        at = np.searchsorted(to, np.arange(parts + 1))
-        full = [p for p in range(parts) if cut[p] < cut[p + 1] or at[p] < at[p + 1]]
-        return pd.DataFrame({"part": np.array(full, np.int32),
-                             "keys": [keys[cut[p]:cut[p + 1]].tobytes() for p in full], "docs": [docs[cut[p]:cut[p + 1]].tobytes() for p in full],
-                             "edges": [edges[at[p]:at[p + 1]].tobytes() for p in full]})
+    def send(held: list):
+        m = Meeting(*(np.concatenate(x) for x in zip(*held)), few)
+        edges, go = m.ties(), m.to_send()
+        return deal((m.keys[go] % np.uint64(parts)).astype(np.int64), parts, MEETING,
+                    {"key": m.keys[go], "doc": m.docs[go], "bucket": m.buckets[go]}, {"tied": (edges[:, 0]), "to": (edges[:, 1])})
 
     def cut_up(batches):
-        keys, docs, held = [], [], 0
+        held, total = [], 0
         for pdf in batches:
             pdf = pdf[pdf["doc_id"].notna()]
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy(np.int64)
             for a, b in K.slices(texts):
-                some, owner = keys_of(texts[a:b])
-                keys.append(some)
-                docs.append(ids[a:b][owner])
-                held += len(some)
-                if held > FLUSH:
-                    yield send(keys, docs)
-                    keys, docs, held = [], [], 0
-        if held:
-            yield send(keys, docs)
+                keys, owner, bucket = keys_of(texts[a:b])
+                held.append((keys, ids[a:b][owner], bucket))
+                total += len(keys)
+                if total > FLUSH:
+                    yield send(held)
+                    held, total = [], 0
+        if total:
+            yield send(held)
 
     def meet(batches):
-        rows = pd.concat([*batches, pd.DataFrame({"keys": [b""], "docs": [b""], "edges": [b""]})])
-        _, docs, start, large = grouped(_int64(rows["keys"]).view(np.uint64), _int64(rows["docs"]), few)
-        edges = np.unique(np.concatenate([ties(docs, start, large), _int64(rows["edges"]).reshape(-1, 2)]), axis=0)
-        some, n = pairs_of(docs, start, large, few)
-        yield pd.DataFrame({"a": np.append(edges[:, 0], some[:, 0]), "b": np.append(edges[:, 1], some[:, 1]), "n": np.append(np.full(len(edges), ENOUGH), n)})
-
-    packed = documents.select("doc_id", "text").mapInPandas(cut_up, "part int, keys binary, docs binary, edges binary")
-    return packed.repartition(parts, "part").mapInPandas(meet, "a long, b long, n long")
+        x = gather(batches, MEETING)
+        m = Meeting(x["key"], x["doc"], x["bucket"], few)
+        edges = np.unique(np.concatenate([m.ties(), np.stack([x["tied"], x["to"]], axis=1)]), axis=0)
+        some, bucket, n = m.pairs()
+        a, b = (np.append(edges[:, k], some[:, k]) for k in (0, 1))
+        to = K.mix(K.mix(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(parts)
+        yield deal(to.astype(np.int64), parts, PAIRS, {"a": a, "b": b, "bucket": np.append(np.zeros(len(edges), np.int64), bucket),
+                                                       "n": np.append(np.full(len(edges), ENOUGH), n)})
+
+    def add_up(batches):
+        x = gather(batches, PAIRS)
+        order = np.lexsort((x["b"], x["a"]))
+        a, b = x["a"][order], x["b"][order]
+        head = np.ones(len(a), bool)
+        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(head)
+        if len(at):
+            n = np.add.reduceat(x["n"][order].astype(np.int64), at)
+            size = sizes.bounds[np.minimum.reduceat(x["bucket"][order], at).astype(np.int64)]
+            at = at[n >= np.maximum(1, size // SHARED)]
+        yield pd.DataFrame({"a": a[at], "b": b[at]})
+
+    packed = by_part(documents.select("doc_id", "text").mapInPandas(cut_up, schema(MEETING)), parts)
+    return by_part(packed.mapInPandas(meet, schema(PAIRS)), parts).mapInPandas(add_up, "a long, b long")
 
 
 class Forest:
@@ -409,19 +433,19 @@ def similar_groups(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     sizes = Sizes(percent)
     shape = Table(shapes(documents, words))
     full = shape.df.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    member = Table(full.join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "node", "n_shingles").distinct())
+    key = ["h1", "h2", "n_shingles"]
+    classes = Table(full.groupBy(*key).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last").drop("last"))
+    member = Table(spread_join(full, classes.df, key).select("doc_id", F.coalesce("node", "doc_id").alias("node"), "n_shingles").distinct())
+    classes.drop()
     # rows of one id with different texts tie their classes together
     same_id = member.df.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b").select("a", "b")
 
     weights = None
     if segments is False or segments is None and 100 + percent < 2 * WIDE * (100 - percent):
         weights = frequencies(documents, words)
-    raw = candidates(documents, words, sizes, weights)
-    edges = raw.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    edges = candidates(documents, words, sizes, weights)
     for c in ("a", "b"):
-        edges = edges.join(member.df.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}"), F.col("n_shingles").alias(f"size_{c}")), c)
-    edges = edges.where(F.col("n") >= F.greatest(F.lit(1), F.expr(f"least(size_a, size_b) div {SHARED}")))
+        edges = edges.join(member.df.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}")), c)
     near = components(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     sized = near.df.join(member.df.select("node", "n_shingles").distinct(), "node")
     total = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
@@ -478,15 +502,28 @@ def _apart(spread: DataFrame, found: DataFrame, block_shingles: int) -> DataFram
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns as they are, without those similar to one with a smaller id (by links, through
-    any number of them). Of rows with one id the first by text stays; documents without shingles or id all stay."""
-    groups = Table(similar_groups(documents, words, percent).select("doc_id", "n_shingles", "component_id"))
-    gone = groups.df.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    kept = documents.join(small(gone), "doc_id", "left_anti")
-    repeated = groups.df.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(small(repeated), "doc_id", "left_semi")
-    first = again.groupBy("doc_id").agg(F.min(F.struct(F.coalesce(F.length("text") > 0, F.lit(False)).alias("_full"), "text",
-                                                      *[c for c in documents.columns if c not in ("doc_id", "text")])).alias("r"))
-    return kept.join(small(repeated), "doc_id", "left_anti").unionByName(
-        first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in documents.columns]))
+    any number of them). Rows of one id and different texts are documents of their own, of which the one with the
+    least hash of its text counts as smaller; of equal ids and texts one row stays. Documents without shingles or id
+    all stay."""
+    twice = Table(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
+    if twice.df.isEmpty():
+        twice.drop()
+        groups = Table(similar_groups(documents, words, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+        return documents.join(small(groups.df), documents["doc_id"] == F.col("gone"), "left_anti")
+    # columns by number, so that no name clashes; a repeated id and its text make a key of their own
+    at = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    told = F.col("twice").isNotNull()
+    rows = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in at.items()]).join(small(twice.df), F.col(at["doc_id"]) == F.col("twice"), "left").withColumn(
+        "key", F.when(told, F.xxhash64(at["doc_id"], at["text"])).otherwise(F.col(at["doc_id"])))
+    groups = Table(similar_groups(rows.select(F.col("key").alias("doc_id"), F.col(at["text"]).alias("text")), words, percent).where(
+        "n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), "component_id").distinct())
+    names = Table(rows.where(told).select("key", F.col(at["doc_id"]).alias("id")).distinct().join(groups.df.select("key"), "key", "left_semi"))
+    # the least key of a component is its least id, unless keys stand for ids in it
+    mixed = groups.df.join(small(names.df), "key", "left").groupBy("component_id").agg(
+        F.max(F.col("id").isNotNull()).alias("m"), F.min(F.struct(F.coalesce("id", "key"), "key")).alias("first")).where("m").select("component_id", F.col("first.key").alias("stays"))
+    gone = Table(groups.df.join(small(mixed), "component_id", "left").where(F.col("key") != F.coalesce("stays", "component_id")).select(F.col("key").alias("gone")))
+    rows = rows.join(small(gone.df), F.col("key") == F.col("gone"), "left_anti").join(small(names.df.select(F.col("key").alias("full"))), F.col("key") == F.col("full"), "left")
+    whole = F.struct(*at.values())
+    first = rows.where("full IS NOT NULL").groupBy("key").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select(*[f"r.{x}" for x in at.values()])
+    kept = rows.where("full IS NULL").select(*at.values()).unionByName(first)
+    return kept.select(*[F.col(x).alias(c) for c, x in at.items()])

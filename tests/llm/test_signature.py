@@ -108,10 +108,20 @@ def test_prefixes_of_similar_sets_share_enough():
 def test_small_groups_make_pairs_and_large_ones_ties():
     keys = np.array([5, 5, 5, 7, 7, 9, 5, 5, 7, 7], np.uint64)
     docs = np.array([1, 2, 3, 1, 2, 4, 4, 3, 2, 9], np.int64)
-    _, d, start, large = signature.grouped(keys, docs, 3)
-    assert signature.ties(d, start, large).tolist() == [[2, 1], [3, 1], [4, 1]]
-    some, n = signature.pairs_of(d, start, large, 3)
-    assert some.tolist() == [[2, 1], [9, 1], [9, 2]] and n.tolist() == [1, 1, 1]
+    m = signature.Meeting(keys, docs, np.zeros(10, np.uint8), 3)
+    assert m.ties().tolist() == [[2, 1], [3, 1], [4, 1]]
+    some, bucket, n = m.pairs()
+    assert some.tolist() == [[2, 1], [9, 1], [9, 2]] and n.tolist() == [1, 1, 1] and bucket.tolist() == [0, 0, 0]
+
+
+def test_groups_hang_together_along_sizes_only():
+    keys, docs = np.full(6, 5, np.uint64), np.array([6, 5, 4, 3, 2, 1], np.int64)
+    m = signature.Meeting(keys, docs, np.array([1, 2, 3, 7, 8, 8], np.uint8), 3)
+    assert m.ties().tolist() == [[2, 1], [3, 1], [5, 4], [6, 4]]
+    some, bucket, _ = signature.Meeting(keys, docs, np.array([1, 2, 3, 7, 8, 8], np.uint8), 8).pairs()
+    assert some.tolist() == [[2, 1], [3, 1], [3, 2], [5, 4], [6, 5]] and bucket.tolist() == [8, 7, 7, 2, 1]
+    many = signature.Meeting(np.full(50, 5, np.uint64), np.arange(50), np.repeat([1, 9], 25).astype(np.uint8), 3)
+    assert many.docs[many.to_send()].tolist() == [0, 1, 2, 3, 25]
 
 
 def test_tree_loses_no_link():
@@ -156,7 +166,6 @@ def test_components(spark):
 
 def test_one_of_each_group_stays(spark):
     data = docs(9)
-    data += [(0, "another text of the same id that is quite different from the first one"), data[5]]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], SCHEMA)
     kept = signature.one_of_each(df, 5, 80)
     assert kept.columns == df.columns
@@ -166,6 +175,19 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(None) == 1
 
 
+def test_rows_of_one_id_and_different_texts_are_told_apart(spark):
+    text = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(300)], k=40))
+    one, two, three = text(1), text(2), text(3)
+    schema = "doc_id long, text string, full string, key map<string,int>, n_shingles string, twice int, id int"
+    rows = [(1, one, "a", {"x": 1}), (1, two, "b", None), (1, two, "b", None), (2, one + " end", "c", None), (3, two, "d", None), (4, three, "e", None), (4, None, "f", None),
+            (4, None, "f", None), (5, three + " end", "g", None), (None, three, "h", None), (0, "begin " + three, "i", None)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], schema)
+    kept = signature.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), r.full) for r in kept.collect())
+    assert got == sorted([("1", "a"), ("1", "b"), ("4", "f"), ("4", "f"), ("None", "h"), ("0", "i")])
+
+
 def test_empty_table_and_ties(spark):
     assert signature.similar_groups(spark.createDataFrame([], SCHEMA)).collect() == []
     grams, cut = K.word_shingles(*K.buffer(["a b a b a b", "a"]), 2)
