@@ -749,12 +749,15 @@ def _(spark, d):
 @query("x_detectors", r"""WITH f AS (SELECT doc_id, unnest(list_concat(
   list_transform(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|client[_-]?secret|secret[_-]?key|private[_-]?key|password|passwd)["''\\]{0,4}\s*[:=]\s*["''\\]{0,4}[A-Za-z0-9+/_.\-]{8,}'), lambda m: {'what': 'token/secret assignment', 'm': m}),
   list_transform(regexp_extract_all(text, '-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----'), lambda m: {'what': 'private-key header', 'm': m}),
-  list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,128}\.[A-Za-z]{2,24}\b'), lambda m: {'what': 'email address', 'm': m}))) AS r FROM documents)
-SELECT doc_id, r.what AS what, CASE WHEN r.what = 'email address' OR (r.what = 'token/secret assignment' AND NOT regexp_matches(r.m, '[0-9]')) THEN 'warning' ELSE 'error' END AS severity, count(*) AS n FROM f GROUP BY ALL""")
-def _(spark, d):
-    found = scrub.findings(table(spark, d, "documents").select("doc_id", "text"))
-    kinds = ("token/secret assignment", "private-key header", "email address")
-    return found.where(F.col("what").isin(*kinds)).groupBy("doc_id", "what", "severity").agg(F.count("*").alias("n"))
+  list_transform(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9+.\-]{0,15}://[^/\s:@"'',]{0,64}:[^@\s"'',]{1,256}@'), lambda m: {'what': 'credential-bearing URL', 'm': m}),
+  list_transform(regexp_extract_all(text, '(?i)\bbearer(?:\s+|:\s*)[A-Za-z0-9\-._~+/]{16,}'), lambda m: {'what': 'bearer token', 'm': m}),
+  list_transform(regexp_extract_all(text, '\b[A-Z][A-Z0-9_]{2,40}(?:TOKEN|SECRET|PASSWORD|APIKEY|API_KEY|PRIVATE_KEY|CREDENTIALS)["''\\]{0,4}\s*[:=]\s*["''\\]{0,4}\S{4,}'), lambda m: {'what': 'secret-suggesting environment key', 'm': m}),
+  list_transform(list_filter(regexp_extract_all(text, '(?:^|file://|\\[ntr]|[^\p{L}\p{N}/.~])(/[A-Za-z0-9._+\-]+(?:/[A-Za-z0-9._+\-]+)+)', 1),
+    lambda m: NOT regexp_matches(m, '^/(?:usr|bin|sbin|etc|opt|lib|lib64|dev|proc|sys|run|System|Library)(?:/|$)')), lambda m: {'what': 'absolute path outside the project placeholder roots', 'm': m}),
+  list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,128}\.[A-Za-z]{2,24}\b'), lambda m: {'what': 'email address', 'm': m}))) AS r FROM documents)
+SELECT doc_id, r.what AS what, CASE WHEN r.what = 'email address' OR (r.what IN ('token/secret assignment', 'bearer token', 'secret-suggesting environment key') AND NOT regexp_matches(r.m, '[0-9]')) THEN 'warning' ELSE 'error' END AS severity, count(*) AS n FROM f GROUP BY ALL""")
+def _(spark, d):
+    return scrub.findings(table(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id", "what", "severity").agg(F.count("*").alias("n"))
 
 
 @query("x_token_sets", r"""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'),

@@ -50,10 +50,9 @@ def json_string(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-case words of two bytes or more without stop words, sorted."""
-    words = F.split(ascii_lower(c), r"[^\p{IsAlphabetic}\p{N}]+")
-    kept = F.filter(words, lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS))
-    return F.array_sort(F.array_distinct(kept))
+    """Distinct lower-case words of two bytes or more without stop words, in no particular order."""
+    words = F.array_distinct(F.split(ascii_lower(c), r"[^\p{IsAlphabetic}\p{N}]+"))
+    return F.filter(F.array_except(words, F.array(*map(F.lit, STOP_WORDS))), lambda w: F.octet_length(w) > 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -81,8 +80,8 @@ def excerpt(c: Column, start: Column, length: Column, around: int = 20) -> Colum
 
 def occurrences(c: Column, needle: Column) -> Column:
     """Non-overlapping occurrences; 0 for an empty needle."""
-    n = F.length(needle)
-    return F.when(n > 0, ((F.length(c) - F.length(F.replace(c, needle, F.lit("")))) / n).cast("long")).otherwise(F.lit(0).cast("long"))
+    n = F.octet_length(needle)
+    return F.when(n > 0, ((F.octet_length(c) - F.octet_length(F.replace(c, needle, F.lit("")))) / n).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def seconds(token: Column) -> Column:

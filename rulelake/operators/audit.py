@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
@@ -17,6 +17,11 @@ def lines(files: DataFrame, text: str = "text") -> DataFrame:
         "file", (F.col("pos") + 1).alias("line_no"), "line", "n_lines")
 
 
+def line_count(text: Column) -> Column:
+    """Lines as split at each line end."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
 def gated(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file, rule) pairs that pass the rule's gates: path part, extension, more lines than a bound. Rules are few."""
     extension = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
@@ -27,8 +32,7 @@ def gated(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each non-overlapping occurrence of a rule's needle in a line; a rule without a needle hits line 1."""
-    text = files.withColumn("n_lines", F.size(F.split("text", "\n")))
-    rows = gated(text, rules)
+    rows = gated(files.withColumn("n_lines", line_count(F.col("text"))), rules)
     found = rows.where(F.col("needle").isNotNull() & F.contains("text", "needle")).select(
         "file", "rule_id", "level", "needle", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     n = occurrences(F.col("line"), F.col("needle"))
@@ -39,11 +43,11 @@ def hits(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def hit_counts(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits by rule and file without making a row for each occurrence: the needle has no line end, so a file's count is
-    the sum over its lines."""
-    rows = gated(files.withColumn("n_lines", F.size(F.split("text", "\n"))), rules)
-    n = F.when(F.col("needle").isNull(), F.lit(1).cast("long")).otherwise(F.aggregate(
-        F.split("text", "\n"), F.lit(0).cast("long"), lambda acc, x: acc + occurrences(x, F.col("needle"))))
+    """Hits by rule and file without making a row for each occurrence: no occurrence crosses a line end (a needle with
+    one hits nothing), so a file's count is that of its whole text."""
+    rows = gated(files.withColumn("n_lines", line_count(F.col("text"))), rules)
+    needle = F.col("needle")
+    n = F.when(needle.isNull(), F.lit(1).cast("long")).when(F.contains("text", "needle") & ~F.contains(needle, F.lit("\n")), occurrences(F.col("text"), needle))
     return rows.withColumn("hits", n).where("hits > 0").select("rule_id", "level", "file", "hits")
 
 
@@ -68,11 +72,10 @@ def not_exempt(found: DataFrame, exemptions: DataFrame) -> DataFrame:
 def rollup(counts: DataFrame, offenders: int = 3) -> DataFrame:
     """Per rule: hits, files and the files with most hits; blocking rules first, then by hits."""
     per_file = counts.groupBy("rule_id", "level", "file").agg(F.sum("hits").alias("hits"))
-    ranked = per_file.withColumn("rn", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("hits"), "file")))
-    return ranked.groupBy("rule_id", "level").agg(
-        F.sum("hits").alias("hits"), F.count("*").alias("files"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= offenders, F.struct("rn", "file")))), lambda s: s["file"]).alias("offenders")).orderBy(
-        F.when(F.col("level") == "block", 0).otherwise(1), F.desc("hits"), "rule_id")
+    first = per_file.withColumn("rn", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("hits"), "file"))).where(F.col("rn") <= offenders)  # cut in each task first
+    named = first.groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file"))), lambda s: s["file"]).alias("offenders"))
+    total = per_file.groupBy("rule_id", "level").agg(F.sum("hits").alias("hits"), F.count("*").alias("files"))
+    return total.join(named, "rule_id").orderBy(F.when(F.col("level") == "block", 0).otherwise(1), F.desc("hits"), "rule_id")
 
 
 def union_rule(facts: DataFrame, conditions: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:

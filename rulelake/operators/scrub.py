@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +26,29 @@ DETECTORS = (
 ABSOLUTE = r"/[A-Za-z0-9._+\-]{1,64}(?:/[A-Za-z0-9._+\-]{1,64}){1,32}"
 NEUTRAL = ("/usr", "/bin", "/sbin", "/etc", "/opt", "/lib", "/lib64", "/dev", "/proc", "/sys", "/run", "/System", "/Library")
 #: A path counts at the text's start, after file://, after an escaped line end or tab, or after anything that is no
-#: word character, slash, dot or tilde.
-BOUNDARY = r"(?:^|(?<=file://)|(?<=\\[ntr])|(?<![\p{IsAlphabetic}\p{N}/.~]))"
+#: word character, slash, dot or tilde. The pattern starts with the slash itself, which is quickly searched for.
+BOUNDED = r"/(?:(?<=^/)|(?<=file:///)|(?<=\\[ntr]/)|(?<![\p{IsAlphabetic}\p{N}/.~]/))" + ABSOLUTE[1:]
+PATHS = "absolute path outside the project placeholder roots"
+#: What a text must hold (in lower case for the last three) for a detector to match; others are not searched.
+NEEDS = {"private-key header": ("PRIVATE KEY-----",), "credential-bearing URL": ("://",), "email address": ("@",), "bearer token": ("bearer",),
+         "token/secret assignment": ("key", "token", "secret", "passw"), "secret-suggesting environment key": ("token", "secret", "password", "key", "credentials")}
+KINDS = (*(d[0] for d in DETECTORS), PATHS)
 
 
-def findings(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with what, severity and a redacted hint for each finding."""
-    told = []
+def findings(rows: DataFrame, text: str = "text", kinds: Sequence[str] = KINDS) -> DataFrame:
+    """rows with what, severity and a redacted hint for each finding of these kinds. A text is searched for a kind only if it
+    holds one of the plain strings that the kind cannot do without."""
+    c, low, told = F.col(text), F.lower(F.col(text)), []
     for what, severity, soft, pattern in DETECTORS:
-        level = lambda m, s=severity, d=soft: F.when(F.lit(d) & ~m.rlike("[0-9]"), "warning").otherwise(s)
-        told.append(F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), _finding(what, level)))
-    paths = F.filter(F.regexp_extract_all(F.col(text), F.lit(BOUNDARY + ABSOLUTE), F.lit(0)), _not_neutral)
-    told.append(F.transform(paths, _finding("absolute path outside the project placeholder roots", lambda m: F.lit("error"))))
-    return rows.select(*[c for c in rows.columns if c != text], F.inline(F.concat(*told)))
+        if what in kinds:
+            level = lambda m, s=severity, d=soft: F.when(F.lit(d) & ~m.rlike("[0-9]"), "warning").otherwise(s)
+            holds = reduce(operator.or_, (F.contains(low if x.islower() else c, F.lit(x)) for x in NEEDS[what]))
+            told.append(F.when(holds, F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), _finding(what, level))))
+    if PATHS in kinds:
+        paths = F.filter(F.regexp_extract_all(c, F.lit(BOUNDED), F.lit(0)), _not_neutral)
+        told.append(F.when(F.contains(c, F.lit("/")), F.transform(paths, _finding(PATHS, lambda m: F.lit("error")))))
+    empty = F.array().cast("array<struct<what string, severity string, hint string>>")
+    return rows.select(*[x for x in rows.columns if x != text], F.inline(F.concat(*[F.coalesce(x, empty) for x in told])))
 
 
 def _finding(what: str, level):

@@ -3,6 +3,7 @@ anti or count joins, actions are projections.  One DataFrame of facts goes in, o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_string
 from ..model import VARIABLE, Action, PolicyError, Rule, is_variable
-from . import guards
+from . import expressions, guards
 
 AGENDA = ("rule_id", "salience", "rule_ord", "fact_ids", "bindings", "fact_sources", "guard_error")
 
@@ -51,14 +52,13 @@ def activations(facts: DataFrame, rule: Rule, ord: int = 0) -> DataFrame:
         if guard:
             rows = guards.apply(rows, facts, guard, set(bound))
             continue
+        name = f"__v{len(errors)}"
         try:
-            verdict = guards.restricted(script)
-        except ValueError as e:
+            rows = expressions.apply(rows, facts, script, set(bound), name).where(F.coalesce(F.col(name), F.lit(True)))
+        except expressions.Malformed as e:
             errors.append(F.lit(f"guard: {e}"))
             continue
-        name = f"__v{len(errors)}"
-        rows = rows.withColumn(name, verdict(_map(bound))).where(F.col(name) != "false")
-        errors.append(F.when(F.col(name) != "true", F.concat(F.lit("guard: "), F.col(name))))
+        errors.append(F.when(F.col(name).isNull(), F.lit("guard: no value")))
     ids = [F.col(f"__id{n}") for n in range(len(patterns))]
     sources = [F.struct(F.col(f"__id{n}").alias("key"), F.col(f"__src{n}").alias("value")) for n in range(len(patterns))]
     empty = F.array().cast("array<string>")
@@ -204,12 +204,23 @@ def occurrence(facts: DataFrame, order: str) -> DataFrame:
 def needed(rules: Iterable[Rule]) -> set[str]:
     """Predicates that some condition or guard names: only these relations are worth reading."""
     out = {c.predicate for r in rules for c in r.conditions if c.predicate}
-    found = (guards.parse(c.script) for r in rules for c in r.conditions if c.script)
-    return out | {g.predicate for g in found if g}
+    for script in (c.script for r in rules for c in r.conditions if c.script):
+        guard = guards.parse(script)
+        out |= {guard.predicate} if guard else set(CALLED.findall(script))
+    return out
+
+
+#: Predicates that an expression names in facts_contain, facts_count or a comparison, and expressions that read all facts.
+CALLED = re.compile(r"""facts_(?:contain|count)\s*\(\s*["']([^"']*)["']""")
+EVERY_FACT = re.compile(r"\bfacts\b")
 
 
 def pruned(facts: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """The facts of the needed predicates; a table partitioned by predicate is read only there."""
+    """The facts of the needed predicates; a table partitioned by predicate is read only there. A guard that looks
+    through all facts keeps them all."""
+    rules = list(rules)
+    if any(c.script and not guards.parse(c.script) and EVERY_FACT.search(c.script) for r in rules for c in r.conditions):
+        return facts
     return facts.where(F.col("predicate").isin(*sorted(needed(rules)) or [""]))
 
 

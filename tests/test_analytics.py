@@ -329,7 +329,7 @@ def test_scalar_functions(spark):
     assert row(T.shortened(lit("abcdef"), 3)) == "abc…" and row(T.leaf(lit("a::b::c"))) == "c"
     assert row(T.excerpt(lit("x" * 30 + "HIT" + "y" * 30), lit(30), lit(3))) == "x" * 20 + "HIT" + "y" * 20
     assert row(T.fact_id(lit("n"), lit("p:q"), F.array(lit("a%"), lit("b")), lit(0))) == "n:p%3Aq:a%25:b" and row(T.fact_id(lit("n"), lit("p"), F.array(lit("a")), lit(2))) == "n:p:a#2"
-    assert row(T.tokens(lit("The Größe of X, größe! ab a"))) == ["ab", "größe"] and row(T.occurrences(lit("aXbXcX"), lit("X"))) == 3
+    assert sorted(row(T.tokens(lit("The Größe of X, größe! ab a")))) == ["ab", "größe"] and row(T.occurrences(lit("aXbXcX"), lit("X"))) == 3
     assert [row(T.humanised(lit(n))) for n in (5, 65, 7300, 200000)] == ["5s", "1m", "2h", "2d"]
     c = T.clock(F.lit(dt.datetime(2024, 1, 5, 9, 0)).cast("timestamp"))
     assert [row(v) for v in c.values()] == ["friday", "9", "true"]

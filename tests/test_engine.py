@@ -143,3 +143,25 @@ def test_layers(spark):
     assert [(r.id, r.priority) for r in won] == [("a", 3), ("b", 1), ("c", 1)]
     got = policy.override_facts(spark, over).orderBy("id").collect()
     assert [r.args for r in got] == [["a", "pack", "p1", "project", "q", "d7"], ["a", "project", "q", "local", "l", ""]]
+
+
+def test_compound_guards_and_guards_over_facts(spark, people):
+    def fired(script):
+        r = Rule("r", (cond("equipped", "?who", "?slot", "?item"), Condition(script=script)), (warn("?who ?item"),))
+        return sorted((x.message, x.guard_error) for x in rules.Session(people, [r]).fire().collect())
+
+    every, alice, bob = 3, [("alice helm", None), ("alice sword", None)], [("bob cap", None)]
+    assert fired("facts_contain('gold', ['?who', '*']) && facts_contain('equipped', ['?who', 'head', 'helm'])") == alice
+    assert fired("facts_contain('gold', ['?who', '*']) && !facts_contain('equipped', ['?who', 'head', 'helm'])") == []
+    assert fired("facts_contain('nothing', []) || facts_count('equipped', ['?who']) < 2") == bob
+    assert fired('facts.some(|f| f.predicate == "gold" && f.args[0] == bindings["?who"] && f.args[1].parse_int() >= 5)') == alice
+    assert fired('!facts.some(|f| f.predicate == "gold" && f.args[0] == bindings["?who"])') == bob
+    assert fired('facts.some(|f| f.predicate == "gold" && bindings["?item"].len() < f.args[0].len() && f.args[0] != bindings["?who"])') == bob
+    assert fired('facts.filter(|f| f.predicate == "equipped").len() == 3 and bindings["?item"].contains("a")') == bob
+    assert len(fired('facts.all(|f| f.args.len() >= 2)')) == every and fired('facts.all(|f| f.predicate == "gold")') == []
+    assert fired("b['?item'].len() * 2 + 1 > 7 && 'l' in b['?item']") == [("alice helm", None)]
+    assert [x for _, x in fired("b['?item'].parse_int() > 1")] == ["guard: no value"] * every
+    for bad in ("facts.len()", "facts.some(|f| f.size > 1)", "eval('1')", "1 < 'a'", "(" * 100 + "true" + ")" * 100, "true " * 2000, "facts_contain('gold', ['?who'])) || true"):
+        assert [x.split(":")[0] for _, x in fired(bad)] == ["guard"] * every, bad
+    found = rules.needed([Rule("r", (Condition(script="facts_contain('a', []) && facts_count('b', ['*']) > 1"),), ())])
+    assert found == {"a", "b"}
