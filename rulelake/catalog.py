@@ -304,13 +304,6 @@ def _(spark, d):
     return journey.prompt_class(rows).select("sid", "seq", "mode")
 
 
-@query("j38_paired_stops")
-def _(spark, d):
-    event = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "stop")
-    rows = journal(spark, d).select("sid", "seq", event.alias("event"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("a"), F.col("k") % 4)).alias("agent"))
-    return journey.paired_stops(rows.where("event IS NOT NULL"))
-
-
 @query("a14_compaction", f"""WITH {J}, alive AS (SELECT subject FROM j GROUP BY 1 ORDER BY max(seq) DESC LIMIT 10),
 t AS (SELECT max(seq) AS seq FROM j JOIN alive USING (subject) WHERE tag IN ('error', 'view') GROUP BY subject, tag)
 SELECT count(*) AS n, sum(seq) AS s FROM j WHERE kind IS NOT NULL OR seq IN (SELECT seq FROM t) OR seq IN (SELECT seq FROM j ORDER BY seq DESC LIMIT 300)""")
@@ -786,13 +779,6 @@ def _(spark, d):
     return drift.triage(items, 40).select("ord", "family", "total", "truncated")
 
 
-@query("o6_budget_packing")
-def _(spark, d):
-    from .operators import context
-
-    items = table(spark, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("ord"), F.coalesce("lang", F.lit("und")).alias("kind"),
-                                                F.col("doc_id").cast("string").alias("stable_id"), F.coalesce("text", F.lit("")).alias("body"), F.lit(8000).cast("long").alias("max_bytes"))
-    return context.pack(items, 60_000, 15_000, {"en": 20_000})
-
-
 del _
+
+from . import catalog_wide as _wide  # noqa: E402,F401  registers the rest

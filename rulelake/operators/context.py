@@ -18,35 +18,43 @@ def estimated_tokens(size: int) -> int:
     return -(-size // BYTES_PER_TOKEN)
 
 
-def admit(items: Sequence[tuple], max_bytes: int, max_tokens: int, ceilings: dict[str, int]) -> list[str | None]:
-    """For items (kind, size, own limit) in order, None if admitted or why not. An item that does not fit does not stop
-    later ones; in a second pass those left out by their kind's ceiling may use what is left."""
-    used, tokens, by_kind = 0, 0, dict.fromkeys(ceilings, 0)
+def admit(items: Sequence[tuple], max_bytes: int, max_tokens: int | None, ceilings: dict[str, int], nudge: str = "nudge", exempt: Sequence[str] = ("rule",)) -> list[str | None]:
+    """For items (kind, size, own limit) in order, None if admitted or why not. An item's own limit stands for its kind's
+    ceiling; exempt kinds have no other bound. An item that does not fit does not stop later ones. In a second pass those
+    that a ceiling left out may use what is left of the shared budget; one that only the nudges' bytes keep out is
+    displaced by them."""
+    used, by_kind = 0, dict.fromkeys({k for k, _, _ in items}, 0)
     out: list[str | None] = []
 
-    def fits(size: int) -> str | None:
-        if used + size > max_bytes:
-            return "byte_budget"
-        return "token_budget" if tokens + estimated_tokens(size) > max_tokens else None
+    def shared(size: int) -> str | None:
+        if size > max_bytes:
+            return "byte_capacity"
+        return "token_capacity" if max_tokens is not None and estimated_tokens(size) > max_tokens else None
+
+    def refused(kind: str, size: int, limit: int | None) -> str | None:
+        if limit is not None and by_kind[kind] + size > limit:
+            return "kind_ceiling"
+        return None if kind in exempt else shared(used + size)
 
     for kind, size, own in items:
-        why = "item_too_large" if own is not None and size > own else None
-        if why is None and kind in ceilings and by_kind[kind] + size > ceilings[kind]:
-            why = "kind_ceiling"
-        why = why or fits(size)
+        why = refused(kind, size, ceilings.get(kind) if own is None else own)
         if why is None:
-            used, tokens = used + size, tokens + estimated_tokens(size)
-            if kind in by_kind:
-                by_kind[kind] += size
+            used, by_kind[kind] = used + size, by_kind[kind] + size
         out.append(why)
-    for n, (kind, size, _) in enumerate(items):
-        if out[n] == "kind_ceiling" and fits(size) is None:
-            used, tokens, out[n] = used + size, tokens + estimated_tokens(size), None
+    for n, (kind, size, own) in enumerate(items):
+        if out[n] == "kind_ceiling":
+            why = refused(kind, size, own)
+            if why is None:
+                used, by_kind[kind] = used + size, by_kind[kind] + size
+            elif why != "kind_ceiling" and by_kind.get(nudge) and shared(used + size - by_kind[nudge]) is None:
+                why = "displaced_by_nudge"
+            out[n] = why
     return out
 
 
-def pack(items: DataFrame, max_bytes: int, max_tokens: int, ceilings: dict[str, int] | None = None, by: Sequence[str] = ("group",)) -> DataFrame:
-    """items (group, ord, kind, stable_id, body, max_bytes) with admitted and omitted; one greedy pass a group."""
+def pack(items: DataFrame, max_bytes: int, max_tokens: int | None, ceilings: dict[str, int] | None = None, by: Sequence[str] = ("group",)) -> DataFrame:
+    """items (group, ord, kind, stable_id, body, max_bytes) with admitted and omitted; one greedy pass a group. A group is
+    what one context is offered, which hosts bound; there may be any number of groups."""
     ceilings = ceilings or {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

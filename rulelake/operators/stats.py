@@ -21,6 +21,14 @@ def since(log: DataFrame, now: int, secs: int | None) -> DataFrame:
     return log if secs is None else log.where(F.col("ts") >= max(now - secs, 0))
 
 
+def selected(log: DataFrame, now: int, secs: int | None = None, kind: str | None = None, event: str | None = None, failing: bool = False) -> DataFrame:
+    """Rows of the last secs of this kind and event; failing: only those that ended with an exit other than 0."""
+    rows = since(log, now, secs)
+    for column, value in (("kind", kind), ("event", event)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.where(F.coalesce("exit", F.lit(0)) != 0) if failing else rows
+
+
 def newest(log: DataFrame, limit: int, **equal) -> DataFrame:
     """The newest rows with these values."""
     for k, v in equal.items():

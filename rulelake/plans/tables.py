@@ -1,21 +1,46 @@
-"""Lineage cuts for iterative plans: written tables in the folder all executors share."""
+"""Lineage cuts for iterative plans: written tables in the folder all executors share, deleted with the session."""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OURS: list[tuple[SparkSession, str]] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to spark.checkpoint.dir and read back; a lost executor only rereads files."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:  # a session without one, as in tests
-        folder = tempfile.mkdtemp(prefix="rulelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+
+def folder(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir; only a session of one process without one (tests) gets a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="rulelake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _OURS.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _OURS:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended, and its folder with it
+            pass
+
+
+atexit.register(_sweep)
+
+
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows, written once to the shared folder (in folders by a column, if one is given) and read back; a lost
+    executor only rereads files."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)

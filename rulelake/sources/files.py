@@ -12,13 +12,19 @@ LOG = ("ts bigint, kind string, event string, phase string, tool string, file st
        "duration_secs bigint, matched_start boolean, sha string, confidence_band string, consequences array<struct<rule_id string, action_type string>>")
 HIT = "v int, kind string, test string, region string, file string, start_line bigint, end_line bigint, hit_kind string, revision string, tool string"
 PAYLOAD = ("session_id string, cwd string, hook_event_name string, tool_name string, tool string, "
-           "tool_input struct<file_path string, path string, command string, content string, new_string string>, tool_response struct<exit_code int, stdout string>")
+           "tool_input struct<file_path string, path string, command string, content string, new_string string, old_string string, "
+           "edits array<struct<old_string string, new_string string>>>, tool_response struct<exit_code int, stdout string>")
 DAMAGED = "_damaged"
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Records of a line file, and one row with how many lines and bytes were no record."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    return records(spark.read.text(path), schema)
+
+
+def records(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The same for a table of lines (value)."""
+    lines = lines.where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", f"{schema}, {DAMAGED} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED}).alias("r"))
     broken = F.col("r").isNull() | F.col(f"r.{DAMAGED}").isNotNull()
     bad = parsed.agg(F.count_if(broken).alias("lines"), F.coalesce(F.sum(F.when(broken, F.octet_length("value"))), F.lit(0)).alias("bytes"))
@@ -68,6 +74,33 @@ def collected_tests(outputs: DataFrame) -> DataFrame:
     return outputs.select(F.explode(F.split("text", r"\r?\n")).alias("l")).select(F.trim("l").alias("test")).where(F.col("test").rlike(r"^[^\s:]+\.py::\S+"))
 
 
+PROPERTY = "id string, status string, kind string, tier string, encodings array<string>, depends_on array<string>"
+RESULT = "v int, property string, verifier string, status string, revision string, tier string, artifact_sha256 string, ts bigint"
+
+
+def listed(documents: DataFrame, name: str, schema: str) -> DataFrame:
+    """The records of a JSON document's list of that name, over all documents (text); other documents give none."""
+    told = F.from_json("text", f"{name} array<struct<{', '.join(f'{a}: {b}' for a, b in (x.strip().split(' ', 1) for x in _fields(schema)))}>>")
+    return documents.select(F.explode(told[name]).alias("r")).select("r.*")
+
+
+def _fields(schema: str) -> list[str]:
+    return schema.split(", ")
+
+
+def properties(documents: DataFrame) -> DataFrame:
+    return listed(documents, "properties", PROPERTY)
+
+
+def results(documents: DataFrame) -> DataFrame:
+    return listed(documents, "results", RESULT)
+
+
+def allowed(documents: DataFrame) -> DataFrame:
+    """Approved artifacts, in lower case."""
+    return listed(documents, "artifacts", "artifact_sha256 string, approved_by string").withColumn("artifact_sha256", F.lower("artifact_sha256"))
+
+
 def frontmatter(notes: DataFrame) -> DataFrame:
     """notes (file, text) with the leading --- block as a map and the body after it."""
     block = F.regexp_extract("text", r"(?s)\A---\r?\n(.*?)\r?\n---\s*(?:\r?\n|\z)", 1)
@@ -78,15 +111,20 @@ def frontmatter(notes: DataFrame) -> DataFrame:
     return notes.withColumns({"meta": last, "body": body})
 
 
-#: Words that make a list item an instruction.
-IMPERATIVE = r"(?i)\b(must|never|always|do not|don't|should|avoid|prefer|use|ensure|require[sd]?|forbid(den)?|only)\b"
+#: How a list item that is an instruction begins, in lower case.
+IMPERATIVE = ("don't", "do not", "never", "always", "avoid", "prefer", "use ", "make sure", "stop ", "reserve", "drop ", "no ")
 
 
 def imperatives(notes: DataFrame) -> DataFrame:
-    """List items that tell the reader what to do: file, line, text."""
-    lines = notes.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "l"))
-    return lines.where(F.col("l").rlike(r"^\s*([-*+]|\d+\.)\s+\S")).select(
-        "file", (F.col("n") + 1).alias("line"), F.trim(F.regexp_replace("l", r"^\s*([-*+]|\d+\.)\s+", "")).alias("text")).where(F.col("text").rlike(IMPERATIVE))
+    """List items that tell the reader what to do: file, line, text. An item is what follows "- ", "* " or a number; only
+    numbered ones may have more blanks before their first word."""
+    from ..functions.text import ascii_lower
+
+    lines = notes.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "l")).withColumn("l", F.regexp_replace("l", r"^\s+", ""))
+    marked = F.col("l").startswith("- ") | F.col("l").startswith("* ")
+    body = F.when(marked, F.substring("l", 3, 1 << 30)).when(F.col("l").rlike("^[0-9]"), F.trim(F.regexp_replace("l", r"^[0-9]+[.)]*", "")))
+    begins = ascii_lower(F.col("body")).rlike("^(?:" + "|".join(IMPERATIVE) + ")")
+    return lines.withColumn("body", body).where(begins).select("file", (F.col("n") + 1).alias("line"), F.trim("body").alias("text"))
 
 
 def sections(notes: DataFrame) -> DataFrame:
@@ -117,19 +155,23 @@ def reversed_edits(rows: DataFrame) -> DataFrame:
     return again.withColumn("before", F.when(F.col("after") == F.col("after_text"), F.col("__was"))).drop("__undo", "__was", "after", "text")
 
 
-#: The hosts' names of the same tools.
+#: The hosts' names of the same tools, and one host's names of the same events.
 TOOLS = {"apply_patch": "Edit", "replace": "Edit", "edit_file": "Edit", "write_file": "Write", "shell": "Bash", "run_shell_command": "Bash", "exec_command": "Bash", "read_file": "Read"}
+EVENTS = {"BeforeAgent": "UserPromptSubmit", "AfterAgent": "Stop", "BeforeTool": "PreToolUse", "AfterTool": "PostToolUse"}
 
 
 def hook_events(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Hook payloads (JSON text) of any host as one shape; what cannot be read is null."""
-    names = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])
+    """Hook payloads (JSON text) of any host as one shape; what cannot be read is null. Several edits of one file are
+    one text, joined by line ends."""
+    named = lambda known, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), c), c)
+    many = lambda field: F.when(F.size("p.tool_input.edits") > 0, F.array_join(F.col(f"p.tool_input.edits.{field}"), "\n"))
     p = F.from_json(column, PAYLOAD)
-    raw = F.coalesce("p.tool_name", "p.tool")
     return payloads.withColumn("p", p).withColumns({
-        "session_id": F.col("p.session_id"), "event": F.col("p.hook_event_name"), "tool": F.coalesce(F.try_element_at(names, raw), raw),
+        "session_id": F.col("p.session_id"), "event": named(EVENTS, F.col("p.hook_event_name")), "tool": named(TOOLS, F.coalesce("p.tool_name", "p.tool")),
+        "second_host": F.coalesce(F.col("p.hook_event_name").isin(*EVENTS), F.lit(False)),
         "file": F.coalesce("p.tool_input.file_path", "p.tool_input.path"), "command": F.col("p.tool_input.command"),
-        "new_text": F.coalesce("p.tool_input.new_string", "p.tool_input.content"), "exit": F.col("p.tool_response.exit_code")}).drop("p")
+        "new_text": F.coalesce(many("new_string"), "p.tool_input.new_string", "p.tool_input.content"),
+        "old_text": F.coalesce(many("old_string"), "p.tool_input.old_string"), "exit": F.col("p.tool_response.exit_code")}).drop("p")
 
 
 def code_symbols(files_: DataFrame) -> DataFrame:

@@ -75,3 +75,15 @@ def rotated(log: DataFrame, most_bytes: int = 50 * (1 << 20)) -> DataFrame:
 def json_report(df: DataFrame, most: int = 1000) -> str:
     """The first rows as a JSON array, for hosts that read reports."""
     return json.dumps([r.asDict(recursive=True) for r in df.limit(most).collect()], ensure_ascii=False, default=str)
+
+
+def text_report(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Lines of a table for terminals: a head and a line for each row, numbers to the right; longer values are not cut."""
+    kinds = dict(df.dtypes)
+    def cell(value, column: str):
+        pad = F.lpad if kinds[column] in ("int", "bigint", "double", "float", "smallint", "tinyint") else F.rpad
+        wide = F.greatest(F.length(value), F.lit(widths[column]))
+        return pad(value, wide, F.lit(" "))
+    line = lambda of: F.concat_ws("  ", *[cell(of(c), c) for c in widths])
+    head = df.sparkSession.range(1).select(line(lambda c: F.lit(c)).alias("line"))
+    return head.unionByName(df.select(line(lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))).alias("line")))
