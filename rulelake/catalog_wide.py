@@ -221,4 +221,384 @@ def _(spark, d):
     return stores.text_report(n, {"region": 12, "n": 5})
 
 
+# ---------------------------------------------------------------- rules and plans
+
+@query("f2_compound_guard", """SELECT c_custkey AS c FROM customer WHERE (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'))
+OR (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 14""")
+def _(spark, d):
+    return guarded(spark, d, "facts_contain('order', ['*', '?c', 'F']) && !facts_contain('order', ['*', '?c', 'P']) || facts_count('order', ['*', '?c']) > 14")
+
+
+@query("f3_guard_over_facts", """SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey >= 100 AND o_orderstatus = 'O') AND length(c_mktsegment) > 8""")
+def _(spark, d):
+    return guarded(spark, d, 'facts.some(|f| f.predicate == "order" && f.args[1] == bindings["?c"] && f.args[0].parse_int() >= 100 && f.args[2] == "O") && bindings["?s"].len() > 8')
+
+
+@query("f1_guard_theta", """SELECT c_custkey AS c FROM customer WHERE (SELECT count(*) FROM nation WHERE n_nationkey > c_nationkey) >= 20""")
+def _(spark, d):
+    return guarded(spark, d, 'facts.filter(|f| f.predicate == "nation" && f.args[0].parse_int() > bindings["?n"].parse_int()).len() >= 20')
+
+
+@query("o2_guard_errors", """SELECT CAST(c_custkey AS VARCHAR) AS message, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'guard: no value' END AS error FROM customer""")
+def _(spark, d):
+    script = """b['?s'] == 'BUILDING' || b['?s'].parse_int() > 0"""
+    rule = Rule("g", (cond("customer", "?c", "?n", "?s"), Condition(script=script)), (warn("?c"),))
+    return rules.Session(fact_table(spark, d), [rule]).fire().select("message", F.col("guard_error").alias("error"))
+
+
+@query("f4_router", "SELECT * FROM (VALUES ('contain', 'builtin'), ('count', 'builtin'), ('both', 'compiled'), ('facts', 'compiled'), ('broken', 'error')) t(script, via)")
+def _(spark, d):
+    scripts = {"contain": "!facts_contain('a', ['?x'])", "count": "facts_count('a', []) >= 2", "both": "facts_contain('a', []) && facts_contain('b', [])", "facts": "facts.len() > 1", "broken": "facts.len( > 1"}
+    return lit_rows(spark, [(k, guards.route(v, {"?x"})) for k, v in scripts.items()], "script string, via string")
+
+
+@query("p3_shared_memories", f"""SELECT rule_id, n FROM (SELECT 'finished' AS rule_id, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F') AS n
+UNION ALL SELECT 'low', (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'note', (SELECT count(*) FROM nation))""")
+def _(spark, d):
+    return rules.Session(rules.shared(fact_table(spark, d), TWO), TWO).agenda().groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("j5_shared_joins", """SELECT 'a' AS rule_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' UNION ALL
+SELECT 'b', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND n_regionkey >= 0""")
+def _(spark, d):
+    pair = (cond("order", "?o", "?c", "F"), cond("customer", "?c", "?n", "?s"))
+    two = [Rule("a", pair, (warn("?o"),)), Rule("b", (*pair, cond("nation", "?n", "?name")), (warn("?o"),))]
+    return rules.shared_agenda(fact_table(spark, d), two).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("j6_delta_join", """SELECT c_custkey AS c, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0 OR c_custkey % 10 = 0""")
+def _(spark, d):
+    f, rule = fact_table(spark, d), Rule("r", (cond("customer", "?c", "?n", "?s"), cond("order", "?o", "?c", "?t")), (warn("?c"),))
+    is_new = F.col("args")[0].cast("long") % 10 == 0
+    return rules.delta_activations(f.where(~is_new), f.where(is_new), rule).select(F.col("`?c`").cast("long").alias("c"), F.col("`?o`").cast("long").alias("o"))
+
+
+@query("j8_late_rule", "SELECT o_orderkey AS o FROM orders WHERE o_orderkey >= 500")
+def _(spark, d):
+    f = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit("order").alias("predicate"), F.array(F.col("o_orderkey").cast("string")).alias("args"),
+                                         F.col("o_orderkey").alias("timestamp"), F.lit("t").alias("source"))
+    return rules.late(rules.activations(f, Rule("late", (cond("order", "?o"),), (warn("?o"),))), f, 500).select(F.col("`?o`").cast("long").alias("o"))
+
+
+@query("u14_batch_span", "SELECT count(*) AS n FROM customer WHERE c_nationkey NOT IN (1, 2) AND c_custkey % 2 = 0")
+def _(spark, d):
+    f = fact_table(spark, d).where("predicate = 'customer'")
+    s = rules.Session(f.where("CAST(args[0] AS INT) % 4 = 0"), [Rule("r", (cond("customer", "?c", "?n", "?s"),), (warn("?c"),))])
+    with s.batch() as b:
+        b.assert_facts(f.where("CAST(args[0] AS INT) % 4 = 2"))
+        b.assert_facts(f.where("CAST(args[0] AS INT) % 8 = 2"))
+        for n in ("1", "2"):
+            b.retract(f.where(F.col("args")[1] == n).select("id"))
+    return s.agenda().agg(F.count("*").alias("n"))
+
+
+@query("u12_duplicate_assertion", "SELECT count(*) AS n, count(*) FILTER (source = 'nation') AS first FROM (SELECT 'nation' AS source FROM nation)")
+def _(spark, d):
+    f = fact_table(spark, d).where("predicate = 'nation'")
+    return facts.merged(f, f.withColumn("source", F.lit("again"))).agg(F.count("*").alias("n"), F.count_if(F.col("source") == "nation").alias("first"))
+
+
+@query("u10_conflicts", "SELECT 'order:' || o_custkey AS id FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
+def _(spark, d):
+    f = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_custkey").alias("id"), F.lit("o").alias("predicate"), F.array("o_orderstatus").alias("args"))
+    return facts.conflicts(f)
+
+
+@query("u11_snapshot", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n, 'PolicyError' AS reserved, 'PolicyError' AS twice")
+def _(spark, d):
+    host = fact_table(spark, d).where("predicate = 'nation'")
+    more = facts.facts_of(table(spark, d, "region"), "region", ["r_regionkey", "r_name"])
+
+    def refused(f):
+        try:
+            return facts.validate(host, f, ["edited_file"]).count() and None
+        except PolicyError as e:
+            return type(e).__name__
+    return facts.validate(host, more, ["edited_file"]).agg(F.count("*").alias("n")).select(
+        "n", F.lit(refused(more.withColumn("predicate", F.lit("edited_file")))).alias("reserved"), F.lit(refused(host)).alias("twice"))
+
+
+@query("f6_reserved_facts", "SELECT * FROM (VALUES ('edited_file', 'reserved'), ('__x', 'reserved'), ('mine', NULL)) t(predicate, refused)")
+def _(spark, d):
+    def refused(p):
+        try:
+            udf.collect(lambda event, emit: emit(p, ["a"]), {}, ["edited_file"])
+        except udf.ProviderError:
+            return "reserved"
+    return lit_rows(spark, [(p, refused(p)) for p in ("edited_file", "__x", "mine")], "predicate string, refused string")
+
+
+@query("p6_bulk_retract_ids", "SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, d):
+    return facts.matching_ids(fact_table(spark, d), "order", [(2, "P")])
+
+
+@query("p4_out_of_range", "SELECT count(*) AS n FROM orders WHERE false")
+def _(spark, d):
+    return facts.matching_ids(fact_table(spark, d), "order", [(7, "P")]).agg(F.count("*").alias("n"))
+
+
+@query("p13_demand_gate", "SELECT 'customer' AS predicate, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'nation', (SELECT count(*) FROM nation)")
+def _(spark, d):
+    asked = [Rule("r", (cond("customer", "?c", "?n", "?s"), Condition(script="!facts_contain('nation', ['?n', '*'])")), (warn("?c"),))]
+    return rules.pruned(fact_table(spark, d), asked).groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+@query("p14_edited_scope", """SELECT 's' || s_suppkey AS message FROM supplier WHERE s_nationkey < 5""")
+def _(spark, d):
+    s = table(spark, d, "supplier")
+    f = facts.facts_of(s.select(F.concat(F.lit("f"), "s_nationkey").alias("f"), F.concat(F.lit("s"), "s_suppkey").alias("s")), "defines_fn", ["f", "s"])
+    edited = rules.edited_files(table(spark, d, "nation").where("n_nationkey < 5").select(F.concat(F.lit("f"), "n_nationkey").alias("file")))
+    return rules.Session(f.unionByName(edited), [Rule("r", (cond("edited_file", "?f"), cond("defines_fn", "?f", "?s")), (warn("?s"),))]).fire().select("message")
+
+
+@query("d2_graph_audit", """SELECT 's' || s_suppkey AS message FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)""")
+def _(spark, d):
+    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 7")
+    own = s.select(F.concat(F.lit("f"), "s_nationkey").alias("file"), F.concat(F.lit("s"), "s_suppkey").alias("fn"))
+    f = facts.facts_of(own, "defines_fn", ["file", "fn"]).unionByName(facts.facts_of(li.select(F.concat(F.lit("s"), "l_suppkey").alias("fn")).distinct(), "tested", ["fn"]))
+    rule = Rule("untested", (cond("edited_file", "?f"), cond("defines_fn", "?f", "?s"), Condition(script="!facts_contain('tested', ['?s'])")), (warn("?s"),))
+    return rules.graph_audit(f, [rule], own.select("file").distinct()).select("message")
+
+
+@query("d3_ast_rule", """WITH f AS (SELECT l_orderkey AS o, l_linenumber AS n, l_returnflag AS r FROM lineitem WHERE l_returnflag IN ('R', 'A'))
+SELECT 'o' || o AS file, n AS at, CASE r WHEN 'R' THEN 0 ELSE 1 END AS condition FROM f WHERE o IN (SELECT o FROM f WHERE r = 'R') AND o IN (SELECT o FROM f WHERE r = 'A')""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    f = li.select(F.concat(F.lit("o"), "l_orderkey").alias("file"), F.col("l_returnflag").alias("predicate"), F.array(F.col("l_linenumber").cast("string")).alias("args"))
+    return audit.union_rule(f, [("R", ["?n"]), ("A", ["?n"])]).select("file", F.col("args")[0].cast("int").alias("at"), "condition")
+
+
+@query("p22_selection", "SELECT * FROM (VALUES ('pre', 'a'), ('pre', 'c#or0'), ('pre', 'c#or1'), ('post', 'b'), ('audit', 'a'), ('audit', 'd')) t(phase, id)")
+def _(spark, d):
+    told = {"rules": [{"id": "a", "audit": True, "when": [{"x": True}], "then": {"log": "a"}}, {"id": "b", "phase": "post", "when": [{"x": True}], "then": {"log": "b"}},
+                      {"id": "c", "when": [{"or": [{"x": True}, {"y": True}]}], "then": {"log": "c"}}, {"id": "d", "phase": "audit", "when": [{"x": True}], "then": {"log": "d"}},
+                      {"id": "e", "phase": "none", "when": [{"x": True}], "then": {"log": "e"}}]}
+    flat, _ = policy.parse(json.dumps(told))
+    picked = [(p, r.id) for p in ("pre", "post", "none") for r in policy.select(flat, p)] + [("audit", r.id) for r in policy.select(flat, audit=True)]
+    return lit_rows(spark, picked, "phase string, id string")
+
+
+@query("p23_rule_ids", "SELECT * FROM (VALUES ('a'), ('c#or0'), ('c#or1')) t(id)")
+def _(spark, d):
+    told = {"rules": [{"id": "a", "when": [{"x": True}], "then": {"log": "a"}}, {"id": "b", "when": [{"x": True}], "then": {"log": "b"}}, {"id": "c", "when": [{"or": [{"x": True}, {"y": True}]}], "then": {"log": "c"}}]}
+    return lit_rows(spark, [(r.id,) for r in policy.select(policy.parse(json.dumps(told))[0], "pre", ids={"a", "c"})], "id string")
+
+
+@query("p27_unbound_variables", "SELECT * FROM (VALUES ('?z', 0), ('?w', 1)) t(variable, ord)")
+def _(spark, d):
+    rule = Rule("r", (cond("x", "?a"),), (Action("log", ("?a ?z",), {"k": ["?w", "?a", "?z"]}),))
+    return lit_rows(spark, [(v, i) for i, v in enumerate(rule.unbound_variables())], "variable string, ord int")
+
+
+@query("p29_constraints", "SELECT rule_id, count(*) AS n FROM (SELECT 'low' AS rule_id FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+def _(spark, d):
+    return rules.constraints(rules.Session(fact_table(spark, d), TWO).fire(), "lo").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("j21_governed", """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'r#or0' ELSE 's' END AS rule_id, CAST(count(*) AS BIGINT) AS n, CASE c_mktsegment WHEN 'BUILDING' THEN 'd1,d2' ELSE '' END AS decisions
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL""")
+def _(spark, d):
+    two = [Rule("r#or0", (cond("customer", "?c", "?n", "BUILDING"),), (warn("?c"),)), Rule("s", (cond("customer", "?c", "?n", "MACHINERY"),), (warn("?c"),))]
+    decisions = lit_rows(spark, [("r", "d2"), ("r", "d1"), ("q", "d3")], "rule string, decision string")
+    return rules.governed(rules.Session(fact_table(spark, d), two).fire(), decisions).groupBy("rule_id", F.array_join("decisions", ",").alias("decisions")).agg(F.count("*").alias("n"))
+
+
+@query("a24_action_types", "SELECT CASE o_orderstatus WHEN 'F' THEN 'log' WHEN 'O' THEN 'constraint_warning' ELSE 'constraint_violation' END AS action_type, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def _(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "log").when(F.col("o_orderstatus") == "O", "constraint_warning").otherwise("constraint_violation")
+    return rules.action_types(table(spark, d, "orders").select(kind.alias("action_type"), "o_orderkey"), "o_orderkey")
+
+
+@query("f10_push_consequences", """SELECT 'f' || o_orderkey AS fact_id, 'constraint_warning' AS action_type, '{"action_type":"constraint_warning","message":"' || o_custkey || '","params":["' || o_custkey || '"]}' AS payload FROM orders WHERE o_orderstatus = 'P'""")
+def _(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    f = o.select(F.concat(F.lit("f"), "o_orderkey").alias("id"), F.lit("order").alias("predicate"), F.array(F.col("o_custkey").cast("string")).alias("args"), F.lit(0).alias("timestamp"), F.lit("t").alias("source"))
+    told = rules.payload(rules.Session(f, [Rule("r", (cond("order", "?c"),), (warn("?c"),))]).fire())
+    return told.select(F.col("fact_ids")[0].alias("fact_id"), "action_type", "payload")
+
+
+@query("u9_all_any", "SELECT * FROM (VALUES ('a,b'), ('a,c'), ('d')) t(tests)")
+def _(spark, d):
+    found = policy.all_any({"any": [{"all": [{"is": "a"}, {"any": [{"is": "b"}, {"is": "c"}]}]}, {"is": "d"}]})
+    return lit_rows(spark, [(",".join(x),) for x in found], "tests string")
+
+
+@query("j41_layers", "SELECT * FROM (VALUES ('a', 'pack'), ('b', 'project'), ('c', 'project')) t(rule, origin)")
+def _(spark, d):
+    doc = lambda *ids: json.dumps({"rules": [{"id": i, "when": [{"x": True}], "then": {"log": i}} for i in ids]})
+    told, overrides = policy.load_layers([("pack", doc("a", "b"), True), ("absent", None, False), ("project", doc("b", "c"), True)])
+    assert [(o["rule"], o["loser"].name, o["winner"].name) for o in overrides] == [("b", "pack", "project")]
+    origin = {r.id: layer.name for layer in told for r in layer.rules}
+    return lit_rows(spark, sorted(origin.items()), "rule string, origin string")
+
+
+# ---------------------------------------------------------------- graphs
+
+@query("p10_limited_query", f"WITH {G} SELECT ord, 5 AS asked FROM (SELECT ord FROM g WHERE p = 'sells' ORDER BY ord LIMIT 5) UNION ALL SELECT ord, 0 FROM g WHERE p = 'supplies'")
+def _(spark, d):
+    e = edges(spark, d)
+    return graph.query(e, "sells", [], 5).select("ord", F.lit(5).alias("asked")).unionByName(graph.query(e, "supplies", [], 0).select("ord", F.lit(0).alias("asked")))
+
+
+@query("p12_diagnostics", """SELECT * FROM (VALUES ('none', 'empty_graph'), ('hit', 'matches'), ('wild', 'wildcard'), ('near', 'unknown_relation:sells')) t(asked, told)
+UNION ALL SELECT 'args', 'no_argument_match:' || string_agg(y, ',' ORDER BY y) FROM (SELECT DISTINCT 'n' || s_nationkey AS y FROM supplier ORDER BY y LIMIT 3)""")
+def _(spark, d):
+    e = edges(spark, d)
+    def told(rows, relation, args=()):
+        out = graph.diagnose(rows, relation, args)
+        extra = out.get("suggestions") or [x for v in out.get("samples", {}).values() for x in v]
+        return ":".join([out["reason"], *([",".join(extra)] if extra else [])])
+    return lit_rows(spark, [("none", told(e.limit(0), "sells")), ("hit", told(e, "sells")), ("wild", told(e, "q*")), ("near", told(e, "sell")), ("args", told(e, "supplies", ["*", "n"]))], "asked string, told string")
+
+
+@query("p24_base_only", f"WITH {G} SELECT p, count(*) AS n FROM g WHERE ord % 2 = 0 GROUP BY 1")
+def _(spark, d):
+    return graph.base(edges(spark, d).withColumn("d", F.col("ord") % 2 == 1)).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("o10_suggestions", f"WITH {G} SELECT p, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, p LIMIT 5")
+def _(spark, d):
+    return graph.summary(edges(spark, d)).limit(5)
+
+
+def code_graph(spark, d):
+    """supplier files define part functions, some of them tests; lineitems are calls."""
+    p, li, s = table(spark, d, "part"), table(spark, d, "lineitem"), table(spark, d, "supplier")
+    e = lambda t, name, *a: t.select(F.lit(name).alias("p"), F.array(*a).alias("a"), F.lit("t").alias("src"), F.lit(False).alias("d"))
+    file, fn = F.concat(F.lit("f"), F.col("p_partkey") % 40), F.concat(F.lit("m::fn"), "p_partkey")
+    return e(p.where("p_size % 5 <> 0"), "defines_fn", file, fn).unionByName(e(p.where("p_size % 5 = 0"), "defines_test", file, fn)).unionByName(
+        e(s, "declares_module", F.concat(F.lit("f"), "s_suppkey"), F.concat(F.lit("mod"), F.col("s_suppkey") % 7))).unionByName(
+        e(li.where("l_linenumber = 1"), "calls", F.concat(F.lit("m::fn"), "l_partkey"), F.concat(F.lit("m::fn"), F.col("l_suppkey") * 3)))
+
+
+CODE = """df AS (SELECT 'f' || (p_partkey % 40) AS file, 'm::fn' || p_partkey AS fn, p_size % 5 = 0 AS test FROM part), md AS (SELECT 'f' || s_suppkey AS file, 'mod' || (s_suppkey % 7) AS module FROM supplier),
+cl AS (SELECT DISTINCT 'm::fn' || l_partkey AS x, 'm::fn' || (l_suppkey * 3) AS y FROM lineitem WHERE l_linenumber = 1)"""
+
+
+@query("j17_inventory", f"WITH {CODE} SELECT DISTINCT CASE WHEN test THEN 'test' ELSE 'function' END AS kind, fn AS member, module FROM df JOIN md USING (file)")
+def _(spark, d):
+    return graph.inventory(code_graph(spark, d))
+
+
+@query("u6_test_reaches", f"WITH RECURSIVE {CODE}, r AS (SELECT fn AS test, fn FROM df WHERE test UNION SELECT r.test, cl.y FROM r JOIN cl ON r.fn = cl.x) SELECT test, count(*) AS n FROM r GROUP BY 1")
+def _(spark, d):
+    return graph.test_reaches(code_graph(spark, d)).groupBy("test").agg(F.count("*").alias("n"))
+
+
+@query("u1_derived_union", f"""WITH {CODE}, a AS (SELECT 'no_direct_test' AS p, fn AS x FROM df WHERE NOT test), b AS (SELECT 'data_flows_to', 'c' || o_custkey || ',' || 'o' || o_orderkey FROM orders)
+SELECT p, count(DISTINCT x) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
+def _(spark, d):
+    e = code_graph(spark, d).unionByName(artifacts(spark, d).withColumns({"src": F.lit("t"), "d": F.lit(False)}))
+    return graph.derive_all(e.unionByName(e.where("p = 'defines_fn'")), ["no_direct_test", "data_flows_to"]).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("j23_static_selection", f"""WITH {CODE}, t AS (SELECT file, fn FROM df WHERE NOT test), r AS (SELECT 't' || l_suppkey AS test, 'm::fn' || l_partkey AS fn FROM lineitem WHERE l_linenumber = 1), c AS (SELECT 'f' || s_suppkey AS file, 'fn' || (s_suppkey * 40 + s_suppkey) AS leaf, 'reg' || s_suppkey AS region FROM supplier)
+SELECT DISTINCT r.test, c.region FROM r JOIN t USING (fn) JOIN c ON t.file = c.file AND split_part(t.fn, '::', 2) = c.leaf""")
+def _(spark, d):
+    li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    reaches = li.where("l_linenumber = 1").select(F.concat(F.lit("t"), "l_suppkey").alias("test"), F.concat(F.lit("m::fn"), "l_partkey").alias("fn"))
+    changed = s.select(F.concat(F.lit("f"), "s_suppkey").alias("file"), F.concat(F.lit("fn"), F.col("s_suppkey") * 41).alias("leaf"), F.concat(F.lit("reg"), "s_suppkey").alias("region"))
+    defined = graph.pairs(code_graph(spark, d), "defines_fn", of=("file", "fn"))
+    return coverage.select_static(changed, reaches, reaches.limit(0).select(F.col("test").alias("main"), "fn"), defined)
+
+
+@query("j25_lcov_functions", """WITH da AS (SELECT 't' || l_suppkey AS test, 'f' || (l_suppkey % 9) AS file, l_linenumber * 50 + CAST(l_quantity AS BIGINT) AS line FROM lineitem WHERE l_linenumber % 3 > 0),
+fn AS (SELECT 'f' || (p_partkey % 9) AS file, 'fn' || p_partkey AS name, p_size * 8 AS s, p_size * 8 + 3 AS e FROM part)
+SELECT DISTINCT test, file, name FROM da JOIN fn USING (file) WHERE line BETWEEN s AND e AND NOT (test = 't1' AND name LIKE '%7')""")
+def _(spark, d):
+    li, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    data = li.select(F.concat(F.lit("t"), "l_suppkey").alias("test"), F.concat(F.lit("f"), F.col("l_suppkey") % 9).alias("file"), (F.col("l_linenumber") * 50 + F.col("l_quantity").cast("long")).alias("line"), (F.col("l_linenumber") % 3).alias("count"))
+    functions = p.select(F.concat(F.lit("f"), F.col("p_partkey") % 9).alias("file"), F.concat(F.lit("fn"), "p_partkey").alias("name"), (F.col("p_size") * 8).cast("long").alias("start"), (F.col("p_size") * 8 + 3).cast("long").alias("end"))
+    vetoed = functions.where("name LIKE '%7'").select(F.lit("t1").alias("test"), "file", "name")
+    return coverage.lcov_hits(data, functions, vetoed)
+
+
+@query("d9_selected_tests", """WITH a AS (SELECT DISTINCT 't' || l_suppkey AS test, 'r' || l_linenumber AS region, CASE WHEN l_returnflag = 'R' THEN 'dynamic' ELSE 'static' END AS evidence FROM lineitem)
+SELECT test, evidence, string_agg(region, ',' ORDER BY region) AS regions FROM a GROUP BY ALL""")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("t"), "l_suppkey").alias("test"), F.concat(F.lit("r"), "l_linenumber").alias("region"), "l_returnflag")
+    return coverage.select_tests(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag <> 'R'").drop("l_returnflag")).withColumn("regions", F.array_join("regions", ","))
+
+
+@query("sc_diff_lines", "SELECT c_custkey AS path, unnest(CASE c_custkey % 4 WHEN 0 THEN [] WHEN 1 THEN [2] WHEN 2 THEN [3, 4] ELSE [1, 2, 3] END) AS line FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey") % 4
+    new = F.when(k == 0, "a\nb\nc").when(k == 1, "a\nX\nc").when(k == 2, "a\nb\nY\nZ\nc").otherwise("q\nr\ns")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.when(k == 3, F.lit("a\nb")).otherwise("a\nb\nc").alias("old"), new.alias("new"))
+    return coverage.diff_lines(rows).select(F.col("path").cast("long").alias("path"), "line")
+
+
+@query("j29_evidence", """WITH s AS (SELECT l_orderkey AS fn, 's' || l_linenumber AS id, l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R')
+SELECT 'o' || o_orderkey AS fn, coalesce((SELECT string_agg(id, ',' ORDER BY n) FROM s WHERE s.fn = o_orderkey), '') AS sites, CASE WHEN o_orderstatus = 'F' THEN 'holds:' || (o_orderkey IN (SELECT fn FROM s WHERE id = 's1')) ELSE '' END AS links FROM orders""")
+def _(spark, d):
+    li, o = table(spark, d, "lineitem").where("l_returnflag = 'R'"), table(spark, d, "orders")
+    ident = lambda k, n: F.concat(k, F.lit("/s"), n)
+    sites = li.select(F.concat(F.lit("o"), "l_orderkey").alias("fn"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end"), ident(F.col("l_orderkey"), F.col("l_linenumber")).alias("id"), F.lit("clone").alias("kind"))
+    links = o.where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("fn"), F.lit("holds").alias("kind"), F.lit("x").alias("from"), ident(F.col("o_orderkey"), F.lit("1")).alias("to"))
+    found = graph.evidence(sites, o.select(F.concat(F.lit("o"), "o_orderkey").alias("fn")), links)
+    return found.select("fn", F.coalesce(F.array_join(F.transform("sites", lambda s: F.substring_index(s["id"], "/", -1)), ","), F.lit("")).alias("sites"),
+                        F.coalesce(F.array_join(F.transform("relationships", lambda r: F.concat(r["kind"], F.lit(":"), r["resolved"].cast("string"))), ","), F.lit("")).alias("links"))
+
+
+@query("j39_pack_references", """WITH de AS (SELECT p_brand AS scope, p_type AS name, count(*) AS n, min('sym' || p_partkey) AS target FROM part GROUP BY ALL HAVING count(*) = 1)
+SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'tested_by' ELSE 'calls' END AS p, CASE WHEN l_linenumber % 2 = 0 THEN target || ',own' || l_suppkey ELSE 'own' || l_suppkey || ',' || target END AS a
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN de ON p_brand = scope AND p_type = name""")
+def _(spark, d):
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    both = li.join(p, F.col("l_partkey") == F.col("p_partkey")).withColumn("site", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    references = both.select(F.col("p_brand").alias("scope"), F.col("p_type").alias("name"), "site")
+    owners = both.select("site", F.col("p_brand").alias("scope"), F.concat(F.lit("own"), "l_suppkey").alias("owner"), (F.col("l_linenumber") % 2 == 0).alias("is_test"))
+    declared = p.select(F.col("p_brand").alias("scope"), F.col("p_type").alias("name"), F.col("p_partkey").alias("site"), F.concat(F.lit("sym"), "p_partkey").alias("symbol"))
+    return graph.pack_references(references, declared, owners).select("p", F.array_join("a", ",").alias("a"))
+
+
+@query("j19_data_contracts", """WITH k AS (SELECT DISTINCT 'n' || c_nationkey AS artifact, c_mktsegment AS key FROM customer), c AS (SELECT 'n' || s_nationkey AS artifact, 's' || s_suppkey AS consumer, s_suppkey % 5 = 0 AS flatten, s_suppkey % 7 = 0 AS deny FROM supplier),
+f AS (SELECT 's' || s_suppkey AS consumer, CASE s_suppkey % 2 WHEN 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS field FROM supplier)
+SELECT DISTINCT CASE WHEN f.field IS NOT NULL THEN 'maps_data_key' ELSE 'unconsumed_data_key' END AS relation, k.artifact, key, c.consumer FROM k JOIN c USING (artifact) LEFT JOIN f ON f.consumer = c.consumer AND f.field = k.key WHERE f.field IS NOT NULL OR (NOT flatten AND NOT deny)""")
+def _(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    keys = c.select(F.concat(F.lit("n"), "c_nationkey").alias("artifact"), F.col("c_mktsegment").alias("key"))
+    consumers = s.select(F.concat(F.lit("n"), "s_nationkey").alias("artifact"), F.concat(F.lit("s"), "s_suppkey").alias("consumer"), (F.col("s_suppkey") % 5 == 0).alias("flatten"), (F.col("s_suppkey") % 7 == 0).alias("deny"))
+    fields = s.select(F.concat(F.lit("s"), "s_suppkey").alias("consumer"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("field"))
+    return graph.data_contracts(keys.distinct(), consumers, fields)
+
+
+@query("j28_receiver_chain", """SELECT a.l_orderkey AS fn, a.l_linenumber AS "left", b.l_linenumber AS "right" FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'R' AND b.l_returnflag <> 'R' AND a.l_linenumber < b.l_linenumber""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    site = lambda rows: rows.select(F.col("l_orderkey").alias("fn"), F.col("l_suppkey").alias("place"), F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("at"))
+    return graph.lexical_pairs(site(li.where("l_returnflag = 'R'")), site(li.where("l_returnflag <> 'R'")), "place")
+
+
+@query("j40_record_edges", """SELECT 'customer' AS p, c_name || ',' || c_mktsegment AS a FROM customer UNION ALL SELECT 'nation', n_name || ',' || n_nationkey FROM nation""")
+def _(spark, d):
+    records = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("fields")).unionByName(
+        table(spark, d, "nation").select(F.lit("nation").alias("kind"), F.create_map(F.lit("name"), F.col("n_name"), F.lit("key"), F.col("n_nationkey").cast("string"), F.lit("noise"), F.lit("x")).alias("fields")))
+    return graph.record_edges(records, {"customer": ("customer", ("name", "segment")), "nation": ("nation", ("name", "key"))}).select("p", F.array_join("a", ",").alias("a"))
+
+
+@query("a21_resolution_stats", "SELECT 'f' || s_nationkey AS src, count(*) FILTER (s_suppkey % 3 = 0) AS unresolved, count(*) FILTER (s_suppkey % 3 = 1) AS ambiguous FROM supplier GROUP BY 1")
+def _(spark, d):
+    k = F.col("s_suppkey") % 3
+    return graph.resolution_stats(table(spark, d, "supplier").select(F.concat(F.lit("f"), "s_nationkey").alias("src"), F.when(k == 0, "unresolved").when(k == 1, "ambiguous").otherwise("resolved").alias("outcome")))
+
+
+@query("a25_not_reported", """SELECT 'n' || n_nationkey AS subject, c AS capability FROM nation, (VALUES ('build'), ('test'), ('lint')) t(c) WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND (n_nationkey, c) NOT IN (SELECT s_nationkey, CASE s_suppkey % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'test' ELSE 'x' END FROM supplier)""")
+def _(spark, d):
+    k = F.col("s_suppkey") % 3
+    reported = table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("subject"), F.when(k == 0, "build").when(k == 1, "test").otherwise("x").alias("capability"))
+    return graph.not_reported(reported, ["build", "test", "lint"])
+
+
+@query("u3_surviving_relocated", """SELECT l_suppkey AS k, string_agg(DISTINCT CASE WHEN f AND o THEN m END, ',' ORDER BY CASE WHEN f AND o THEN m END) AS surviving, string_agg(DISTINCT CASE WHEN o AND NOT f THEN m END, ',' ORDER BY CASE WHEN o AND NOT f THEN m END) AS relocated
+FROM (SELECT l_suppkey, 'm' || l_linenumber || l_returnflag AS m, bool_or(l_shipdate % 2 = 0) AS f, bool_or(l_shipdate % 2 = 1) AS o FROM (SELECT l_suppkey, l_linenumber, l_returnflag, l_orderkey AS l_shipdate FROM lineitem) GROUP BY ALL) GROUP BY 1""")
+def _(spark, d):
+    m = F.concat(F.lit("m"), "l_linenumber", "l_returnflag")
+    per = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set(F.when(F.col("l_orderkey") % 2 == 0, m)).alias("before"), F.collect_set(F.when(F.col("l_orderkey") % 2 == 1, m)).alias("after"))
+    found = graph.survival(per, "before", "after")
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return found.select("k", text("surviving").alias("surviving"), text("relocated").alias("relocated"))
+
+
 del _

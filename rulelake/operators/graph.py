@@ -300,7 +300,7 @@ def lexical_pairs(left: DataFrame, right: DataFrame, place: str | None = None) -
 
 def evidence(sites: DataFrame, functions: DataFrame, links: DataFrame) -> DataFrame:
     """Functions with their sites (sorted structs) and relationships to other sites; resolved tells whether those exist."""
-    known = sites.select(F.col("id").alias("to"), F.lit(True).alias("there"))
+    known = sites.select(F.col("id").alias("to"), F.lit(True).alias("there")).distinct()
     related = links.join(known, "to", "left").groupBy("fn").agg(F.array_sort(F.collect_list(
         F.struct("kind", "from", "to", F.coalesce("there", F.lit(False)).alias("resolved")))).alias("relationships"))
     own = sites.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id", "kind"))).alias("sites"))
@@ -311,6 +311,22 @@ def unique_ids(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
 
 
+def survival(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """rows with what two sets share (surviving) and what only the later one holds (relocated), sorted."""
+    return rows.withColumns({"surviving": F.array_sort(F.array_intersect(before, after)), "relocated": F.array_sort(F.array_except(after, before))})
+
+
+def record_edges(records: DataFrame, shapes: dict[str, tuple[str, Sequence[str]]], src: str | None = None) -> DataFrame:
+    """Typed records (kind, fields map) as base edges: shapes gives each kind its relation and the fields that are its
+    arguments, in order; records of other kinds or without one of the fields give nothing."""
+    out = None
+    for kind, (relation, fields) in shapes.items():
+        args = F.array(*[F.col("fields")[f] for f in fields])
+        rows = records.where((F.col("kind") == kind) & F.forall(args, lambda a: a.isNotNull())).select(F.lit(relation).alias("p"), args.alias("a"), F.lit(src).cast("string").alias("src"), F.lit(False).alias("d"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
 DERIVATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "no_direct_test": lambda e: derived(no_direct_test(e), "no_direct_test", ["fn"]),
     "test_reaches": lambda e: derived(test_reaches(e), "test_reaches", ["test", "fn"]),

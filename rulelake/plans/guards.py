@@ -79,3 +79,16 @@ def apply(rows: DataFrame, facts: DataFrame, guard: Guard, bound: set[str]) -> D
 
 def _compare(n: Column, guard: Guard) -> Column:
     return {">=": n >= guard.n, ">": n > guard.n, "==": n == guard.n, "<=": n <= guard.n, "<": n < guard.n}[guard.op]
+
+
+def route(script: str, bound: set[str]) -> str:
+    """How a guard is evaluated: builtin (one fact test), compiled (any other expression) or error."""
+    from . import expressions
+
+    if parse(script):
+        return "builtin"
+    try:
+        expressions.compiled(script, bound)
+    except expressions.Malformed:
+        return "error"
+    return "compiled"

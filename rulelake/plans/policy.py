@@ -137,6 +137,21 @@ def compose(layers: Sequence[Layer]) -> tuple[list[Rule], list[dict]]:
     return list(place.values()), overrides
 
 
+def load_layers(sources: Sequence[tuple[str, str | None, bool]]) -> tuple[list[Layer], list[dict]]:
+    """Layers of rule documents (name, text, required) in order, each with the rules it contributes to the whole, and the
+    overrides. A document that is not there (None) is skipped unless it is required."""
+    layers = []
+    for name, text, required in sources:
+        if text is None:
+            if required:
+                raise PolicyError(f"{name}: the rules document is missing")
+            continue
+        layers.append(Layer(name, name, tuple(parse(text, name)[0])))
+    won, overrides = compose(layers)
+    kept = {id(r) for r in won}
+    return [Layer(x.name, x.source, tuple(r for r in x.rules if id(r) in kept), x.decision) for x in layers], overrides
+
+
 def override_facts(spark: SparkSession, overrides: Sequence[dict], timestamp: int = 0) -> DataFrame:
     rows = [(f"__rule_override__:{i}:{o['rule']}", OVERRIDDEN,
              [o["rule"], o["loser"].name, o["loser"].source, o["winner"].name, o["winner"].source, o["winner"].decision or ""], timestamp, "rule_layers")

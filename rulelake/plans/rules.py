@@ -5,13 +5,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_string
-from ..model import VARIABLE, Action, PolicyError, Rule, is_variable
+from ..model import VARIABLE, Action, Condition, PolicyError, Rule, is_variable
 from . import expressions, guards
 
 AGENDA = ("rule_id", "salience", "rule_ord", "fact_ids", "bindings", "fact_sources", "guard_error")
@@ -39,12 +41,13 @@ def beta(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, [f"{c}" for c in shared])
 
 
-def activations(facts: DataFrame, rule: Rule, ord: int = 0) -> DataFrame:
-    """One row for each way the rule's conditions hold."""
+def activations(facts: DataFrame, rule: Rule, ord: int = 0, start: DataFrame | None = None, done: int = 0) -> DataFrame:
+    """One row for each way the rule's conditions hold. start: the join of its first conditions (so many), if there."""
     spark = facts.sparkSession
     patterns = [c for c in rule.conditions if c.predicate]
     scripts = [c.script for c in rule.conditions if c.script]
-    rows = reduce(beta, [alpha(facts, c.predicate, c.args, n) for n, c in enumerate(patterns)]) if patterns else spark.range(1).select()
+    parts = [*([] if start is None else [start]), *[alpha(facts, c.predicate, c.args, n) for n, c in enumerate(patterns) if n >= done]]
+    rows = reduce(beta, parts) if parts else spark.range(1).select()
     bound = sorted(rule.bound())
     errors: list[Column] = []
     for script in scripts:
@@ -104,9 +107,109 @@ def consequence(rows: DataFrame, rule: Rule, number: int, action: Action) -> Dat
                        F.array(*map(F.lit, loose)).cast("array<string>").alias("unbound_variables"))
 
 
+def shared(facts: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """The facts that some condition or guard can match, written once in folders by predicate: every condition of every
+    rule then reads its relation only, however many rules ask for it."""
+    from .tables import cut
+
+    return cut(pruned(facts, rules), "predicate").select(*facts.columns)
+
+
+def shared_agenda(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Session.agenda() with shared work: facts are scanned once, and a chain of conditions with which several rules begin
+    (the same up to the names of variables) is joined once; each rule continues from the longest chain it shares."""
+    from .tables import cut
+
+    memory = shared(facts, rules)
+    chains: dict[tuple, int] = {}
+    for r in rules:
+        for k in range(2, len(_patterns(r)) + 1):
+            chains[_chain(r, k)] = chains.get(_chain(r, k), 0) + 1
+    joined: dict[tuple, DataFrame] = {}
+    out = []
+    for n, r in enumerate(rules):
+        k = max((k for k in range(2, len(_patterns(r)) + 1) if chains[_chain(r, k)] > 1), default=0)
+        start = None
+        if k:
+            names = _names(r, k)
+            key = _chain(r, k)
+            if key not in joined:
+                rows = reduce(beta, [alpha(memory, c.predicate, c.args, i) for i, c in enumerate(_patterns(r)[:k])])
+                joined[key] = cut(rows.withColumnsRenamed({v: f"v{i}" for v, i in names.items()}))
+            start = joined[key].withColumnsRenamed({f"v{i}": v for v, i in names.items()})
+        out.append(activations(memory, r, n, start, k).select(*AGENDA))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _patterns(rule: Rule) -> list[Condition]:
+    return [c for c in rule.conditions if c.predicate]
+
+
+def _names(rule: Rule, k: int) -> dict[str, int]:
+    names: dict[str, int] = {}
+    for c in _patterns(rule)[:k]:
+        for a in c.args:
+            if is_variable(a):
+                names.setdefault(a, len(names))
+    return names
+
+
+def _chain(rule: Rule, k: int) -> tuple:
+    names = _names(rule, k)
+    return tuple((c.predicate, tuple(names.get(a, f"={a}") for a in c.args)) for c in _patterns(rule)[:k])
+
+
+def delta_activations(before: DataFrame, new: DataFrame, rule: Rule) -> DataFrame:
+    """Activations that hold with new facts and did not without: at least one condition is matched by a new fact. For each
+    condition in turn the new facts stand there, the old ones before it and all after it, so none is found twice."""
+    patterns, every = _patterns(rule), before.unionByName(new)
+    out = []
+    for at in range(len(patterns)):
+        rows = reduce(beta, [alpha(before if i < at else new if i == at else every, c.predicate, c.args, i) for i, c in enumerate(patterns)])
+        out.append(activations(every, rule, 0, rows, len(patterns)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def late(found: DataFrame, facts: DataFrame, added_at: int) -> DataFrame:
+    """Of a rule's activations, those an incremental engine would hold if the rule was added at that time: all of their
+    facts were asserted from then on."""
+    old = facts.where(F.col("timestamp") < added_at).select(F.col("id").alias("__old"))
+    early = found.select("fact_ids", F.explode("fact_ids").alias("__old")).join(old, "__old", "left_semi").select("fact_ids").distinct()
+    return found.join(early, "fact_ids", "left_anti")
+
+
+class Batch:
+    """Assertions and retractions that take effect together, in order."""
+
+    def __init__(self):
+        self.steps: list[tuple[str, DataFrame]] = []
+
+    def assert_facts(self, more: DataFrame) -> None:
+        self.steps.append(("assert", more))
+
+    def retract(self, ids: DataFrame) -> None:
+        self.steps.append(("retract", ids))
+
+
 class Session:
     """A snapshot of facts and a list of rules."""
 
+    @contextmanager
+    def batch(self):
+        """A span of changes applied as one: runs of assertions are merged at once, runs of retractions are one join, and
+        the result is written so that later plans start from it."""
+        from .tables import cut
+
+        b = Batch()
+        yield b
+        for kind, group in groupby(b.steps, key=lambda s: s[0]):
+            rows = [df for _, df in group]
+            if kind == "assert":
+                self.assert_facts(reduce(DataFrame.unionByName, rows))
+            else:
+                self.retract(reduce(DataFrame.unionByName, [r.select("id") for r in rows]))
+        self.facts = cut(self.facts)
+
     def __init__(self, facts: DataFrame, rules: Iterable[Rule] = ()):
         self.facts, self.rules = facts, list(rules)
 
