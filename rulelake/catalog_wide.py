@@ -601,4 +601,293 @@ def _(spark, d):
     return found.select("k", text("surviving").alias("surviving"), text("relocated").alias("relocated"))
 
 
+# ---------------------------------------------------------------- properties
+
+PROPS = """pr AS (SELECT 'p' || p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'accepted' ELSE 'proposed' END AS status, p_brand AS region, p_size % 4 AS n_enc FROM part),
+rs AS (SELECT l_orderkey * 10 + l_linenumber AS k, 'p' || (l_partkey * 2) AS property, 'v' || l_suppkey AS verifier, CASE l_linestatus WHEN 'F' THEN 'pass' ELSE 'fail' END AS status, l_orderkey % 9 AS e, repeat(CAST(l_orderkey % 2 AS VARCHAR), 40) AS rev, l_suppkey % 5 AS art FROM lineitem)"""
+
+
+def property_tables(spark, d):
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    props = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("safety").alias("kind"), F.when(F.col("p_size") % 3 == 0, "accepted").otherwise("proposed").alias("status"),
+                     F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("e"))).alias("encodings"), F.array("p_brand").alias("depends_on"))
+    e = F.col("l_orderkey") % 9
+    hexed = lambda c, n: F.repeat(c.cast("string"), n)
+    results = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.concat(F.lit("p"), F.col("l_partkey") * 2).alias("property"), F.concat(F.lit("v"), "l_suppkey").alias("verifier"),
+                        F.when(F.col("l_linestatus") == "F", "pass").otherwise("fail").alias("status"), F.when(e == 1, 1).otherwise(2).alias("v"),
+                        F.when(e == 2, F.lit(None)).when(e == 3, F.lit("xyz")).otherwise(hexed(F.col("l_orderkey") % 2, 40)).alias("revision"), F.when(e == 4, F.lit(None)).when(e == 5, F.lit("guess")).otherwise("test").alias("tier"),
+                        F.when(e == 6, F.lit(None)).when(e == 7, F.lit("zz")).otherwise(hexed(F.col("l_suppkey") % 5, 64)).alias("artifact_sha256"))
+    return props, results
+
+
+@query("j33_bound_results", f"""WITH {PROPS} SELECT k, CASE e WHEN 1 THEN 'legacy_record' WHEN 2 THEN 'missing_revision' WHEN 3 THEN 'invalid_revision' WHEN 4 THEN 'missing_tier' WHEN 5 THEN 'invalid_tier' WHEN 6 THEN 'missing_artifact' WHEN 7 THEN 'invalid_artifact'
+  ELSE CASE WHEN pr.id IS NULL THEN 'unknown_property' WHEN n_enc = 0 THEN 'no_encoding' WHEN art > 2 THEN 'artifact_not_approved' END END AS reason FROM rs LEFT JOIN pr ON pr.id = property""")
+def _(spark, d):
+    props, results = property_tables(spark, d)
+    approved = lit_rows(spark, [(str(n) * 64,) for n in range(3)], "artifact_sha256 string")
+    return properties.bind(results, props, approved).select("k", "reason")
+
+
+@query("j34_stale_evidence", f"""WITH {PROPS}, ch AS (SELECT DISTINCT p_brand AS region FROM part WHERE p_size > 40), t AS (SELECT id FROM pr JOIN ch USING (region))
+SELECT DISTINCT property, verifier FROM rs WHERE property IN (SELECT id FROM t) AND (property, verifier) NOT IN (SELECT property, verifier FROM rs WHERE e NOT IN (2, 3) AND rev = repeat('1', 40))""")
+def _(spark, d):
+    props, results = property_tables(spark, d)
+    changed = table(spark, d, "part").where("p_size > 40").select(F.col("p_brand").alias("region"))
+    return properties.stale(props, results, changed, "1" * 40)
+
+
+@query("j34_obligations", f"""WITH {PROPS}, ch AS (SELECT DISTINCT p_brand AS region FROM part WHERE p_size > 40)
+SELECT id, 'safety' AS kind FROM pr JOIN ch USING (region) WHERE status = 'accepted' AND id NOT IN (SELECT property FROM rs WHERE e NOT IN (2, 3) AND rev = repeat('1', 40) AND status = 'pass')""")
+def _(spark, d):
+    props, results = property_tables(spark, d)
+    return properties.obligations(props, results, table(spark, d, "part").where("p_size > 40").select(F.col("p_brand").alias("region")), "1" * 40)
+
+
+@query("k9_transition", f"WITH {PROPS} SELECT id, CASE id WHEN 'p1' THEN 'retired' ELSE status END AS status, CASE id WHEN 'p1' THEN status END AS was, CASE id WHEN 'p1' THEN 7 END AS ts FROM pr")
+def _(spark, d):
+    now, log = properties.transition(property_tables(spark, d)[0], "p1", "retired", "replaced", 7)
+    return now.select("id", "status").join(log.select("id", "was", "ts"), "id", "left")
+
+
+# ---------------------------------------------------------------- drift
+
+WORDS = r"""regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+')"""
+STOP = "('the','a','an','of','to','for','in','on','at','by','is','are','be','and','or','but','with','as','it','its','this','that','you','your','we','our','i','me')"
+
+
+def best_sql(left: str, right: str) -> str:
+    """CTEs: best(l, target, sim) of left(l, text) among right(target, ord, text)."""
+    words = lambda t, key: f"SELECT DISTINCT {key}, w FROM (SELECT {key}, unnest({WORDS.format('text')}) AS w FROM {t}) WHERE strlen(w) > 1 AND w NOT IN {STOP}"
+    return f"""wa AS ({words(left, 'l')}), wb AS ({words(right, 'target')}), na AS (SELECT l, count(*) AS n FROM wa GROUP BY 1), nb AS (SELECT target, count(*) AS n FROM wb GROUP BY 1),
+sh AS (SELECT l, target, count(*) AS s FROM wa JOIN wb USING (w) GROUP BY ALL), sc AS (SELECT l, target, CAST(s / (na.n + nb.n - s) AS FLOAT) AS sim FROM sh JOIN na USING (l) JOIN nb USING (target)),
+best AS (SELECT l, arg_max(target, (sim, -ord)) AS target, max(sim) AS sim FROM sc JOIN {right} USING (target) GROUP BY 1)"""
+
+
+DRIFT = """rt AS (SELECT 'b' || item_id AS target, item_id AS ord, text FROM benchmark), en AS (SELECT 'd' || doc_id AS l, doc_id, text, lang FROM documents WHERE text IS NOT NULL AND length(text) < 400)"""
+
+
+def drift_tables(spark, d):
+    right = table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("target"), F.col("item_id").alias("ord"), "text")
+    left = table(spark, d, "documents").where("text IS NOT NULL AND length(text) < 400").select(F.concat(F.lit("d"), "doc_id").alias("id"), "doc_id", "text", "lang")
+    return left, right
+
+
+@query("d4_note_drift", f"""WITH {DRIFT}, {best_sql('en', 'rt')}
+SELECT l AS id, CASE WHEN doc_id % 3 = 2 THEN 'personal' WHEN doc_id % 3 = 1 THEN 'actionable' ELSE CASE WHEN regexp_matches(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\bsrc/') THEN 'actionable' ELSE 'ambient' END END AS bucket,
+  coalesce(sim, 0) >= CAST(0.15 AS FLOAT) AS covered, CASE WHEN coalesce(sim, 0) >= CAST(0.15 AS FLOAT) THEN target END AS target FROM en LEFT JOIN best USING (l)""")
+def _(spark, d):
+    left, right = drift_tables(spark, d)
+    k = F.col("doc_id") % 3
+    plain = F.regexp_replace("text", r"[./()'\"!,]", " ")
+    entries = left.select("id", F.when(k == 2, "user").when(k == 1, "feedback").otherwise("project").alias("kind"), F.when(k == 1, F.lit("git push")).otherwise("").alias("description"), plain.alias("body"))
+    told = drift.notes(entries.withColumn("body", F.col("body")), right.withColumn("text", F.col("text")))
+    return told.select("id", "bucket", "covered", "target")
+
+
+@query("d5_decision_drift", f"""WITH {DRIFT}, al AS (SELECT l, doc_id, text FROM en WHERE doc_id % 5 <> 0), {best_sql('al', 'rt')}
+SELECT l AS id, CASE WHEN doc_id % 5 = 1 AND 'b' || (doc_id % 45) IN (SELECT target FROM rt) THEN 'covered' WHEN sim >= CAST(0.15 AS FLOAT) THEN 'likely' ELSE 'uncovered' END AS state,
+  CASE WHEN doc_id % 5 = 1 AND 'b' || (doc_id % 45) IN (SELECT target FROM rt) THEN 'b' || (doc_id % 45) WHEN sim >= CAST(0.15 AS FLOAT) THEN target END AS target FROM al LEFT JOIN best USING (l)""")
+def _(spark, d):
+    left, right = drift_tables(spark, d)
+    k = F.col("doc_id") % 5
+    named = F.when(k == 1, F.array(F.concat(F.lit("b"), F.col("doc_id") % 45))).otherwise(F.array().cast("array<string>"))
+    return drift.decisions(left.select("id", F.when(k == 0, "superseded").otherwise("accepted").alias("status"), named.alias("enforces"), "text"), right).select("id", "state", "target")
+
+
+@query("d6_guidance_drift", f"""WITH {DRIFT}, {best_sql('en', 'rt')} SELECT l AS id, target, coalesce(sim >= CAST(0.15 AS FLOAT), false) AS covered FROM en LEFT JOIN best USING (l)""")
+def _(spark, d):
+    left, right = drift_tables(spark, d)
+    return drift.guidance(left.select("id", "text"), right).select("id", "target", "covered")
+
+
+@query("d7_code_drift", """WITH b AS (SELECT p_brand AS rule, p_name AS symbol, list_sort(list(DISTINCT p_type)) AS was FROM part GROUP BY ALL), n AS (SELECT p_name AS symbol, list_sort(list(DISTINCT p_type || '-x')) AS now FROM part WHERE p_size > 30 GROUP BY 1)
+SELECT 'code' AS family, rule, symbol, CASE WHEN now IS NULL THEN 'stale' ELSE 'moved' END AS state, coalesce(array_to_string(now, ','), '') AS now_at FROM b LEFT JOIN n USING (symbol)""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    b = p.groupBy(F.col("p_brand").alias("rule"), F.col("p_name").alias("symbol")).agg(F.array_sort(F.collect_set("p_type")).alias("bound_to")).withColumn("stale_at", F.lit(None).cast("int"))
+    defs = p.where("p_size > 30").select(F.col("p_name").alias("symbol"), F.concat("p_type", F.lit("-x")).alias("path"))
+    return drift.code(graph.reconcile(b, defs, NOW))
+
+
+@query("a20_drift_totals", """WITH s AS (SELECT 'src' || i AS family, i <> 3 AS available FROM range(25) t(i))
+SELECT family, available, CASE WHEN available THEN (SELECT count(*) FROM documents WHERE source = family AND lang = 'en') END AS n FROM s""")
+def _(spark, d):
+    items = table(spark, d, "documents").select(F.col("source").alias("family"), (F.col("lang") != "en").alias("personal"))
+    return drift.totals(items, spark.range(25).select(F.concat(F.lit("src"), "id").alias("family"), (F.col("id") != 3).alias("available")))
+
+
+# ---------------------------------------------------------------- logs and journals
+
+@query("o4_newest_rows", f"WITH {L} SELECT seq FROM lg WHERE kind = 'check' AND tool = 't1' ORDER BY ts DESC LIMIT 20")
+def _(spark, d):
+    return stats.newest(action_log(spark, d), 20, kind="check", tool="t1").select("seq")
+
+
+@query("a10_counter_sums", f"WITH {L} SELECT phase, tool, CAST(sum(k) AS BIGINT) AS k, count(*) AS n FROM lg GROUP BY ALL")
+def _(spark, d):
+    return stats.sums(action_log(spark, d), ["phase", "tool"], "k")
+
+
+@query("a28_theme_report", f"""WITH {L}, x AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'k1' ELSE 'k2' END AS kalpa FROM lg WHERE kind = 'lifecycle')
+SELECT count(*) AS events, count(DISTINCT sid) AS sessions, count(*) FILTER (event = 'commit') AS commits, false AS start_retained FROM x WHERE kalpa = 'k1'""")
+def _(spark, d):
+    log = action_log(spark, d).withColumn("kalpa", F.when(F.col("k") % 3 == 0, "k1").otherwise("k2"))
+    return stats.kalpa_report(log, "k1").select("events", "sessions", "commits", "start_retained")
+
+
+@query("o11_activity", """SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_linenumber = 1 ORDER BY l_orderkey % 2 = 1 DESC, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_orderkey DESC, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR) LIMIT 50""")
+def _(spark, d):
+    flag = F.col("l_returnflag")
+    items = table(spark, d, "lineitem").where("l_linenumber = 1").select(
+        F.col("l_partkey").cast("string").alias("rule_id"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_orderkey").alias("ts"), F.when(flag == "R", "block").when(flag == "A", "warn").otherwise("log").alias("severity"),
+        (F.col("l_orderkey") % 2 == 1).alias("is_newest"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), flag.alias("f"))
+    return stats.activity(items, 50).select("k", "n", "f")
+
+
+@query("n7_running_known", """WITH j AS (SELECT 's' || (user_id % 20) AS subject, event_type || (event_id % 40) AS key, event_id AS seq FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY subject, key ORDER BY seq) = 1 AS new FROM j)
+SELECT subject, seq, CAST(sum(CAST(new AS INT)) OVER (PARTITION BY subject ORDER BY seq) AS BIGINT) AS known FROM f""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(F.concat(F.lit("s"), F.col("user_id") % 20).alias("subject"), F.concat("event_type", F.col("event_id") % 40).alias("key"), F.col("event_id").alias("seq"))
+    return outcomes.running_known(rows).select("subject", "seq", "known")
+
+
+@query("sc_graded", f"WITH {J} SELECT seq, CASE WHEN k % 5 = 1 OR k % 3 = 1 THEN 'fail' WHEN k % 3 = 0 OR k % 5 = 2 THEN 'pass' ELSE 'unknown' END AS outcome FROM j")
+def _(spark, d):
+    k = F.col("k")
+    code = F.when(k % 3 == 0, 0).when(k % 3 == 1, 2)
+    return journal(spark, d).select("seq", outcomes.graded(code, F.when(k % 5 == 2, True), k % 5 == 1).alias("outcome"))
+
+
+@query("s20_toolchain_layers", "SELECT * FROM (VALUES ('cargo-test', 'project'), ('pytest', 'builtin'), ('go-test', 'pack'), ('make', 'builtin'), ('cargo-build', 'builtin'), ('mine', 'project')) t(id, layer)")
+def _(spark, d):
+    pack = outcomes.definitions('{"toolchains":[{"id":"go-test","command":"^go test","kind":"pack"}]}')
+    project = outcomes.definitions('{"toolchains":[{"id":"cargo-test","command":"^cargo test","kind":"project"},{"id":"mine","command":"^mine","kind":"project"}]}')
+    found = outcomes.registry(outcomes.BUILTIN, pack, project)
+    return lit_rows(spark, [(t.id, t.kind if t.kind in ("pack", "project") else "builtin") for t in found], "id string, layer string")
+
+
+@query("f12_sections", """SELECT s_suppkey AS subject, 2 + s_suppkey % 3 + s_nationkey AS passed, s_suppkey % 2 AS failed FROM supplier""")
+def _(spark, d):
+    tool = outcomes.Toolchain("x", "^x", None, None, (r"ran (\d+)",), (r"lost (\d+)",), modes=("sum", "sum"), section=r"(?m)^== suite .*$")
+    s = table(spark, d, "supplier")
+    text = F.concat(F.lit("ran 99 before\n== suite a\nran "), F.lit(2), F.lit("\n== suite b\nran "), F.col("s_suppkey") % 3, F.lit(" ran "), "s_nationkey", F.lit(" lost "), F.col("s_suppkey") % 2)
+    runs = s.select(F.col("s_suppkey").alias("subject"), F.lit("x y").alias("command"), text.alias("output"), F.lit(0).alias("command_exit"))
+    return outcomes.evaluate(runs, [tool]).select("subject", "passed", "failed")
+
+
+@query("w12_selectors", "SELECT * FROM (VALUES ('error', NULL), ('module:m1', NULL), ('lifecycle:stop', NULL), ('nope', 'WindowError'), ('module:zz', 'WindowError')) t(selector, refused)")
+def _(spark, d):
+    def refused(s):
+        try:
+            journey.check_selectors([s], ["error", "big"], ["m1"])
+        except journey.WindowError as e:
+            return type(e).__name__
+    return lit_rows(spark, [(s, refused(s)) for s in ("error", "module:m1", "lifecycle:stop", "nope", "module:zz")], "selector string, refused string")
+
+
+@query("w13_tagging", f"WITH {J} SELECT seq, CASE WHEN big THEN array_to_string(list_sort([tag, 'loud']), ',') ELSE tag END AS tags FROM j")
+def _(spark, d):
+    rows = journal(spark, d).select("seq", F.explode(F.array(F.col("event_type"), F.when(F.array_contains("tags", "big"), F.lit("loud")), F.col("event_type"))).alias("message")).where("message IS NOT NULL")
+    told = rows.select("seq", F.lit("tag").alias("action_type"), "message").unionByName(rows.select("seq", F.lit("log").alias("action_type"), F.lit("zzz").alias("message")))
+    return journey.tagged(told).select("seq", F.array_join("tags", ",").alias("tags"))
+
+
+@query("w15_interrupts", f"""WITH {J} SELECT seq, CASE WHEN k % 7 = 0 THEN 'transcript' WHEN tag = 'view' AND {NOW} - ts BETWEEN 0 AND 604800 THEN 'in_flight' WHEN k % 4 = 1 THEN 'open_turn' END AS evidence FROM j""")
+def _(spark, d):
+    j, k = journal(spark, d), F.col("k")
+    return j.select("seq", journey.interruption(F.when(k % 7 == 0, True), F.when(F.col("event_type") == "view", F.col("ts")), k % 4 == 1, NOW, 604800).alias("evidence"))
+
+
+@query("w16_in_flight", f"WITH {J} SELECT seq FROM j WHERE greatest({NOW} - ts, 0) <= 86400")
+def _(spark, d):
+    return journey.in_flight(journal(spark, d), NOW, 86400).select("seq")
+
+
+@query("w17_commits", """WITH r AS (SELECT event_id AS seq, user_id AS repo, event_id // 3 AS head, event_id % 5 = 0 AS failed, event_type = 'click' AS moves FROM events), w AS (SELECT *, lag(head) OVER (PARTITION BY repo ORDER BY seq) AS before FROM r)
+SELECT seq, repo FROM w WHERE head <> before AND NOT failed AND moves""")
+def _(spark, d):
+    i = F.col("event_id")
+    runs = table(spark, d, "events").select(i.alias("seq"), F.col("user_id").alias("repo"), F.expr("event_id div 3").alias("head"), F.when(i % 5 == 0, 1).alias("exit"), F.when(F.col("event_type") == "click", "git -C x commit -m y").otherwise("git log").alias("command"))
+    return journey.commits(runs).select("seq", "repo")
+
+
+@query("a29_attribution", f"""WITH {J} SELECT 'journey_count' AS predicate, 'error,1d' AS key, 'a,b' AS rules, count(*) FILTER (tag = 'error') AS n FROM j WHERE ts + 86400 >= {NOW} UNION ALL SELECT 'journey_seen', 'view,s', 'b', NULL WHERE EXISTS (SELECT 1 FROM j WHERE tag = 'view' AND sid = '7')""")
+def _(spark, d):
+    asked = [Rule("a", (cond("journey_count", "error", "1d", "?n"),), (warn("x"),)), Rule("b", (cond("journey_count", "error", "1d", "?n"), cond("journey_seen", "view", "s")), (warn("x"),))]
+    found = journey.attributed(journey.facts(journal(spark, d), asked, "7", NOW), asked)
+    return found.select("predicate", F.array_join(F.slice("args", 1, 2), ",").alias("key"), F.array_join("rules", ",").alias("rules"), F.try_element_at("args", F.lit(3)).cast("long").alias("n"))
+
+
+@query("j38_paired_stops", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS sid, event_id AS seq, event_type = 'signup' AS opens, CASE WHEN k % 2 = 0 THEN 'a' || (k % 4) END AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) WHERE event_type IN ('signup', 'error')),
+r AS (SELECT DISTINCT sid, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(seq BIGINT, agent VARCHAR)[]) AS open, CAST(NULL AS BIGINT) AS stop, CAST(NULL AS BIGINT) AS start FROM e
+  UNION ALL SELECT sid, n, CASE WHEN opens THEN list_append(open, {'seq': seq, 'agent': agent}) WHEN i IS NULL OR i = 0 THEN open ELSE list_concat(open[1:i - 1], open[i + 1:]) END, CASE WHEN NOT opens THEN seq END, CASE WHEN NOT opens AND i > 0 THEN open[i].seq END
+  FROM (SELECT e.sid, e.n, e.seq, e.opens, e.agent, r.open, CASE WHEN e.agent IS NULL THEN len(r.open) ELSE list_max(list_filter(range(1, len(r.open) + 1), lambda x: r.open[x].agent = e.agent)) END AS i FROM r JOIN e ON e.sid = r.sid AND e.n = r.n + 1))
+SELECT sid, stop, start FROM r WHERE stop IS NOT NULL""")
+def _(spark, d):
+    event = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "stop")
+    rows = journal(spark, d).select("sid", "seq", event.alias("event"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("a"), F.col("k") % 4)).alias("agent"))
+    return journey.paired_stops(rows.where("event IS NOT NULL"))
+
+
+# ---------------------------------------------------------------- context and capsules
+
+@query("o6_budget_packing", """WITH RECURSIVE i AS (SELECT doc_id // 25 AS g, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id) AS n, doc_id, coalesce(lang, 'und') AS kind, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size FROM documents),
+r AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS en, CAST(0 AS BIGINT) AS fr, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS why FROM i
+  UNION ALL SELECT g, n, CASE WHEN why IS NULL THEN used + size ELSE used END, CASE WHEN why IS NULL AND kind = 'en' THEN en + size ELSE en END, CASE WHEN why IS NULL AND kind = 'fr' THEN fr + size ELSE fr END, doc_id, size, kind, why
+  FROM (SELECT i.g, i.n, r.used, r.en, r.fr, i.doc_id, i.size, i.kind, CASE WHEN i.kind = 'en' AND r.en + i.size > 12000 THEN 'kind_ceiling' WHEN i.kind = 'fr' AND r.fr + i.size > 3000 THEN 'kind_ceiling'
+    WHEN r.used + i.size > 30000 THEN 'byte_capacity' WHEN (r.used + i.size + 2) // 3 > 9500 THEN 'token_capacity' END AS why FROM r JOIN i ON i.g = r.g AND i.n = r.n + 1)),
+left_out AS (SELECT g, doc_id, size, row_number() OVER (PARTITION BY g ORDER BY n) AS m FROM r WHERE why = 'kind_ceiling'), total AS (SELECT g, max(used) AS used FROM r GROUP BY 1),
+s AS (SELECT g, CAST(0 AS BIGINT) AS m, used, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS why FROM total
+  UNION ALL SELECT g, m, CASE WHEN why IS NULL THEN used + size ELSE used END, doc_id, why FROM (SELECT s.g, l.m, s.used, l.doc_id, l.size, CASE WHEN s.used + l.size > 30000 THEN 'byte_capacity' WHEN (s.used + l.size + 2) // 3 > 9500 THEN 'token_capacity' END AS why FROM s JOIN left_out l ON l.g = s.g AND l.m = s.m + 1))
+SELECT doc_id, why AS omitted FROM r WHERE doc_id IS NOT NULL AND why IS DISTINCT FROM 'kind_ceiling' UNION ALL SELECT doc_id, why FROM s WHERE doc_id IS NOT NULL""")
+def _(spark, d):
+    items = table(spark, d, "documents").select(F.expr("doc_id div 25").alias("group"), F.col("doc_id").alias("ord"), F.coalesce("lang", F.lit("und")).alias("kind"),
+                                                F.col("doc_id").cast("string").alias("stable_id"), F.coalesce("text", F.lit("")).alias("body"), F.lit(None).cast("long").alias("max_bytes"))
+    return context.pack(items, 30_000, 9_500, {"en": 12_000, "fr": 3_000}).select(F.col("ord").alias("doc_id"), "omitted")
+
+
+@query("o7_nudge_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id % 5 DESC, coalesce(strlen(text), 0), lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS n FROM documents")
+def _(spark, d):
+    items = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).alias("priority"), F.coalesce("text", F.lit("")).alias("body"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("stable_id"))
+    return context.numbered(context.nudge_order(items), "n").select("doc_id", "n")
+
+
+@query("o8_capsule_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey % 4 DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'P'")
+def _(spark, d):
+    capsules = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_custkey") % 4).alias("priority"), F.col("o_orderkey").alias("emitted_at"))
+    return context.numbered(context.capsule_order(capsules), "n").select("o_orderkey", "n")
+
+
+CAPS = """cp AS (SELECT event_id AS id, user_id AS sid, event_id % 7 AS e, CASE WHEN event_id % 4 = 0 THEN 'persistent' ELSE 'next_interaction' END AS life, CASE WHEN event_id % 5 = 0 THEN 100 WHEN event_id % 5 = 1 THEN 900 END AS expires, event_id % 6 = 0 AS ack, CASE WHEN event_id % 3 = 0 THEN event_id % 2 * 800 END AS lease FROM events)"""
+
+
+def capsules(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").select(i.alias("id"), F.col("user_id").cast("string").alias("session_id"), F.when(i % 4 == 0, "persistent").otherwise("next_interaction").alias("lifecycle"),
+                                            F.when(i % 5 == 0, 100).when(i % 5 == 1, 900).alias("expires_at"), F.when(i % 6 == 0, True).alias("acknowledged"), F.when(i % 3 == 0, i % 2 * 800).alias("lease_until"), F.lit(None).cast("string").alias("lease_token"))
+
+
+@query("w18_eligible_capsules", f"WITH {CAPS} SELECT id FROM cp WHERE (expires IS NULL OR 500 <= expires) AND NOT ack AND (lease IS NULL OR 500 >= lease) AND (life = 'persistent' OR sid = 7)")
+def _(spark, d):
+    return context.eligible(capsules(spark, d), "7", 500).select("id")
+
+
+@query("k7_lease_and_ack", f"WITH {CAPS} SELECT id, life AS lifecycle, CASE WHEN e = 3 THEN 1000 ELSE lease END AS lease_until, ack OR e = 3 AS acknowledged FROM cp WHERE NOT (e = 3 AND life = 'next_interaction')")
+def _(spark, d):
+    c = capsules(spark, d)
+    held = context.leased(c, c.where("id % 7 = 3").select("id"), "tok", 1000)
+    return context.acknowledged(held, "tok").select("id", "lifecycle", "lease_until", "acknowledged")
+
+
+@query("w19_emit_admission", """WITH n AS (SELECT c_custkey AS id, c_nationkey AS owner, (c_custkey * 37) % 9000 AS size, c_custkey % 3 AS k FROM customer)
+SELECT id, CASE WHEN k = 1 AND owner <> 3 THEN 'owner_conflict' WHEN size > 8192 THEN 'record_too_large' WHEN k = 1 THEN 'replaced' ELSE 'stored' END AS outcome FROM n""")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    new = c.select(F.col("c_custkey").alias("store"), F.lit(1).alias("ord"), F.lit("c").alias("id"), F.col("c_nationkey").cast("string").alias("emitted_by"), (F.col("c_custkey") * 37 % 9000).cast("long").alias("size"), F.lit(10).alias("priority"))
+    held = c.where("c_custkey % 3 = 1").select(F.col("c_custkey").alias("store"), F.lit("c").alias("id"), F.lit("3").alias("emitted_by"), F.lit(5).cast("long").alias("size"))
+    return context.emitted(held, new).select(F.col("store").alias("id"), "outcome")
+
+
 del _

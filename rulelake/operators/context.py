@@ -78,6 +78,19 @@ def capsule_order(capsules: DataFrame) -> DataFrame:
     return capsules.orderBy(F.desc("priority"), "emitted_at")
 
 
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """An ordered table with each row's place from 1: rows are counted by partition, so that none of them orders all."""
+    from pyspark.sql import Window
+
+    told = ordered.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+    from ..plans.tables import cut
+
+    told = cut(told)  # the ids must not change between the two uses
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    base = told.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first")).select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return told.join(F.broadcast(base), "__part").withColumn(name, F.col("__at") - F.col("__first") + F.col("__base") + 1).drop("__part", "__at", "__first", "__base")
+
+
 def eligible(capsules: DataFrame, sid: str, now: int) -> DataFrame:
     """Capsules that may be shown now: not expired, acknowledged or leased, and of this session unless persistent."""
     alive = F.col("expires_at").isNull() | (F.lit(now) <= F.col("expires_at"))
@@ -119,3 +132,16 @@ def emit(store: Sequence[dict], new: Sequence[dict]) -> list[tuple[str, str]]:
             out.append((c["id"], "replaced" if old else "stored"))
             held[c["id"]], total = c, grown
     return out
+
+
+def emitted(held: DataFrame, new: DataFrame) -> DataFrame:
+    """emit() for many stores: held capsules (store, id, emitted_by, size) and new ones (store, ord, id, emitted_by, size,
+    priority) with their outcome. A store is bounded by its limits, and its new capsules are taken in order in one task."""
+    def run(key, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+        one = lambda r, **more: {"id": r.id, "emitted_by": r.emitted_by, "body": "x" * int(min(r.size, RECORD_BYTES + 1)), **more}
+        fresh = fresh.sort_values(["ord", "id"])
+        told = emit([one(r) for r in stored.itertuples(index=False, name="R")],
+                    [one(r, priority=r.priority) for r in fresh.itertuples(index=False, name="R")])
+        return pd.DataFrame({"store": fresh["store"].to_numpy(), "ord": fresh["ord"].to_numpy(), "id": fresh["id"].to_numpy(), "outcome": [o for _, o in told]})
+    shape = ", ".join(f"{c} {t}" for c, t in new.select("store", "ord", "id").dtypes) + ", outcome string"
+    return held.groupBy("store").cogroup(new.groupBy("store")).applyInPandas(run, shape)

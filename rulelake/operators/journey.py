@@ -232,6 +232,13 @@ def in_flight(events: DataFrame, now: int, ttl: int = 900) -> DataFrame:
     return events.where(F.greatest(F.lit(now) - F.col("ts"), F.lit(0)) <= ttl)
 
 
+def interruption(marked: Column, in_flight_since: Column, open_turn: Column, now: int, ttl: int = 900) -> Column:
+    """What shows that a turn was interrupted, the strongest first: a mark in the transcript, a call that is still in
+    flight, a turn that was never closed; null if nothing does."""
+    live = F.lit(now) - in_flight_since
+    return F.when(F.coalesce(marked, F.lit(False)), "transcript").when(F.coalesce((live >= 0) & (live <= ttl), F.lit(False)), "in_flight").when(F.coalesce(open_turn, F.lit(False)), "open_turn")
+
+
 def commits(runs: DataFrame) -> DataFrame:
     """Runs (repo, seq, head, exit, command) after which the head differs, ended well, by a command that can move it."""
     before = F.lag("head").over(Window.partitionBy("repo").orderBy("seq"))

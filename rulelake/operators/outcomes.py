@@ -20,6 +20,8 @@ class Toolchain:
     passed: tuple[str, ...] = ()
     failed: tuple[str, ...] = ()
     kind: str = "test"
+    modes: tuple[str, str] = ("sum", "sum")  # how passed and failed are read: the sum of all matches, or the first
+    section: str | None = None  # only what follows the first match of this is read for counts
 
 
 #: Built-in definitions: patterns of public tools' summaries.
@@ -40,6 +42,26 @@ def registry(*layers: Sequence[Toolchain]) -> list[Toolchain]:
     return list(out.values())
 
 
+def definitions(text: str) -> tuple[Toolchain, ...]:
+    """Toolchains of a JSON document {"toolchains": [...]}; unknown keys and patterns that do not compile are errors."""
+    import json
+    import re
+
+    out = []
+    for entry in json.loads(text)["toolchains"]:
+        if extra := set(entry) - set(Toolchain.__dataclass_fields__):
+            raise ValueError(f"unknown keys {sorted(extra)}")
+        entry = {k: tuple(v) if isinstance(v, list) else v for k, v in entry.items()}
+        tool = Toolchain(**entry)
+        for pattern in (tool.command, tool.success, tool.failure, tool.section, *tool.passed, *tool.failed):
+            if pattern is not None:
+                re.compile(pattern)
+        if not set(tool.modes) <= {"sum", "first"}:
+            raise ValueError(f"unknown modes {tool.modes}")
+        out.append(tool)
+    return tuple(out)
+
+
 def graded(exit_code: Column, success: Column, failure: Column) -> Column:
     """pass, fail or unknown: failure evidence or an exit other than 0 fails; exit 0 or success evidence without either
     passes; nothing known is unknown."""
@@ -47,12 +69,13 @@ def graded(exit_code: Column, success: Column, failure: Column) -> Column:
     return F.when(bad | (F.coalesce(exit_code, F.lit(0)) != 0), "fail").when((exit_code == 0) | good, "pass").otherwise("unknown")
 
 
-def summed(output: Column, patterns: Sequence[str]) -> Column:
-    """The sum of all matches of the first pattern that matches; null if none does."""
+def summed(output: Column, patterns: Sequence[str], mode: str = "sum") -> Column:
+    """The sum of all matches (or the first) of the first pattern that matches; null if none does."""
     out = []
     for p in patterns:
         found = F.regexp_extract_all(output, F.lit(p), F.lit(1))
-        out.append(F.when(F.size(found) > 0, F.aggregate(found, F.lit(0).cast("long"), lambda acc, x: acc + x.try_cast("long"))))
+        taken = F.slice(found, 1, 1) if mode == "first" else found
+        out.append(F.when(F.size(found) > 0, F.aggregate(taken, F.lit(0).cast("long"), lambda acc, x: acc + x.try_cast("long"))))
     return F.coalesce(*out) if out else F.lit(None).cast("long")
 
 
@@ -64,11 +87,12 @@ def evaluate(runs: DataFrame, toolchains: Sequence[Toolchain] = BUILTIN) -> Data
     pick = lambda f: F.element_at(F.array(*[f(t) for t in toolchains]), F.col("__t") + 1)
     hit = lambda p: output.rlike(p) if p else F.lit(False)
     rows = runs.withColumn("__t", known).where("__t IS NOT NULL")
-    passed = pick(lambda t: summed(output, t.passed))
+    told = lambda t: output if t.section is None else F.regexp_replace(output, "(?s)^.*?(?=" + t.section + ")", "")
+    passed = pick(lambda t: summed(told(t), t.passed, t.modes[0]))
     return rows.withColumns({
         "tool": pick(lambda t: F.lit(t.id)), "kind": pick(lambda t: F.lit(t.kind)),
         "outcome": pick(lambda t: graded(code, hit(t.success), hit(t.failure))), "passed": passed,
-        "failed": F.when(passed.isNotNull(), F.coalesce(pick(lambda t: summed(output, t.failed)), F.lit(0)))}).drop("__t")
+        "failed": F.when(passed.isNotNull(), F.coalesce(pick(lambda t: summed(told(t), t.failed, t.modes[1])), F.lit(0)))}).drop("__t")
 
 
 def latest(signals: DataFrame) -> DataFrame:
