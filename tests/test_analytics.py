@@ -297,7 +297,8 @@ def test_packing_is_greedy(spark):
     assert context.admit([("a", 60, None), ("a", 50, None), ("b", 30, None), ("b", 9, 8)], 100, 100, {}) == [None, "byte_capacity", None, "kind_ceiling"]
     assert context.admit([("a", 10, None)] * 3, 100, 100, {"a": 20}) == [None, None, None]  # what is left goes to those over their ceiling
     assert context.admit([("a", 10, None)] * 3 + [("b", 80, None)], 100, 100, {"a": 20}) == [None, None, "byte_capacity", None]
-    assert context.admit([("a", 30, None), ("nudge", 60, None), ("a", 30, None), ("rule", 500, None)], 100, None, {"a": 40}) == [None, None, "displaced_by_nudge", None]
+    assert context.admit([("a", 30, None), ("nudge", 60, None), ("a", 30, None)], 100, None, {"a": 40}) == [None, None, "displaced_by_nudge"]
+    assert context.admit([("rule", 500, None), ("a", 30, None)], 600, None, {}) == [None, None]
     assert context.admit([("a", 10, None)], 100, 3, {}) == ["token_capacity"]
     items = spark.createDataFrame([("g", 1, "k", "i1", "x" * 60, None), ("g", 2, "k", "i2", "x" * 50, None), ("g", 3, "k", "i3", "é" * 15, None), ("h", 1, "k", "i4", "x" * 99, None)],
                                   "group string, ord int, kind string, stable_id string, body string, max_bytes long")
