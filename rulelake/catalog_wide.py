@@ -16,7 +16,7 @@ from .model import Action, Condition, Layer, PolicyError, Rule
 from .operators import audit, context, coverage, drift, facts, graph, journey, outcomes, properties, scrub, stats
 from .plans import guards, policy, rules
 from .sources import files as sources
-from .sources import stores
+from .sources import stores, syntax
 
 
 def lit_rows(spark, rows, schema):
@@ -890,4 +890,230 @@ def _(spark, d):
     return context.emitted(held, new).select(F.col("store").alias("id"), "outcome")
 
 
+# ---------------------------------------------------------------- source text
+
+def sources_of(spark, d):
+    """Python and Rust files that follow from parts and suppliers by rule."""
+    p, su = table(spark, d, "part"), table(spark, d, "supplier")
+    py = F.concat(F.lit("import os\n\ndef f"), "p_partkey", F.lit("(a, b="), F.when(F.col("p_size") % 3 == 0, "[]").otherwise("1"), F.lit("):\n    try:\n        print('def no(): clone()')\n    except"),
+                  F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(" ValueError"), F.lit(":\n        g"), F.col("p_partkey") % 10, F.lit("(a)\n"))
+    rs = F.concat(F.lit("use std::fs;\n"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("/// doc\n")).otherwise(""), F.lit("pub fn r"), "s_suppkey", F.lit("(x: &Vec<u8>) -> Result<(), String> {\n    // .clone()\n"),
+                  F.repeat(F.lit("    let y = x.clone();\n"), (F.col("s_suppkey") % 5).cast("int")), F.lit("    h(y)\n}\n#[cfg(test)]\nmod tests { fn t() { needle(); } }\n"))
+    return p.select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("file"), py.alias("text")).unionByName(su.select(F.concat(F.lit("s"), "s_suppkey", F.lit(".rs")).alias("file"), rs.alias("text")))
+
+
+PY = "SELECT 'p' || p_partkey || '.py' AS file, 'f' || p_partkey AS fn, p_size, p_partkey FROM part"
+RS = "SELECT 's' || s_suppkey || '.rs' AS file, 'r' || s_suppkey AS fn, s_suppkey AS k FROM supplier"
+
+
+@query("s24_syntax_facts", f"""WITH py AS ({PY}), rs AS ({RS}) SELECT file, 'python_mutable_default_arg' AS predicate, fn || ',b' AS args FROM py WHERE p_size % 3 = 0 UNION ALL SELECT file, 'python_bare_except', fn FROM py WHERE p_size % 2 = 0
+UNION ALL SELECT file, 'python_print_call', fn FROM py UNION ALL SELECT file, 'python_function_missing_docstring', fn FROM py UNION ALL SELECT file, 'function_returns_result_string', fn FROM rs UNION ALL SELECT file, 'function_param_type', fn || ',x,&Vec<u8>' FROM rs
+UNION ALL SELECT file, 'function_param_is_vec_ref', fn || ',x' FROM rs UNION ALL SELECT file, 'function_clone_count', fn || ',' || (k % 5) FROM rs WHERE k % 5 > 0 UNION ALL SELECT file, 'function_clone_count_high', fn || ',' || (k % 5) FROM rs WHERE k % 5 >= 4
+UNION ALL SELECT file, 'function_is_public', fn FROM rs UNION ALL SELECT file, 'pub_fn_without_doc_comment', fn FROM rs WHERE k % 2 <> 0""")
+def _(spark, d):
+    return syntax.ast_facts(sources_of(spark, d)).select("file", "predicate", F.array_join(F.slice("args", 2, 9), ",").alias("args"))
+
+
+@query("s23_graph_edges", f"""WITH py AS ({PY}), rs AS ({RS}) SELECT 'imports' AS p, file || ',os' AS a FROM py UNION ALL SELECT 'defines_fn', file || ',' || fn FROM py UNION ALL SELECT 'calls', file || ',' || fn || ',print' FROM py UNION ALL SELECT 'calls', file || ',' || fn || ',g' || (p_partkey % 10) FROM py
+UNION ALL SELECT 'imports', file || ',std::fs' FROM rs UNION ALL SELECT 'defines_fn', file || ',' || fn FROM rs UNION ALL SELECT 'calls', file || ',' || fn || ',clone' FROM rs WHERE k % 5 > 0 UNION ALL SELECT 'calls', file || ',' || fn || ',h' FROM rs
+UNION ALL SELECT 'defines_fn', file || ',t' FROM rs UNION ALL SELECT 'calls', file || ',t,needle' FROM rs""")
+def _(spark, d):
+    return syntax.graph_edges(sources_of(spark, d)).select("p", F.array_join("a", ",").alias("a"))
+
+
+@query("d1_ast_hits", f"""WITH py AS ({PY}) SELECT file, p AS predicate, 'r' AS rule_id FROM py, (VALUES ('python_bare_except'), ('python_mutable_default_arg')) t(p) WHERE p_size % 6 = 0""")
+def _(spark, d):
+    hits = audit.union_rule(syntax.ast_facts(sources_of(spark, d)), [("python_bare_except", ["?f", "?fn"]), ("python_mutable_default_arg", ["?f", "?fn", "?p"])])
+    return hits.select("file", "predicate", F.lit("r").alias("rule_id"))
+
+
+@query("p17_content_without_tests", f"""WITH py AS ({PY}), rs AS ({RS}) SELECT file, 'h(y)' AS pattern FROM rs UNION ALL SELECT file, 'print' FROM py""")
+def _(spark, d):
+    return audit.containing(audit.without_tests(sources_of(spark, d)), ["needle", "h(y)", "print"])
+
+
+@query("s23_symbols", f"""WITH py AS ({PY}), rs AS ({RS}) SELECT file, 'function' AS kind, fn AS name FROM py UNION ALL SELECT file, 'import', 'os' FROM py UNION ALL SELECT file, 'function', fn FROM rs UNION ALL SELECT file, 'import', 'std::fs' FROM rs""")
+def _(spark, d):
+    return sources.code_symbols(sources_of(spark, d))
+
+
+@query("d10_pack_facts", """SELECT 'r' AS rule_id, 'f' || l_suppkey || '.go' AS file, l_linenumber AS line FROM lineitem a WHERE l_returnflag = 'R' AND l_suppkey % 3 = 0 AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_suppkey = a.l_suppkey AND b.l_partkey = a.l_partkey AND b.l_returnflag = 'A') GROUP BY ALL""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    f = li.where("l_returnflag IN ('R', 'A')").select(F.concat(F.lit("f"), "l_suppkey", F.lit(".go")).alias("file"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "opens").otherwise("closes").alias("predicate"), F.array(F.col("l_partkey").cast("string")).alias("args"))
+    tree = li.select(F.concat(F.lit("f"), "l_suppkey", F.lit(".go")).alias("file"), F.concat(F.lit("k"), F.col("l_suppkey") % 3).alias("text")).distinct()
+    return audit.pack_rule(f, tree, "r", [("opens", ["?x"]), ("closes", ["?x"])], ext="go", content="k0")
+
+
+@query("s25_pack_records", """SELECT n_nationkey AS key, CASE WHEN n_regionkey = 4 THEN NULL ELSE 'symbol' END AS kind, CASE WHEN n_regionkey = 4 THEN NULL ELSE n_name || i END AS name, CASE WHEN n_regionkey = 4 THEN 'ProviderError' END AS error
+FROM nation, range(2) t(i) WHERE n_regionkey < 4 OR i = 0""")
+def _(spark, d):
+    captures = table(spark, d, "nation").select(F.col("n_nationkey").alias("file"), F.to_json(F.struct("n_name", "n_regionkey")).alias("captures"))
+
+    def adapter(c):
+        return [{"kind": "symbol" if c["n_regionkey"] < 4 else "other", "name": f"{c['n_name']}{i}"} for i in range(2)]
+    found = udf.adapt(captures, adapter, ["symbol", "reference"])
+    return found.select(F.col("key").cast("int").alias("key"), "kind", F.col("fields")["name"].alias("name"), F.regexp_extract("error", r"^(\w+)", 1).alias("error")).withColumn("error", F.when(F.col("error") != "", F.col("error")))
+
+
+@query("f7_adapter_limit", "SELECT n_nationkey AS key, n_regionkey > 2 AS refused, CASE WHEN n_regionkey > 2 THEN 1 ELSE 5 * (1 + n_regionkey) END AS rows FROM nation")
+def _(spark, d):
+    captures = table(spark, d, "nation").select(F.col("n_nationkey").alias("file"), F.to_json(F.struct("n_regionkey")).alias("captures"))
+    found = udf.adapt(captures, lambda c: [{"kind": "k"}] * (5 * (1 + c["n_regionkey"])), ["k"], most=15)
+    return found.groupBy(F.col("key").cast("int").alias("key")).agg(F.bool_or(F.col("error").isNotNull()).alias("refused"), F.count("*").cast("int").alias("rows"))
+
+
+@query("n4_previous_line", r"""WITH f AS (SELECT 'p' || p_partkey AS file, p_size FROM part) SELECT file, 4 AS line_no, CASE p_size % 3 WHEN 0 THEN '/// doc' WHEN 1 THEN 'x' END AS previous FROM f""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    head = F.when(F.col("p_size") % 3 == 0, "/// doc").when(F.col("p_size") % 3 == 1, " x ").otherwise("")
+    t = p.select(F.concat(F.lit("p"), "p_partkey").alias("file"), F.concat(head, F.lit("\n#[attr]\n  \nhit")).alias("text"))
+    return audit.previous_line(audit.lines(t)).where("line = 'hit'").select("file", "line_no", "previous")
+
+
+@query("p25_suppressed_hits", """SELECT 'p' || p_partkey AS file, CAST(3 AS INT) AS line_no FROM part WHERE p_size % 3 <> 0 AND p_partkey % 5 <> 0""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    t = p.select(F.concat(F.lit("p"), "p_partkey").alias("file"), F.concat(F.when(F.col("p_size") % 3 == 0, "/// ok").otherwise("let y;"), F.lit("\n#[x]\nbad")).alias("text"))
+    found = audit.hits(t, lit_rows(spark, [("r", "warn", "bad", None, None, None)], "rule_id string, level string, needle string, path_part string, ext string, min_lines int"))
+    exempt = p.where("p_partkey % 5 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("file"), F.lit("r").alias("rule_id"))
+    return audit.not_exempt(audit.not_documented(found, audit.lines(t)), exempt).select("file", "line_no")
+
+
+@query("p19_commands", """SELECT event_id, event_id % 4 IN (0, 3) AS raw_hit, event_id % 4 = 0 AS code_hit, CASE event_id % 4 WHEN 0 THEN 'ls|git push -f' WHEN 1 THEN 'echo|x' WHEN 2 THEN 'cat' ELSE 'cat|git push' END AS parts FROM events""")
+def _(spark, d):
+    i = F.col("event_id") % 4
+    line = F.when(i == 0, "A=1 ls && git  push -f").when(i == 1, "echo 'git push'; x").when(i == 2, "cat # git push").otherwise("cat <<EOF\ngit push\nEOF")
+    rows = table(spark, d, "events").select("event_id", line.alias("c"))
+    told = F.transform(T.segments(F.regexp_replace("c", "(?s)<<EOF", "")), lambda s: F.regexp_replace(s, r"\s+", " "))
+    parts = F.filter(F.transform(told, lambda s: F.regexp_replace(s, "^echo .*$", "echo")), lambda s: s != "EOF")
+    return rows.select("event_id", T.command_matches(F.col("c"), "git push", in_code=False).alias("raw_hit"), T.command_matches(F.col("c"), "git push").alias("code_hit"), F.array_join(parts, "|").alias("parts"))
+
+
+@query("p30_paths", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'a/' || s_name WHEN 1 THEN '/r/' || s_name WHEN 2 THEN '../' || s_name ELSE s_name END AS path FROM supplier""")
+def _(spark, d):
+    k, n = F.col("s_suppkey") % 4, F.col("s_name")
+    raw = F.when(k == 0, F.concat(F.lit("./a//b/../"), n, F.lit("/"))).when(k == 1, F.concat(F.lit("\\r\\.\\"), n)).when(k == 2, F.concat(F.lit("x/../../"), n)).otherwise(n)
+    return table(spark, d, "supplier").select("s_suppkey", T.normalised_path(raw).alias("path"))
+
+
+# ---------------------------------------------------------------- callees
+
+def callee_case(spark):
+    calls = lit_rows(spark, [(1, "calls", "f", "p::m::go", "@bin:tool", None, False), (2, "calls", "f", "p::m::go", "@bin:none", None, False), (3, "calls", "f", "p::m::go", "@extern:std::fs::write", None, False),
+                             (4, "calls", "f", "p::m::go", "@path:p::a|p::z:run", None, False), (5, "calls", "f", "p::m::go", "@path:p::a|p::b:run", None, False), (6, "calls", "f", "p::m::go", "@path:p::re:run", None, False),
+                             (7, "calls", "f", "p::m::go", "p::a::run", None, False), (8, "calls", "f", "p::m::T::x", "step", "T", True), (9, "calls", "f", "p::m::go", "step", None, True), (10, "calls", "f", "p::m::go", "missing", None, False),
+                             (11, "calls", "f", "p::m::go", "here", None, False), (12, "calls", "f", "p::b::q", "here", None, False), (13, "tested_by", "f", "p::m::go", "here", None, False), (14, "calls", "f", "p::m::go", "act", "Doer", True),
+                             (15, "calls", "f", "p::m::go", "@path:p::re2:walk", None, False), (16, "calls", "f", "p::m::go", "step", "p::n::T<u8>", True)],
+                     "edge int, p string, src string, caller string, callee string, receiver string, is_method boolean")
+    defs = lit_rows(spark, [("p::tool::main", "p::tool", None, True), ("p::a::run", "p::a", None, True), ("p::b::run", "p::b", None, True), ("p::m::go", "p::m", None, True), ("p::m::T::step", "p::m", "p::m::T", True), ("p::n::T::step", "p::n", "p::n::T", True),
+                            ("p::m::T::x", "p::m", "p::m::T", True), ("p::m::here", "p::m", None, False), ("p::m::W::act", "p::m", "p::m::W", True), ("p::a::walk", "p::a", None, True)], "fn string, module string, owner string, production boolean")
+    imports = lit_rows(spark, [("p::m", "p::n")], "from string, to string")
+    bins = lit_rows(spark, [("p", "tool", "p::tool::main")], "package string, name string, main string")
+    reexports = lit_rows(spark, [("p::re", None, "p::a"), ("p::re2", "walk", "p::a"), ("p::re2", "other", "p::b")], "module string, item string, target string")
+    impls = lit_rows(spark, [("p::m::W", "Doer")], "owner string, trait string")
+    return graph.resolve_callees(calls, defs, imports, bins, reexports, None, impls)
+
+
+@query("j16_callees", """SELECT * FROM (VALUES (1, 'p::tool::main', 'resolved'), (2, NULL, 'unresolved'), (3, NULL, 'unresolved'), (4, 'p::a::run', 'resolved'), (5, NULL, 'ambiguous'), (6, 'p::a::run', 'resolved'), (7, 'p::a::run', 'resolved'),
+  (8, 'p::m::T::step', 'resolved'), (9, NULL, 'unresolved'), (10, NULL, 'unresolved'), (11, 'p::m::here', 'resolved'), (12, NULL, 'unresolved'), (13, NULL, 'unresolved'), (14, 'p::m::W::act', 'resolved'), (15, 'p::a::walk', 'resolved'), (16, 'p::n::T::step', 'resolved')) t(edge, target, outcome)""")
+def _(spark, d):
+    return callee_case(spark).select("edge", "target", "outcome")
+
+
+# ---------------------------------------------------------------- scalars and functions
+
+@query("sc_strings", """SELECT doc_id, CASE WHEN length(text) > 12 THEN text[1:12] || '…[' || (length(text) - 12) || ' more chars redacted]' ELSE text END AS shown, CASE WHEN length(text) > 20 THEN text[1:20] || '…' ELSE text END AS shortened,
+  (length(text) - length(replace(text, 'th', ''))) // 2 AS n, list_extract(string_split(source || '::' || lang, '::'), -1) AS leaf FROM documents WHERE text IS NOT NULL""")
+def _(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", T.shown(F.col("text")).alias("shown"), T.shortened(F.col("text"), 20).alias("shortened"), T.occurrences(F.col("text"), F.lit("th")).alias("n"), T.leaf(F.concat_ws("::", "source", "lang")).alias("leaf"))
+
+
+@query("sc_triggers", "SELECT p_partkey, p_size % 5 IN (0, 1, 2) AS hit FROM part")
+def _(spark, d):
+    text = F.element_at(F.array(*map(F.lit, ("Run GIT push now", "look at lib.rs, please", "every function needs docs", "be nice", "functions are nice"))), (F.col("p_size") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", drift.has_trigger(text).alias("hit"))
+
+
+@query("sc_segments", "SELECT event_id, 'git add|cargo test -q|ls' AS parts FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(T.segments(F.lit("X=1 git add && cargo test -q; ls # no | more")), "|").alias("parts"))
+
+
+@query("sc_hashes", """SELECT c_custkey, substr(sha256(trim(c_name || chr(10) || 'x')), 1, 12) AS anchor, 'n:' || replace(replace(c_name || '%:', '%', '%25'), ':', '%3A') || CASE WHEN c_custkey % 3 > 0 THEN '#' || (c_custkey % 3) ELSE '' END AS id FROM customer""")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    ident = F.regexp_replace(T.fact_id(F.lit("n"), F.concat("c_name", F.lit("%:")), F.array().cast("array<string>"), F.col("c_custkey") % 3), "^n:", "n:")
+    return c.select("c_custkey", T.anchor(F.concat(F.lit("  "), "c_name", F.lit("\r\nx "))).alias("anchor"), ident.alias("id"))
+
+
+@query("sc_fnv", "SELECT * FROM (VALUES ('', 'cbf29ce484222325'), ('a', 'af63dc4c8601ec8c'), ('foobar', '85944171f73967e8')) t(text, hash)")
+def _(spark, d):
+    return lit_rows(spark, [("",), ("a",), ("foobar",)], "text string").select("text", T.fnv1a64(F.col("text")).alias("hash"))
+
+
+@query("sc_json", """SELECT c_custkey, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_name || '|' || c_mktsegment AS strings FROM customer""")
+def _(spark, d):
+    doc = F.to_json(F.struct(F.struct(F.col("c_name").alias("a/b"), F.array("c_nationkey").alias("~x")).alias("in"), F.array(F.struct(F.col("c_mktsegment").alias("s"))).alias("list")))
+    c = table(spark, d, "customer").select("c_custkey", doc.alias("j"))
+    return c.select("c_custkey", T.pointer(F.col("j"), "/in/a~1b").alias("name"), T.pointer(F.col("j"), "/in/~0x/0").alias("nation"), F.array_join(T.json_strings(F.col("j")), "|").alias("strings"))
+
+
+@query("sc_math", "SELECT o_orderkey, (o_orderkey + 2) // 3 AS tokens, CASE WHEN s >= 86400 THEN s // 86400 || 'd' WHEN s >= 3600 THEN s // 3600 || 'h' WHEN s >= 60 THEN s // 60 || 'm' ELSE s || 's' END AS told FROM (SELECT o_orderkey, o_orderkey * 40 AS s FROM orders)")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.expr(f"(o_orderkey + {context.BYTES_PER_TOKEN - 1}) div {context.BYTES_PER_TOKEN}").alias("tokens"), T.humanised(F.col("o_orderkey") * 40).alias("told"))
+
+
+@query("sc_arrays", """SELECT a.c_custkey, CAST(CASE WHEN a.c_nationkey = b.n_nationkey AND n_regionkey = 1 THEN 1.0 WHEN a.c_nationkey = b.n_nationkey OR n_regionkey = 1 THEN CAST(1 AS DOUBLE) / 3 ELSE 0 END AS FLOAT) AS sim FROM customer a JOIN nation b ON b.n_nationkey = a.c_custkey % 25""")
+def _(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    both = c.join(n, F.col("c_custkey") % 25 == F.col("n_nationkey"))
+    x = F.array(F.concat(F.lit("n"), "c_nationkey"), F.lit("one"))
+    y = F.array(F.concat(F.lit("n"), "n_nationkey"), F.when(F.col("n_regionkey") == 1, "one").otherwise("other"))
+    return both.select("c_custkey", T.jaccard(x, y).alias("sim"))
+
+
+@query("sc_scrub", """SELECT c_custkey, 'at /home/dev/project/a' || c_custkey || '.rs, /home/dev/x, /home/dev/external/p0 and /home/dev/external/p0 /usr/lib/q by dev, alicex /home/dev/project/kept' AS text FROM customer""")
+def _(spark, d):
+    text = F.concat(F.lit("at /home/alice/work/app/a"), "c_custkey", F.lit(".rs, \\\\home\\\\alice/x, /srv/data/f1 and /srv/data/f1 /usr/lib/q by alice, alicex /home/dev/project/kept"))
+    return scrub.scrubbed(scrub.scrubbed(table(spark, d, "customer").select("c_custkey", text.alias("text")), "/home/alice/", "/home/alice/work/app"), "/home/alice", "/home/alice/work/app")
+
+
+@query("f5_provider", """SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_nationkey = 3 THEN NULL ELSE 'touched' END AS predicate, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_name END AS arg, CASE WHEN s_nationkey = 3 THEN 'ProviderError: __x is reserved' END AS error FROM supplier""")
+def _(spark, d):
+    def provider(event, emit):
+        emit("touched" if event["s_nationkey"] != 3 else "__x", [event["s_name"]])
+    rows = udf.provide(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name", "s_nationkey"), provider)
+    return rows.select("key", "predicate", F.try_element_at("args", F.lit(1)).alias("arg"), "error")
+
+
+@query("f8_template", "SELECT s_suppkey, 'Dear ' || s_name || ', {other} in ' || s_nationkey AS told FROM supplier")
+def _(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", udf.template("Dear {s_name}, {other} in {s_nationkey}", ["s_name", "s_nationkey"]).alias("told"))
+
+
+@query("f9_lookups", "SELECT s_suppkey, n_name, CAST(NULL AS VARCHAR) AS r_name, 'ProviderError' AS missing FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    known = udf.Lookups()
+    known.add("nation", table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), ["s_nationkey"])
+    known.add("region", table(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("s_nationkey"), "r_name"), ["s_nationkey"])
+    rows = known.ask(known.ask(known.ask(table(spark, d, "supplier"), "nation"), "region", strict=False), "absent", strict=False)
+    try:
+        known.ask(rows, "absent")
+        missing = None
+    except udf.ProviderError as e:
+        missing = type(e).__name__
+    return rows.select("s_suppkey", "n_name", "r_name", F.lit(missing).alias("missing"))
+
+
+@query("d8_aggregate_drift", """SELECT * FROM (VALUES ('memory', 'ok', 2), ('wiki', 'missing', NULL), ('code', 'error', NULL)) t(source, state, n)""")
+def _(spark, d):
+    def broken():
+        raise ValueError("no registry")
+    found = drift.aggregate(spark, {"memory": lambda: table(spark, d, "region").limit(2).select(F.lit("memory").alias("family")), "wiki": lambda: None, "code": broken})
+    return found.select("source", "state", F.col("n").cast("int").alias("n"))
+
+
 del _

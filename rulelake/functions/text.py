@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,8 +119,8 @@ def fact_id(namespace: Column, predicate: Column, args: Column, occurrence: Colu
 
 def segments(command: Column) -> Column:
     """The simple commands of a shell line: cut at && || ; | and line ends, environment prefixes and comments off."""
-    parts = F.split(command, r"&&|\|\||[;|\n]")
-    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(^|\s)#.*$", ""), r"^\s*([A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")))
+    parts = F.split(F.regexp_replace(command, r"(?m)(^|\s)#[^\n]*$", "$1"), r"&&|\|\||[;|\n]")
+    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s*([A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")))
     return F.filter(bare, lambda p: p != "")
 
 
@@ -130,7 +131,7 @@ def normalised_path(path: Column) -> Column:
     folded = F.aggregate(parts, empty, lambda acc, p: F.when(
         (p == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
         F.concat(acc, F.array(p))))
-    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
+    return F.concat(F.when(path.startswith("/") | path.startswith("\\"), F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
 
 
 def code_text(command: Column) -> Column:
@@ -144,3 +145,50 @@ def command_matches(command: Column, words: str, in_code: bool = True) -> Column
     """Whether a simple command starts with the words (blanks count as one); in_code: outside quotes and heredocs."""
     text = code_text(command) if in_code else command
     return F.exists(segments(text), lambda s: F.startswith(F.concat(F.regexp_replace(s, r"\s+", " "), F.lit(" ")), F.lit(words + " ")))
+
+
+def fnv1a64(c: Column) -> Column:
+    """FNV-1a over the bytes of a text, as 16 hexadecimal digits. Catalyst has no wrapping multiplication, so this one hash
+    runs over Arrow batches: column by column of bytes for all rows at once."""
+    import numpy as np
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        data = [None if v is None else v.encode() for v in values]
+        out = np.full(len(data), 0xCBF29CE484222325, np.uint64)  # fixed values: the public offset basis and prime
+        order = sorted(range(len(data)), key=lambda i: -len(data[i] or b""))
+        sizes = np.array([len(data[i] or b"") for i in order])
+        block = 4096
+        with np.errstate(over="ignore"):
+            for at in range(0, int(sizes[0]) if len(sizes) else 0, block):
+                live = order[:int((sizes > at).sum())]
+                part = [data[i][at:at + block] for i in live]
+                wide = np.zeros((len(part), max(map(len, part))), np.uint8)
+                for k, p in enumerate(part):
+                    wide[k, :len(p)] = np.frombuffer(p, np.uint8)
+                ends = np.array([len(p) for p in part])
+                state, rows = out[live], np.arange(len(live))
+                for k in range(wide.shape[1]):
+                    rows = rows[:int((ends > k).sum())]
+                    state[rows] = (state[rows] ^ wide[rows, k]) * np.uint64(0x100000001B3)
+                out[live] = state
+        return pd.Series([None if d is None else f"{v:016x}" for d, v in zip(data, out.tolist())])
+    return run(c)
+
+
+def anchor(c: Column, digits: int = 12) -> Column:
+    """A short content anchor: the first digits of the SHA-256 of a text whose line ends and outer blanks are normalised."""
+    return F.substring(F.sha2(F.trim(F.replace(c, F.lit("\r\n"), F.lit("\n"))), 256), 1, digits)
+
+
+def pointer(json: Column, path: str) -> Column:
+    """The value at a JSON pointer (~1 is a slash, ~0 a tilde), as text; null if there is none."""
+    parts = [p.replace("~1", "/").replace("~0", "~") for p in path.split("/")[1:]]
+    quoted = "$" + "".join(f"[{p}]" if p.isdecimal() else "['" + p.replace("'", "\\'") + "']" for p in parts)
+    return F.get_json_object(json, quoted) if path else json
+
+
+def json_strings(c: Column) -> Column:
+    """All string values of a JSON text, however deep, in order."""
+    told = F.filter(F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0)), lambda s: ~s.endswith(":"))
+    return F.transform(told, lambda s: F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")[0])

@@ -51,6 +51,58 @@ def provide(events: DataFrame, provider: Callable, key: str = "id", reserved: It
     return events.mapInPandas(run, "key string, predicate string, args array<string>, error string")
 
 
+#: Records, and bytes of their JSON, that one adapter call may give.
+MAX_RECORDS, MAX_OUTPUT = 4096, 1 << 20
+
+
+def adapt(captures: DataFrame, adapter: Callable[[dict], list[dict]], kinds: Iterable[str], key: str = "file", most: int = MAX_RECORDS, most_bytes: int = MAX_OUTPUT) -> DataFrame:
+    """Typed records of a language pack's adapter for each row of captures (key, captures JSON): key, kind, fields, error.
+    An adapter that fails, gives too much or an unknown kind gives that row's one error and no record."""
+    kinds = frozenset(kinds)
+
+    def one(text: str) -> list[tuple[str, dict]]:
+        out, size = [], 0
+        for record in adapter(json.loads(text)):
+            size += len(json.dumps(record).encode())
+            if record.get("kind") not in kinds:
+                raise ProviderError(f"unknown record kind {record.get('kind')!r}")
+            if len(out) >= most or size > most_bytes:
+                raise ProviderError("more output than an adapter may give")
+            out.append((record["kind"], {k: str(v) for k, v in record.items() if k != "kind"}))
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf[key], pdf["captures"]):
+                try:
+                    rows += [(str(k), kind, fields, None) for kind, fields in one(text)]
+                except Exception as e:  # noqa: BLE001  the error is this row's result
+                    rows.append((str(k), None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "kind", "fields", "error"])
+    return captures.mapInPandas(run, "key string, kind string, fields map<string,string>, error string")
+
+
+class Lookups:
+    """Lookup tables by name: rules ask for them by name, and a name that is not there is an error or (lenient) nulls."""
+
+    def __init__(self):
+        self.tables: dict[str, tuple[DataFrame, list[str]]] = {}
+
+    def add(self, name: str, table: DataFrame, on: list[str]) -> None:
+        if name in self.tables:
+            raise ProviderError(f"lookup {name} exists")
+        self.tables[name] = (table, on)
+
+    def ask(self, rows: DataFrame, name: str, strict: bool = True) -> DataFrame:
+        if name not in self.tables:
+            if strict:
+                raise ProviderError(f"no lookup {name}")
+            return rows
+        table, on = self.tables[name]
+        return lookup(rows, table, on, strict)
+
+
 def udtf_of(provider: Callable, reserved: Iterable[str] = ()):
     """The provider as a SQL table function of one JSON event."""
     from pyspark.sql.functions import udtf

@@ -98,6 +98,47 @@ def missing(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return files.select("file", "text", F.explode(F.array(*map(F.lit, patterns))).alias("pattern")).where(~F.contains("text", "pattern")).select("file", "pattern")
 
 
+def without_tests(files: DataFrame) -> DataFrame:
+    """files with their test blocks blanked (a #[cfg(test)] or #[test] item with its braces), so that line numbers stay."""
+    import re
+
+    from ..sources.syntax import closing, masked
+
+    head = re.compile(r"#\[(?:cfg\(test\)|(?:\w+::)?test\b)[^\]]*\]")
+
+    def stripped(text):
+        if text is None or "test" not in text:
+            return text
+        code, out, at = masked(text), [], 0
+        for m in head.finditer(code):
+            brace = code.find("{", m.end())
+            if m.start() >= at and brace >= 0:
+                end = closing(code, brace)
+                out += [text[at:m.start()], re.sub(r"[^\n]", " ", text[m.start():end])]
+                at = end
+        return "".join([*out, text[at:]])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(text=[stripped(t) for t in pdf["text"]])
+    return files.mapInPandas(run, files.schema)
+
+
+def pack_rule(facts: DataFrame, files: DataFrame, rule_id: str, conditions: Sequence[tuple[str, Sequence[str]]], path_part: str | None = None, ext: str | None = None, content: str | None = None) -> DataFrame:
+    """Facts of language packs (file, line, predicate, args) joined on their shared variables inside one file, in files that
+    pass the gates: (rule_id, file, line) of the first condition's fact, each once."""
+    from functools import reduce
+
+    from ..plans.rules import alpha, beta
+
+    own = facts.select(F.concat_ws(":", "file", "line").alias("id"), "predicate", F.concat(F.array("file"), F.col("args")).alias("args"), F.col("line").cast("string").alias("source"))
+    rows = reduce(beta, [alpha(own, p, ["?__file", *args], n) for n, (p, args) in enumerate(conditions)])
+    asked = files.where(F.contains("file", F.lit(path_part))) if path_part else files
+    asked = asked.where(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)) == ext) if ext else asked
+    asked = asked.where(F.contains("text", F.lit(content))) if content else asked
+    return rows.select(F.lit(rule_id).alias("rule_id"), F.col("`?__file`").alias("file"), F.col("__src0").cast("int").alias("line")).distinct().join(asked.select("file").distinct(), "file", "left_semi")
+
+
 def containing(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return files.select("file", "text", F.explode(F.array(*map(F.lit, patterns))).alias("pattern")).where(F.contains("text", "pattern")).select("file", "pattern")
 

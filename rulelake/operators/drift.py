@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, tokens
@@ -89,3 +91,16 @@ def code(reconciled: DataFrame) -> DataFrame:
     """Bindings (see graph.reconcile) that no longer stand as they were: moved or stale symbols, with where they went."""
     return reconciled.where(F.col("state") != "bound").select(
         F.lit("code").alias("family"), "rule", "symbol", "state", F.array_join("relocated", ",").alias("now_at"))
+
+
+def aggregate(spark: SparkSession, sources: dict[str, Callable[[], DataFrame | None]]) -> DataFrame:
+    """One row a source with its state (ok, missing or error) and how many items it has; a source that is missing or fails
+    stays in the report and does not stop the others."""
+    rows = []
+    for name, read in sources.items():
+        try:
+            items = read()
+            rows.append((name, "missing", None, None) if items is None else (name, "ok", items.count(), None))
+        except Exception as e:  # noqa: BLE001  the error is this source's state
+            rows.append((name, "error", None, f"{type(e).__name__}: {e}"))
+    return spark.createDataFrame(rows, "source string, state string, n long, error string")

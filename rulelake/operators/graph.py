@@ -167,25 +167,47 @@ def bin_reaches(edges: DataFrame) -> DataFrame:
 def cycles(steps: DataFrame) -> DataFrame:
     """(node, cycle): members of each strongly connected set (a self-loop counts), named by its sorted members.
 
-    Nodes outside every cycle are peeled off first, so the reachability that remains is that of the cyclic core.
+    Nodes outside every cycle are peeled off first.  In the core that remains each node takes the least node that reaches
+    it as its colour; inside a colour, what reaches back to that node is one strongly connected set.  Found sets leave, and
+    the rest is coloured again: state is one row a node, however large a set is.
     """
     from ..plans.tables import cut
 
-    core = cut(steps.select("x", "y").distinct())
-    n = core.count()
+    def spread(values: DataFrame, along: DataFrame) -> DataFrame:
+        """Least value that reaches each node (node, v) along (x, y)."""
+        now = cut(values)
+        state = None
+        while True:
+            more = now.unionByName(now.join(along.select(F.col("x").alias("node"), "y"), "node").select(F.col("y").alias("node"), "v"))
+            now = cut(more.groupBy("node").agg(F.min("v").alias("v")))
+            told = now.agg(F.count("*"), F.sum(F.xxhash64("node", "v") % 1_000_003)).first()
+            if told == state:
+                return now
+            state = told
+
+    every = cut(steps.select("x", "y").distinct())
+    left, found = every, None
     while True:
-        core = cut(core.join(core.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(core.select(F.col("x").alias("y")).distinct(), "y", "left_semi").select("x", "y"))
-        if (now := core.count()) == n:
+        n = left.count()
+        while n:  # nodes without a way in or out are in no cycle
+            left = cut(left.join(left.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(left.select(F.col("x").alias("y")).distinct(), "y", "left_semi").select("x", "y"))
+            if (now := left.count()) == n:
+                break
+            n = now
+        if not n:
             break
-        n = now
-    reach = cut(core.select(F.col("x").alias("start"), F.col("y").alias("node")))
-    n = -1
-    while (now := reach.count()) != n:  # paths double in length each round
-        n = now
-        twice = reach.join(reach.select(F.col("start").alias("node"), F.col("node").alias("to")), "node").select("start", F.col("to").alias("node"))
-        reach = cut(reach.union(twice).distinct())
-    mutual = reach.alias("r").join(reach.select(F.col("start").alias("node"), F.col("node").alias("start")), ["start", "node"], "left_semi")
-    return mutual.groupBy(F.col("start").alias("node")).agg(F.concat(F.lit("cycle:"), F.array_join(F.array_sort(F.collect_set("node")), "+")).alias("cycle"))
+        colour = spread(left.select(F.col("x").alias("node")).distinct().withColumn("v", F.col("node")), left)
+        inside = cut(left.join(colour.select(F.col("node").alias("x"), F.col("v").alias("cx")), "x").join(colour.select(F.col("node").alias("y"), F.col("v").alias("cy")), "y").where("cx = cy").select("x", "y", F.col("cx").alias("c")))
+        back = spread(inside.select(F.col("c").alias("node"), F.col("c").alias("v")).distinct(), inside.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        one = cut(back.join(colour.withColumnRenamed("v", "c"), "node").where("v = c").select("node", "c"))
+        found = one if found is None else found.unionByName(one)
+        left = cut(left.join(one.select(F.col("node").alias("x")), "x", "left_anti").join(one.select(F.col("node").alias("y")), "y", "left_anti").select("x", "y"))
+    if found is None:
+        return every.limit(0).select(F.col("x").alias("node"), F.lit("").alias("cycle"))
+    loops = every.where("x = y").select(F.col("x").alias("node"), F.lit(True).alias("loop"))
+    sets = found.groupBy("c").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    named = sets.withColumn("node", F.explode("nodes")).join(loops, "node", "left").where((F.size("nodes") > 1) | F.col("loop"))
+    return named.select("node", F.concat(F.lit("cycle:"), F.array_join("nodes", "+")).alias("cycle"))
 
 
 def compacted(edges: DataFrame, fresh: DataFrame, file: str) -> DataFrame:
@@ -249,16 +271,20 @@ def data_contracts(keys: DataFrame, consumers: DataFrame, fields: DataFrame) ->
     return took.select(relation.alias("relation"), "artifact", "key", "consumer").where("relation IS NOT NULL").distinct()
 
 
-def canonical_callees(calls: DataFrame, definitions: DataFrame, imports: DataFrame, reexports: DataFrame | None = None, types: DataFrame | None = None, depth: int = 4) -> DataFrame:
+def canonical_callees(calls: DataFrame, definitions: DataFrame, imports: DataFrame, reexports: DataFrame | None = None, types: DataFrame | None = None,
+                      impls: DataFrame | None = None, depth: int = 4) -> DataFrame:
     """calls (edge, src, caller, callee, receiver, is_method) with the one definition (fn, module, owner) they mean.
 
     A bare call never means a method; a method call needs its receiver's type; a definition counts if the caller's
     module is, lies in or imports its module (directly, by the whole unit, or through re-exports).  One candidate is
     the target, none is unresolved, several are ambiguous.  types (owner, declared_in) adds: a type that the caller's
-    module declares makes its methods visible.
+    module declares makes its methods visible.  impls (owner, trait) lets a trait name its implementations.  Of several
+    candidates for an unqualified receiver the one of the caller's own type is meant.
     """
     asked = calls.withColumns({"leaf": leaf(F.col("callee")), "module": F.regexp_replace("caller", "::[^:]*$", "")})
     known = definitions.select("fn", F.col("module").alias("home"), "owner", leaf(F.col("fn")).alias("leaf")).distinct()
+    own = definitions.where("owner IS NOT NULL").groupBy(F.col("fn").alias("caller")).agg(F.min("owner").alias("own"))
+    asked = asked.join(own, "caller", "left")
     visible = imports.select(F.col("from").alias("module"), F.col("to").alias("home")).distinct()
     if reexports is not None:
         step = reexports.select(F.col("module").alias("home"), F.col("target").alias("next")).distinct()
@@ -268,25 +294,76 @@ def canonical_callees(calls: DataFrame, definitions: DataFrame, imports: DataFra
             visible = visible.unionByName(hop).distinct()
     under = (F.col("module") == F.col("home")) | F.startswith("module", F.concat("home", F.lit("::")))
     method = F.col("owner").isNotNull()
-    typed = F.regexp_replace("receiver", "<.*$", "")
-    right_type = F.col("owner").eqNullSafe(typed) | F.coalesce(F.endswith("owner", F.concat(F.lit("::"), typed)), F.lit(False)) | (
-        leaf(F.col("owner")) == leaf(typed))
+    plain = lambda c: F.translate(F.regexp_replace(c, "<.*$", ""), "-", "_")
+    typed, held = plain(F.col("receiver")), plain(F.col("owner"))
     qualified = F.coalesce(F.col("receiver").contains("::"), F.lit(False))
+    right_type = F.coalesce(held == typed, F.lit(False)) | F.coalesce(F.endswith(held, F.concat(F.lit("::"), typed)), F.lit(False)) | (
+        ~qualified & F.coalesce(leaf(held) == typed, F.lit(False)))
     rows = asked.join(known, "leaf", "left").join(visible.withColumn("imported", F.lit(True)), ["module", "home"], "left")
     seen = under | F.coalesce("imported", F.lit(False)) | (F.col("is_method") & qualified)
     if types is not None:
         rows = rows.join(types.select("owner", F.col("declared_in").alias("module"), F.lit(True).alias("own_type")).distinct(), ["owner", "module"], "left")
         seen = seen | F.coalesce("own_type", F.lit(False))
+    if impls is not None:
+        rows = rows.join(impls.select("owner", F.col("trait").alias("receiver"), F.lit(True).alias("implements")).distinct(), ["owner", "receiver"], "left")
+        right_type = right_type | F.coalesce("implements", F.lit(False))
+    same = F.coalesce(F.col("owner") == F.col("own"), F.lit(False))
+    seen = seen | same
     exact = F.col("fn") == F.col("callee")
     fits = F.when(F.col("is_method"), method & F.col("receiver").isNotNull() & F.coalesce(right_type, F.lit(False)) & seen).otherwise(~method & seen)
     ok = F.coalesce(exact | fits, F.lit(False))
-    per = rows.withColumn("ok", ok).withColumn("exact", F.coalesce(exact, F.lit(False))).groupBy("edge", "src", "caller", "callee").agg(
-        F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("fn")))).alias("all"), F.max(F.when(F.col("exact"), F.col("fn"))).alias("exact"))
-    target = F.coalesce("exact", F.when(F.size("all") == 1, F.col("all")[0]))
+    per = rows.withColumns({"ok": ok, "exact": F.coalesce(exact, F.lit(False)), "mine": same & F.col("is_method") & ~qualified}).groupBy("edge", "src", "caller", "callee").agg(
+        F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("fn")))).alias("all"), F.max(F.when(F.col("exact"), F.col("fn"))).alias("exact"),
+        F.array_sort(F.collect_set(F.when(F.col("ok") & F.col("mine"), F.col("fn")))).alias("mine"))
+    target = F.coalesce("exact", F.when(F.size("all") == 1, F.col("all")[0]), F.when(F.size("mine") == 1, F.col("mine")[0]))
     return per.select("edge", "src", "caller", "callee", target.alias("target"),
                       F.when(target.isNotNull(), "resolved").when(F.size("all") == 0, "unresolved").otherwise("ambiguous").alias("outcome"))
 
 
+def resolve_callees(calls: DataFrame, definitions: DataFrame, imports: DataFrame, bins: DataFrame | None = None, reexports: DataFrame | None = None, types: DataFrame | None = None,
+                    impls: DataFrame | None = None, depth: int = 4) -> DataFrame:
+    """canonical_callees() for edges as extractors write them, with p (calls or tested_by) beside the other columns.
+
+    ``@bin:name`` is the entry point of that program (bins: package, name, main) of the caller's package; ``@extern:`` lies
+    outside; ``@path:module|module:name`` is the one free function of that name that a listed module defines or re-exports
+    (reexports may have an item; null is all).  tested_by means production definitions (column production), if any is
+    marked so.
+    """
+    some = not definitions.where("production").isEmpty()
+    pool = definitions.withColumn("p", F.explode(F.when(F.lit(not some) | F.coalesce("production", F.lit(False)), F.array(F.lit("calls"), F.lit("tested_by"))).otherwise(F.array(F.lit("calls")))))
+    kind = F.regexp_extract("callee", "^@([a-z]+):", 1)
+    marked = calls.withColumn("kind", kind)
+    told = lambda rows, all_: rows.select("edge", "src", "caller", "callee", F.when(F.size(all_) == 1, all_[0]).alias("target"),
+                                          F.when(F.size(all_) == 1, "resolved").when(F.size(all_) == 0, "unresolved").otherwise("ambiguous").alias("outcome"))
+    none = F.array().cast("array<string>")
+    out = told(marked.where("kind = 'extern'"), none)
+    at_bin = marked.where("kind = 'bin'")
+    if bins is None:
+        out = out.unionByName(told(at_bin, none))
+    else:
+        named = at_bin.withColumns({"package": F.regexp_extract("caller", "^(.*?)(?:::|$)", 1), "name": F.regexp_extract("callee", "^@bin:(.*)$", 1)})
+        there = named.join(bins, ["package", "name"], "left").join(pool.select("p", F.col("fn").alias("main"), F.lit(True).alias("there")).distinct(), ["p", "main"], "left")
+        found = there.groupBy("edge", "src", "caller", "callee").agg(F.collect_set(F.when(F.col("there"), F.col("main"))).alias("all"))
+        out = out.unionByName(told(found, F.col("all")))
+    asked = marked.where("kind = 'path'").withColumns({"name": F.regexp_extract("callee", ":([^:]*)$", 1), "home": F.explode(F.split(F.regexp_extract("callee", "^@path:(.*):[^:]*$", 1), r"\|"))})
+    free = pool.where("owner IS NULL").select("p", F.col("module").alias("home"), leaf(F.col("fn")).alias("name"), "fn").distinct()
+    reached, front = None, asked.select("edge", "p", "name", "home").distinct()
+    for level in range(depth + 1 if reexports is not None else 1):
+        hit = front.join(free, ["p", "home", "name"], "left")
+        reached = hit.where("fn IS NOT NULL").select("edge", "fn") if reached is None else reached.unionByName(hit.where("fn IS NOT NULL").select("edge", "fn"))
+        if level == depth or reexports is None:
+            break
+        item = F.col("item") if "item" in reexports.columns else F.lit(None).cast("string")
+        step = reexports.select(F.col("module").alias("home"), F.col("target").alias("next"), item.alias("item")).distinct()
+        front = hit.where("fn IS NULL").drop("fn").join(step, "home").where("item IS NULL OR item = name").select("edge", "p", "name", F.col("next").alias("home")).distinct()
+    found = asked.select("edge", "src", "caller", "callee").distinct().join(reached.groupBy("edge").agg(F.collect_set("fn").alias("all")), "edge", "left")
+    out = out.unionByName(told(found, F.coalesce("all", none)))
+    for p in ("calls", "tested_by"):
+        star = None if reexports is None else reexports.where("item IS NULL") if "item" in reexports.columns else reexports
+        out = out.unionByName(canonical_callees(marked.where((F.col("kind") == "") & (F.col("p") == p)).drop("kind", "p"), pool.where(F.col("p") == p).drop("p", "production"), imports, star, types, impls, depth))
+    return out
+
+
 def resolution_stats(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("src").agg(F.count_if(F.col("outcome") == "unresolved").alias("unresolved"), F.count_if(F.col("outcome") == "ambiguous").alias("ambiguous"))
 

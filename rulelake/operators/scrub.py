@@ -73,3 +73,37 @@ def placeholders(rows: DataFrame, key: str, text: str = "text", pattern: str = A
     numbered = F.transform(found, lambda m, i: F.struct((-F.length(m)).alias("n"), i.alias("i"), m.alias("m")))
     replaced = F.aggregate(F.array_sort(numbered), F.col(text), lambda acc, s: F.replace(acc, s["m"], F.concat(F.lit(f"<{label}_"), (s["i"] + 1).cast("string"), F.lit(">"))))
     return rows.withColumn(text, F.when(F.col(text).isNotNull(), replaced))
+
+
+#: The roots that stand for a project, for other paths (numbered) and for the home folder; text below them
+#: is left alone. Shorter user names are replaced in paths only.
+PROJECT, EXTERNAL, HOME, MIN_USER = "/home/dev/project", "/home/dev/external/p", "/home/dev", 3
+
+
+def scrubbed(rows: DataFrame, home: str, project: str, text: str = "text") -> DataFrame:
+    """The text with the project's root and the home folder replaced by stand-ins, other absolute paths numbered by first
+    occurrence within the row, and the user's name replaced where it stands alone. Scrubbing again changes nothing.
+    Either kind of slash separates, and in JSON text any number of backslashes does."""
+    import re
+
+    def root(path: str) -> str:
+        path = path.strip().replace("\\", "/").rstrip("/")
+        if not path.startswith("/") or path == "":
+            raise ValueError("a root is an absolute path below /")
+        return path
+    home, project = root(home), root(project)
+    anyslash = lambda p: r"(?:/|\\+)".join(re.escape(x) for x in p.split("/"))
+    end = r"(?=$|[^A-Za-z0-9._-])"
+    out = F.col(text)
+    # stand-ins that are there already are kept apart while the rest is replaced
+    kept = "\x01\ua66e"  # ends in a letter, so that what follows is no path of its own
+    out = F.regexp_replace(out, HOME + end, kept)
+    for path, stand_in in ((project, f"{kept}/project"), (home, kept)):
+        out = F.regexp_replace(out, anyslash(path) + end, stand_in.replace("\\", "\\\\"))
+    found = F.array_distinct(F.filter(F.regexp_extract_all(out, F.lit(BOUNDED), F.lit(0)), _not_neutral))
+    numbered = F.transform(found, lambda m, i: F.struct((-F.length(m)).alias("n"), i.alias("i"), m.alias("m")))
+    out = F.aggregate(F.array_sort(numbered), out, lambda acc, s: F.replace(acc, s["m"], F.concat(F.lit(f"{kept}/external/p"), s["i"].cast("string"))))
+    user = home.rsplit("/", 1)[1]
+    if len(user) >= MIN_USER and user != "dev":
+        out = F.regexp_replace(out, rf"(?<![A-Za-z0-9]){re.escape(user)}(?![A-Za-z0-9])", "dev")
+    return rows.withColumn(text, F.replace(out, F.lit(kept), F.lit(HOME)))
