@@ -155,3 +155,22 @@ def test_lengths(spark):
     assert q == {p: n[max(1, int(np.ceil(p * len(n)))) - 1] for p in q} and len(q) == 5
     cut = {r.max_tokens: (r.docs_cut, r.tokens_kept) for r in lengths.limits(sums, [0, 3, 100, 10**6]).collect()}
     assert cut == {m: (sum(x > m for x in n), sum(min(x, m) for x in n)) for m in cut} and len(cut) == 4
+
+
+def test_the_query_fills_windows_to_unequal_targets(spark):
+    from collections import Counter, defaultdict
+
+    from rulelake.llm import queries
+
+    pieces = queries.op1_mixture_packing(spark, "/root/testdata/sf0.001").collect()
+    total, by_window = Counter(), defaultdict(Counter)
+    for p in pieces:
+        total[p.queue] += p.length
+        by_window[p.sequence_id][p.queue] += p.length
+    weight = {q: queries.TARGETS.get(q, 1.0) for q in total}
+    # until the first queue runs dry every window holds the targets to within two slots of 128 tokens
+    dry = min(total[q] / weight[q] for q in total) * sum(weight.values()) // 1024
+    assert dry >= 3 and len(set(weight.values())) == 4
+    for n in range(int(dry) - 1):
+        for q in total:
+            assert abs(by_window[n][q] - 1024 * weight[q] / sum(weight.values())) <= 256, (n, q)
