@@ -352,9 +352,9 @@ def _(spark, d):
     return rules.Session(f.unionByName(edited), [Rule("r", (cond("edited_file", "?f"), cond("defines_fn", "?f", "?s")), (warn("?s"),))]).fire().select("message")
 
 
-@query("d2_graph_audit", """SELECT 's' || s_suppkey AS message FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)""")
+@query("d2_graph_audit", """SELECT 's' || s_suppkey AS message FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_partkey % 97 = 5 AND l_linenumber = 7)""")
 def _(spark, d):
-    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 7")
+    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem").where("l_partkey % 97 = 5 AND l_linenumber = 7")
     own = s.select(F.concat(F.lit("f"), "s_nationkey").alias("file"), F.concat(F.lit("s"), "s_suppkey").alias("fn"))
     f = facts.facts_of(own, "defines_fn", ["file", "fn"]).unionByName(facts.facts_of(li.select(F.concat(F.lit("s"), "l_suppkey").alias("fn")).distinct(), "tested", ["fn"]))
     rule = Rule("untested", (cond("edited_file", "?f"), cond("defines_fn", "?f", "?s"), Condition(script="!facts_contain('tested', ['?s'])")), (warn("?s"),))
@@ -541,15 +541,16 @@ def _(spark, d):
                         F.coalesce(F.array_join(F.transform("relationships", lambda r: F.concat(r["kind"], F.lit(":"), r["resolved"].cast("string"))), ","), F.lit("")).alias("links"))
 
 
-@query("j39_pack_references", """WITH de AS (SELECT p_brand AS scope, p_type AS name, count(*) AS n, min('sym' || p_partkey) AS target FROM part GROUP BY ALL HAVING count(*) = 1)
+@query("j39_pack_references", """WITH de AS (SELECT p_brand AS scope, p_type || p_size || p_name AS name, count(*) AS n, min('sym' || p_partkey) AS target FROM part GROUP BY ALL HAVING count(*) = 1)
 SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'tested_by' ELSE 'calls' END AS p, CASE WHEN l_linenumber % 2 = 0 THEN target || ',own' || l_suppkey ELSE 'own' || l_suppkey || ',' || target END AS a
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN de ON p_brand = scope AND p_type = name""")
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN de ON p_brand = scope AND p_type || p_size || p_name = name""")
 def _(spark, d):
     p, li = table(spark, d, "part"), table(spark, d, "lineitem")
     both = li.join(p, F.col("l_partkey") == F.col("p_partkey")).withColumn("site", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    references = both.select(F.col("p_brand").alias("scope"), F.col("p_type").alias("name"), "site")
+    name = F.concat("p_type", "p_size", "p_name")
+    references = both.select(F.col("p_brand").alias("scope"), name.alias("name"), "site")
     owners = both.select("site", F.col("p_brand").alias("scope"), F.concat(F.lit("own"), "l_suppkey").alias("owner"), (F.col("l_linenumber") % 2 == 0).alias("is_test"))
-    declared = p.select(F.col("p_brand").alias("scope"), F.col("p_type").alias("name"), F.col("p_partkey").alias("site"), F.concat(F.lit("sym"), "p_partkey").alias("symbol"))
+    declared = p.select(F.col("p_brand").alias("scope"), name.alias("name"), F.col("p_partkey").alias("site"), F.concat(F.lit("sym"), "p_partkey").alias("symbol"))
     return graph.pack_references(references, declared, owners).select("p", F.array_join("a", ",").alias("a"))
 
 
