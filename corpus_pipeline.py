@@ -41,7 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminated),
           ("secrets", mask_secrets), ("packing", pack)]
 
-#: The stages use trained models and public tokenizers, which SQL cannot express; tests compare them with brute force.
+#: The stages use trained models and public tokenizers, which SQL cannot express; tests/llm/test_pipeline_brute.py holds
+#: every stage against plain Python.
 ORACLE_SQL = None
 
 
