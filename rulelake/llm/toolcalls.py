@@ -1,25 +1,38 @@
 """Tool-call linking, in DataFrame operations only.
 
 Calls and results meet in a hash join by conversation and identifier.  Arguments are parsed as JSON, checked against
-the tool's schema and serialised canonically (keys sorted, no blanks).  Events are put in a topological order: a
-result never stands before its call, and apart from that the conversation's turns decide.
+the tool's schema and serialised canonically (keys sorted, no blanks).  A call may need others: arguments name them as
+``{{identifier}}``.  Events are put in a topological order: a result never stands before its call nor a call before the
+result of one it needs (or before that call, if it has no result), and apart from that the conversation's turns decide.
+
+Only a need of something later than the call itself moves it.  What is moved is found in rounds, each of which passes
+places on along the needs by one hash join; their number is that of needs of later calls that hang on each other.  Calls
+that still move after DEEPEST rounds need themselves, or hang on such calls, or on a longer chain: they are ``cyclic`` and
+stand at their turn.
 
 A conversation may hold a third of all events: positions come from counts by blocks of turns and an order inside
 the block, so no task orders a whole conversation.
 
 Defined results: calls and results with a null conversation or identifier are unanswered calls and orphan results;
 of several calls (results) of one identifier the first by turn and content is linked and the others are duplicates;
-arguments that are no JSON object, or repeat a key, are ``unparsable`` and serialised as null; a null turn stands first; repeated rows
+arguments that are no JSON object, or repeat a key, are ``unparsable``, serialised as null and need nothing; a need of
+an identifier that no call of the conversation has is the complaint ``dangling``; duplicate calls need nothing; a null turn stands first; repeated rows
 are events of their own; other columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of a block whose events one task orders.
-TURNS = 256
+from .storage import Table
+
+#: Turns of a block whose events one task orders, and needs of later calls that may hang on each other.
+TURNS, DEEPEST = 256, 32
+#: How arguments name a call, and the place of a null turn.
+NEED, FIRST = r"\{\{([^{}\"\\]+)\}\}", -(1 << 62)
 
 
 def json_string(value: Column) -> Column:
@@ -73,35 +86,78 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict, turns: int = TURNS
     keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     wrong = errors(F.col("name"), F.col("arguments"), schemas)
     c = c.withColumns({"wrong": wrong, "canonical": F.when(F.json_object_keys("arguments").isNotNull(), F.to_json(F.try_parse_json("arguments")))})
-    status = F.when(keyed & ~lead, "duplicate_call").when(F.size("wrong") > 0, "invalid").when(keyed & F.col("r").isNotNull(), "ok").otherwise("unanswered")
-    answer = F.when(lead, F.col("r.content"))
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(FIRST))
+    named = Table(c.where(lead & keyed & F.contains("arguments", F.lit("{{")) & F.col("canonical").isNotNull()).select(
+        *key, at.alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(NEED), F.lit(1)))).alias("needs")))
+    known = pair.where("c IS NOT NULL").select("conv_id", F.col("call_id").alias("needs"), F.coalesce(F.col("c.turn").cast("long"), F.lit(FIRST)).alias("needs_at"),
+                                               F.coalesce(F.col("r.turn").cast("long"), F.when(F.col("r").isNotNull(), F.lit(FIRST))).alias("answered_at"))
+    needs = Table(named.df.join(known.hint("shuffle_hash"), ["conv_id", "needs"], "left"))
+    named.drop()
+    moved = _moved(needs.df.where("needs_at IS NOT NULL"))
+    dangling = needs.df.where("needs_at IS NULL").groupBy(*key).agg(F.collect_set(F.concat(F.lit("dangling:"), "needs")).alias("dangling"))
+    first = lambda *columns: [F.when(F.col("lead"), F.col(x)).alias(x) for x in columns]
+    c = c.withColumn("lead", lead).join(moved, key, "left").join(dangling, key, "left")
+    c = c.select(*key, "turn", "name", "c", "r", "canonical", "lead", "wrong", *first("after", "hops", "cyclic", "dangling"))
+    c = c.withColumn("wrong", F.array_sort(F.concat("wrong", F.coalesce("dangling", F.array().cast("array<string>")))))
+    status = F.when(keyed & ~F.col("lead"), "duplicate_call").when(F.size("wrong") > 0, "invalid").when(F.coalesce("cyclic", F.lit(False)), "cyclic").when(
+        keyed & F.col("r").isNotNull(), "ok").otherwise("unanswered")
+    answer = F.when(F.col("lead"), F.col("r.content"))
     c = c.withColumn("status", status).select(
-        *key, "turn", F.lit("call").alias("kind"), "status", F.col("turn").alias("after"),
+        *key, "turn", F.lit("call").alias("kind"), "status", F.coalesce("after", at).alias("after"), F.coalesce("hops", F.lit(0)).alias("hops"),
         F.concat(F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"call_id":'), json_string(F.col("call_id")),
                  F.lit(',"errors":'), F.to_json("wrong"), F.lit(',"name":'), json_string(F.col("name")),
                  F.lit(',"result":'), json_string(answer), F.lit("}")).alias("json"))
     again = Window.partitionBy(*key, "turn", "content").orderBy(F.lit(1))
-    r = results.withColumn("copy", F.row_number().over(again)).join(pair.hint("shuffle_hash"), key, "left")
+    r = results.withColumn("copy", F.row_number().over(again)).join(pair.hint("shuffle_hash"), key, "left").join(moved, key, "left")
     told = F.coalesce((F.col("copy") == 1) & F.struct("turn", "content").eqNullSafe(F.col("r")), F.lit(False))
+    asked = F.coalesce("after", F.when(F.col("c").isNotNull(), F.coalesce(F.col("c.turn").cast("long"), F.lit(FIRST))))
     r = r.select(*key, "turn", F.lit("result").alias("kind"),
                  F.when(~keyed | F.col("c").isNull(), "orphan").when(told, "linked").otherwise("duplicate_result").alias("status"),
-                 F.greatest("turn", F.col("c.turn")).alias("after"),
+                 F.greatest(at, asked).alias("after"), F.when(asked >= at, F.coalesce("hops", F.lit(0))).otherwise(0).alias("hops"),
                  F.concat(F.lit('{"call_id":'), json_string(F.col("call_id")), F.lit(',"content":'), json_string(F.col("content")), F.lit("}")).alias("json"))
-    events = c.unionByName(r).withColumn("block", F.coalesce(F.floor(F.col("after") / turns), F.lit(-(1 << 62))))
+    events = c.unionByName(r).withColumn("block", F.floor(F.col("after") / turns))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = events.groupBy("conv_id", "block").count().select(
         F.col("conv_id").alias("k"), F.col("block").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("after", "kind", "turn", "call_id", "json")
+    inside = Window.partitionBy("conv_id", "block").orderBy("after", "hops", "kind", "turn", "call_id", "json")
     return events.join(counts, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b"))).select(
         "conv_id", (F.col("base") + F.row_number().over(inside) - 1).alias("position"), "kind", "call_id", "turn", "status", "json")
 
 
+def _moved(needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, after, hops, cyclic) of the calls that needs (conv_id, call_id, at, needs, needs_at, answered_at)
+    move: they stand after the place ``after``, by so many hops behind what else stands there."""
+    key = ["conv_id", "call_id"]
+    now, restless = Table(needs.select(*key, F.lit(0).cast("long").alias("after"), F.lit(0).alias("hops")).limit(0)), []
+    for round_ in range(2 * DEEPEST):
+        # where what is needed ends: its own place, or its result's if that is later
+        ends = needs.join(now.df.select("conv_id", F.col("call_id").alias("needs"), "after", "hops").hint("shuffle_hash"), ["conv_id", "needs"], "left")
+        own = F.coalesce("after", "needs_at")
+        end = F.greatest(own, "answered_at")
+        ends = ends.withColumns({"end": end, "behind": F.when(end > own, 0).otherwise(F.coalesce("hops", F.lit(0))) + 1}).where(F.col("end") >= F.col("at"))
+        new = Table(ends.groupBy(*key).agg(F.max(F.struct(F.col("end").alias("after"), F.col("behind").cast("int").alias("hops"))).alias("m")).select(*key, "m.after", "m.hops"))
+        changed = new.df.join(now.df.select(*key, F.col("after").alias("a"), F.col("hops").alias("h")), key, "left").where("NOT (after <=> a AND hops <=> h)")
+        still = Table(changed.select(*key))
+        now.drop()
+        now = new
+        if still.df.isEmpty():
+            still.drop()
+            return now.df.withColumn("cyclic", F.lit(False))
+        if round_ < DEEPEST:
+            still.drop()
+        else:  # a wave round a circle reaches each of its calls
+            restless.append(still)
+    cyclic = reduce(DataFrame.unionByName, [t.df for t in restless]).distinct().withColumn("cyclic", F.lit(True))
+    return now.df.join(cyclic, key, "left").select(*key, F.when(F.col("cyclic").isNull(), F.col("after")).alias("after"), F.when(F.col("cyclic").isNull(), F.col("hops")).alias("hops"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
 # The query: the table conversations has no calls, so turns stand for them by rule: a user's turn is a call of one of
-# three tools with its text and length as arguments, an assistant's turn the result of the call one turn before.
+# three tools with its text and length as arguments, an assistant's turn the result of the call one turn before. A lookup
+# needs the search that the user makes two turns later.
 
 SCHEMAS = {
     "search": {"query": ("string", True, 1, None), "limit": ("integer", True, 0, 300)},
-    "lookup": {"query": ("string", True, 40, None), "limit": ("integer", False, None, None)},
+    "lookup": {"query": ("string", True, 40, None), "limit": ("integer", False, None, None), "source": ("string", True, 5, None)},
     "translate": {"query": ("string", True, None, 200), "language": ("string", True, None, None)},
 }
 
@@ -111,7 +167,8 @@ def calls_of(conversations: DataFrame) -> DataFrame:
     name = F.when(F.pmod(turn, F.lit(4)) == 0, "search").when(F.pmod(turn, F.lit(8)) == 2, "lookup").otherwise("translate")
     return conversations.where("role = 'user'").select(
         "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("call_id"), name.alias("name"),
-        F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit"))).alias("arguments"))
+        F.to_json(F.struct(F.col("text").alias("query"), F.length("text").alias("limit"), F.when(name == "lookup", F.concat(
+            F.lit("{{"), F.concat_ws("-", "conv_id", turn + 2), F.lit("}}"))).alias("source"))).alias("arguments"))
 
 
 def results_of(conversations: DataFrame) -> DataFrame:
@@ -121,28 +178,31 @@ def results_of(conversations: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text,
+  SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text, conv_id || '-' || (turn + 2) AS needs,
          CASE WHEN turn % 4 = 0 THEN 'search' WHEN turn % 8 = 2 THEN 'lookup' ELSE 'translate' END AS name, length(text) AS n
   FROM conversations WHERE role = 'user'
+), r AS (
+  SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'
+), d AS (
+  SELECT c.*, CASE WHEN c.name = 'lookup' THEN greatest(t.turn, r.turn) END AS later, c.name = 'lookup' AND t.call_id IS NULL AS lost
+  FROM c LEFT JOIN c t ON c.name = 'lookup' AND t.conv_id = c.conv_id AND t.call_id = c.needs LEFT JOIN r ON r.conv_id = t.conv_id AND r.call_id = t.call_id
 ), c1 AS (
   SELECT *, CASE name
       WHEN 'search' THEN list_concat(CASE WHEN n < 1 THEN ['range:query'] ELSE [] END, CASE WHEN n > 300 THEN ['range:limit'] ELSE [] END)
-      WHEN 'lookup' THEN CASE WHEN n < 40 THEN ['range:query'] ELSE [] END
+      WHEN 'lookup' THEN list_concat(CASE WHEN n < 40 THEN ['range:query'] ELSE [] END, CASE WHEN lost THEN ['dangling:' || needs] ELSE [] END)
       ELSE list_concat(['missing:language', 'unknown:limit'], CASE WHEN n > 200 THEN ['range:query'] ELSE [] END) END AS e
-  FROM c
-), r AS (
-  SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'
+  FROM d
 ), x AS (
-  SELECT c1.conv_id, 'call' AS kind, c1.call_id, c1.turn, c1.turn AS after,
+  SELECT c1.conv_id, 'call' AS kind, c1.call_id, c1.turn, coalesce(later, c1.turn) AS after, CASE WHEN later IS NULL THEN 0 ELSE 1 END AS hops,
          CASE WHEN len(e) > 0 THEN 'invalid' WHEN r.call_id IS NOT NULL THEN 'ok' ELSE 'unanswered' END AS status,
-         '{"arguments":{"limit":' || n || ',"query":' || CAST(to_json(c1.text) AS VARCHAR) || '},"call_id":"' || c1.call_id || '","errors":'
-         || CAST(to_json(list_sort(e)) AS VARCHAR) || ',"name":"' || name || '","result":'
+         '{"arguments":{"limit":' || n || ',"query":' || CAST(to_json(c1.text) AS VARCHAR) || CASE WHEN name = 'lookup' THEN ',"source":"{{' || needs || '}}"' ELSE '' END
+         || '},"call_id":"' || c1.call_id || '","errors":' || CAST(to_json(list_sort(e)) AS VARCHAR) || ',"name":"' || name || '","result":'
          || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS json
   FROM c1 LEFT JOIN r ON c1.conv_id = r.conv_id AND c1.call_id = r.call_id
   UNION ALL
-  SELECT r.conv_id, 'result', r.call_id, r.turn, greatest(r.turn, c.turn), CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END,
+  SELECT r.conv_id, 'result', r.call_id, r.turn, greatest(r.turn, c1.turn, later), CASE WHEN later >= r.turn THEN 1 ELSE 0 END, CASE WHEN c1.call_id IS NULL THEN 'orphan' ELSE 'linked' END,
          '{"call_id":"' || r.call_id || '","content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}'
-  FROM r LEFT JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+  FROM r LEFT JOIN c1 ON c1.conv_id = r.conv_id AND c1.call_id = r.call_id
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY after, kind, turn, call_id, json) - 1 AS position, kind, call_id, turn, status, json FROM x
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY after, hops, kind, turn, call_id, json) - 1 AS position, kind, call_id, turn, status, json FROM x
 """

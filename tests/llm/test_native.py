@@ -136,3 +136,24 @@ def test_arguments_with_a_repeated_key_are_unparsable(spark):
     calls = spark.createDataFrame([(1, 0, "c", "search", '{"query":"a","query":"b"}')], "conv_id long, turn int, call_id string, name string, arguments string")
     row = toolcalls.link(calls, spark.createDataFrame([], "conv_id long, turn int, call_id string, content string"), SCHEMAS).first()
     assert row.status == "invalid" and json.loads(row.json) == {"arguments": None, "call_id": "c", "errors": ["unparsable"], "name": "search", "result": None}
+
+
+def test_calls_stand_after_what_they_need(spark):
+    schema = {"f": {"q": ("string", True, None, None)}}
+    call = lambda conv, turn, name, *needs: (conv, turn, name, "f", json.dumps({"q": " and ".join("{{%s}}" % n for n in needs)}))
+    rows = [call(1, 0, "a", "b"), call(1, 1, "b", "c"), call(1, 2, "c"), call(1, 5, "d", "a"), call(1, 6, "e", "nowhere"),  # a and b wait for c's result
+            call(2, 0, "x", "y"), call(2, 1, "y", "z"), call(2, 2, "z", "x"), call(2, 3, "w", "w"), call(2, 4, "v", "x"),  # a circle, a call that needs itself
+            call(3, None, "n", "m"), call(3, 4, "m"), call(3, 4, "m"), (4, 0, "p", "f", '{"q":"{{q}}"'), call(4, 3, "q"), call(None, 0, "r", "r"), *[call(5, k, f"c{k}", f"c{k + 1}") for k in range(20)], call(5, 20, "c20")]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 4, "c", "r"), (1, 9, "a", "r"), (3, 8, "m", "r"), (2, 5, "x", "r")], "conv_id long, turn long, call_id string, content string")
+    got = toolcalls.link(calls, results, schema, turns=3).collect()
+    assert len(got) == len(rows) + 4
+    order = {}
+    for x in sorted((x for x in got if x.conv_id is not None), key=lambda x: (x.conv_id, x.position)):
+        order.setdefault(x.conv_id, []).append((x.kind, x.call_id, x.status))
+    place = {x[:2]: i for i, x in enumerate(order[1])}
+    assert place["result", "c"] < place["call", "b"] < place["call", "a"] < place["result", "a"] < place["call", "d"]
+    assert {x.call_id: x.status for x in got if x.conv_id == 2 and x.kind == "call"} == {"x": "cyclic", "y": "cyclic", "z": "cyclic", "w": "cyclic", "v": "cyclic"}
+    assert [x[1] for x in order[3]][-2:] == ["m", "n"] and [s for _, i, s in order[3] if i == "n"] == ["unanswered"]
+    assert [x[:2] for x in order[4]] == [("call", "p"), ("call", "q")] and [x[1] for x in order[5]] == [f"c{k}" for k in range(20, -1, -1)]
+    assert [json.loads(x.json)["errors"] for x in got if x.call_id == "e"] == [["dangling:nowhere"]]
