@@ -191,6 +191,13 @@ def _(spark, d):
     return coverage.changed_files(tree(5, 3), tree(7, 4)).select("path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("state"))
 
 
+@query("s15_ignored_files", r"""WITH f AS (SELECT page_id, ltrim(regexp_replace(url, '^[a-z]+://[^/]*|[?#].*$', '', 'g'), '/') AS path FROM pages)
+SELECT page_id, CASE WHEN path LIKE 'fr/%' THEN path LIKE 'fr/1%' ELSE NOT regexp_matches(path, '(^|/)[^/]*7(/|$)') OR regexp_matches(path, '(^|/)[^/]*77(/|$)') END AS kept FROM f""")
+def _(spark, d):
+    path = F.ltrim(F.regexp_replace("url", r"^[a-z]+://[^/]*|[?#].*$", ""), F.lit("/"))
+    return table(spark, d, "pages").select("page_id", (~sources.ignored(path, ["# notes", "", "*7", "!*77", "/fr/", "!/fr/1*"])).alias("kept"))
+
+
 # ---------------------------------------------------------------- sinks
 
 @query("k1_rotation", f"""WITH {J}, s AS (SELECT ts, sum(length('{{"ts":' || ts || ',"sid":"' || sid || '"}}') + 1) AS n FROM j GROUP BY 1), u AS (SELECT ts, sum(n) OVER (ORDER BY ts DESC) AS upto FROM s)

@@ -27,7 +27,9 @@ def gated(files: DataFrame, rules: DataFrame) -> DataFrame:
     extension = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
     ok = (F.col("path_part").isNull() | F.contains("file", "path_part")) & (F.col("ext").isNull() | (extension == F.col("ext"))) & (
         F.col("min_lines").isNull() | (F.col("n_lines") > F.col("min_lines")))
-    return files.join(F.broadcast(rules), ok)
+    from ..plans.tables import small
+
+    return files.join(small(rules), ok)
 
 
 def hits(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -259,7 +259,9 @@ def attribution(spark, rules: Iterable[Rule]) -> DataFrame:
 
 def attributed(facts_: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """Window facts (predicate, args) with the rules that ask for them."""
+    from ..plans.tables import small
+
     by = attribution(facts_.sparkSession, rules)
     joined = F.array_join("args", ",")
-    return facts_.join(F.broadcast(by.withColumnRenamed("predicate", "__p")), (F.col("predicate") == F.col("__p")) & (
+    return facts_.join(small(by.withColumnRenamed("predicate", "__p")), (F.col("predicate") == F.col("__p")) & (
         (joined == F.col("key")) | F.startswith(joined, F.concat("key", F.lit(",")))), "left").drop("__p", "key")

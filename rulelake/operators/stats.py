@@ -45,10 +45,11 @@ def rule_stats(log: DataFrame) -> DataFrame:
 
 
 def integer_median(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Middle value, or the floored mean of both: ranks from counts of distinct values, not from one sorted column."""
+    """Middle value, or the floored mean of both: ranks from counts of distinct values, ordered in ranges."""
+    from ..plans.tables import running
+
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by, F.lit(1)).orderBy(value)
-    ranked = counted.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy(*by, F.lit(1)))})
+    ranked = running(counted, by, value, "n")
     lo, hi = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
     return ranked.groupBy(*by).agg(
         F.min(F.when(F.col("upto") >= lo, F.col(value))).alias("lo"), F.min(F.when(F.col("upto") >= hi, F.col(value))).alias("hi")).select(
@@ -133,7 +134,9 @@ def trend(snapshots: DataFrame) -> DataFrame:
 
 def filled(snapshots: DataFrame, ids: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for every snapshot and rule; hits is null where a rule was not measured."""
-    return ids.select("snapshot").distinct().crossJoin(F.broadcast(rules.select("rule_id").distinct())).join(snapshots, ["snapshot", "rule_id"], "left")
+    from ..plans.tables import small
+
+    return ids.select("snapshot").distinct().crossJoin(small(rules.select("rule_id").distinct())).join(snapshots, ["snapshot", "rule_id"], "left")
 
 
 def nearest_rank(rows: DataFrame, value: str, levels: Sequence[int] = (50, 95), by: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Lineage cuts for iterative plans: written tables in the folder all executors share, deleted with the session."""
+"""Lineage cuts for iterative plans (written tables in the folder all executors share, deleted with the session), broadcasts
+of checked size, and running sums that no single task orders."""
 
 from __future__ import annotations
 
@@ -6,8 +7,10 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OURS: list[tuple[SparkSession, str]] = []
 
@@ -44,3 +47,29 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     schema = df.schema
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Rows, and bytes of their JSON, that one executor may hold as a broadcast relation.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if its counted rows and bytes are within the bounds; else as it is."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])))), F.lit(0))
+    n, total = table.limit(BROADCAST_ROWS + 1).agg(F.count("*"), size).first()
+    return F.broadcast(table) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else table
+
+
+def running(rows: DataFrame, by: Sequence[str], order: str, value: str, descending: bool = False) -> DataFrame:
+    """rows with upto (the sum of value over the group's rows up to this one by order) and total. Rows are dealt out by
+    ranges, ordered inside these, and the sums of earlier ranges added, so a group of any size is spread over tasks."""
+    key = F.desc(order) if descending else F.asc(order)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, *by, key).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))  # a row for each range that a group is in
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    base = sums.withColumns({"__base": F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("__sum").over(group)})
+    base = base.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), "__base", "total")
+    on = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]]
+    inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(key))
+    return dealt.withColumn("upto", inside).join(small(base), on).withColumn("upto", F.col("upto") + F.col("__base")).drop("__part", "__p", "__base", *[f"__by{i}" for i in range(len(by))])

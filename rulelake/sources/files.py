@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,30 @@ def action_log(spark: SparkSession, path: str, rotated: str | None = None) -> Da
     return now if rotated is None else jsonl(spark, rotated, LOG)[0].withColumn("part", F.lit(0)).unionByName(now)
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*", most_bytes: int = 1 << 20) -> DataFrame:
-    """path and text of the files below a folder; larger ones are left out before their content is read."""
+def files(spark: SparkSession, root: str, pattern: str = "*", most_bytes: int = 1 << 20, ignore: list[str] | None = None) -> DataFrame:
+    """path and text of the files below a folder; larger and ignored ones are left out before their content is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.where(F.col("length") <= most_bytes).select("path", F.decode("content", "UTF-8").alias("text"))
+    kept = found.where(F.col("length") <= most_bytes)
+    if ignore:
+        inside = F.regexp_replace("path", r"^(?:[a-z]+:/*)?" + re.escape("/" + root.split(":", 1)[-1].strip("/")) + "/", "") if root else F.col("path")
+        kept = kept.where(~ignored(inside, ignore))
+    return kept.select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether a relative path is left out by the lines of an ignore file: the last line that matches it or one of its
+    folders decides, ! takes back, a slash inside or before ties a pattern to the root, one after it to folders."""
+    out = F.lit(False)
+    for line in patterns:
+        p = line.strip()
+        if not p or p.startswith("#"):
+            continue
+        back, p = p.startswith("!"), p.removeprefix("!")
+        folder, rooted = p.endswith("/"), "/" in p.rstrip("/")
+        body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", p.strip("/")))
+        hit = path.rlike(("^" if rooted else "(?:^|/)") + body + ("/" if folder else "(?:/|$)"))
+        out = F.when(hit, F.lit(not back)).otherwise(out)
+    return out
 
 
 def lcov(reports: DataFrame) -> DataFrame:

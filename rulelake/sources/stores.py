@@ -55,20 +55,28 @@ class Store:
         return df
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines after those already there."""
+def append_log(df: DataFrame, path: str, most_bytes: int = 50 * (1 << 20)) -> None:
+    """Rows as JSON lines after those already there. A log beyond the size is first set aside as its one predecessor
+    (path.1, whose own content goes); rows are written only then, so none is in both."""
+    spark = df.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)) and fs.getContentSummary(at(path)).getLength() > most_bytes:
+        fs.delete(at(f"{path}.1"), True)
+        if not fs.rename(at(path), at(f"{path}.1")):
+            raise OSError(f"cannot set {path} aside")
     df.write.mode("append").json(path)
 
 
 def rotated(log: DataFrame, most_bytes: int = 50 * (1 << 20)) -> DataFrame:
     """log with its generation: 1 for the newest rows within the size, 0 for those before; older ones are dropped at
     twice the size. Sizes are summed by second, so that no task orders the whole log."""
-    from pyspark.sql import Window
+    from ..plans.tables import running
 
     size = F.octet_length(F.to_json(F.struct(*log.columns))) + 1
     per = log.withColumn("__size", size).groupBy("ts").agg(F.sum("__size").alias("__size"))
-    upto = F.sum("__size").over(Window.orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0))
-    marked = per.select("ts", F.when(upto <= most_bytes, 1).when(upto <= 2 * most_bytes, 0).alias("generation")).where("generation IS NOT NULL")
+    upto = F.col("upto")
+    marked = running(per, [], "ts", "__size", descending=True).select("ts", F.when(upto <= most_bytes, 1).when(upto <= 2 * most_bytes, 0).alias("generation")).where("generation IS NOT NULL")
     return log.join(marked, "ts")
 
 

@@ -111,3 +111,30 @@ def test_streamed_prompt_classes_equal_the_batch(spark, tmp_path):
     q = stream.sink(stream.prompt_classes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).json(src)), str(tmp_path / "c"), lambda b, n: got.extend(map(tuple, b.collect())), drain=True)
     assert q.awaitTermination(60), q.status
     assert sorted(got) == want
+
+
+def test_ignore_lines_and_rotation_on_write(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rulelake.sources import files, stores
+
+    for name in ("a.py", "target/x.py", "src/b.py", "src/gen/c.py", "src/gen/keep.py", "notes.txt"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text("x")
+    found = files.files(spark, str(tmp_path / "t"), "*.py", ignore=["target/", "src/gen/*", "!keep.py"])
+    assert {r.path.rsplit("/t/", 1)[1] for r in found.collect()} == {"a.py", "src/b.py", "src/gen/keep.py"}
+    log, rows = str(tmp_path / "log"), spark.range(100).select("id", F.lit("x" * 50).alias("t"))
+    for n in range(3):
+        stores.append_log(rows.withColumn("n", F.lit(n)), log, 4000)
+    assert spark.read.json(log).agg(F.min("n"), F.max("n")).first()[:] == (2, 2) and spark.read.json(f"{log}.1").select("n").distinct().collect()[0].n == 1
+
+
+def test_running_sums_over_ranges(spark):
+    from rulelake.plans.tables import running
+
+    rows = [("a" if i % 3 else None, (i * 37) % 101, i % 5) for i in range(101)]
+    for descending in (False, True):
+        got = {(r.g, r.o): (r.upto, r.total) for r in running(spark.createDataFrame(rows, "g string, o int, v int"), ["g"], "o", "v", descending).collect()}
+        for g, o, _ in rows:
+            own = [v for x, p, v in rows if x == g]
+            assert got[g, o] == (sum(v for x, p, v in rows if x == g and (p >= o if descending else p <= o)), sum(own))
