@@ -262,7 +262,7 @@ def _(spark, d):
 @query("p3_shared_memories", f"""SELECT rule_id, n FROM (SELECT 'finished' AS rule_id, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F') AS n
 UNION ALL SELECT 'low', (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'note', (SELECT count(*) FROM nation))""")
 def _(spark, d):
-    return rules.Session(rules.shared(fact_table(spark, d), TWO), TWO).agenda().groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rules.Session(fact_table(spark, d), TWO, share=True).agenda().groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 @query("j5_shared_joins", """SELECT 'a' AS rule_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' UNION ALL
@@ -270,7 +270,7 @@ SELECT 'b', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nat
 def _(spark, d):
     pair = (cond("order", "?o", "?c", "F"), cond("customer", "?c", "?n", "?s"))
     two = [Rule("a", pair, (warn("?o"),)), Rule("b", (*pair, cond("nation", "?n", "?name")), (warn("?o"),))]
-    return rules.shared_agenda(fact_table(spark, d), two).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rules.Session(fact_table(spark, d), two, share=True).fire().groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 @query("j6_delta_join", """SELECT c_custkey AS c, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0 OR c_custkey % 10 = 0""")

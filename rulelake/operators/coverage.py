@@ -10,11 +10,19 @@ BLOCK = 256
 
 
 def validated(hits: DataFrame) -> DataFrame:
-    """Hit records with lower-case revision, each once; an error if they are of several tools or revisions."""
+    """Hit records with lower-case revision, each once; an error if one is no record of the known version (v 1, kind hit, a
+    test, a region, lines in order) or if they are of several tools or revisions."""
     rows = hits.withColumn("revision", F.lower("revision")).dropDuplicates()
-    kinds = rows.agg(F.count_distinct("tool").alias("tools"), F.count_distinct("revision").alias("revisions"))
-    checked = kinds.select(F.assert_true(F.col("tools") <= 1, F.lit("hits of several tools")).alias("a"), F.assert_true(F.col("revisions") <= 1, F.lit("hits of several revisions")).alias("b"))
-    return rows.join(F.broadcast(checked.where("a IS NULL AND b IS NULL").select(F.lit(1).alias("__ok"))), F.lit(True), "left_semi")
+    good = F.lit(True)
+    for column, holds in (("v", "v = 1"), ("kind", "kind = 'hit'"), ("test", "trim(test) <> ''"), ("region", "trim(region) <> ''")):
+        if column in hits.columns:
+            good = good & F.coalesce(F.expr(holds), F.lit(False))
+    if "start_line" in hits.columns:
+        good = good & F.coalesce(F.expr("start_line <= end_line"), F.lit(True))
+    kinds = rows.agg(F.count_distinct("tool").alias("tools"), F.count_distinct("revision").alias("revisions"), F.count_if(~good).alias("bad"))
+    checked = kinds.select(F.assert_true(F.col("tools") <= 1, F.lit("hits of several tools")).alias("a"), F.assert_true(F.col("revisions") <= 1, F.lit("hits of several revisions")).alias("b"),
+                           F.assert_true(F.col("bad") == 0, F.lit("rows that are no hit records")).alias("c"))
+    return rows.join(F.broadcast(checked.where("a IS NULL AND b IS NULL AND c IS NULL").select(F.lit(1).alias("__ok"))), F.lit(True), "left_semi")
 
 
 def lines_in_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:

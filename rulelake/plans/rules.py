@@ -115,9 +115,9 @@ def shared(facts: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return cut(pruned(facts, rules), "predicate").select(*facts.columns)
 
 
-def shared_agenda(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Session.agenda() with shared work: facts are scanned once, and a chain of conditions with which several rules begin
-    (the same up to the names of variables) is joined once; each rule continues from the longest chain it shares."""
+def shared_activations(facts: DataFrame, rules: Sequence[Rule]) -> list[DataFrame]:
+    """activations() of each rule with shared work: facts are scanned once, and a chain of conditions with which several
+    rules begin (the same up to the names of variables) is joined once; each rule continues from the longest it shares."""
     from .tables import cut
 
     memory = shared(facts, rules)
@@ -131,14 +131,13 @@ def shared_agenda(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         k = max((k for k in range(2, len(_patterns(r)) + 1) if chains[_chain(r, k)] > 1), default=0)
         start = None
         if k:
-            names = _names(r, k)
-            key = _chain(r, k)
+            names, key = _names(r, k), _chain(r, k)
             if key not in joined:
                 rows = reduce(beta, [alpha(memory, c.predicate, c.args, i) for i, c in enumerate(_patterns(r)[:k])])
                 joined[key] = cut(rows.withColumnsRenamed({v: f"v{i}" for v, i in names.items()}))
             start = joined[key].withColumnsRenamed({f"v{i}": v for v, i in names.items()})
-        out.append(activations(memory, r, n, start, k).select(*AGENDA))
-    return reduce(DataFrame.unionByName, out)
+        out.append(activations(memory, r, n, start, k))
+    return out
 
 
 def _patterns(rule: Rule) -> list[Condition]:
@@ -210,8 +209,14 @@ class Session:
                 self.retract(reduce(DataFrame.unionByName, [r.select("id") for r in rows]))
         self.facts = cut(self.facts)
 
-    def __init__(self, facts: DataFrame, rules: Iterable[Rule] = ()):
-        self.facts, self.rules = facts, list(rules)
+    def __init__(self, facts: DataFrame, rules: Iterable[Rule] = (), share: bool = False):
+        """share: scan the facts once and join common chains of conditions once, for sets of many rules."""
+        self.facts, self.rules, self.share = facts, list(rules), share
+
+    def _activations(self) -> list[DataFrame]:
+        if self.share and self.rules:
+            return shared_activations(self.facts, self.rules)
+        return [activations(self.facts, r, n) for n, r in enumerate(self.rules)]
 
     def add_rule(self, rule: Rule) -> None:
         if any(r.id == rule.id for r in self.rules):
@@ -232,7 +237,7 @@ class Session:
 
     def agenda(self) -> DataFrame:
         """Activations in firing order: salience, then rule order, then facts; each once."""
-        rows = [activations(self.facts, r, n).select(*AGENDA) for n, r in enumerate(self.rules)]
+        rows = [a.select(*AGENDA) for a in self._activations()]
         return reduce(DataFrame.unionByName, rows) if rows else self.facts.sparkSession.createDataFrame(
             [], "rule_id string, salience int, rule_ord int, fact_ids array<string>, bindings map<string,string>, fact_sources map<string,string>, guard_error string")
 
@@ -241,7 +246,7 @@ class Session:
 
     def fire(self) -> DataFrame:
         """All consequences (unordered; order by salience desc, rule_ord, fact_ids, action_ord to see the firing order)."""
-        out = [consequence(activations(self.facts, r, n), r, k, a) for n, r in enumerate(self.rules) for k, a in enumerate(r.actions)]
+        out = [consequence(rows, r, k, a) for r, rows in zip(self.rules, self._activations()) for k, a in enumerate(r.actions)]
         return reduce(DataFrame.unionByName, out) if out else self.agenda().withColumns(
             {c: F.lit(None).cast(t) for c, t in (("action_ord", "int"), ("kind", "string"), ("action_type", "string"), ("message", "string"),
                                                  ("params", "array<string>"), ("data", "string"), ("unbound_variables", "array<string>"))})

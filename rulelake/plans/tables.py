@@ -62,8 +62,16 @@ def small(table: DataFrame) -> DataFrame:
 
 def running(rows: DataFrame, by: Sequence[str], order: str, value: str, descending: bool = False) -> DataFrame:
     """rows with upto (the sum of value over the group's rows up to this one by order) and total. Rows are dealt out by
-    ranges, ordered inside these, and the sums of earlier ranges added, so a group of any size is spread over tasks."""
+    ranges, ordered inside these, and the sums of earlier ranges added, so a group of any size is spread over tasks; no
+    more than BROADCAST_ROWS in all are ordered at once."""
     key = F.desc(order) if descending else F.asc(order)
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        return rows.withColumns({"upto": F.sum(value).over(group.orderBy(key)), "total": F.sum(value).over(group)})
+    return _running_in_ranges(rows, by, order, value, key)
+
+
+def _running_in_ranges(rows: DataFrame, by: Sequence[str], order: str, value: str, key) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.repartitionByRange(parts, *by, key).withColumn("__part", F.spark_partition_id()))
     sums = dealt.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))  # a row for each range that a group is in

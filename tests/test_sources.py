@@ -130,11 +130,15 @@ def test_ignore_lines_and_rotation_on_write(spark, tmp_path):
 
 
 def test_running_sums_over_ranges(spark):
-    from rulelake.plans.tables import running
+    from pyspark.sql import functions as F
+
+    from rulelake.plans.tables import _running_in_ranges, running
 
     rows = [("a" if i % 3 else None, (i * 37) % 101, i % 5) for i in range(101)]
     for descending in (False, True):
-        got = {(r.g, r.o): (r.upto, r.total) for r in running(spark.createDataFrame(rows, "g string, o int, v int"), ["g"], "o", "v", descending).collect()}
+        df = spark.createDataFrame(rows, "g string, o int, v int")
+        once = {(r.g, r.o): (r.upto, r.total) for r in running(df, ["g"], "o", "v", descending).collect()}
+        got = {(r.g, r.o): (r.upto, r.total) for r in _running_in_ranges(df, ["g"], "o", "v", F.desc("o") if descending else F.asc("o")).collect()}
         for g, o, _ in rows:
             own = [v for x, p, v in rows if x == g]
-            assert got[g, o] == (sum(v for x, p, v in rows if x == g and (p >= o if descending else p <= o)), sum(own))
+            assert got[g, o] == once[g, o] == (sum(v for x, p, v in rows if x == g and (p >= o if descending else p <= o)), sum(own))
