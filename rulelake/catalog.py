@@ -15,6 +15,7 @@ from .functions import text as T
 from .model import Action, Condition, Rule
 from .operators import audit, coverage, drift, facts, graph, journey, outcomes, scrub, stats
 from .plans import policy, rules
+from .plans.tables import spread
 
 NOW, SID = 1_706_659_200, "7"  # 2024-01-31 00:00 UTC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,7 +697,7 @@ h AS (SELECT 'pipe' AS rule_id, 'block' AS level, file, length(text) - length(re
 
 
 def files(spark, d):
-    t = table(spark, d, "documents").where("text IS NOT NULL")
+    t = spread(table(spark, d, "documents")).where("text IS NOT NULL")
     return t.select(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".md")).alias("file"), "text")
 
 
@@ -751,13 +752,13 @@ def _(spark, d):
   list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,128}\.[A-Za-z]{2,24}\b'), lambda m: {'what': 'email address', 'm': m}))) AS r FROM documents)
 SELECT doc_id, r.what AS what, CASE WHEN r.what = 'email address' OR (r.what IN ('token/secret assignment', 'bearer token', 'secret-suggesting environment key') AND NOT regexp_matches(r.m, '[0-9]')) THEN 'warning' ELSE 'error' END AS severity, count(*) AS n FROM f GROUP BY ALL""")
 def _(spark, d):
-    return scrub.findings(table(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id", "what", "severity").agg(F.count("*").alias("n"))
+    return scrub.findings(spread(table(spark, d, "documents").select("doc_id", "text"))).groupBy("doc_id", "what", "severity").agg(F.count("*").alias("n"))
 
 
 @query("x_token_sets", r"""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'),
   lambda w: strlen(w) > 1 AND w NOT IN ('the','a','an','of','to','for','in','on','at','by','is','are','be','and','or','but','with','as','it','its','this','that','you','your','we','our','i','me')))) AS n FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"))
 
 
 @query("j36_best_match", r"""WITH st(w) AS (SELECT unnest(['the','a','an','of','to','for','in','on','at','by','is','are','be','and','or','but','with','as','it','its','this','that','you','your','we','our','i','me'])),

@@ -216,6 +216,20 @@ def _(spark, d):
     return store.load().agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s"))
 
 
+@query("s14_sealed_records", "SELECT * FROM (VALUES ('whole', NULL), ('changed', 'Corrupt'), ('short', 'Corrupt'), ('turned', NULL)) t(store, refused)")
+def _(spark, d):
+    lines = table(spark, d, "part").select(F.to_json(F.struct("p_partkey", "p_name")).alias("value"))
+    sealed = stores.seal(lines)
+
+    def refused(rows):
+        try:
+            stores.unsealed(rows, *sealed)
+        except stores.Corrupt as e:
+            return type(e).__name__
+    found = {"whole": lines, "changed": lines.withColumn("value", F.replace("value", F.lit('":1,'), F.lit('":-1,'))), "short": lines.where("value NOT LIKE '%:7,%'"), "turned": lines.orderBy(F.desc("value"))}
+    return lit_rows(spark, [(k, refused(v)) for k, v in found.items()], "store string, refused string")
+
+
 @query("k4_consequence_store", "SELECT o_orderkey AS seq FROM orders ORDER BY o_orderkey DESC LIMIT 1000")
 def _(spark, d):
     return rules.newest(table(spark, d, "orders").select(F.col("o_orderkey").alias("seq")), "seq", 1000)

@@ -49,6 +49,13 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it was read, dealt out to as many tasks as there are cores if its files give fewer; a large table has
+    more splits than that and is left as it is. For scans only: counting the tasks of other plans would run them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 #: Rows, and bytes of their JSON, that one executor may hold as a broadcast relation.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 

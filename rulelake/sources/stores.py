@@ -18,6 +18,23 @@ def checksum(df: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
+def seal(lines: DataFrame) -> tuple[int, str]:
+    """Number of record lines (value), and their FNV-1a64 hashes folded into one whatever their order."""
+    from ..functions.text import fnv1a64
+
+    hashed = lines.select(fnv1a64(F.col("value")).alias("h"))
+    half = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("long")
+    r = hashed.agg(F.count("*"), F.coalesce(F.bit_xor(half(1)), F.lit(0)), F.coalesce(F.bit_xor(half(9)), F.lit(0))).first()
+    return int(r[0]), f"{r[1]:08x}{r[2]:08x}"
+
+
+def unsealed(lines: DataFrame, records: int, digest: str) -> DataFrame:
+    """The record lines if they are those that were sealed; an error if one was lost, added or changed."""
+    if seal(lines) != (records, digest):
+        raise Corrupt("record lines differ from their seal")
+    return lines
+
+
 class Store:
     """A table kept as versions; a version counts only once its record (count, checksum) is written."""
 
