@@ -192,3 +192,29 @@ def test_empty_table_and_ties(spark):
     assert signature.similar_groups(spark.createDataFrame([], SCHEMA)).collect() == []
     grams, cut = K.word_shingles(*K.buffer(["a b a b a b", "a"]), 2)
     assert np.diff(cut).tolist() == [2, 1]
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    from rulelake.llm import packing, repeats, storage
+
+    data = docs(11, 60)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], SCHEMA).repartition(3)
+    texts = df.withColumnRenamed("n_shingles", "source")
+    before = [sorted(map(tuple, f.collect()), key=repr) for f in (signature.similar_groups(df, 3, 90), repeats.remove_repeats(df), packing.pack(texts))]
+    monkeypatch.setattr(storage, "is_small", lambda *a, **k: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = [sorted(map(tuple, f.collect()), key=repr) for f in (signature.similar_groups(df, 3, 90), repeats.remove_repeats(df), packing.pack(texts))]
+        ids = {r.doc_id for r in signature.one_of_each(df, 5, 80).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert after == before
+    want = brute([d for d in data if d[0] is not None], 5, 80)
+    assert ids - {None} == {i for i, (n, c) in want.items() if n == 0 or c == i}
+
+
+def test_bytes_count_against_a_broadcast(spark):
+    from rulelake.llm import storage
+
+    rows = spark.range(50).selectExpr("id", "repeat('x', 1000) AS t", "array(id, id) AS a", "array('yy', t) AS s")
+    assert storage.is_small(rows) and not storage.is_small(rows, rows=49) and not storage.is_small(rows, size=100_000) and storage.is_small(rows, size=110_000)
