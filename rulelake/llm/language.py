@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import small
+from .storage import BROADCAST_ROWS
 
 #: Labelled rows to learn from at most (about), and the least share of a language's n-grams that one must have.
 TRAIN_ROWS, MIN_SHARE = 20_000, 4e-6
@@ -127,7 +127,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SH
                     yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64), "n": n})
     counted = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg((F.sum("n") * F.lit(min_share)).alias("least"))
-    chosen = counted.join(small(totals), "lang").where((F.col("n") >= F.col("least")) & (F.col("n") > 1))
+    totals = F.broadcast(totals) if len(prior) <= BROADCAST_ROWS else totals  # a row for each language, and these are counted
+    chosen = counted.join(totals, "lang").where((F.col("n") >= F.col("least")) & (F.col("n") > 1))
     return Model(chosen.select("lang", "gram").toPandas(), prior)  # at most 1 / min_share rows a language
 
 
