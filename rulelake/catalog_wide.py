@@ -490,11 +490,11 @@ def code_graph(spark, d):
     file, fn = F.concat(F.lit("f"), F.col("p_partkey") % 40), F.concat(F.lit("m::fn"), "p_partkey")
     return e(p.where("p_size % 5 <> 0"), "defines_fn", file, fn).unionByName(e(p.where("p_size % 5 = 0"), "defines_test", file, fn)).unionByName(
         e(s, "declares_module", F.concat(F.lit("f"), "s_suppkey"), F.concat(F.lit("mod"), F.col("s_suppkey") % 7))).unionByName(
-        e(li.where("l_linenumber = 1"), "calls", F.concat(F.lit("m::fn"), "l_partkey"), F.concat(F.lit("m::fn"), F.col("l_suppkey") * 3)))
+        e(li, "calls", F.concat(F.lit("m::fn"), "l_partkey"), F.concat(F.lit("m::fn"), F.col("l_suppkey") * 3)))
 
 
 CODE = """df AS (SELECT 'f' || (p_partkey % 40) AS file, 'm::fn' || p_partkey AS fn, p_size % 5 = 0 AS test FROM part), md AS (SELECT 'f' || s_suppkey AS file, 'mod' || (s_suppkey % 7) AS module FROM supplier),
-cl AS (SELECT DISTINCT 'm::fn' || l_partkey AS x, 'm::fn' || (l_suppkey * 3) AS y FROM lineitem WHERE l_linenumber = 1)"""
+cl AS (SELECT DISTINCT 'm::fn' || l_partkey AS x, 'm::fn' || (l_suppkey * 3) AS y FROM lineitem)"""
 
 
 @query("j17_inventory", f"WITH {CODE} SELECT DISTINCT CASE WHEN test THEN 'test' ELSE 'function' END AS kind, fn AS member, module FROM df JOIN md USING (file)")
@@ -514,11 +514,11 @@ def _(spark, d):
     return graph.derive_all(e.unionByName(e.where("p = 'defines_fn'")), ["no_direct_test", "data_flows_to"]).groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query("j23_static_selection", f"""WITH {CODE}, t AS (SELECT file, fn FROM df WHERE NOT test), r AS (SELECT 't' || l_suppkey AS test, 'm::fn' || l_partkey AS fn FROM lineitem WHERE l_linenumber = 1), c AS (SELECT 'f' || s_suppkey AS file, 'fn' || (s_suppkey * 40 + s_suppkey) AS leaf, 'reg' || s_suppkey AS region FROM supplier)
+@query("j23_static_selection", f"""WITH {CODE}, t AS (SELECT file, fn FROM df WHERE NOT test), r AS (SELECT 't' || l_suppkey AS test, 'm::fn' || l_partkey AS fn FROM lineitem), c AS (SELECT 'f' || s_suppkey AS file, 'fn' || (s_suppkey * 40 + s_suppkey) AS leaf, 'reg' || s_suppkey AS region FROM supplier)
 SELECT DISTINCT r.test, c.region FROM r JOIN t USING (fn) JOIN c ON t.file = c.file AND split_part(t.fn, '::', 2) = c.leaf""")
 def _(spark, d):
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    reaches = li.where("l_linenumber = 1").select(F.concat(F.lit("t"), "l_suppkey").alias("test"), F.concat(F.lit("m::fn"), "l_partkey").alias("fn"))
+    reaches = li.select(F.concat(F.lit("t"), "l_suppkey").alias("test"), F.concat(F.lit("m::fn"), "l_partkey").alias("fn"))
     changed = s.select(F.concat(F.lit("f"), "s_suppkey").alias("file"), F.concat(F.lit("fn"), F.col("s_suppkey") * 41).alias("leaf"), F.concat(F.lit("reg"), "s_suppkey").alias("region"))
     defined = graph.pairs(code_graph(spark, d), "defines_fn", of=("file", "fn"))
     return coverage.select_static(changed, reaches, reaches.limit(0).select(F.col("test").alias("main"), "fn"), defined)
@@ -685,12 +685,12 @@ sh AS (SELECT l, target, count(*) AS s FROM wa JOIN wb USING (w) GROUP BY ALL),
 best AS (SELECT l, arg_max(target, (sim, -ord)) AS target, max(sim) AS sim FROM sc JOIN {right} USING (target) GROUP BY 1)"""
 
 
-DRIFT = """rt AS (SELECT 'b' || item_id AS target, item_id AS ord, text FROM benchmark), en AS (SELECT 'd' || doc_id AS l, doc_id, text, lang FROM documents WHERE text IS NOT NULL AND length(text) < 400)"""
+DRIFT = """rt AS (SELECT 'b' || item_id AS target, item_id AS ord, text FROM benchmark), en AS (SELECT 'd' || doc_id AS l, doc_id, text, lang FROM documents WHERE text IS NOT NULL)"""
 
 
 def drift_tables(spark, d):
     right = table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("target"), F.col("item_id").alias("ord"), "text")
-    left = table(spark, d, "documents").where("text IS NOT NULL AND length(text) < 400").select(F.concat(F.lit("d"), "doc_id").alias("id"), "doc_id", "text", "lang")
+    left = table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit("d"), "doc_id").alias("id"), "doc_id", "text", "lang")
     return left, right
 
 
@@ -757,11 +757,11 @@ def _(spark, d):
     return stats.kalpa_report(log, "k1").select("events", "sessions", "commits", "start_retained")
 
 
-@query("o11_activity", """SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_linenumber = 1 ORDER BY l_orderkey % 2 = 1 DESC, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_orderkey DESC, CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR) LIMIT 50""")
+@query("o11_activity", """SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem ORDER BY l_orderkey % 2 = 1 DESC, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_orderkey DESC, l_linenumber || '-' || l_partkey, CAST(l_suppkey AS VARCHAR) LIMIT 50""")
 def _(spark, d):
     flag = F.col("l_returnflag")
-    items = table(spark, d, "lineitem").where("l_linenumber = 1").select(
-        F.col("l_partkey").cast("string").alias("rule_id"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_orderkey").alias("ts"), F.when(flag == "R", "block").when(flag == "A", "warn").otherwise("log").alias("severity"),
+    items = table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_linenumber", "l_partkey").alias("rule_id"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_orderkey").alias("ts"), F.when(flag == "R", "block").when(flag == "A", "warn").otherwise("log").alias("severity"),
         (F.col("l_orderkey") % 2 == 1).alias("is_newest"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), flag.alias("f"))
     return stats.activity(items, 50).select("k", "n", "f")
 
