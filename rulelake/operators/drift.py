@@ -27,11 +27,15 @@ def best_match(left: DataFrame, right: DataFrame, left_id: str = "id", right_id:
     """left ids with their most similar right id (Jaccard of word sets; the first by order on ties), the overlap and the
     union. Left texts without a shared word are left out.
 
-    Words meet in an equi-join on an inverted index; pairs without a shared word are never made.
+    Words meet in an equi-join on the right texts' inverted index, which is broadcast if it is counted small; pairs without
+    a shared word are never made, and overlaps are added up before anything is shuffled.
     """
     a = left.select(F.col(left_id).alias("l"), tokens(F.col(text)).alias("t")).withColumn("ln", F.size("t"))
     b = right.select(F.col(right_id).alias("r"), F.col(order).alias("o"), tokens(F.col(text)).alias("t")).withColumn("rn", F.size("t"))
-    shared = a.select("l", "ln", F.explode("t").alias("w")).join(b.select("r", "o", "rn", F.explode("t").alias("w")), "w").groupBy("l", "r").agg(
+    from ..plans.tables import small
+
+    index = small(b.select("r", "o", "rn", F.explode("t").alias("w")))
+    shared = a.select("l", "ln", F.explode("t").alias("w")).join(index, "w").groupBy("l", "r").agg(
         F.count("*").alias("shared"), F.first("ln").alias("ln"), F.first("rn").alias("rn"), F.first("o").alias("o"))
     scored = shared.withColumn("union", F.col("ln") + F.col("rn") - F.col("shared"))
     # exact comparison of fractions is needed only to single precision, as the similarity is reported
