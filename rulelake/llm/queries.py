@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, language, lengths, packing, repeats, secrets, signature, toolcalls, urlfilter
+from . import decontaminate, fertility, language, lengths, packing, repeats, secrets, signature, throttle, toolcalls, urlfilter
 from .storage import documents
 
 
@@ -59,6 +59,10 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op13_click_throttling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return throttle.settle(_table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
