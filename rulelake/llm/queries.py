@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, language, lengths, packing, repeats, secrets, signature, throttle, toolcalls, urlfilter
+from . import decontaminate, fertility, language, lengths, packing, repeats, resample, secrets, signature, throttle, toolcalls, urlfilter
 from .storage import documents
 
 
@@ -59,6 +59,10 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_click_throttling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throttle.settle(_table(spark, sf_dir, "clicks"))
 
@@ -68,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tool_linking": toolcalls.SQL, "op6_temporal_lists": urlfilter.SQL}
+    return {"op2_tool_linking": toolcalls.SQL, "op6_temporal_lists": urlfilter.SQL, "op12_importance_resampling": resample.SQL}
