@@ -38,11 +38,14 @@ from .storage import _OURS, _delete, partitions, shared_dir
 
 #: Microseconds that a click costs; credits are at most this many costs; allowance of the watermark.
 COST, FULL, ALLOWANCE = 300 * 1_000_000, 12, 6 * 3600 * 1_000_000
-#: Clicks of all batches that make one more bucket.
-BUCKET_CLICKS = 100_000
+#: Clicks of all batches that make one more bucket, and the least number of buckets.
+BUCKET_CLICKS, LEAST_BUCKETS = 20_000, 16
+#: Clicks that one task writes at least.
+FILE_CLICKS = 100_000
 #: Times before and after all others, and a click without id.
 NEVER, EVER, NO_ID = -(1 << 63), (1 << 63) - 1, -(1 << 63)
 
+CHECKSUMS = "spark.sql.streaming.checkpoint.fileChecksum.enabled"
 #: No value of the stream's rows is null: beside a null, pandas would turn longs into doubles.
 FEED = "bucket int, tick boolean, client long, at long, click long, w long, batch int"
 SETTLED = "click_id long, outcome string, batch int, credit_after long, penalty_start_us long, penalty_end_us long"
@@ -204,9 +207,10 @@ def settle(clicks: DataFrame, batches: int = 10, cost: int = COST, full: int = F
     _OURS.append((spark, folder))
     counted, n = cut(clicks, batches)
     parts = partitions(spark)
-    buckets = max(2 * parts, -(-n // bucket_clicks))
+    buckets = max(LEAST_BUCKETS, -(-n // bucket_clicks))
     rows = counted.select(F.pmod(F.xxhash64("client"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(False).alias("tick"), "client", "at", "click", F.lit(NEVER).alias("w"), "batch")
-    rows.withColumn("part", F.col("batch")).write.partitionBy("part").parquet(f"{folder}/cut")
+    # every task writes a file for each batch, so short tables go through few tasks
+    rows.coalesce(max(LEAST_BUCKETS, n // FILE_CLICKS)).withColumn("part", F.col("batch")).write.partitionBy("part").parquet(f"{folder}/cut")
     feed = T.StructType.fromDDL(FEED)
     tops = {r.part: r.top for r in spark.read.schema(T.StructType.fromDDL(f"{FEED}, part int")).parquet(f"{folder}/cut").groupBy("part").agg(F.max("at").alias("top")).collect()}  # a row for each batch
     w = NEVER
@@ -238,8 +242,16 @@ def _show(spark: SparkSession, path: str, to: str) -> None:
 
 def _run(spark: SparkSession, folder: str, feed: T.StructType, step) -> None:
     """One start of the stream, over what is there and new to its checkpoint."""
+    kept = spark.conf.get(CHECKSUMS, None)
+    spark.conf.set(CHECKSUMS, "false")  # the checkpoint ends with this call, and a small file beside each file doubles its writes
     query = (spark.readStream.schema(feed).parquet(f"{folder}/feed/*").groupBy("bucket")
              .applyInPandasWithState(step, SETTLED, "credits binary, waiting binary", "append", "NoTimeout")
              .writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/settled")
              .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        if kept is None:
+            spark.conf.unset(CHECKSUMS)
+        else:
+            spark.conf.set(CHECKSUMS, kept)
