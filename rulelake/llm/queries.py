@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, language, lengths, packing, repeats, resample, secrets, signature, throttle, toolcalls, urlfilter
+from . import decontaminate, fertility, instances, language, lengths, packing, repeats, resample, secrets, signature, throttle, toolcalls, urlfilter
 from .storage import documents
 
 
@@ -59,6 +59,11 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return instances.scores(docs, instances.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
