@@ -19,10 +19,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import map_frames, text_of
 
 #: Bytes of benchmark text that one broadcast block holds.
 BLOCK_BYTES = 8_000_000
@@ -144,9 +146,8 @@ def spans(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6
 
     Each row meets all benchmark blocks in the task that reads it, so its result does not depend on their number.
     """
-    return documents.select("doc_id", "text").mapInPandas(
-        _matcher(list(_blocks(benchmark, block_bytes)), span, k),
-        "doc_id long, n_words long, begin array<int>, end array<int>, items array<string>")
+    return map_frames(documents.select("doc_id", "text"), _matcher(list(_blocks(benchmark, block_bytes)), span, k),
+                      "doc_id long, n_words long, begin array<int>, end array<int>, items array<string>")
 
 
 def _gathered(batches, least: int):
@@ -211,8 +212,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = 10, k:
                 "n_items": np.array([len(x) for x in items], np.int64),
                 "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
                 "contaminated": np.array(hit, np.int64) > 0})
-    return spans(documents, benchmark, span, k, block_bytes).mapInPandas(
-        digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_frames(spans(documents, benchmark, span, k, block_bytes), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -220,17 +220,17 @@ def clean(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 6
     filter that the scan passes through; nothing is joined or shuffled."""
     out = documents
     for shared in _blocks(benchmark, block_bytes):
-        out = out.mapInPandas(_filter(shared, span, k), documents.schema)
+        out = out.mapInArrow(_filter(shared, span, k), documents.schema)
     return out
 
 
 def _filter(shared, span: int, k: int):
     def run(batches):
         index = Index(*shared.value, span, k)
-        for pdf in batches:
-            texts, keep = pdf["text"].tolist(), np.ones(len(pdf), bool)
+        for batch in batches:
+            texts, keep = text_of(batch), np.ones(batch.num_rows, bool)
             for a, b in K.slices(texts):
                 d = Text(texts[a:b])
                 keep[a + d.doc[index.hits(d)[0]]] = False
-            yield pdf[keep]
+            yield batch.filter(pa.array(keep))
     return run

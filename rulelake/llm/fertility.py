@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokens
+from .frames import map_frames
 from .storage import Table, small
 
 #: Scripts by ranges of code points; fixed values from the public Unicode blocks.
@@ -222,8 +223,8 @@ def rules(documents: DataFrame, path: str | None = None, pieces: str | None = No
                                     "group": [f"script {s}" if x is None else f"lang {x}" for x, s in zip(label, found["script"])],
                                     "length": np.frexp(np.maximum(out["n_words"], 1))[1]})
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    measured = Table(documents.select("doc_id", "text", lang.alias("lang")).mapInPandas(
-        run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    measured = Table(map_frames(
+        documents.select("doc_id", "text", lang.alias("lang")), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
              "inside boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string, "
              "tokens_per_word double, group string, length int"))
     pivot = bands_by_group(measured.df.where("NOT base_failed"), spread).groupBy("group", "length").agg(

@@ -12,17 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Columns with nulls that keep their type in a data frame.
-NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
+def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """The batch as a data frame; integers beside nulls are Python's integers and None."""
+    return pd.DataFrame({name: column.to_pandas(integer_object_nulls=True) for name, column in zip(batch.schema.names, batch.columns)})
 
 
-def frame(batch: pa.RecordBatch) -> pd.DataFrame:
-    """The batch as a data frame; integers and booleans beside nulls are of pandas' nullable kinds."""
-    out = {}
-    for name, column in zip(batch.schema.names, batch.columns):
-        kind = NULLABLE.get(column.type) if column.null_count else None
-        out[name] = kind.__from_arrow__(column) if kind else column.to_pandas()
-    return pd.DataFrame(out)
+def text_of(batch: pa.RecordBatch) -> list:
+    return batch.column(batch.schema.get_field_index("text")).to_pylist()
 
 
 def record(schema: pa.Schema, columns) -> pa.RecordBatch:

@@ -16,15 +16,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import map_frames, text_of
 from .storage import BROADCAST_ROWS
 
 #: Labelled rows to learn from at most (about), and the least share of a language's n-grams that one must have.
 TRAIN_ROWS, MIN_SHARE = 20_000, 4e-6
+#: Different texts that a language has at least in the sample, if it has so many.
+LEAST_TEXTS = 100
 #: Slots per n-gram of the largest language; two slots are read, so about 1.5 % of lookups are false positives.
 ROOM = 16
 LETTER = regex.compile(r"\p{L}")
@@ -110,21 +114,24 @@ def held_out(id_column: str = "doc_id"):
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE) -> Model:
     """From text and lang of (about) so many of the labelled rows, shared out evenly among the languages (those with
-    fewer rows give all) and chosen by a hash of the text."""
+    fewer texts give all) and chosen by a hash of the text. Equal texts count twice at most, so they cannot crowd out
+    others, and different ones are counted, so copies are not left out together; every language has LEAST_TEXTS, if it
+    has so many."""
     usable = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull())
-    prior = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    each = rows / max(1, len(prior))
-    share = F.create_map(*[F.lit(x) for lang, n in prior.items() for x in (lang, int(min(1.0, each / n) * (1 << 30)))]) if prior else F.create_map().cast("map<string,int>")
-    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()  # a row a language
+    prior = {r.lang: r.n for r in found}
+    each = max(LEAST_TEXTS, rows / max(1, len(prior)))
+    share = F.create_map(*[F.lit(x) for r in found for x in (r.lang, int(min(1.0, each / max(r.texts, 1)) * (1 << 30)))]) if prior else F.create_map().cast("map<string,int>")
+    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")]).groupBy("lang", "text").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("k"))
 
     def count(batches):
         for pdf in batches:
-            for lang, some in pdf.groupby("lang")["text"]:
+            for (lang, k), some in pdf.groupby(["lang", "k"])["text"]:
                 texts = some.tolist()
                 for a, b in K.slices(texts):
                     g, n = np.unique(grams(texts[a:b])[0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64), "n": n})
+                    yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64), "n": n * k})
     counted = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg((F.sum("n") * F.lit(min_share)).alias("least"))
     totals = F.broadcast(totals) if len(prior) <= BROADCAST_ROWS else totals  # a row for each language, and these are counted
@@ -141,17 +148,16 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                 lang, score = model.predict(texts[a:b])
                 part = pdf.iloc[a:b]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "held_out": part["held_out"].to_numpy(), "lang_pred": lang, "score": score})
-    return documents.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_frames(documents.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(documents: DataFrame, model: Model, least: float) -> DataFrame:
     """The documents, all columns as they are, whose text is in a known language with at least that score."""
     def run(batches):
-        for pdf in batches:
-            texts, keep = pdf["text"].tolist(), []
+        for batch in batches:
+            texts, keep = text_of(batch), []
             for a, b in K.slices(texts):
                 lang, score = model.predict(texts[a:b])
                 keep += [x != "und" and s >= least for x, s in zip(lang, score)]
-            yield pdf[np.array(keep, bool)]
-    return documents.mapInPandas(run, documents.schema)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return documents.mapInArrow(run, documents.schema)

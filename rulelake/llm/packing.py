@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokens
+from .frames import map_frames
 from .storage import Table, small
 
 WINDOW, QUANTUM, MAX_QUEUES = 1024, 128, 256
@@ -68,8 +69,7 @@ def encoded(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     upto[q] = upto.get(q, 0) + int(run_n[-1])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "queue": part["queue"].to_numpy(), "block": block, "at": at, "n": n,
                                     "ids": [ids[x:y].tobytes() + tail for x, y in zip(cut[:-1], cut[1:])]})
-    return documents.select("doc_id", queue.alias("queue"), "text").mapInPandas(
-        run, "doc_id long, queue string, block int, at long, n long, ids binary")
+    return map_frames(documents.select("doc_id", queue.alias("queue"), "text"), run, "doc_id long, queue string, block int, at long, n long, ids binary")
 
 
 class Schedule:
@@ -219,4 +219,4 @@ def pack(documents: DataFrame, vocabulary: str | None = None, targets: dict[str,
                    "sequence_id": seq, "offset": offset, "queue": pdf["queue"].str[1:].to_numpy()[doc]}
             yield pd.DataFrame(out | ({"ids": cuts} if with_ids else {}))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    return staged.df.join(small(offsets), ["queue", "block"]).mapInPandas(run, schema + (", ids binary" if with_ids else ""))
+    return map_frames(staged.df.join(small(offsets), ["queue", "block"]), run, schema + (", ids binary" if with_ids else ""))

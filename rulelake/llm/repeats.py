@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import map_frames
 from .blobs import by_part, deal, gather, schema
 from .storage import Table, partitions, small
 
@@ -181,7 +182,7 @@ def _shard(documents: DataFrame, parts: int, span: int, gram: int) -> DataFrame:
                     held, total = [], 0
         if total:
             yield send(held)
-    return documents.select("doc_id", "text").mapInPandas(run, schema(fields))
+    return map_frames(documents.select("doc_id", "text"), run, schema(fields))
 
 
 def _meet(runs: DataFrame, parts: int, span: int) -> DataFrame:
@@ -380,4 +381,4 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, gram: int = GRAM, wit
             frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield frame
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return documents.select("doc_id", "text").join(small(ranges.df), "doc_id", "left").mapInPandas(run, shape)
+    return map_frames(documents.select("doc_id", "text").join(small(ranges.df), "doc_id", "left"), run, shape)

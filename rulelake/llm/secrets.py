@@ -17,10 +17,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import map_frames, text_of
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns.
@@ -105,9 +107,9 @@ def random_strings(count: int = 4000, seed: int = 11) -> bytes:
 
 def train(documents: DataFrame, sample: int = TRAIN_DOCUMENTS) -> np.ndarray:
     """Log-likelihood ratio (random minus ordinary) of each symbol pair."""
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    share = min(1.0, sample / max(1, texts.count()))
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = documents.select("text").where(F.col("text").isNotNull())
+    share = min(1.0, sample / max(1, texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0]))
+    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()  # equal texts count once
 
     def count(batches):
         total = np.zeros((2, N * N), np.int64)
@@ -184,8 +186,7 @@ def scan(documents: DataFrame, model: np.ndarray | None = None) -> DataFrame:
                     "doc_id": ids.iloc[a:b].to_numpy(), "n_assign": n[:, 0], "n_access": n[:, 1], "n_hex": n[:, 2],
                     "base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in base],
                     "spans": [_told(s) for s in found], "n_markov": n[:, 3]})
-    return documents.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]], filler: str = "[SECRET]") -> str:
@@ -210,15 +211,18 @@ def masked(documents: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     counted = dict(documents.dtypes).get("n_chars") == "bigint"
 
     def run(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            new, counts = list(texts), pdf["n_chars"].tolist() if counted else []
+        for batch in batches:
+            texts = text_of(batch)
+            new, counts = list(texts), batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if counted else []
             for a, b in K.slices(texts):
                 for i, s in enumerate(scanner.spans(texts[a:b]), a):
                     if s:
                         new[i] = mask(texts[i], s)
                         if counts:
                             counts[i] = len(new[i])
-            pdf = pdf.assign(text=pd.Series(new, dtype=object, index=pdf.index))
-            yield pdf.assign(n_chars=pd.array([None if pd.isna(n) else int(n) for n in counts], dtype="Int64")) if counts else pdf
-    return documents.mapInPandas(run, documents.schema)
+            for name, values in (("text", new), ("n_chars", counts)):
+                if values:
+                    at = batch.schema.get_field_index(name)
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
+            yield batch
+    return documents.mapInArrow(run, documents.schema)

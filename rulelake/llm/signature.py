@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import map_frames
 from .blobs import by_part, deal, gather, schema
 from .components import components
 from .storage import Table, partitions, small, spread_join
@@ -222,7 +223,7 @@ def shapes(documents: DataFrame, words: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[a:b], "n_shingles": np.diff(cut),
                                     "h1": K.segment_sums(K.mix(grams), cut).view(np.int64),
                                     "h2": K.segment_sums(K.mix(grams ^ np.uint64(0xABCDEF987654321)), cut).view(np.int64)})
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return map_frames(documents.select("doc_id", "text"), run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def candidates(documents: DataFrame, words: int, sizes: Sizes, weights: np.ndarray | None = None) -> DataFrame:
@@ -285,7 +286,7 @@ def candidates(documents: DataFrame, words: int, sizes: Sizes, weights: np.ndarr
             at = at[n >= np.maximum(1, size // SHARED)]
         yield pd.DataFrame({"a": a[at], "b": b[at]})
 
-    packed = by_part(documents.select("doc_id", "text").mapInPandas(cut_up, schema(MEETING)), parts)
+    packed = by_part(map_frames(documents.select("doc_id", "text"), cut_up, schema(MEETING)), parts)
     return by_part(packed.mapInPandas(meet, schema(PAIRS)), parts).mapInPandas(add_up, "a long, b long")
 
 
@@ -506,12 +507,13 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     least hash of its text counts as smaller; of equal ids and texts one row stays. Documents without shingles or id
     all stay."""
     twice = Table(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
+    at = {c: f"c{i}" for i, c in enumerate(documents.columns)}  # columns by number, so that no name clashes
     if twice.df.isEmpty():
         twice.drop()
-        groups = Table(similar_groups(documents, words, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone")))
-        return documents.join(small(groups.df), documents["doc_id"] == F.col("gone"), "left_anti")
-    # columns by number, so that no name clashes; a repeated id and its text make a key of their own
-    at = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+        groups = Table(similar_groups(documents.select("doc_id", "text"), words, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+        rows = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in at.items()])
+        return rows.join(small(groups.df), F.col(at["doc_id"]) == F.col("gone"), "left_anti").select(*[F.col(x).alias(c) for c, x in at.items()])
+    # a repeated id and its text make a key of their own
     told = F.col("twice").isNotNull()
     rows = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in at.items()]).join(small(twice.df), F.col(at["doc_id"]) == F.col("twice"), "left").withColumn(
         "key", F.when(told, F.xxhash64(at["doc_id"], at["text"])).otherwise(F.col(at["doc_id"])))
