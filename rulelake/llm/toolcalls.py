@@ -5,10 +5,10 @@ the tool's schema and serialised canonically (keys sorted, no blanks).  A call m
 ``{{identifier}}``.  Events are put in a topological order: a result never stands before its call nor a call before the
 result of one it needs (or before that call, if it has no result), and apart from that the conversation's turns decide.
 
-Only a need of something later than the call itself moves it.  What is moved is found in rounds, each of which passes
-places on along the needs by one hash join; their number is that of needs of later calls that hang on each other.  Calls
-that still move after DEEPEST rounds need themselves, or hang on such calls, or on a longer chain: they are ``cyclic`` and
-stand at their turn.
+Only a need of something later than the call itself moves it.  Places are found in rounds of one hash join, in which
+chains and trees of needs halve; calls that need several others, each of which again needs several, settle layer by
+layer.  Calls that need themselves, or hang on such calls, are ``cyclic`` and stand at their turn; what other calls or
+other conversations need has no part in that.
 
 A conversation may hold a third of all events: positions come from counts by blocks of turns and an order inside
 the block, so no task orders a whole conversation.
@@ -22,15 +22,13 @@ are events of their own; other columns are not read; empty tables give no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Table
 
-#: Turns of a block whose events one task orders, and needs of later calls that may hang on each other.
-TURNS, DEEPEST = 256, 32
+#: Turns of a block whose events one task orders.
+TURNS = 256
 #: How arguments name a call, and the place of a null turn.
 NEED, FIRST = r"\{\{([^{}\"\\]+)\}\}", -(1 << 62)
 
@@ -125,30 +123,51 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict, turns: int = TURNS
 
 
 def _moved(needs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, after, hops, cyclic) of the calls that needs (conv_id, call_id, at, needs, needs_at, answered_at)
-    move: they stand after the place ``after``, by so many hops behind what else stands there."""
+    """(conv_id, call_id, after, hops, cyclic) of the calls with needs (conv_id, call_id, at, needs, needs_at, answered_at):
+    they stand after the place ``after`` (their own, if nothing moves them), by so many hops behind what else stands there.
+
+    A call's place is the greatest, over all that it reaches by m needs, of (turn of that call or of its result, m). In a
+    round every need of a call with at most one need left is replaced by that one, or goes if there is none: chains and
+    trees halve, and what only waits for several settles from its end. Calls whose needs lead back to them, or run on
+    for more steps than their conversation has calls, or that no round moves, need themselves.
+    """
+    key = ["conv_id", "call_id"]
+    place = lambda after, hops: F.struct(after.cast("long").alias("after"), hops.cast("long").alias("hops"))
+    one = F.lit(1)
+    first = needs.groupBy(*key).agg(
+        F.greatest(F.max(place(F.col("at"), F.lit(0))), F.max(place(F.greatest("needs_at", "answered_at"), one))).alias("v"),
+        F.collect_set(F.struct("needs", one.cast("long").alias("k"))).alias("out"))
+    sizes = first.groupBy("conv_id").agg(F.count("*").alias("n"))
+    now = Table(first.join(sizes, "conv_id").withColumn("cyclic", F.lit(False)))
+    before = None
+    while True:
+        open_ = F.size("out") > 0
+        told = tuple(now.df.agg(F.count_if(open_), F.sum(F.size("out")), F.sum(F.aggregate("out", F.lit(0).cast("long"), lambda total, x: total + x["k"])), F.count_if("cyclic")).first())
+        if not told[0] or told == before:
+            # what is open now can't be settled
+            done = now.df.withColumn("cyclic", F.col("cyclic") | open_)
+            return done.select(*key, F.when(~F.col("cyclic"), F.col("v.after")).alias("after"), F.when(~F.col("cyclic"), F.col("v.hops")).alias("hops"), "cyclic")
+        before = told
+        now, old = Table(_substituted(now.df)), now
+        old.drop()
+
+
+def _substituted(calls: DataFrame) -> DataFrame:
+    """One round over calls (conv_id, call_id, v, out, n, cyclic): needs of calls with at most one need are replaced."""
     key = ["conv_id", "call_id"]
-    now, restless = Table(needs.select(*key, F.lit(0).cast("long").alias("after"), F.lit(0).alias("hops")).limit(0)), []
-    for round_ in range(2 * DEEPEST):
-        # where what is needed ends: its own place, or its result's if that is later
-        ends = needs.join(now.df.select("conv_id", F.col("call_id").alias("needs"), "after", "hops").hint("shuffle_hash"), ["conv_id", "needs"], "left")
-        own = F.coalesce("after", "needs_at")
-        end = F.greatest(own, "answered_at")
-        ends = ends.withColumns({"end": end, "behind": F.when(end > own, 0).otherwise(F.coalesce("hops", F.lit(0))) + 1}).where(F.col("end") >= F.col("at"))
-        new = Table(ends.groupBy(*key).agg(F.max(F.struct(F.col("end").alias("after"), F.col("behind").cast("int").alias("hops"))).alias("m")).select(*key, "m.after", "m.hops"))
-        changed = new.df.join(now.df.select(*key, F.col("after").alias("a"), F.col("hops").alias("h")), key, "left").where("NOT (after <=> a AND hops <=> h)")
-        still = Table(changed.select(*key))
-        now.drop()
-        now = new
-        if still.df.isEmpty():
-            still.drop()
-            return now.df.withColumn("cyclic", F.lit(False))
-        if round_ < DEEPEST:
-            still.drop()
-        else:  # a wave round a circle reaches each of its calls
-            restless.append(still)
-    cyclic = reduce(DataFrame.unionByName, [t.df for t in restless]).distinct().withColumn("cyclic", F.lit(True))
-    return now.df.join(cyclic, key, "left").select(*key, F.when(F.col("cyclic").isNull(), F.col("after")).alias("after"), F.when(F.col("cyclic").isNull(), F.col("hops")).alias("hops"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    each = calls.select(*key, "v", "n", "cyclic", F.explode_outer("out").alias("x")).select(*key, "v", "n", "cyclic", F.col("x.needs").alias("needs"), F.col("x.k").alias("k"))
+    target = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("v").alias("tv"), F.col("out").alias("tout"), F.col("cyclic").alias("tc"))
+    met = each.join(target.hint("shuffle_hash"), ["conv_id", "needs"], "left")
+    edge = lambda needs, k: F.struct(needs.alias("needs"), k.cast("long").alias("k"))
+    k, none = F.col("k"), F.array().cast("array<struct<needs:string,k:bigint>>")
+    next_ = F.when(F.col("tc").isNull(), none).when(F.size("tout") <= 1, F.transform("tout", lambda x: edge(x["needs"], x["k"] + k))).otherwise(F.array(edge(F.col("needs"), k)))
+    given = F.when(F.col("tc").isNotNull(), F.struct(F.col("tv.after").alias("after"), (F.col("tv.hops") + k).alias("hops")))
+    back = F.coalesce("tc", F.lit(False)) | F.exists(next_, lambda x: (x["needs"] == F.col("call_id")) | (x["k"] > F.col("n")))
+    met = met.select(*key, "v", "n", given.alias("given"), next_.alias("next"), (F.col("cyclic") | back).alias("circle"))
+    new = met.groupBy(*key).agg(F.first("v").alias("own"), F.max("given").alias("most"), F.first("n").alias("size"), F.max("circle").alias("cyclic"),
+                                F.array_sort(F.flatten(F.collect_list("next"))).alias("all"))
+    longest = F.filter("all", lambda x, i: ~F.coalesce(F.get("all", i + 1)["needs"] == x["needs"], F.lit(False)))  # of several ways to a call the longest
+    return new.select(*key, F.greatest("own", "most").alias("v"), F.when(F.col("cyclic"), none).otherwise(longest).alias("out"), F.col("size").alias("n"), "cyclic")
 
 
 # The query: the table conversations has no calls, so turns stand for them by rule: a user's turn is a call of one of

@@ -157,3 +157,72 @@ def test_calls_stand_after_what_they_need(spark):
     assert [x[1] for x in order[3]][-2:] == ["m", "n"] and [s for _, i, s in order[3] if i == "n"] == ["unanswered"]
     assert [x[:2] for x in order[4]] == [("call", "p"), ("call", "q")] and [x[1] for x in order[5]] == [f"c{k}" for k in range(20, -1, -1)]
     assert [json.loads(x.json)["errors"] for x in got if x.call_id == "e"] == [["dangling:nowhere"]]
+
+
+def plain_places(needs, turn, answered):
+    """after and hops of each call of one conversation, None if it needs itself or hangs on such a call."""
+    state, out = {}, {}
+
+    def visit(c):
+        state[c] = 1
+        best = (turn[c], 0)
+        for n in needs.get(c, ()):
+            if n not in turn:
+                continue
+            if state.get(n) == 1:
+                best = None
+            elif state.get(n) is None:
+                visit(n)
+            if best is None or out.get(n) is None:
+                best = None
+                continue
+            best = max(best, (answered.get(n, -1), 1), (out[n][0], out[n][1] + 1))
+        state[c], out[c] = 2, best
+
+    for c in turn:
+        if state.get(c) is None:
+            visit(c)
+    bad = {c for c, v in out.items() if v is None}
+    while True:  # what was visited while a circle was open
+        more = {c for c in turn if c not in bad and any(n in bad for n in needs.get(c, ()))}
+        if not more:
+            return {c: None if c in bad else v for c, v in out.items()}
+        bad |= more
+
+
+def moved(spark, conversations):
+    rows = [(conv, c, turn[c], n, turn.get(n), answered.get(n)) for conv, (needs, turn, answered) in conversations.items() for c, own in needs.items() for n in own if n in turn]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, at long, needs string, needs_at long, answered_at long")
+    return {(r.conv_id, r.call_id): None if r.cyclic else (r.after, r.hops) for r in toolcalls._moved(df).collect()}
+
+
+def test_chains_of_any_length_beside_circles(spark, monkeypatch):
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    chain = lambda n: ({f"c{i:04}": [f"c{i + 1:04}"] for i in range(n)}, {f"c{i:04}": i for i in range(n + 1)}, {f"c{n:04}": n + 5})
+    ring = lambda n: ({f"r{i:04}": [f"r{(i + 1) % n:04}"] for i in range(n)} | {"hang": ["r0000"], "free": ["end"]}, {f"r{i:04}": i for i in range(n)} | {"hang": 3, "free": 1, "end": 9}, {})
+    both = ({**chain(70)[0], "c0035": ["c0036", "x"], "x": ["y"], "y": ["x"]}, {**chain(70)[1], "x": 1, "y": 2}, {})
+    conversations = {1: chain(40), 2: chain(100), 3: chain(1000), 4: ring(2), 5: ring(200), 6: both, 7: ({"s": ["s"]}, {"s": 0}, {})}
+    rounds, made = [], toolcalls._substituted
+    monkeypatch.setattr(toolcalls, "_substituted", lambda df: rounds.append(1) or made(df))
+    got = moved(spark, conversations)
+    for conv, (needs, turn, answered) in conversations.items():
+        want = plain_places(needs, turn, answered)
+        assert {c: v for (k, c), v in got.items() if k == conv} == {c: want[c] for c in needs}
+    assert len(rounds) <= 14
+
+
+def test_random_needs_against_plain_order(spark):
+    r = random.Random(9)
+    conversations = {}
+    for conv in range(25):
+        n = r.randint(2, 30)
+        turn = {f"c{i}": r.randint(0, n) for i in range(n)}
+        later = r.random() < 0.6  # needs of calls with a greater number only: no circles
+        needs = {f"c{i}": list({f"c{r.randrange(i + 1 if later else 0, n)}" for _ in range(r.choice([1, 1, 2, 3]))}) for i in range(n - 1) if r.random() < 0.7}
+        conversations[conv] = (needs, turn, {c: t + r.randint(0, 9) for c, t in turn.items() if r.random() < 0.5})
+    got = moved(spark, conversations)
+    for conv, (needs, turn, answered) in conversations.items():
+        want = plain_places(needs, turn, answered)
+        assert {c: v for (k, c), v in got.items() if k == conv} == {c: want[c] for c in needs}
