@@ -688,7 +688,6 @@ def _(spark, d):
 # ---------------------------------------------------------------- audits, detection, drift
 
 RULES = [("pipe", "block", "|", None, None, None), ("the", "warn", "the", "src1", None, None), ("stop", "warn", ".", None, "txt", 5), ("all", "block", None, "src3", None, 40)]
-RULE_SCHEMA = "rule_id string, level string, needle string, path_part string, ext string, min_lines int"
 FILES = """f AS (SELECT source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS file, text, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE text IS NOT NULL),
 h AS (SELECT 'pipe' AS rule_id, 'block' AS level, file, length(text) - length(replace(text, '|', '')) AS hits FROM f
   UNION ALL SELECT 'the', 'warn', file, (length(text) - length(replace(text, 'the', ''))) // 3 FROM f WHERE contains(file, 'src1')
@@ -703,21 +702,20 @@ def files(spark, d):
 
 @query("d1_audit_hits", f"WITH {FILES} SELECT rule_id, level, file, hits FROM h WHERE hits > 0")
 def _(spark, d):
-    return audit.hit_counts(files(spark, d), spark.createDataFrame(RULES, RULE_SCHEMA))
+    return audit.hit_counts(files(spark, d), [audit.ContentRule(*r) for r in RULES])
 
 
 @query("d1_audit_lines", r"""WITH f AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT file, line_no, length(line) - length(replace(line, '|', '')) AS n FROM f WHERE contains(line, '|')""")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
-    one = spark.createDataFrame([("pipe", "block", "|", None, None, None)], RULE_SCHEMA)
-    return audit.hits(docs, one).groupBy(F.col("file").cast("long").alias("file"), "line_no").agg(F.count("*").alias("n"))
+    return audit.hits(docs, [audit.ContentRule("pipe", "block", "|")]).groupBy(F.col("file").cast("long").alias("file"), "line_no").agg(F.count("*").alias("n"))
 
 
 @query("a17_audit_rollup", f"""WITH {FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY hits DESC, file) AS rn FROM h WHERE hits > 0)
 SELECT rule_id, level, sum(hits) AS hits, count(*) AS files, string_agg(CASE WHEN rn <= 3 THEN file END, ',' ORDER BY rn) AS offenders FROM r GROUP BY ALL""")
 def _(spark, d):
-    counts = audit.hit_counts(files(spark, d), spark.createDataFrame(RULES, RULE_SCHEMA))
+    counts = audit.hit_counts(files(spark, d), [audit.ContentRule(*r) for r in RULES])
     return audit.rollup(counts).withColumn("offenders", F.array_join("offenders", ","))
 
 

@@ -15,6 +15,7 @@ from .functions import udf
 from .model import Action, Condition, Layer, PolicyError, Rule
 from .operators import audit, context, coverage, drift, facts, graph, journey, outcomes, properties, scrub, stats
 from .plans import guards, policy, rules
+from .plans.tables import spread
 from .sources import files as sources
 from .sources import stores, syntax
 
@@ -382,6 +383,17 @@ def _(spark, d):
     return rules.graph_audit(f, [rule], own.select("file").distinct()).select("message")
 
 
+@query("d1_many_needles", """WITH r AS (SELECT 'part' || p_partkey AS rule_id, CAST(p_partkey AS VARCHAR) AS needle FROM part), f AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+h AS (SELECT rule_id, (length(text) - length(replace(text, needle, ''))) // length(needle) AS n FROM f JOIN r ON contains(text, needle))
+SELECT rule_id, CAST(sum(n) AS BIGINT) AS hits, count(*) AS files FROM h GROUP BY rule_id""")
+def _(spark, d):
+    # one rule for each part: thousands of needles, and each document is read once
+    rules = table(spark, d, "part").select(F.concat(F.lit("part"), "p_partkey").alias("rule_id"), F.lit("warn").alias("level"), F.col("p_partkey").cast("string").alias("needle"),
+                                           *[F.lit(None).cast(t).alias(c) for c, t in (("path_part", "string"), ("ext", "string"), ("min_lines", "int"))])
+    docs = spread(table(spark, d, "documents")).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return audit.hit_counts(docs, rules).groupBy("rule_id").agg(F.sum("hits").alias("hits"), F.count("*").alias("files"))
+
+
 @query("d3_ast_rule", """WITH f AS (SELECT l_orderkey AS o, l_linenumber AS n, l_returnflag AS r FROM lineitem WHERE l_returnflag IN ('R', 'A'))
 SELECT 'o' || o AS file, n AS at, CASE r WHEN 'R' THEN 0 ELSE 1 END AS condition FROM f WHERE o IN (SELECT o FROM f WHERE r = 'R') AND o IN (SELECT o FROM f WHERE r = 'A')""")
 def _(spark, d):

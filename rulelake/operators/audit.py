@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences
+from . import needles
 
 
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -22,35 +23,106 @@ def line_count(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
+def _extension(file: Column) -> Column:
+    return F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1))
+
+
 def gated(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file, rule) pairs that pass the rule's gates: path part, extension, more lines than a bound. Rules are few."""
-    extension = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
-    ok = (F.col("path_part").isNull() | F.contains("file", "path_part")) & (F.col("ext").isNull() | (extension == F.col("ext"))) & (
-        F.col("min_lines").isNull() | (F.col("n_lines") > F.col("min_lines")))
     from ..plans.tables import small
 
+    ok = (F.col("path_part").isNull() | F.contains("file", "path_part")) & (F.col("ext").isNull() | (_extension(F.col("file")) == F.col("ext"))) & (
+        F.col("min_lines").isNull() | (F.col("n_lines") > F.col("min_lines")))
     return files.join(small(rules), ok)
 
 
-def hits(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row for each non-overlapping occurrence of a rule's needle in a line; a rule without a needle hits line 1."""
-    rows = gated(files.withColumn("n_lines", line_count(F.col("text"))), rules)
-    found = rows.where(F.col("needle").isNotNull() & F.contains("text", "needle")).select(
-        "file", "rule_id", "level", "needle", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = occurrences(F.col("line"), F.col("needle"))
-    per_line = found.where(F.contains("line", "needle")).withColumn("n", n).where("n > 0").select(
-        "file", "rule_id", "level", (F.col("pos") + 1).alias("line_no"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
-    whole = rows.where("needle IS NULL").select("file", "rule_id", "level", F.lit(1).alias("line_no"), F.lit(1).cast("long").alias("k"))
-    return per_line.unionByName(whole)
+def _passes(rule) -> Column:
+    """A rule's gates over a file."""
+    ok = F.lit(True)
+    if rule.path_part is not None:
+        ok = ok & F.contains("file", F.lit(rule.path_part))
+    if rule.ext is not None:
+        ok = ok & (_extension(F.col("file")) == rule.ext)
+    if rule.min_lines is not None:
+        ok = ok & (F.col("n_lines") > rule.min_lines)
+    return ok
+
+
+class ContentRule(NamedTuple):
+    """A rule over texts: its needle (without one it hits every file that passes) and its gates."""
+
+    rule_id: str
+    level: str
+    needle: str | None = None
+    path_part: str | None = None
+    ext: str | None = None
+    min_lines: int | None = None
+
 
+#: Rules as rows of a table, or as they were read from a document.
+Rules = DataFrame | Sequence[ContentRule]
 
-def hit_counts(files: DataFrame, rules: DataFrame) -> DataFrame:
+
+def _few(rules: Rules) -> Sequence | None:
+    """The rules, if each of them can be an expression of its own; reads no more than that many rows."""
+    some = rules.limit(needles.FEW + 1).collect() if isinstance(rules, DataFrame) else rules
+    return some if len(some) <= needles.FEW else None
+
+
+def _rows(files: DataFrame, rules: Rules) -> DataFrame:
+    return rules if isinstance(rules, DataFrame) else files.sparkSession.createDataFrame(list(rules), "rule_id string, level string, needle string, path_part string, ext string, min_lines int")
+
+
+def _many(files: DataFrame, rules: DataFrame, by_line: bool) -> DataFrame:
+    """(file, rule_id, level, line_no, n) of rules with needles, all found by one automaton in one pass over the texts."""
+    from ..plans.tables import BROADCAST_ROWS
+
+    told = [r.needle for r in rules.select("needle").where("needle <> '' AND NOT contains(needle, '\n')").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    if len(told) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} needles in one set of rules")
+    told.sort()
+    numbered = files.sparkSession.createDataFrame(list(enumerate(told)), "needle_no int, needle string") if told else rules.select(F.lit(0).alias("needle_no"), "needle").limit(0)
+    known = rules.withColumnRenamed("needle", "of").join(numbered, F.col("of") == F.col("needle")).drop("of", "needle")
+    hits_ = needles.found(files, told, by_line)
+    return gated(hits_.withColumnRenamed("needle", "no"), known).where("no = needle_no").select("file", "rule_id", "level", "line_no", "n")
+
+
+def hits(files: DataFrame, rules: Rules) -> DataFrame:
+    """One row for each non-overlapping occurrence of a rule's needle in a line; a rule without a needle hits line 1."""
+    few, rules = _few(rules), _rows(files, rules)
+    if few is None and needles.available():
+        per_line = _many(files, rules, True)
+    else:
+        cut = files.select("file", line_count(F.col("text")).alias("n_lines"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        told = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), F.when(_passes(r), needles.times(F.col("line"), r.needle)).alias("n"))
+                for r in (few if few is not None else rules.collect()) if needles.usable(r.needle)]
+        per_line = cut.select("file", (F.col("pos") + 1).alias("line_no"), F.inline(F.filter(_structs(told), lambda x: x["n"] > 0)))
+    each = per_line.select("file", "rule_id", "level", "line_no", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    if few is not None and all(r.needle is not None for r in few):
+        return each
+    whole = gated(files.select("file", line_count(F.col("text")).alias("n_lines")), rules.where("needle IS NULL")).select(
+        "file", "rule_id", "level", F.lit(1).alias("line_no"), F.lit(1).cast("long").alias("k"))
+    return each.unionByName(whole)
+
+
+def _structs(told: list[Column]) -> Column:
+    return F.array(*told) if told else F.array().cast("array<struct<rule_id:string,level:string,n:bigint>>")
+
+
+def hit_counts(files: DataFrame, rules: Rules) -> DataFrame:
     """Hits by rule and file without making a row for each occurrence: no occurrence crosses a line end (a needle with
     one hits nothing), so a file's count is that of its whole text."""
-    rows = gated(files.withColumn("n_lines", line_count(F.col("text"))), rules)
-    needle = F.col("needle")
-    n = F.when(needle.isNull(), F.lit(1).cast("long")).when(F.contains("text", "needle") & ~F.contains(needle, F.lit("\n")), occurrences(F.col("text"), needle))
-    return rows.withColumn("hits", n).where("hits > 0").select("rule_id", "level", "file", "hits")
+    few = _few(rules)
+    if few is None and needles.available():
+        rules = _rows(files, rules)
+        some = _many(files, rules, False).select("rule_id", "level", "file", F.col("n").alias("hits"))
+        return some.unionByName(gated(files.select("file", line_count(F.col("text")).alias("n_lines")), rules.where("needle IS NULL")).select(
+            "rule_id", "level", "file", F.lit(1).cast("long").alias("hits")))
+    one = F.lit(1).cast("long")
+    told = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"), F.when(_passes(r), one if r.needle is None else needles.times(F.col("text"), r.needle)).alias("n"))
+            for r in (few if few is not None else _rows(files, rules).collect()) if r.needle is None or needles.usable(r.needle)]
+    rows = files.withColumn("n_lines", line_count(F.col("text"))).select("file", F.inline(F.filter(_structs(told), lambda x: x["n"] > 0)))
+    return rows.select("rule_id", "level", "file", F.col("n").alias("hits"))
 
 
 def previous_line(all_lines: DataFrame) -> DataFrame:
@@ -97,7 +169,7 @@ def union_rule(facts: DataFrame, conditions: Sequence[tuple[str, Sequence[str]]]
 
 def missing(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """(file, pattern) for patterns that a file's text lacks."""
-    return files.select("file", "text", F.explode(F.array(*map(F.lit, patterns))).alias("pattern")).where(~F.contains("text", "pattern")).select("file", "pattern")
+    return needles.present(files, patterns, absent=True)
 
 
 def without_tests(files: DataFrame) -> DataFrame:
@@ -142,7 +214,8 @@ def pack_rule(facts: DataFrame, files: DataFrame, rule_id: str, conditions: Sequ
 
 
 def containing(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    return files.select("file", "text", F.explode(F.array(*map(F.lit, patterns))).alias("pattern")).where(F.contains("text", "pattern")).select("file", "pattern")
+    """(file, pattern) for patterns that a file's text has."""
+    return needles.present(files, patterns)
 
 
 def path_facts(files: DataFrame) -> DataFrame:

@@ -357,3 +357,36 @@ def test_python_surfaces(spark):
         udf.lookup(asked, t, ["k"], strict=True).collect()
     assert spark.createDataFrame([("w", None)], "a string, b string").select(udf.template("{a}-{b}-{c}", ["a", "b"]).alias("t")).first().t == "w--{c}"
     assert tables.cut(t).collect() == t.collect()
+
+
+def test_many_needles_equal_few(spark, monkeypatch):
+    import random
+
+    from rulelake.operators import needles
+
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("aab b\n🙂ä") for _ in range(n))
+    rows = [(f"d{i % 3}/f{i}.{r.choice(['rs', 'py'])}", r.choice([text(40), text(400), "", None, text(5)])) for i in range(40)]
+    files = spark.createDataFrame(rows, "file string, text string").repartition(3)
+    words = ["a", "aa", "aba", "b b", "🙂", "🙂ä", "a\nb", "", None, "zz", "aa", "ä"] + [text(3) for _ in range(40)]
+    made = [(f"r{i}", r.choice(["warn", "block"]), w, r.choice([None, None, "d1/"]), r.choice([None, None, "rs"]), r.choice([None, None, 3])) for i, w in enumerate(words)]
+    rules = spark.createDataFrame(made, "rule_id string, level string, needle string, path_part string, ext string, min_lines int")
+    want_lines, want_counts = [], []
+    for file, t in rows:
+        for rule, level, w, part, ext, least in made:
+            if part and part not in file or ext and not file.endswith("." + ext) or least is not None and (t is None or t.count("\n") + 1 <= least):
+                continue
+            if w is None:
+                want_lines.append((file, rule, level, 1, 1))
+                want_counts.append((rule, level, file, 1))
+            elif w and "\n" not in w and t is not None and w in t:
+                want_counts.append((rule, level, file, t.count(w)))
+                want_lines += [(file, rule, level, n, k + 1) for n, line in enumerate(t.split("\n"), 1) for k in range(line.count(w))]
+    for few in (needles.FEW, 100):
+        monkeypatch.setattr(needles, "FEW", few)
+        assert sorted(map(tuple, audit.hit_counts(files, rules).collect())) == sorted(want_counts)
+        assert sorted(map(tuple, audit.hits(files, rules).collect())) == sorted(want_lines)
+        some = [w for w in words if w is not None]
+        told = {(f, p) for f, p in map(tuple, audit.containing(files, some).collect())}
+        assert told == {(f, w) for f, t in rows if t is not None for w in some if w in t}
+        assert {(f, p) for f, p in map(tuple, audit.missing(files, some).collect())} == {(f, w) for f, t in rows if t is not None for w in some if w not in t}
