@@ -14,10 +14,11 @@ from .functions import text as T
 from .functions import udf
 from .model import Action, Condition, Layer, PolicyError, Rule
 from .operators import audit, context, coverage, drift, facts, graph, journey, outcomes, properties, scrub, stats
-from .plans import guards, policy, rules
-from .plans.tables import spread
+from .plans import deltas, guards, policy, rules
+from .plans.tables import folder, spread
 from .sources import files as sources
 from .sources import stores, syntax
+from .streaming import changes
 
 
 def lit_rows(spark, rows, schema):
@@ -295,6 +296,41 @@ def _(spark, d):
     return rules.delta_activations(f.where(~is_new), f.where(is_new), rule).select(F.col("`?c`").cast("long").alias("c"), F.col("`?o`").cast("long").alias("o"))
 
 
+@query("j7_counted_deltas", """WITH old AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0), new AS (SELECT * FROM orders WHERE o_orderkey % 7 <> 0), oc AS (SELECT * FROM customer), nc AS (SELECT * FROM customer WHERE c_custkey % 11 <> 0),
+a AS (SELECT c_custkey AS c FROM oc JOIN nation ON c_nationkey = n_nationkey WHERE NOT EXISTS (SELECT 1 FROM old WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND (SELECT count(*) FROM old WHERE o_custkey = c_custkey) <= 8),
+b AS (SELECT c_custkey AS c FROM nc JOIN nation ON c_nationkey = n_nationkey WHERE NOT EXISTS (SELECT 1 FROM new WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND (SELECT count(*) FROM new WHERE o_custkey = c_custkey) <= 8)
+SELECT c, CAST(1 AS INT) AS d FROM b WHERE c NOT IN (SELECT c FROM a) UNION ALL SELECT c, CAST(-1 AS INT) FROM a WHERE c NOT IN (SELECT c FROM b)""")
+def _(spark, d):
+    f, n = fact_table(spark, d), F.col("args")[0].cast("long")
+    rule = Rule("few", (cond("customer", "?c", "?n", "?s"), cond("nation", "?n", "?name"), Condition(script="!facts_contain('order', ['*', '?c', 'P'])"), Condition(script="facts_count('order', ['*', '?c']) <= 8")), (warn("?c"),))
+    late = (F.col("predicate") == "order") & (n % 10 == 0)
+    kept = deltas.Incremental(f.where(~late), rule)
+    gone = ((F.col("predicate") == "order") & (n % 7 == 0)) | ((F.col("predicate") == "customer") & (n % 11 == 0))
+    log = f.where(late).withColumns({"d": F.lit(1), "seq": F.lit(0)}).unionByName(f.where(gone).withColumns({"d": F.lit(-1), "seq": F.lit(1)}))
+    return kept.change(log).select(F.col("bindings")["?c"].cast("long").alias("c"), "d")
+
+
+@query("f11_change_stream", """WITH s(k) AS (VALUES (0), (1), (2), (3)), h AS (SELECT k, c_custkey AS c FROM s, customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderkey % 3 < k))
+SELECT k - 1 AS batch, (SELECT count(*) FROM h b WHERE b.k = s.k AND c NOT IN (SELECT c FROM h a WHERE a.k = s.k - 1)) AS came, (SELECT count(*) FROM h a WHERE a.k = s.k - 1 AND c NOT IN (SELECT c FROM h b WHERE b.k = s.k)) AS went FROM s WHERE k > 0""")
+def _(spark, d):
+    # orders come in three batches; customers without a pending order stay
+    f = fact_table(spark, d)
+    kept = deltas.Incremental(f.where("predicate = 'customer'"), Rule("calm", (cond("customer", "?c", "?n", "?s"), Condition(script="!facts_contain('order', ['*', '?c', 'P'])")), (warn("?c"),)))
+    place = folder(spark)
+    for b in range(3):
+        more = f.where((F.col("predicate") == "order") & (F.col("args")[0].cast("long") % 3 == b))
+        more.withColumns({"d": F.lit(1), "seq": F.lit(0).cast("long")}).write.parquet(f"{place}/log/{b}")
+        changes.follow(changes.read(spark, f"{place}/log/*"), kept, f"{place}/out", f"{place}/checkpoint", drain=True).awaitTermination()
+    told = spark.read.parquet(f"{place}/out").groupBy("batch").agg(F.count_if(F.col("d") == 1).alias("came"), F.count_if(F.col("d") == -1).alias("went"))
+    return lit_rows(spark, [(b,) for b in range(3)], "batch int").join(told, "batch", "left").select("batch", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("came", "went")])
+
+
+@query("o3_limited_query", """SELECT p_partkey AS part, total FROM (SELECT p_partkey, count(*) OVER () AS total, row_number() OVER (ORDER BY p_partkey) AS r FROM part WHERE p_size > 25) WHERE r <= 40""")
+def _(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 25, "large").otherwise("little").alias("p"), F.array(F.col("p_partkey").cast("string")).alias("a"), F.lit(None).cast("string").alias("src"), F.lit(False).alias("d"))
+    return graph.query_with_total(t, "large", ["*"], 40).select(F.col("ord").alias("part"), "total")
+
+
 @query("j8_late_rule", "SELECT o_orderkey AS o FROM orders WHERE o_orderkey >= 500")
 def _(spark, d):
     f = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit("order").alias("predicate"), F.array(F.col("o_orderkey").cast("string")).alias("args"),

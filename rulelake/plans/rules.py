@@ -19,8 +19,9 @@ from . import expressions, guards
 AGENDA = ("rule_id", "salience", "rule_ord", "fact_ids", "bindings", "fact_sources", "guard_error")
 
 
-def alpha(facts: DataFrame, predicate: str, args: Sequence[str], n: int) -> DataFrame:
-    """Facts that match a condition: predicate, exact arity, constants and repeated variables; columns are variables."""
+def alpha(facts: DataFrame, predicate: str, args: Sequence[str], n: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Facts that match a condition: predicate, exact arity, constants and repeated variables; columns are variables (and
+    those of the facts that are to be kept)."""
     rows = facts.where((F.col("predicate") == predicate) & (F.size("args") == len(args)))
     first: dict[str, int] = {}
     for i, a in enumerate(args):
@@ -30,7 +31,7 @@ def alpha(facts: DataFrame, predicate: str, args: Sequence[str], n: int) -> Data
             rows = rows.where(F.col("args")[i] == F.col("args")[first[a]])
         else:
             first[a] = i
-    return rows.select(F.col("id").alias(f"__id{n}"), F.col("source").alias(f"__src{n}"), *[F.col("args")[i].alias(v) for v, i in first.items()])
+    return rows.select(F.col("id").alias(f"__id{n}"), F.col("source").alias(f"__src{n}"), *[F.col("args")[i].alias(v) for v, i in first.items()], *keep)
 
 
 def beta(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -28,11 +28,17 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if (spark, path) in _OURS:
+        _OURS.remove((spark, path))
+
+
 def _sweep() -> None:
-    for spark, path in _OURS:
+    for spark, path in list(_OURS):
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended, and its folder with it
             pass
 
@@ -49,6 +55,23 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Held:
+    """A table in the shared folder that becomes another one, mostly made from itself; what it was before is deleted."""
+
+    def __init__(self, df: DataFrame):
+        self.df = cut(df)
+        self.path = _OURS[-1][1]
+
+    def become(self, df: DataFrame) -> DataFrame:
+        old = self.path
+        self.__init__(df)
+        _delete(self.df.sparkSession, old)
+        return self.df
+
+    def drop(self) -> None:
+        _delete(self.df.sparkSession, self.path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table as it was read, dealt out to as many tasks as there are cores if its files give fewer; a large table has
     more splits than that and is left as it is. For scans only: counting the tasks of other plans would run them."""
