@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,31 +125,69 @@ def data_flows(edges: DataFrame) -> DataFrame:
     return pairs(edges, "consumes_data", "deserializes", of=("consumer", "artifact")).select("artifact", "consumer").distinct()
 
 
+#: Starts whose reach one row of a closure's state holds.
+LANES = 64
+
+
+def unique_steps(steps: DataFrame) -> DataFrame:
+    """(node, to) for nodes with one step (x, y) to another node."""
+    return steps.where("x <> y").groupBy(F.col("x").alias("node")).agg(F.min("y").alias("to"), F.max("y").alias("most")).where("to = most").select("node", "to")
+
+
+def doubled(jumps: DataFrame) -> DataFrame:
+    """Jumps (node, to) twice as long; those that end where no jump begins stay."""
+    return jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
+
+
 def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None, include_start: bool = True, deep: bool = False) -> DataFrame:
-    """(start, node) reached by steps (x, y), delta by delta; stop nodes are reached but not passed.
+    """(start, node) reached by steps (x, y); stop nodes are reached but not passed.
 
-    Each round joins only what the last one found, and is written to the shared folder. deep (without stop nodes): for
-    small graphs with long paths, where the steps themselves double in length each round.
+    Starts are numbered, and LANES of them share a row: the state is a row for each node and block of starts, whose bits
+    tell which of them reach it. A round carries only new bits along the steps, and is written to the shared folder. deep
+    (without stop nodes): for long paths, all bits also jump along chains (nodes with one way in), and jumps double.
     """
-    from ..plans.tables import cut
+    from ..plans.tables import Held, numbered
+
+    first = starts.select("start", F.col("start").alias("node")).distinct() if "node" not in starts.columns else starts.select("start", "node").distinct()
+    index = Held(numbered(first.select("start").distinct(), "start", "n"))
+    one = F.expr(f"shiftleft(1L, CAST(n % {LANES} AS INT))")
+    block = F.expr(f"n div {LANES}").alias("block")
+    reached = Held(first.join(index.df, "start").groupBy("node", block).agg(F.bit_or(one).alias("bits")))
+    hop = Held(steps.select("x", "y").distinct())
+
+    def along(bits: DataFrame, by: DataFrame) -> DataFrame:
+        return bits.join(by.select(F.col("x").alias("node"), "y"), "node").select(F.col("y").alias("node"), "block", "bits")
+
+    def summed(bits: DataFrame) -> DataFrame:
+        return bits.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
 
-    reached = starts.select("start", F.col("start").alias("node")).distinct() if "node" not in starts.columns else starts.distinct()
-    delta = reached = cut(reached)
     if deep and stop is None:
-        hop, n = cut(steps.select("x", "y").distinct()), -1
-        while (now := reached.count()) != n:
-            n = now
-            reached = cut(reached.union(reached.join(hop.withColumnRenamed("x", "node"), "node").select("start", "y")).distinct())
-            hop = cut(hop.union(hop.alias("a").join(hop.alias("b"), F.col("a.y") == F.col("b.x")).select("a.x", "b.y")).distinct())
-        return reached if include_start else reached.where("start <> node")
-    while True:
-        go = delta if stop is None else delta.join(stop.select(F.col(stop.columns[0]).alias("node")), "node", "left_anti")
-        found = go.join(steps.select(F.col("x").alias("node"), "y"), "node").select("start", F.col("y").alias("node")).distinct()
-        delta = cut(found.join(reached, ["start", "node"], "left_anti"))
-        if delta.isEmpty():
-            break
-        reached = cut(reached.unionByName(delta))
-    return reached if include_start else reached.where("start <> node")
+        jumps, told = Held(unique_steps(hop.df.select(F.col("y").alias("x"), F.col("x").alias("y")))), None
+        while True:
+            back = jumps.df.select(F.col("to").alias("x"), F.col("node").alias("y"))
+            reached.become(summed(reached.df.unionByName(along(reached.df, hop.df.unionByName(back)))))
+            now = reached.df.agg(F.count("*"), F.sum(F.xxhash64("node", "block", "bits") % 1_000_003)).first()
+            if now == told:
+                break
+            told = now
+            jumps.become(doubled(jumps.df))
+        jumps.drop()
+    else:
+        delta = Held(reached.df)
+        while True:
+            go = delta.df if stop is None else delta.df.join(stop.select(F.col(stop.columns[0]).alias("node")), "node", "left_anti")
+            old = reached.df.withColumnRenamed("bits", "old")
+            new = summed(along(go, hop.df)).join(old, ["node", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))).drop("old")
+            delta.become(new.where("bits <> 0"))
+            if delta.df.isEmpty():
+                break
+            reached.become(summed(reached.df.unionByName(delta.df)))
+        delta.drop()
+    hop.drop()
+    lanes = F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.call_function("getbit", "bits", i) == 1)
+    each = reached.df.select("node", "block", F.explode(lanes).alias("lane"))
+    out = each.select("node", (F.col("block") * LANES + F.col("lane")).alias("n")).join(index.df, "n").select("start", "node")
+    return out if include_start else out.where("start <> node")
 
 
 def test_reaches(edges: DataFrame) -> DataFrame:
@@ -164,48 +203,83 @@ def bin_reaches(edges: DataFrame) -> DataFrame:
     return closure(mains, pairs(edges, "calls"), None, include_start=False).select(F.col("start").alias("main"), F.col("node").alias("fn"))
 
 
+def least_reached(values: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node, v): the least v among a node's own and those of the nodes it reaches by steps (x, y); null if there is none.
+
+    A round takes values over from the next nodes, and from the end of a jump along a chain of nodes with one step each;
+    jumps double every round, so a chain or ring of n nodes takes log n rounds."""
+    from ..plans.tables import Held
+
+    hop = steps.where("x <> y").select("x", "y")
+    state = Held(values.select("node", "v").join(unique_steps(hop), "node", "left"))
+    told = None
+    while True:
+        now = state.df
+        asked = hop.select("x", "y", F.lit(False).alias("jump")).unionByName(now.where("to IS NOT NULL").select(F.col("node").alias("x"), F.col("to").alias("y"), F.lit(True).alias("jump")))
+        met = asked.join(now.select(F.col("node").alias("y"), F.col("v").alias("w"), F.col("to").alias("beyond")), "y").groupBy(F.col("x").alias("node")).agg(
+            F.min("w").alias("w"), F.max(F.when(F.col("jump"), F.coalesce("beyond", "y"))).alias("further"))
+        state.become(now.join(met, "node", "left").select("node", F.least("v", "w").alias("v"), F.col("further").alias("to")))
+        fresh = state.df.agg(F.count("v"), F.sum(F.xxhash64("node", "v") % 1_000_003)).first()
+        if fresh == told:
+            return state.df.select("node", "v")
+        told = fresh
+
+
+def ending(steps: DataFrame) -> DataFrame:
+    """Nodes from which every way along steps (x, y) ends; chains and trees of them are found in logarithmic rounds."""
+    from ..plans.tables import Held
+
+    nodes = steps.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    inner = steps.select(F.col("x").alias("node")).distinct().withColumn("goes", F.lit(True))
+    state = Held(nodes.join(inner, "node", "left").join(unique_steps(steps), "node", "left").select("node", "to", F.col("goes").isNull().alias("ends")))
+    n, told, limit = state.df.agg(F.count("*"), F.count_if("ends")).first() + (0,)
+    while told and limit <= 64:
+        now = state.df
+        asked = steps.select("x", "y", F.lit(False).alias("jump")).unionByName(now.where("to IS NOT NULL").select(F.col("node").alias("x"), F.col("to").alias("y"), F.lit(True).alias("jump")))
+        met = asked.join(now.select(F.col("node").alias("y"), F.col("ends").alias("e"), F.col("to").alias("beyond")), "y").groupBy(F.col("x").alias("node")).agg(
+            F.bool_and(F.col("jump") | F.col("e")).alias("every"), F.bool_or(F.col("jump") & F.col("e")).alias("far"), F.max(F.when(F.col("jump"), F.coalesce("beyond", "y"))).alias("further"))
+        state.become(now.join(met, "node", "left").select("node", F.col("further").alias("to"), (F.col("ends") | F.coalesce(F.col("every") | F.col("far"), F.lit(False))).alias("ends")))
+        fresh = state.df.where("ends").count()
+        limit = 0 if fresh > told else limit + 1
+        if fresh == n or fresh == told and 2**limit > n:  # by then every jump is at the end of its chain
+            break
+        told = fresh
+    return state.df.where("ends").select("node")
+
+
 def cycles(steps: DataFrame) -> DataFrame:
     """(node, cycle): members of each strongly connected set (a self-loop counts), named by its sorted members.
 
-    Nodes outside every cycle are peeled off first.  In the core that remains each node takes the least node that reaches
-    it as its colour; inside a colour, what reaches back to that node is one strongly connected set.  Found sets leave, and
-    the rest is coloured again: state is one row a node, however large a set is.
+    Nodes from which every way ends are dropped.  Of the rest each takes the least node that it reaches as its colour;
+    inside a colour, what that node reaches is one strongly connected set.  Found sets leave, and the rest is coloured
+    again: state is one row a node, however large a set is, and long chains and rings take logarithmic rounds.
     """
-    from ..plans.tables import cut
+    from ..plans.tables import Held
 
-    def spread(values: DataFrame, along: DataFrame) -> DataFrame:
-        """Least value that reaches each node (node, v) along (x, y)."""
-        now = cut(values)
-        state = None
-        while True:
-            more = now.unionByName(now.join(along.select(F.col("x").alias("node"), "y"), "node").select(F.col("y").alias("node"), "v"))
-            now = cut(more.groupBy("node").agg(F.min("v").alias("v")))
-            told = now.agg(F.count("*"), F.sum(F.xxhash64("node", "v") % 1_000_003)).first()
-            if told == state:
-                return now
-            state = told
-
-    every = cut(steps.select("x", "y").distinct())
-    left, found = every, None
+    every = Held(steps.select("x", "y").distinct())
+    left, found = Held(every.df), []
     while True:
-        n = left.count()
-        while n:  # nodes without a way in or out are in no cycle
-            left = cut(left.join(left.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(left.select(F.col("x").alias("y")).distinct(), "y", "left_semi").select("x", "y"))
-            if (now := left.count()) == n:
-                break
-            n = now
-        if not n:
+        if found:
+            gone = found[-1].df
+            left.become(left.df.join(gone.select(F.col("node").alias("x")), "x", "left_anti").join(gone.select(F.col("node").alias("y")), "y", "left_anti").select("x", "y"))
+        if left.df.isEmpty():
+            break
+        over = ending(left.df)
+        left.become(left.df.join(over.select(F.col("node").alias("x")), "x", "left_anti").join(over.select(F.col("node").alias("y")), "y", "left_anti").select("x", "y"))
+        if left.df.isEmpty():
             break
-        colour = spread(left.select(F.col("x").alias("node")).distinct().withColumn("v", F.col("node")), left)
-        inside = cut(left.join(colour.select(F.col("node").alias("x"), F.col("v").alias("cx")), "x").join(colour.select(F.col("node").alias("y"), F.col("v").alias("cy")), "y").where("cx = cy").select("x", "y", F.col("cx").alias("c")))
-        back = spread(inside.select(F.col("c").alias("node"), F.col("c").alias("v")).distinct(), inside.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        one = cut(back.join(colour.withColumnRenamed("v", "c"), "node").where("v = c").select("node", "c"))
-        found = one if found is None else found.unionByName(one)
-        left = cut(left.join(one.select(F.col("node").alias("x")), "x", "left_anti").join(one.select(F.col("node").alias("y")), "y", "left_anti").select("x", "y"))
-    if found is None:
-        return every.limit(0).select(F.col("x").alias("node"), F.lit("").alias("cycle"))
-    loops = every.where("x = y").select(F.col("x").alias("node"), F.lit(True).alias("loop"))
-    sets = found.groupBy("c").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+        nodes = left.df.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        colour = least_reached(nodes.withColumn("v", F.col("node")), left.df).withColumnRenamed("v", "c")
+        inside = Held(left.df.join(colour.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(colour.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y").where("cx = cy").select(
+            F.col("y").alias("x"), F.col("x").alias("y")))
+        back = least_reached(colour.select("node", F.when(F.col("node") == F.col("c"), F.col("c")).alias("v")), inside.df)
+        found.append(Held(back.where("v IS NOT NULL").select("node", F.col("v").alias("c"))))
+        inside.drop()
+    left.drop()
+    if not found:
+        return every.df.limit(0).select(F.col("x").alias("node"), F.lit("").alias("cycle"))
+    loops = every.df.where("x = y").select(F.col("x").alias("node"), F.lit(True).alias("loop"))
+    sets = reduce(DataFrame.unionByName, [t.df for t in found]).groupBy("c").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     named = sets.withColumn("node", F.explode("nodes")).join(loops, "node", "left").where((F.size("nodes") > 1) | F.col("loop"))
     return named.select("node", F.concat(F.lit("cycle:"), F.array_join("nodes", "+")).alias("cycle"))
 

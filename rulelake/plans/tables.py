@@ -79,6 +79,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """The rows numbered from 0 by a column without repeats: ranges of it are sorted on their own, and a range begins where
+    those before it end."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a partition's rows are numbered from 0
+    dealt = cut(rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumns({"__range": F.spark_partition_id(), "__inside": inside}))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))  # a row a range
+    return dealt.join(F.broadcast(starts), "__range").withColumn(name, F.col("__base") + F.col("__inside")).drop("__base", "__inside", "__range")
+
+
 #: Rows, and bytes of their JSON, that one executor may hold as a broadcast relation.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 

@@ -390,3 +390,28 @@ def test_many_needles_equal_few(spark, monkeypatch):
         told = {(f, p) for f, p in map(tuple, audit.containing(files, some).collect())}
         assert told == {(f, w) for f, t in rows if t is not None for w in some if w in t}
         assert {(f, p) for f, p in map(tuple, audit.missing(files, some).collect())} == {(f, w) for f, t in rows if t is not None for w in some if w not in t}
+
+
+def test_long_chains_and_rings_take_logarithmic_rounds(spark, monkeypatch):
+    from rulelake.plans import tables
+
+    rounds, become = [], tables.Held.become
+    monkeypatch.setattr(tables.Held, "become", lambda self, df: rounds.append(1) or become(self, df))
+    n = 3000
+    at = lambda i: f"n{i * 7919 % n:04}"
+    ring = spark.createDataFrame([(at(i), at(i + 1)) for i in range(n)] + [("tail", at(5)), (at(9), "out"), ("out", "end"), ("self", "self")], "x string, y string")
+    sizes = graph.cycles(ring).groupBy("cycle").count().collect()
+    assert sorted(r["count"] for r in sizes) == [1, n] and len(rounds) < 45
+    rounds.clear()
+    path = spark.createDataFrame([(at(i), at(i + 1)) for i in range(n - 1)], "x string, y string")
+    assert graph.cycles(path).count() == 0 and len(rounds) < 20
+    rounds.clear()
+    starts = spark.createDataFrame([(at(0),), (at(n - 10),)], "start string")
+    assert {r.start: r["count"] for r in graph.closure(starts, path, deep=True).groupBy("start").count().collect()} == {at(0): n, at(n - 10): 10} and len(rounds) < 40
+
+
+def test_many_starts_share_rows(spark):
+    edges = spark.createDataFrame([(f"t{i}", f"f{i % 7}") for i in range(200)] + [("f1", "g"), ("g", "h"), ("f2", "g")], "x string, y string")
+    stop = spark.createDataFrame([("g",)], "node string")
+    got = {(r.start, r.node) for r in graph.closure(edges.where("x LIKE 't%'").select(graph.F.col("x").alias("start")), edges, stop).collect()}
+    assert got == {(f"t{i}", f"t{i}") for i in range(200)} | {(f"t{i}", f"f{i % 7}") for i in range(200)} | {(f"t{i}", "g") for i in range(200) if i % 7 in (1, 2)}
