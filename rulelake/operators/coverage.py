@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of one block of the range join: spans and lines meet by block.
-BLOCK = 256
+#: Lines of one block of the range join, levels of doubled blocks, and blocks of a span that is stored block by block.
+BLOCK, LEVELS, FEW_BLOCKS = 256, 56, 4
 
 
 def validated(hits: DataFrame) -> DataFrame:
@@ -25,10 +25,36 @@ def validated(hits: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(checked.where("a IS NULL AND b IS NULL AND c IS NULL").select(F.lit(1).alias("__ok"))), F.lit(True), "left_semi")
 
 
+def nodes(start: Column, end: Column) -> Column:
+    """Array of (level, node): aligned stretches of 2**level blocks that together cover the blocks of a span, two for each
+    level at most. A span of a few blocks is these blocks."""
+    first, last = F.floor(start / BLOCK).cast("long"), F.floor(end / BLOCK).cast("long")
+    node = lambda level, at: F.struct(level.cast("int").alias("level"), at.cast("long").alias("node"))
+    one = F.lit(1).cast("long")
+
+    def climb(state: Column, level: Column) -> Column:
+        a, b = state["a"], state["b"]
+        left, right = (a <= b) & (a % 2 == 1), (a <= b) & (b % 2 == 0)
+        taken = F.concat(state["out"], F.when(left, F.array(node(level, a))).otherwise(none), F.when(right & ~(left & (a == b)), F.array(node(level, b))).otherwise(none))
+        up = F.floor((a + F.when(left, one).otherwise(0)) / 2).cast("long"), F.floor((b - F.when(right, one).otherwise(0)) / 2).cast("long")
+        return F.struct(F.when(a > b, a).otherwise(up[0]).alias("a"), F.when(a > b, b).otherwise(up[1]).alias("b"), taken.alias("out"))  # past each other they stay so
+
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    zero = F.struct(first.alias("a"), last.alias("b"), none.alias("out"))
+    wide = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), zero, climb, lambda state: state["out"])
+    few = F.transform(F.sequence(first, last), lambda i: node(F.lit(0), i))
+    return F.when(start > end, none).when(last - first < FEW_BLOCKS, few).otherwise(wide)
+
+
 def lines_in_spans(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """(file, line) with every span (file, start, end) that holds the line, by an equi-join on file and line block."""
-    blocks = spans.withColumn("__b", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"`end` div {BLOCK}"))))
-    return lines.withColumn("__b", F.expr(f"line div {BLOCK}")).join(blocks, ["file", "__b"]).where("line BETWEEN start AND `end`").drop("__b")
+    """(file, line) with every span (file, start, end) that holds the line. A span is stored at the aligned stretches of
+    blocks that make it up, and a line looks into the stretch that holds it on each level that some span uses: an
+    equi-join whose rows grow with the logarithm of a span's length."""
+    placed = spans.withColumn("__n", F.explode(nodes(F.col("start"), F.col("end")))).withColumns({"__level": F.col("__n.level"), "__node": F.col("__n.node")}).drop("__n")
+    levels = placed.agg(F.collect_set("__level").alias("__levels"))  # one row of LEVELS numbers at most
+    looking = lines.crossJoin(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels").withColumn(
+        "__node", F.call_function("shiftright", F.floor(F.col("line") / BLOCK).cast("long"), F.col("__level")))
+    return looking.join(placed, ["file", "__level", "__node"]).where("line BETWEEN start AND `end`").drop("__level", "__node")
 
 
 def lcov_hits(data: DataFrame, functions: DataFrame, vetoed: DataFrame) -> DataFrame:

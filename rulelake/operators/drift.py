@@ -11,6 +11,8 @@ from ..functions.text import ascii_lower, tokens
 
 #: Below this similarity an entry is not covered.
 COVERED = 0.15
+#: Similarities (percent) above which a best match is looked for first.
+STEPS = (50, 15)
 #: What makes a text expressible as a rule. Commands with an argument, file shapes, function shapes.
 COMMAND = r"\b(git|cargo|npm|pnpm|yarn|gh|make|rustup|rustfmt|clippy|docker|kubectl|pkill|killall)\s+(-{1,2}[\w][\w-]*|[a-z][a-z0-9_-]+)\b"
 FILE = r"""\.[a-z]{1,5}\b[/\s,)'"]?|\b\w{2,}/\w{2,}|\bsrc/|\btests?/|\.\w+\(\)|\w+!\("""
@@ -23,25 +25,45 @@ def has_trigger(text: Column) -> Column:
     return low.rlike(COMMAND) | low.rlike(FILE) | (low.rlike(FUNCTION) & low.rlike(SHAPE))
 
 
-def best_match(left: DataFrame, right: DataFrame, left_id: str = "id", right_id: str = "target", text: str = "text", order: str = "ord") -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, left_id: str = "id", right_id: str = "target", text: str = "text", order: str = "ord", least: int = 0) -> DataFrame:
     """left ids with their most similar right id (Jaccard of word sets; the first by order on ties), the overlap and the
-    union. Left texts without a shared word are left out.
+    union. Left texts without a shared word, or below the least similarity (percent), are left out.
 
-    Words meet in an equi-join on the right texts' inverted index, which is broadcast if it is counted small; pairs without
-    a shared word are never made, and overlaps are added up before anything is shuffled.
+    Words are ordered by how many right texts have them, rarest first. Two sets of some similarity share a word among the
+    first of both, so many that no more are left than the others may lack; common words make no pairs then. The bound goes
+    down in steps, and a left text that has found its best above one takes no part in the next.
     """
-    a = left.select(F.col(left_id).alias("l"), tokens(F.col(text)).alias("t")).withColumn("ln", F.size("t"))
-    b = right.select(F.col(right_id).alias("r"), F.col(order).alias("o"), tokens(F.col(text)).alias("t")).withColumn("rn", F.size("t"))
-    from ..plans.tables import small
+    from ..plans.tables import Held, small
 
-    index = small(b.select("r", "o", "rn", F.explode("t").alias("w")))
-    shared = a.select("l", "ln", F.explode("t").alias("w")).join(index, "w").groupBy("l", "r").agg(
-        F.count("*").alias("shared"), F.first("ln").alias("ln"), F.first("rn").alias("rn"), F.first("o").alias("o"))
-    scored = shared.withColumn("union", F.col("ln") + F.col("rn") - F.col("shared"))
-    # exact comparison of fractions is needed only to single precision, as the similarity is reported
-    sim = (F.col("shared") / F.col("union")).cast("float")
-    best = scored.withColumn("similarity", sim).groupBy("l").agg(F.max_by(F.struct("r", "shared", "union", "similarity"), F.struct("similarity", (-F.col("o")).alias("o"))).alias("m"))
-    return best.select(F.col("l").alias(left_id), F.col("m.r").alias(right_id), "m.shared", "m.union", "m.similarity")
+    b = right.select(F.col(right_id).alias("r"), F.col(order).alias("o"), tokens(F.col(text)).alias("t")).withColumn("rn", F.size("t"))
+    a = left.select(F.col(left_id).alias("l"), tokens(F.col(text)).alias("t")).withColumn("ln", F.size("t"))
+    words = b.select("r", "o", "rn", F.explode("t").alias("w"))
+    rarity = Held(words.groupBy("w").agg(F.count("*").alias("n")))
+    rare = small(rarity.df)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"])
+    index = Held(words.join(rare, "w").groupBy("r", "o", "rn").agg(ordered.alias("rw")))
+    asked = Held(a.select("l", "ln", F.explode("t").alias("w")).join(rare, "w").groupBy("l", "ln").agg(ordered.alias("lw")))  # words that no right text has can't be shared
+    found = None
+    for percent in [x for x in STEPS if x > least] + [least]:
+        rest = asked.df if found is None else asked.df.join(found.df.select("l"), "l", "left_anti")
+        ahead = lambda n: n - F.floor((n * percent + 99) / 100) + 1  # noqa: B023,E731
+        unknown = F.col("ln") - F.size("lw")  # these are the rarest of all
+        mine = rest.select("l", "ln", F.explode(F.slice("lw", F.lit(1), F.greatest(F.lit(0), ahead(F.col("ln")) - unknown).cast("int"))).alias("w"))
+        theirs = index.df.select("r", "rn", F.explode(F.slice("rw", F.lit(1), ahead(F.col("rn")).cast("int"))).alias("w"))
+        near = (F.col("ln") * 100 >= F.col("rn") * percent) & (F.col("rn") * 100 >= F.col("ln") * percent)
+        met = mine.join(small(theirs), "w").where(near).select("l", "r").distinct()
+        shared = F.size(F.array_intersect("lw", "rw")).cast("long")
+        scored = met.join(rest, "l").join(small(index.df), "r").withColumn("shared", shared).withColumn("union", F.col("ln") + F.col("rn") - F.col("shared")).where((F.col("shared") > 0) & (F.col("shared") * 100 >= F.col("union") * percent))
+        # exact comparison of fractions is needed only to single precision, as the similarity is reported
+        scored = scored.withColumn("similarity", (F.col("shared") / F.col("union")).cast("float"))
+        best = scored.groupBy("l").agg(F.max_by(F.struct("r", "shared", "union", "similarity"), F.struct("similarity", (-F.col("o")).alias("o"))).alias("m")).select("l", "m.*")
+        if found is None:
+            found = Held(best)
+        else:
+            found.become(found.df.unionByName(best))
+    for t in (rarity, index, asked):
+        t.drop()
+    return found.df.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "shared", "union", "similarity")
 
 
 def bucket(kind: Column, text: Column) -> Column:
@@ -63,7 +85,7 @@ def decisions(pages: DataFrame, rules: DataFrame) -> DataFrame:
     similarity over the bound is likely; else uncovered with similarity 0."""
     alive = pages.where("status <> 'superseded'")
     named = alive.select("id", F.explode("enforces").alias("target")).join(rules.select("target"), "target").groupBy("id").agg(F.min("target").alias("named"))
-    best = best_match(alive, rules)
+    best = best_match(alive, rules, least=int(100 * COVERED) - 1)
     likely = F.col("similarity") >= F.lit(COVERED).cast("float")
     state = F.when(F.col("named").isNotNull(), "covered").when(likely, "likely").otherwise("uncovered")
     return alive.select("id").join(named, "id", "left").join(best, "id", "left").select(

@@ -415,3 +415,39 @@ def test_many_starts_share_rows(spark):
     stop = spark.createDataFrame([("g",)], "node string")
     got = {(r.start, r.node) for r in graph.closure(edges.where("x LIKE 't%'").select(graph.F.col("x").alias("start")), edges, stop).collect()}
     assert got == {(f"t{i}", f"t{i}") for i in range(200)} | {(f"t{i}", f"f{i % 7}") for i in range(200)} | {(f"t{i}", "g") for i in range(200) if i % 7 in (1, 2)}
+
+
+def test_best_matches_against_all_pairs(spark):
+    import random
+
+    from rulelake.functions.text import tokens
+    from rulelake.operators import drift
+
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(["common", "shared"] + r.sample(vocab, n))
+    right = [(f"t{i}", i, text(r.choice([0, 2, 5, 9, 20]))) for i in range(25)] + [("same", 30, "common shared"), ("empty", 31, "")]
+    left = [(f"l{i}", text(r.choice([0, 1, 4, 8, 15]))) for i in range(40)] + [("copy", right[3][2]), ("none", "nothing alike"), ("null", None)]
+    a, b = spark.createDataFrame(left, "id string, text string"), spark.createDataFrame(right, "target string, ord long, text string")
+    sets = {x.text: set(x.t) for x in a.select("text").union(b.select("text")).distinct().select("text", tokens(graph.F.col("text")).alias("t")).collect() if x.text is not None}
+    for least in (0, 14, 60):
+        want = {}
+        for i, t in left:
+            scores = [(len(sets[t] & sets[u]) / len(sets[t] | sets[u]), -o, j) for j, o, u in right if t is not None and sets[t] & sets[u]]
+            scores = [s for s in scores if s[0] * 100 >= least - 1e-9]
+            if scores:
+                want[i] = max(scores)[2]
+        assert {x.id: x.target for x in drift.best_match(a, b, least=least).collect()} == want
+
+
+def test_long_spans_are_few_rows(spark):
+    import random
+
+    r = random.Random(1)
+    spans = [("f", a, a + r.choice([0, 5, 255, 256, 1000, 10_000_000])) for a in [r.randrange(0, 20_000_000) for _ in range(60)]] + [("f", 9, 8), ("g", 0, 1 << 40), ("f", None, 4)]
+    lines = [(r.choice("fg"), r.randrange(0, 21_000_000)) for _ in range(400)] + [("f", x) for _, a, b in spans[:60] for x in (a - 1, a, b, b + 1)]
+    s = spark.createDataFrame(spans, "file string, start long, end long")
+    got = sorted((x.file, x.line, x.start, x.end) for x in coverage.lines_in_spans(spark.createDataFrame(lines, "file string, line long"), s).collect())
+    assert got == sorted((f, n, a, b) for f, n in lines for g, a, b in spans if f == g and a is not None and a <= n <= b)
+    sizes = s.where("start IS NOT NULL").select(graph.F.size(coverage.nodes(graph.F.col("start"), graph.F.col("end"))).alias("n")).collect()
+    assert max(x.n for x in sizes) < 64 and max(x.n for x, (f, a, b) in zip(sizes, [x for x in spans if x[1] is not None]) if b - a <= 10_000_000) < 50
