@@ -216,11 +216,13 @@ def paired_stops(events: DataFrame) -> DataFrame:
     return events.select("sid", "seq", "event", "agent").groupBy("sid").applyInPandas(fold, "sid string, stop long, start long")
 
 
-def prompt_class(events: DataFrame) -> DataFrame:
-    """Prompts (event, agent, interrupted) classed by what went before in their session: fresh, correction or mid_turn."""
-    w = Window.partitionBy("sid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+def prompt_class(events: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """Prompts (event, agent, interrupted) classed by what went before in their session: fresh, correction or mid_turn. A
+    session of any length is spread over tasks, since all that it hands on is its last event and its last turn event."""
+    from ..plans.tables import GROUP_ROWS, last_before
+
     turn = F.when(F.col("event").isin("prompt", "stop", "session_end"), F.col("event"))
-    marked = events.withColumns({"__last": F.last("event", True).over(w), "__turn": F.last(turn, True).over(w)})
+    marked = last_before(events, ["sid"], ["seq"], {"__last": F.col("event"), "__turn": turn}, group_rows or GROUP_ROWS)
     opened = F.coalesce(F.col("__turn") == "prompt", F.lit(False))
     return marked.where("event = 'prompt'").withColumn("mode", F.when(F.col("agent").isNotNull(), "fresh").when(
         F.col("__last") == "interrupt", "correction").when(~opened, "fresh").when(F.coalesce("interrupted", F.lit(False)), "correction").otherwise(

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import at_ranks
+
 BLOCK, WARN = "constraint_violation", "constraint_warning"
 #: Rest of a capped family.
 OTHER = "__other__"
@@ -45,15 +47,9 @@ def rule_stats(log: DataFrame) -> DataFrame:
 
 
 def integer_median(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Middle value, or the floored mean of both: ranks from counts of distinct values, ordered in ranges."""
-    from ..plans.tables import running
-
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running(counted, by, value, "n")
-    lo, hi = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
-    return ranked.groupBy(*by).agg(
-        F.min(F.when(F.col("upto") >= lo, F.col(value))).alias("lo"), F.min(F.when(F.col("upto") >= hi, F.col(value))).alias("hi")).select(
-        *by, F.expr("(lo + hi) div 2").alias("median"))
+    """Middle value, or the floored mean of both."""
+    middle = at_ranks(rows, value, {"__lo": F.expr("(n + 1) div 2"), "__hi": F.expr("n div 2 + 1")}, by)
+    return middle.select(*by, F.expr("(__lo + __hi) div 2").alias("median"))
 
 
 def lifecycle(log: DataFrame, kalpa: str | None = None) -> DataFrame:
@@ -140,16 +136,20 @@ def filled(snapshots: DataFrame, ids: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, value: str, levels: Sequence[int] = (50, 95), by: Sequence[str] = ()) -> DataFrame:
-    """Percentiles by nearest rank; 0 without rows."""
-    cols = [F.coalesce(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})"), F.lit(0)).alias(f"p{p}") for p in levels]
-    return rows.groupBy(*by).agg(*cols) if by else rows.agg(*cols)
+    """Percentiles of whole numbers by nearest rank; 0 without rows."""
+    ranks = {f"p{p}": F.greatest(F.lit(1), F.expr(f"(n * {p} + 99) div 100")) for p in levels}
+    found = at_ranks(rows, value, ranks, by)
+    if by:  # groups whose values are all missing
+        every = rows.select(*by).distinct()
+        found = every.join(found, [every[c].eqNullSafe(found[c]) for c in by], "left").select(*[every[c] for c in by], *[found[p] for p in ranks])
+    return found.select(*by, *[F.coalesce(p, F.lit(0)).alias(p) for p in ranks])
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:
     """n, floored mean, p50 and p95; a missing value counts as 0."""
     v = rows.select(F.coalesce(F.col(value), F.lit(0)).cast("long").alias("v"))
-    pct = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)"), F.lit(0))
-    return v.agg(F.count("*").alias("n"), F.coalesce(F.expr("sum(v) div count(*)"), F.lit(0)).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"))
+    whole = v.agg(F.count("*").alias("n"), F.coalesce(F.expr("sum(v) div count(*)"), F.lit(0)).alias("mean"))
+    return whole.crossJoin(F.broadcast(nearest_rank(v, "v"))).select("n", "mean", "p50", "p95")
 
 
 def tallies(rows: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OURS: list[tuple[SparkSession, str]] = []
@@ -122,3 +122,28 @@ def _running_in_ranges(rows: DataFrame, by: Sequence[str], order: str, value: st
     on = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]]
     inside = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(key))
     return dealt.withColumn("upto", inside).join(small(base), on).withColumn("upto", F.col("upto") + F.col("__base")).drop("__part", "__p", "__base", *[f"__by{i}" for i in range(len(by))])
+
+
+#: Rows of a group beyond which it is dealt out to several tasks.
+GROUP_ROWS = 1_000_000
+
+
+def last_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], marks: dict[str, Column], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """rows with, for each mark (a name and an expression), its last value that is not null in the rows of the group
+    before this one: what a machine that remembers marks knows at each row. Where a group has very many rows, rows are
+    dealt out by ranges; what a range leaves behind is one row, and what came before it is looked up from those."""
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    told = lambda w: {name: F.last(f"__m_{name}", True).over(upto(w)) for name in marks}
+    marked = rows.withColumns({f"__m_{name}": mark for name, mark in marks.items()})
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most <= group_rows:
+        return marked.withColumns(told(Window.partitionBy(*by).orderBy(*order))).drop(*[f"__m_{name}" for name in marks])
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(marked.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    place = F.struct(*order)
+    left = dealt.groupBy(*by, "__part").agg(*[F.max_by(f"__m_{name}", F.when(F.col(f"__m_{name}").isNotNull(), place)).alias(f"__m_{name}") for name in marks])  # a row for each range of a group
+    before = left.withColumns({f"__b_{name}": c for name, c in told(Window.partitionBy(*by).orderBy("__part")).items()})
+    before = before.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), *[f"__b_{name}" for name in marks])
+    on = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]]
+    inside = dealt.withColumns(told(Window.partitionBy(*by, "__part").orderBy(*order))).join(small(before), on)
+    return inside.withColumns({name: F.coalesce(name, f"__b_{name}") for name in marks}).select(*rows.columns, *marks)

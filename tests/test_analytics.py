@@ -451,3 +451,32 @@ def test_long_spans_are_few_rows(spark):
     assert got == sorted((f, n, a, b) for f, n in lines for g, a, b in spans if f == g and a is not None and a <= n <= b)
     sizes = s.where("start IS NOT NULL").select(graph.F.size(coverage.nodes(graph.F.col("start"), graph.F.col("end"))).alias("n")).collect()
     assert max(x.n for x in sizes) < 64 and max(x.n for x, (f, a, b) in zip(sizes, [x for x in spans if x[1] is not None]) if b - a <= 10_000_000) < 50
+
+
+def test_ranks_by_digits_against_sorting(spark):
+    import random
+
+    from rulelake.operators.ranks import at_ranks
+
+    r = random.Random(3)
+    draws = [lambda: r.randint(-5, 5), lambda: r.choice([-(1 << 63), (1 << 63) - 1, 0, 7]), lambda: r.randint(-(1 << 40), 1 << 40), lambda: 9, lambda: r.choice([1, 70_000, 70_001, None])]
+    for draw in draws:
+        rows = [(r.choice(["a", "b", None]), draw()) for _ in range(300)] + [("gone", None)]
+        df = spark.createDataFrame(rows, "k string, v long")
+        got = {x.k: (x.p1, x.p50, x.p95, x.p100) for x in stats.nearest_rank(df, "v", [1, 50, 95, 100], ["k"]).collect()}
+        want = {}
+        for k in {k for k, _ in rows}:
+            own = sorted(v for g, v in rows if g == k and v is not None)
+            want[k] = tuple(own[max(1, -(-len(own) * p // 100)) - 1] if own else 0 for p in (1, 50, 95, 100))
+        assert got == want
+    assert at_ranks(df.limit(0), "v", {"m": graph.F.lit(1)}, ["k"]).collect() == [] and at_ranks(df.limit(0), "v", {"m": graph.F.lit(1)}).first().m is None
+
+
+def test_long_sessions_are_spread(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["s", "s", "s", "t", None]), i, r.choice(["prompt", "stop", "interrupt", "tool", "session_end"]), r.choice([None, None, "a"]), r.choice([True, False, None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "sid string, seq long, event string, agent string, interrupted boolean").repartition(5)
+    one, many = (sorted(map(tuple, journey.prompt_class(df, n).collect()), key=repr) for n in (10_000, 50))
+    assert one == many and len(one) > 50
