@@ -257,6 +257,32 @@ def _(spark, d):
     return guarded(spark, d, 'facts.some(|f| f.predicate == "order" && f.args[1] == bindings["?c"] && f.args[0].parse_int() >= 100 && f.args[2] == "O") && bindings["?s"].len() > 8')
 
 
+@query("f3_let_and_choice", """SELECT c_custkey AS c FROM customer WHERE CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 10
+WHEN c_mktsegment LIKE 'A%' THEN c_custkey % 3 = 0 ELSE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) = 0 END""")
+def _(spark, d):
+    return guarded(spark, d, """let n = facts.filter(|f| f.predicate == "order" && f.args[1] == bindings["?c"]).len();
+        if bindings["?s"] in ["BUILDING", "MACHINERY"] { n > 10 } else if bindings["?s"].starts_with("A") { bindings["?c"].parse_int() % 3 == 0 } else { n == 0 }""")
+
+
+@query("f3_mapped_facts", """SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND o_custkey = c_custkey + 1)
+AND regexp_matches(c_mktsegment, 'U|H')""")
+def _(spark, d):
+    return guarded(spark, d, """let pending = facts.filter(|f| f.predicate == "order" && f.args[2] == "P").map(|f| f.args[1].parse_int());
+        let me = bindings["?c"].parse_int(); me in pending && !pending.contains(me + 1) && ["U", "H"].some(|x| bindings["?s"].contains(x))""")
+
+
+@query("f3_nested_closures", """SELECT c_custkey AS c FROM customer a WHERE EXISTS (SELECT 1 FROM customer b WHERE b.c_nationkey = a.c_nationkey AND b.c_custkey <> a.c_custkey AND b.c_mktsegment = a.c_mktsegment
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = b.c_custkey AND o_orderstatus = 'P'))""")
+def _(spark, d):
+    return guarded(spark, d, """facts.some(|f| { let other = f.args[0]; f.predicate == "customer" && f.args[1] == bindings["?n"] && f.args[2] == bindings["?s"] && other != bindings["?c"]
+        && !facts.some(|g| g.predicate == "order" && g.args[1] == other && g.args[2] == "P") })""")
+
+
+@query("f3_split_lists", """SELECT c_custkey AS c FROM customer WHERE list_contains(list_transform(string_split(c_mktsegment, 'I'), lambda x: length(x)), 4) AND NOT list_contains(string_split(c_mktsegment, 'E'), '')""")
+def _(spark, d):
+    return guarded(spark, d, """bindings["?s"].split("I").map(|x| x.len()).contains(4) && bindings["?s"].split("E").all(|x| !x.is_empty())""")
+
+
 @query("f1_guard_theta", """SELECT c_custkey AS c FROM customer WHERE (SELECT count(*) FROM nation WHERE n_nationkey > c_nationkey) >= 20""")
 def _(spark, d):
     return guarded(spark, d, 'facts.filter(|f| f.predicate == "nation" && f.args[0].parse_int() > bindings["?n"].parse_int()).len() >= 20')

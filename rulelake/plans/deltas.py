@@ -92,6 +92,9 @@ def touched(rows: DataFrame, changed: DataFrame, rule: Rule) -> DataFrame:
             _, counts = expressions.compiled(script, bound)
         except expressions.Malformed:
             continue  # the same before and after
+        if any(v.needs for n in counts for v in n.filters):  # a count inside a count may change with any fact
+            out.append(rows)
+            continue
         out += [expressions.counted(rows, changed, n).where(F.col(n.name) > 0).select(*[F.col(f"`{c}`") for c in rows.columns]) for n in counts]
     if not out:
         return rows.limit(0)

@@ -81,14 +81,16 @@ def _compare(n: Column, guard: Guard) -> Column:
     return {">=": n >= guard.n, ">": n > guard.n, "==": n == guard.n, "<=": n <= guard.n, "<": n < guard.n}[guard.op]
 
 
-def route(script: str, bound: set[str]) -> str:
-    """How a guard is evaluated: builtin (one fact test), compiled (any other expression) or error."""
+def unreadable(script: str, bound: set[str]) -> str | None:
+    """Why a guard cannot be read, or None."""
     from . import expressions
 
-    if parse(script):
-        return "builtin"
     try:
-        expressions.compiled(script, bound)
-    except expressions.Malformed:
-        return "error"
-    return "compiled"
+        return None if parse(script) else expressions.compiled(script, bound) and None
+    except expressions.Malformed as e:
+        return str(e)
+
+
+def route(script: str, bound: set[str]) -> str:
+    """How a guard is evaluated: builtin (one fact test), compiled (any other expression) or error."""
+    return "builtin" if parse(script) else "error" if unreadable(script, bound) else "compiled"

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import guards
 from ..model import PHASES, VERBS, Action, Condition, Layer, PolicyError, Rule
 
 #: The keys that a rule object may have.
@@ -22,7 +23,8 @@ OVERRIDDEN = "rule_overridden"
 
 
 def parse(text: str, source: str = "rules") -> tuple[list[Rule], list[str]]:
-    """Flat rules of a document (either form), and diagnostics. Anything unknown is an error."""
+    """Flat rules of a document (either form), and diagnostics. Anything unknown is an error, and so is a guard that
+    cannot be read: otherwise its rule would fire whatever holds."""
     try:
         document = json.loads(text)
         entries = document["rules"]
@@ -41,6 +43,10 @@ def parse(text: str, source: str = "rules") -> tuple[list[Rule], list[str]]:
             notes.append(f"duplicate_identical:{entry['id']}")
             continue
         flat = expand(entry, source)
+        for rule in flat:
+            for script in (c.script for c in rule.conditions if c.script):
+                if said := guards.unreadable(script, rule.bound()):
+                    raise PolicyError(f"{source}: rule {rule.id}: guard: {said}")
         if len(flat) > MANY:
             notes.append(f"large_expansion:{entry['id']}:{len(flat)}")
         rules += flat
