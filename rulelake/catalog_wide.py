@@ -6,7 +6,9 @@ Text sources get their lines from the driver tables by rule, so that SQL can say
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import NOW, TWO, FACTS, G, J, L, action_log, artifacts, cond, edges, fact_table, files, guarded, journal, query, signals, table, warn
@@ -295,10 +297,14 @@ def _(spark, d):
     return rules.Session(fact_table(spark, d), [rule]).fire().select("message", F.col("guard_error").alias("error"))
 
 
-@query("f4_router", "SELECT * FROM (VALUES ('contain', 'builtin'), ('count', 'builtin'), ('both', 'compiled'), ('facts', 'compiled'), ('broken', 'error')) t(script, via)")
+@query("f4_router", """WITH c AS (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS p FROM customer)
+SELECT 'contain' AS script, 'builtin' AS via, count(*) AS n FROM c WHERE NOT p UNION ALL SELECT 'count', 'builtin', count(*) FROM c WHERE n >= 12 UNION ALL SELECT 'both', 'compiled', count(*) FROM c WHERE p AND n > 0
+UNION ALL SELECT 'facts', 'compiled', count(*) FROM c WHERE (SELECT count(*) FROM nation) > 1 UNION ALL SELECT 'broken', 'error', count(*) FROM c""")
 def _(spark, d):
-    scripts = {"contain": "!facts_contain('a', ['?x'])", "count": "facts_count('a', []) >= 2", "both": "facts_contain('a', []) && facts_contain('b', [])", "facts": "facts.len() > 1", "broken": "facts.len( > 1"}
-    return lit_rows(spark, [(k, guards.route(v, {"?x"})) for k, v in scripts.items()], "script string, via string")
+    scripts = {"contain": "!facts_contain('order', ['*', '?c', 'P'])", "count": "facts_count('order', ['*', '?c']) >= 12", "both": "facts_contain('order', ['*', '?c', 'P']) && facts_contain('order', ['*', '?c', '*'])",
+               "facts": "facts.filter(|f| f.predicate == 'nation').len() > 1", "broken": "facts.len( > 1"}
+    counted = [guarded(spark, d, v).agg(F.count("*").alias("n")).select(F.lit(k).alias("script"), F.lit(guards.route(v, {"?c", "?n", "?s"})).alias("via"), "n") for k, v in scripts.items()]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("p3_shared_memories", f"""SELECT rule_id, n FROM (SELECT 'finished' AS rule_id, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F') AS n
@@ -402,14 +408,18 @@ def _(spark, d):
         "n", F.lit(refused(more.withColumn("predicate", F.lit("edited_file")))).alias("reserved"), F.lit(refused(host)).alias("twice"))
 
 
-@query("f6_reserved_facts", "SELECT * FROM (VALUES ('edited_file', 'reserved'), ('__x', 'reserved'), ('mine', NULL)) t(predicate, refused)")
+@query("f6_reserved_facts", """SELECT CASE o_orderstatus WHEN 'F' THEN 'edited_file' WHEN 'O' THEN '__x' ELSE 'mine' END AS predicate, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'reserved' END AS refused, count(*) AS n FROM orders GROUP BY ALL""")
 def _(spark, d):
+    told = F.when(F.col("o_orderstatus") == "F", "edited_file").when(F.col("o_orderstatus") == "O", "__x").otherwise("mine")
+    emitted = table(spark, d, "orders").groupBy(told.alias("predicate")).agg(F.count("*").alias("n"))
+
     def refused(p):
         try:
             udf.collect(lambda event, emit: emit(p, ["a"]), {}, ["edited_file"])
         except udf.ProviderError:
             return "reserved"
-    return lit_rows(spark, [(p, refused(p)) for p in ("edited_file", "__x", "mine")], "predicate string, refused string")
+    checked = [(r.predicate, refused(r.predicate)) for r in emitted.select("predicate").collect()]  # three predicates
+    return emitted.join(lit_rows(spark, checked, "predicate string, refused string"), "predicate").select("predicate", "refused", "n")
 
 
 @query("p6_bulk_retract_ids", "SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'")
@@ -417,9 +427,11 @@ def _(spark, d):
     return facts.matching_ids(fact_table(spark, d), "order", [(2, "P")])
 
 
-@query("p4_out_of_range", "SELECT count(*) AS n FROM orders WHERE false")
+@query("p4_out_of_range", "SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'P'")
 def _(spark, d):
-    return facts.matching_ids(fact_table(spark, d), "order", [(7, "P")]).agg(F.count("*").alias("n"))
+    # two thirds of the facts have no third argument: they do not match, and are no error
+    f = fact_table(spark, d).where("predicate = 'order'").withColumn("args", F.when(F.col("args")[0].cast("long") % 3 == 0, F.col("args")).otherwise(F.slice("args", 1, 2)))
+    return facts.matching_ids(f, "order", [(2, "P")])
 
 
 @query("p13_demand_gate", "SELECT 'customer' AS predicate, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'nation', (SELECT count(*) FROM nation)")
@@ -464,26 +476,33 @@ def _(spark, d):
     return audit.union_rule(f, [("R", ["?n"]), ("A", ["?n"])]).select("file", F.col("args")[0].cast("int").alias("at"), "condition")
 
 
-@query("p22_selection", "SELECT * FROM (VALUES ('pre', 'a'), ('pre', 'c#or0'), ('pre', 'c#or1'), ('post', 'b'), ('audit', 'a'), ('audit', 'd')) t(phase, id)")
+SELECTED = {"rules": [{"id": "a", "audit": True, "when": [{"customer": ["?c", "?n", "BUILDING"]}], "then": {"log": "?c"}}, {"id": "b", "phase": "post", "when": [{"nation": ["?n", "?name"]}], "then": {"log": "?n"}},
+                      {"id": "c", "when": [{"or": [{"order": ["?o", "?c", "F"]}, {"order": ["?o", "?c", "P"]}]}], "then": {"log": "?o"}},
+                      {"id": "d", "phase": "audit", "when": [{"customer": ["?c", "?n", "MACHINERY"]}], "then": {"log": "?c"}}, {"id": "e", "phase": "none", "when": [{"nation": ["?n", "?name"]}], "then": {"log": "?n"}}]}
+SELECTED_SQL = """a AS (SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'), dd AS (SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY'), b AS (SELECT count(*) AS n FROM nation),
+c0 AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'), c1 AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P')"""
+
+
+@query("p22_selection", f"""WITH {SELECTED_SQL} SELECT 'pre' AS phase, 'a' AS id, n FROM a UNION ALL SELECT 'pre', 'c#or0', n FROM c0 UNION ALL SELECT 'pre', 'c#or1', n FROM c1 UNION ALL SELECT 'post', 'b', n FROM b
+UNION ALL SELECT 'audit', 'a', n FROM a UNION ALL SELECT 'audit', 'd', n FROM dd""")
 def _(spark, d):
-    told = {"rules": [{"id": "a", "audit": True, "when": [{"x": True}], "then": {"log": "a"}}, {"id": "b", "phase": "post", "when": [{"x": True}], "then": {"log": "b"}},
-                      {"id": "c", "when": [{"or": [{"x": True}, {"y": True}]}], "then": {"log": "c"}}, {"id": "d", "phase": "audit", "when": [{"x": True}], "then": {"log": "d"}},
-                      {"id": "e", "phase": "none", "when": [{"x": True}], "then": {"log": "e"}}]}
-    flat, _ = policy.parse(json.dumps(told))
-    picked = [(p, r.id) for p in ("pre", "post", "none") for r in policy.select(flat, p)] + [("audit", r.id) for r in policy.select(flat, audit=True)]
-    return lit_rows(spark, picked, "phase string, id string")
+    flat, _ = policy.parse(json.dumps(SELECTED))
+    picked = {**{p: policy.select(flat, p) for p in ("pre", "post", "none")}, "audit": policy.select(flat, audit=True)}
+    fired = [rules.Session(fact_table(spark, d), own).fire().groupBy(F.lit(p).alias("phase"), F.col("rule_id").alias("id")).agg(F.count("*").alias("n")) for p, own in picked.items() if own]
+    return reduce(DataFrame.unionByName, fired)
 
 
-@query("p23_rule_ids", "SELECT * FROM (VALUES ('a'), ('c#or0'), ('c#or1')) t(id)")
+@query("p23_rule_ids", f"WITH {SELECTED_SQL} SELECT 'a' AS id, n FROM a UNION ALL SELECT 'c#or0', n FROM c0 UNION ALL SELECT 'c#or1', n FROM c1")
 def _(spark, d):
-    told = {"rules": [{"id": "a", "when": [{"x": True}], "then": {"log": "a"}}, {"id": "b", "when": [{"x": True}], "then": {"log": "b"}}, {"id": "c", "when": [{"or": [{"x": True}, {"y": True}]}], "then": {"log": "c"}}]}
-    return lit_rows(spark, [(r.id,) for r in policy.select(policy.parse(json.dumps(told))[0], "pre", ids={"a", "c"})], "id string")
+    asked = policy.select(policy.parse(json.dumps(SELECTED))[0], "pre", ids={"a", "b", "c"})
+    return rules.Session(fact_table(spark, d), asked).fire().groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("n"))
 
 
-@query("p27_unbound_variables", "SELECT * FROM (VALUES ('?z', 0), ('?w', 1)) t(variable, ord)")
+@query("p27_unbound_variables", "SELECT variable, ord, n FROM (VALUES ('?z', 0), ('?w', 1)) t(variable, ord), (SELECT count(*) AS n FROM nation)")
 def _(spark, d):
-    rule = Rule("r", (cond("x", "?a"),), (Action("log", ("?a ?z",), {"k": ["?w", "?a", "?z"]}),))
-    return lit_rows(spark, [(v, i) for i, v in enumerate(rule.unbound_variables())], "variable string, ord int")
+    rule = Rule("r", (cond("nation", "?a", "?name"),), (Action("log", ("?a ?z",), {"k": ["?w", "?a", "?z"]}),))
+    fired = rules.Session(fact_table(spark, d), [rule]).fire()
+    return fired.select(F.posexplode("unbound_variables").alias("ord", "variable")).groupBy("variable", "ord").agg(F.count("*").alias("n"))
 
 
 @query("p29_constraints", "SELECT rule_id, count(*) AS n FROM (SELECT 'low' AS rule_id FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
@@ -513,19 +532,21 @@ def _(spark, d):
     return told.select(F.col("fact_ids")[0].alias("fact_id"), "action_type", "payload")
 
 
-@query("u9_all_any", "SELECT * FROM (VALUES ('a,b'), ('a,c'), ('d')) t(tests)")
+@query("u9_all_any", """SELECT 'a,b' AS tests, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25 UNION ALL SELECT 'a,c', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' UNION ALL SELECT 'd', count(*) FROM lineitem WHERE l_linenumber = 7""")
 def _(spark, d):
+    tests = {"a": F.col("l_returnflag") == "R", "b": F.col("l_quantity") > 25, "c": F.col("l_linestatus") == "F", "d": F.col("l_linenumber") == 7}
     found = policy.all_any({"any": [{"all": [{"is": "a"}, {"any": [{"is": "b"}, {"is": "c"}]}]}, {"is": "d"}]})
-    return lit_rows(spark, [(",".join(x),) for x in found], "tests string")
+    hit = F.array(*[F.when(reduce(Column.__and__, [tests[t] for t in x]), F.lit(",".join(x))) for x in found])
+    return table(spark, d, "lineitem").select(F.explode(F.array_compact(hit)).alias("tests")).groupBy("tests").agg(F.count("*").alias("n"))
 
 
-@query("j41_layers", "SELECT * FROM (VALUES ('a', 'pack'), ('b', 'project'), ('c', 'project')) t(rule, origin)")
+@query("j41_layers", """SELECT 'a' AS rule, 'pack' AS origin, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS n UNION ALL SELECT 'b', 'project', (SELECT count(*) FROM customer WHERE c_mktsegment = 'HOUSEHOLD') UNION ALL SELECT 'c', 'project', (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def _(spark, d):
-    doc = lambda *ids: json.dumps({"rules": [{"id": i, "when": [{"x": True}], "then": {"log": i}} for i in ids]})
-    told, overrides = policy.load_layers([("pack", doc("a", "b"), True), ("absent", None, False), ("project", doc("b", "c"), True)])
+    doc = lambda **ids: json.dumps({"rules": [{"id": i, "when": [{"customer": ["?c", "?n", s]}], "then": {"log": i}} for i, s in ids.items()]})
+    told, overrides = policy.load_layers([("pack", doc(a="BUILDING", b="FURNITURE"), True), ("absent", None, False), ("project", doc(b="HOUSEHOLD", c="MACHINERY"), True)])
     assert [(o["rule"], o["loser"].name, o["winner"].name) for o in overrides] == [("b", "pack", "project")]
-    origin = {r.id: layer.name for layer in told for r in layer.rules}
-    return lit_rows(spark, sorted(origin.items()), "rule string, origin string")
+    fired = [rules.Session(fact_table(spark, d), layer.rules).fire().groupBy(F.col("rule_id").alias("rule"), F.lit(layer.name).alias("origin")).agg(F.count("*").alias("n")) for layer in told if layer.rules]
+    return reduce(DataFrame.unionByName, fired)
 
 
 # ---------------------------------------------------------------- graphs
@@ -855,12 +876,16 @@ def _(spark, d):
     return journal(spark, d).select("seq", outcomes.graded(code, F.when(k % 5 == 2, True), k % 5 == 1).alias("outcome"))
 
 
-@query("s20_toolchain_layers", "SELECT * FROM (VALUES ('cargo-test', 'project'), ('pytest', 'builtin'), ('go-test', 'pack'), ('make', 'builtin'), ('cargo-build', 'builtin'), ('mine', 'project')) t(id, layer)")
+@query("s20_toolchain_layers", """SELECT CASE event_id % 7 WHEN 0 THEN 'cargo-test' WHEN 1 THEN 'pytest' WHEN 2 THEN 'go-test' WHEN 3 THEN 'make' WHEN 4 THEN 'cargo-build' ELSE 'mine' END AS id,
+CASE event_id % 7 WHEN 0 THEN 'project' WHEN 2 THEN 'pack' WHEN 5 THEN 'project' ELSE 'builtin' END AS layer, count(*) AS n FROM events WHERE event_id % 7 < 6 GROUP BY ALL""")
 def _(spark, d):
     pack = outcomes.definitions('{"toolchains":[{"id":"go-test","command":"^go test","kind":"pack"}]}')
     project = outcomes.definitions('{"toolchains":[{"id":"cargo-test","command":"^cargo test","kind":"project"},{"id":"mine","command":"^mine","kind":"project"}]}')
-    found = outcomes.registry(outcomes.BUILTIN, pack, project)
-    return lit_rows(spark, [(t.id, t.kind if t.kind in ("pack", "project") else "builtin") for t in found], "id string, layer string")
+    commands = ["cargo test -q", "pytest -x", "go test ./...", "make all", "cargo build", "mine it", "ls"]
+    runs = table(spark, d, "events").select(F.col("user_id").alias("subject"), F.get(F.array(*map(F.lit, commands)), (F.col("event_id") % 7).cast("int")).alias("command"), F.lit("").alias("output"), F.lit(0).alias("command_exit"))
+    found = outcomes.evaluate(runs, outcomes.registry(outcomes.BUILTIN, pack, project))
+    layer = F.when(F.col("kind").isin("pack", "project"), F.col("kind")).otherwise("builtin")
+    return found.groupBy(F.col("tool").alias("id"), layer.alias("layer")).agg(F.count("*").alias("n"))
 
 
 @query("f12_sections", """SELECT s_suppkey AS subject, 2 + s_suppkey % 3 + s_nationkey AS passed, s_suppkey % 2 AS failed FROM supplier""")
@@ -872,14 +897,20 @@ def _(spark, d):
     return outcomes.evaluate(runs, [tool]).select("subject", "passed", "failed")
 
 
-@query("w12_selectors", "SELECT * FROM (VALUES ('error', NULL), ('module:m1', NULL), ('lifecycle:stop', NULL), ('nope', 'WindowError'), ('module:zz', 'WindowError')) t(selector, refused)")
+@query("w12_selectors", """WITH e AS (SELECT event_type, event_id % 3 AS k, count(*) AS n FROM events GROUP BY ALL)
+SELECT CASE k WHEN 0 THEN event_type WHEN 1 THEN 'module:' || event_type ELSE 'lifecycle:' || event_type END AS selector, n, CASE WHEN k = 0 AND event_type NOT IN ('error', 'signup') OR k = 1 AND event_type <> 'login' THEN 'WindowError' END AS refused FROM e""")
 def _(spark, d):
+    k = F.col("event_id") % 3
+    name = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat(F.lit("module:"), "event_type")).otherwise(F.concat(F.lit("lifecycle:"), "event_type"))
+    asked = table(spark, d, "events").groupBy(name.alias("selector")).agg(F.count("*").alias("n"))
+
     def refused(s):
         try:
-            journey.check_selectors([s], ["error", "big"], ["m1"])
+            journey.check_selectors([s], ["error", "signup"], ["login"])
         except journey.WindowError as e:
             return type(e).__name__
-    return lit_rows(spark, [(s, refused(s)) for s in ("error", "module:m1", "lifecycle:stop", "nope", "module:zz")], "selector string, refused string")
+    checked = [(r.selector, refused(r.selector)) for r in asked.select("selector").collect()]  # three for each kind of event
+    return asked.join(lit_rows(spark, checked, "selector string, refused string"), "selector").select("selector", "n", "refused")
 
 
 @query("w13_tagging", f"WITH {J} SELECT seq, CASE WHEN big THEN array_to_string(list_sort([tag, 'loud']), ',') ELSE tag END AS tags FROM j")
@@ -1095,7 +1126,13 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- callees
 
-def callee_case(spark):
+def callee_case(spark, d):
+    packages = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+
+    def each(rows):
+        """The case once for each package: p stands for its name."""
+        named = {f.name: F.regexp_replace(f.name, r"\bp(?=::|$)", F.concat(F.lit("p"), "k")) if f.dataType.typeName() == "string" else F.col(f.name) + 100 * F.col("k") if f.name == "edge" else F.col(f.name) for f in rows.schema}
+        return packages.crossJoin(F.broadcast(rows)).select(*[c.alias(n) for n, c in named.items()])
     calls = lit_rows(spark, [(1, "calls", "f", "p::m::go", "@bin:tool", None, False), (2, "calls", "f", "p::m::go", "@bin:none", None, False), (3, "calls", "f", "p::m::go", "@extern:std::fs::write", None, False),
                              (4, "calls", "f", "p::m::go", "@path:p::a|p::z:run", None, False), (5, "calls", "f", "p::m::go", "@path:p::a|p::b:run", None, False), (6, "calls", "f", "p::m::go", "@path:p::re:run", None, False),
                              (7, "calls", "f", "p::m::go", "p::a::run", None, False), (8, "calls", "f", "p::m::T::x", "step", "T", True), (9, "calls", "f", "p::m::go", "step", None, True), (10, "calls", "f", "p::m::go", "missing", None, False),
@@ -1108,13 +1145,13 @@ def callee_case(spark):
     bins = lit_rows(spark, [("p", "tool", "p::tool::main")], "package string, name string, main string")
     reexports = lit_rows(spark, [("p::re", None, "p::a"), ("p::re2", "walk", "p::a"), ("p::re2", "other", "p::b")], "module string, item string, target string")
     impls = lit_rows(spark, [("p::m::W", "Doer")], "owner string, trait string")
-    return graph.resolve_callees(calls, defs, imports, bins, reexports, None, impls)
+    return graph.resolve_callees(*[each(t) for t in (calls, defs, imports, bins, reexports)], None, each(impls))
 
 
-@query("j16_callees", """SELECT * FROM (VALUES (1, 'p::tool::main', 'resolved'), (2, NULL, 'unresolved'), (3, NULL, 'unresolved'), (4, 'p::a::run', 'resolved'), (5, NULL, 'ambiguous'), (6, 'p::a::run', 'resolved'), (7, 'p::a::run', 'resolved'),
+@query("j16_callees", """SELECT edge + 100 * s_suppkey AS edge, 'p' || s_suppkey || substr(target, 2) AS target, outcome FROM supplier, (VALUES (1, 'p::tool::main', 'resolved'), (2, NULL, 'unresolved'), (3, NULL, 'unresolved'), (4, 'p::a::run', 'resolved'), (5, NULL, 'ambiguous'), (6, 'p::a::run', 'resolved'), (7, 'p::a::run', 'resolved'),
   (8, 'p::m::T::step', 'resolved'), (9, NULL, 'unresolved'), (10, NULL, 'unresolved'), (11, 'p::m::here', 'resolved'), (12, NULL, 'unresolved'), (13, NULL, 'unresolved'), (14, 'p::m::W::act', 'resolved'), (15, 'p::a::walk', 'resolved'), (16, 'p::n::T::step', 'resolved')) t(edge, target, outcome)""")
 def _(spark, d):
-    return callee_case(spark).select("edge", "target", "outcome")
+    return callee_case(spark, d).select("edge", "target", "outcome")
 
 
 # ---------------------------------------------------------------- scalars and functions
@@ -1132,9 +1169,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", drift.has_trigger(text).alias("hit"))
 
 
-@query("sc_segments", "SELECT event_id, 'git add|cargo test -q|ls' AS parts FROM events")
+@query("sc_segments", """SELECT event_id, 'git add ' || event_id || '|' || CASE WHEN event_id % 2 = 0 THEN 'cargo test -q' ELSE 'echo done' END || '|' || event_type AS parts FROM events""")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", F.array_join(T.segments(F.lit("X=1 git add && cargo test -q; ls # no | more")), "|").alias("parts"))
+    line = F.concat(F.lit("X=1 git add "), "event_id", F.lit(" && "), F.when(F.col("event_id") % 2 == 0, "cargo test -q").otherwise('echo done'), F.lit("; "), F.col("event_type"), F.lit(" # no | more"))
+    return table(spark, d, "events").select("event_id", F.array_join(T.segments(line), "|").alias("parts"))
 
 
 @query("sc_hashes", """SELECT c_custkey, substr(sha256(trim(c_name || chr(10) || 'x')), 1, 12) AS anchor, 'n:' || replace(replace(c_name || '%:', '%', '%25'), ':', '%3A') || CASE WHEN c_custkey % 3 > 0 THEN '#' || (c_custkey % 3) ELSE '' END AS id FROM customer""")
@@ -1144,9 +1182,9 @@ def _(spark, d):
     return c.select("c_custkey", T.anchor(F.concat(F.lit("  "), "c_name", F.lit("\r\nx "))).alias("anchor"), ident.alias("id"))
 
 
-@query("sc_fnv", "SELECT * FROM (VALUES ('', 'cbf29ce484222325'), ('a', 'af63dc4c8601ec8c'), ('foobar', '85944171f73967e8')) t(text, hash)")
+@query("sc_fnv", """SELECT s_suppkey, lower(format('{:016x}', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(s_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)::UBIGINT)) AS hash FROM supplier""")
 def _(spark, d):
-    return lit_rows(spark, [("",), ("a",), ("foobar",)], "text string").select("text", T.fnv1a64(F.col("text")).alias("hash"))
+    return table(spark, d, "supplier").select("s_suppkey", T.fnv1a64(F.col("s_name")).alias("hash"))
 
 
 @query("sc_json", """SELECT c_custkey, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_name || '|' || c_mktsegment AS strings FROM customer""")
@@ -1204,12 +1242,12 @@ def _(spark, d):
     return rows.select("s_suppkey", "n_name", "r_name", F.lit(missing).alias("missing"))
 
 
-@query("d8_aggregate_drift", """SELECT * FROM (VALUES ('memory', 'ok', 2), ('wiki', 'missing', NULL), ('code', 'error', NULL)) t(source, state, n)""")
+@query("d8_aggregate_drift", """SELECT 'memory' AS source, 'ok' AS state, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS n UNION ALL SELECT 'wiki', 'missing', NULL UNION ALL SELECT 'code', 'error', NULL UNION ALL SELECT 'rules', 'ok', (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')""")
 def _(spark, d):
     def broken():
         raise ValueError("no registry")
-    found = drift.aggregate(spark, {"memory": lambda: table(spark, d, "region").limit(2).select(F.lit("memory").alias("family")), "wiki": lambda: None, "code": broken})
-    return found.select("source", "state", F.col("n").cast("int").alias("n"))
+    found = drift.aggregate(spark, {"memory": lambda: table(spark, d, "customer").where("c_nationkey % 2 = 0"), "wiki": lambda: None, "code": broken, "rules": lambda: table(spark, d, "orders").where("o_orderstatus = 'P'")})
+    return found.select("source", "state", "n")
 
 
 del _
