@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from ..model import FACT
 from ..plans.deltas import Incremental
 from .journal import sink
 
 #: A change log as it is appended: facts with their sign and place in the log.
-LOG = T.StructType.fromDDL(FACT + ", d int, seq bigint")
+LOG = FACT + ", d int, seq bigint"
 
 
 def read(spark, path: str) -> DataFrame:
