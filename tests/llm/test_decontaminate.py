@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from rulelake.llm import decontaminate
+from rulelake.llm import decontaminate, storage
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, item_id long"
@@ -44,12 +44,16 @@ def cases(seed):
     return [*docs, (60, None), (61, ""), (62, " \n"), (63, text(9000)), (64, items[7][1]), (65, items[7][1])], items
 
 
-@pytest.mark.parametrize("seed,block", [(1, 8_000_000), (2, 8_000_000), (3, 60)])
-def test_against_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed, few", [(1, False), (2, False), (3, True)])
+def test_against_brute_force(spark, monkeypatch, seed, few):
+    if few:  # a full bitmap, and a join that is not broadcast
+        monkeypatch.setattr(decontaminate, "MOST_BITS", 3)
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", 3)
+        monkeypatch.setattr(storage, "is_small", lambda *a: False)
     docs, items = cases(seed)
     d = spark.createDataFrame([(a, b, 1) for a, b in docs], SCHEMA)  # item_id clashes on purpose
     b = spark.createDataFrame([(7, t, i) for i, t in items], SCHEMA)
-    rows = decontaminate.contamination(d, b, block_bytes=block).collect()
+    rows = decontaminate.contamination(d, b).collect()
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows}
     assert len(rows) == len(docs) and got == brute(docs, items)
 
@@ -60,13 +64,13 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(none, d).collect() == []
 
 
-def test_rows_do_not_depend_on_the_number_of_blocks(spark):
+def test_null_and_repeated_ids(spark):
     docs, items = cases(4)
     docs = [(None if i % 3 else 7, t) for i, t in docs]  # null and repeated ids with different texts
     d = spark.createDataFrame([(a, b, 1) for a, b in docs], SCHEMA)
     b = spark.createDataFrame([(7, t, i) for i, t in items], SCHEMA)
     plain = lambda rows: sorted(map(repr, rows))
     want = plain((i, *brute([(0, t)], items)[0]) for i, t in docs)
-    for block in (8_000_000, 60):
-        rows = decontaminate.contamination(d, b, block_bytes=block).collect()
-        assert plain(tuple(r) for r in rows) == want
+    assert plain(tuple(r) for r in decontaminate.contamination(d, b).collect()) == want
+    kept = decontaminate.clean(d, b).collect()
+    assert plain(tuple(r) for r in kept) == plain((i, t, 1) for i, t in docs if not brute([(0, t)], items)[0][4])
