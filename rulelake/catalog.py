@@ -246,6 +246,17 @@ def _(spark, d):
     return journey.counts(journal(spark, d), [("error", "2d"), ("big", "s"), ("error", "500c"), ("module:m3", "500c"), ("none", "1h")], SID, NOW)
 
 
+@query("w10_many_windows", f"""WITH {J}, a AS (SELECT seq, sid, ts AS now, s AS selector, w AS "window" FROM j, (VALUES ('error', '1d', 86400, 0), ('module:m3', '6h', 21600, 0), ('big', '300c', 0, 300), ('view', 's', 0, 0)) t(s, w, secs, calls) WHERE tag = 'signup')
+SELECT seq, selector, "window", CASE "window" WHEN '1d' THEN (SELECT count(*) FROM j WHERE tag = 'error' AND j.ts + 86400 >= a.now) WHEN '6h' THEN (SELECT count(*) FROM j WHERE module = 'm3' AND j.ts + 21600 >= a.now)
+  WHEN '300c' THEN (SELECT count(*) FROM jt WHERE big AND back <= 300) ELSE (SELECT count(*) FROM j WHERE tag = 'view' AND j.sid = a.sid) END AS n FROM a""")
+def _(spark, d):
+    # every sign-up asks for four windows of its own session and time
+    rows = journal(spark, d)
+    four = F.array(*[F.struct(F.lit(s).alias("selector"), F.lit(w).alias("window")) for s, w in (("error", "1d"), ("module:m3", "6h"), ("big", "300c"), ("view", "s"))])
+    asked = rows.where("event_type = 'signup'").select("seq", "sid", F.col("ts").alias("now"), F.inline(four))
+    return journey.many_counts(rows, asked).select("seq", "selector", "window", "n")
+
+
 @query("w3_seen", f"""WITH {J} SELECT 'error' AS selector, '5h' AS "window" WHERE EXISTS (SELECT 1 FROM j WHERE tag = 'error' AND ts + 18000 >= {NOW})
 UNION ALL SELECT 'purchase', 's' WHERE EXISTS (SELECT 1 FROM j WHERE tag = 'purchase' AND sid = '{SID}')""")
 def _(spark, d):

@@ -90,6 +90,38 @@ def counts(journal: DataFrame, asked: Iterable[tuple[str, str]], sid: str, now:
     return out
 
 
+def many_counts(journal: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (selector, window, sid, now and others), each with n: the rows of its window that match its selector. Any
+    number of questions is answered together: matches are counted up by selector along the time, and along the numbers of
+    the tool rows, and a window's rows are all but those before its begin, which is one look into these counts. Counts of
+    sessions are a join. A window token that means nothing is an error."""
+    from ..plans.tables import cut, last_before, numbered, running
+
+    token = F.col("window")
+    size = F.regexp_extract(token, r"^(\d+)[csmhd]$", 1).try_cast("long")
+    unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    seconds = size * F.try_element_at(unit, F.substring(token, -1, 1))
+    asks = cut(asked.withColumns({"__ask": F.monotonically_increasing_id(), "__kind": F.when(token == "s", "session").when(size.isNull(), F.raise_error(F.concat(F.lit("unknown window "), token))).when(
+        token.endswith("c"), "calls").otherwise("seconds"), "__size": size, "__back": seconds}))
+    named = F.concat(F.col("tags"), F.when(F.col("module").isNotNull(), F.array(F.concat(F.lit("module:"), "module"))).otherwise(F.array()))
+    each = F.explode(F.array_distinct(F.coalesce(named, F.when(F.col("module").isNotNull(), F.array(F.concat(F.lit("module:"), "module")))))).alias("__selector")
+    wanted = asks.select(F.col("selector").alias("__selector")).distinct()
+    hits = journal.select("seq", "ts", "sid", "kind", each).join(wanted, "__selector", "left_semi")
+    calls = numbered(journal.where("kind IS NULL").select("seq"), "seq", "__at")
+    last = calls.agg(F.coalesce(F.max("__at") + 1, F.lit(0)).alias("__calls"))  # one row
+    along = hits.select("__selector", F.lit("seconds").alias("__kind"), F.col("ts").alias("__at")).unionByName(
+        hits.where("kind IS NULL").join(calls, "seq").select("__selector", F.lit("calls").alias("__kind"), "__at"))
+    upto = cut(running(along.groupBy("__selector", "__kind", "__at").agg(F.count("*").alias("__n")), ["__selector", "__kind"], "__at", "__n"))
+    begin = F.when(F.col("__kind") == "calls", F.col("__calls") - F.col("__size")).otherwise(F.col("now") - F.col("__back"))
+    looking = asks.where("__kind <> 'session'").crossJoin(F.broadcast(last)).select("__ask", F.col("selector").alias("__selector"), "__kind", begin.cast("long").alias("__at"), F.lit(0).alias("__turn"), F.lit(None).cast("long").alias("upto"))
+    line = looking.unionByName(upto.select(F.lit(None).cast("long").alias("__ask"), "__selector", "__kind", F.col("__at").cast("long").alias("__at"), F.lit(1).alias("__turn"), "upto"))
+    before = last_before(line, ["__selector", "__kind"], ["__at", "__turn"], {"__before": F.col("upto")}).where("__ask IS NOT NULL").select("__ask", F.coalesce("__before", F.lit(0)).alias("__before"))
+    total = upto.select(F.col("__selector").alias("selector"), "__kind", "total").distinct()
+    own = hits.groupBy(F.col("__selector").alias("selector"), "sid").agg(F.count("*").alias("__own")).withColumn("__kind", F.lit("session"))
+    n = F.when(F.col("__kind") == "session", F.coalesce("__own", F.lit(0))).otherwise(F.coalesce(F.col("total") - F.col("__before"), F.lit(0)))
+    return asks.join(before, "__ask", "left").join(total, ["selector", "__kind"], "left").join(own, ["selector", "__kind", "sid"], "left").select(*asked.columns, n.alias("n"))
+
+
 def seen(journal: DataFrame, asked: Iterable[tuple[str, str]], sid: str, now: int) -> DataFrame:
     return counts(journal, asked, sid, now).where("n >= 1").select("selector", "window")
 

@@ -480,3 +480,20 @@ def test_long_sessions_are_spread(spark):
     df = spark.createDataFrame(rows, "sid string, seq long, event string, agent string, interrupted boolean").repartition(5)
     one, many = (sorted(map(tuple, journey.prompt_class(df, n).collect()), key=repr) for n in (10_000, 50))
     assert one == many and len(one) > 50
+
+
+def test_many_windows_against_one_by_one(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.randint(0, 5000), r.choice(["a", "b", None]), r.choice(["x", "y", None]), r.choice([["t"], ["t", "u"], [], None]), r.choice([None, None, "stop"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, ts long, sid string, module string, tags array<string>, kind string").repartition(3)
+    asked = [(k, r.choice(["t", "u", "module:x", "nothing"]), r.choice(["s", "10c", "500c", "0c", "90s", "20m", "1h", "0s"]), r.choice(["a", "zz"]), r.choice([0, 1000, 5000, 9000])) for k in range(60)]
+    got = {x.k: x.n for x in journey.many_counts(df, spark.createDataFrame(asked, "k int, selector string, window string, sid string, now long")).collect()}
+    tools_ = sorted(i for i, row in enumerate(rows) if row[5] is None)
+    for k, selector, token, sid, now in asked:
+        kind, n = journey.parse_window(token)
+        own = [i for i, row in enumerate(rows) if (row[3] == selector[7:] if selector.startswith("module:") else row[4] is not None and selector in row[4])]
+        inside = set(tools_[max(0, len(tools_) - n):]) if kind == "calls" else {i for i, row in enumerate(rows) if (row[1] + n >= now if kind == "seconds" else row[2] == sid)}
+        assert got[k] == len(inside & set(own)), (selector, token, sid, now)
+    assert journey.many_counts(df.limit(0), spark.createDataFrame(asked, "k int, selector string, window string, sid string, now long")).agg(graph.F.sum("n")).first()[0] == 0
