@@ -85,3 +85,50 @@ def test_rare_languages_are_learned_beside_common_ones(spark):
     rare = [(5000 + i, " ".join(r.choices(VOCAB["es"].split(), k=20)) + f" {i}", "es", 1) for i in range(12)]
     model = language.train(spark.createDataFrame(common + rare, SCHEMA), rows=100)
     assert model.predict([x[1] for x in rare])[0] == ["es"] * 12
+
+
+def plain_grams(text):
+    data = bytearray(32 if c < 128 and not chr(c).isalpha() else ord(chr(c).lower()) if c < 128 else c for c in f" {text} ".encode("utf-8", "surrogatepass")) if text else b" "
+    return [bytes(data[i:i + 4]) for i in range(len(data) - 3) if b"  " not in data[i:i + 4]]
+
+
+def test_models_and_votes_against_plain_python(spark):
+    import random
+    from collections import Counter
+
+    from rulelake.llm import language
+
+    r = random.Random(8)
+    vocab = {"en": ["the", "water", "light", "of", "and"], "de": ["der", "wasser", "Straße", "und", "ist"], "fr": ["le", "eau", "lumière", "et", "été"], "xx": ["日本", "東京"]}
+    make = lambda lang: r.choice([" ", ", ", "-"]).join(r.choices(vocab[lang], k=r.randint(3, 30)))
+    rows = [(i, make(lang), lang) for i, lang in enumerate(r.choices(list(vocab), k=150))]
+    rows += [(200, rows[0][1], rows[0][2])] * 5 + [(300, None, "en"), (301, "no label", None)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    chosen, prior = {}, Counter(lang for _, t, lang in rows if t is not None and lang is not None)
+    for lang in vocab:
+        texts = Counter(t for _, t, g in rows if g == lang and t is not None)
+        n = Counter()
+        for t, k in texts.items():
+            for g in plain_grams(t):
+                n[g] += min(k, 2)
+        least = sum(n.values()) * language.MIN_SHARE
+        chosen[lang] = {g for g, k in n.items() if k > 1 and k >= least}
+    bits = max(10, (language.ROOM * max(map(len, chosen.values())) - 1).bit_length())
+
+    def slots(gram):
+        x, mask = int.from_bytes(gram, "little"), (1 << 32) - 1
+        return (x * 2654435769 & mask) >> (32 - bits), (((x ^ x >> 15) * 2246822519 + 374761393) & mask) >> (32 - bits)
+    filters = {lang: {s for g in grams for s in slots(g)} for lang, grams in chosen.items()}
+    false = {lang: (len(f) / (1 << bits)) ** 2 for lang, f in filters.items()}
+    texts = [make(lang) for lang in vocab for _ in range(15)] + ["water und été", "日", "ab", "!!", "", None, "12 34", "qqqq zzzz", "the " * 20_000]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for x in got:
+        text = texts[x.doc_id]
+        grams = plain_grams(text) if text else []
+        votes = {lang: max(0.0, (sum(all(s in filters[lang] for s in slots(g)) for g in grams) - len(grams) * false[lang]) / (1 - false[lang])) for lang in sorted(vocab)}
+        best = max(votes, key=lambda k: votes[k])
+        if not text or not any(c.isalpha() for c in text):
+            assert (x.lang_pred, x.score) == ("und", 0)
+        else:
+            assert x.lang_pred == (best if votes[best] > 0 else min(prior, key=lambda k: (-prior[k], k)))
+            assert abs(x.score - min(1, votes[best] / max(1, len(grams)))) < 1e-9

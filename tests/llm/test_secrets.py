@@ -83,3 +83,61 @@ def test_many_spans_in_a_long_text():
     spans = secrets.Scanner(np.zeros(secrets.N ** 2)).spans([None, some])
     assert spans[0] == [] and len(spans[1]) == 20_000
     assert all(some[a:b] == f"token = abcdefgh{i:05d}" for i, (a, _, b) in enumerate(spans[1]))
+
+
+KEY = "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"  # by code, as symbols are numbered
+
+
+def brute_ratio(docs):
+    """Log-likelihood ratio of symbol pairs, counted in plain Python."""
+    from collections import Counter
+    from math import log
+
+    counts = Counter(), Counter()
+    for text in docs:
+        covered = [(a, b) for a, _, b in brute(text)]
+        for m in re.finditer(r"[+/_=A-Za-z0-9-]{4,}", text or ""):
+            inside = any(a < m.end() and m.start() < b for a, b in covered)
+            counts[inside].update(zip(m[0], m[0][1:]))
+    for key in secrets.random_strings().decode().split("\n"):
+        for m in re.finditer(r"[+/_=A-Za-z0-9-]{4,}", key):
+            counts[1].update(zip(m[0], m[0][1:]))
+    totals = [{a: sum(c[a, b] + 0.5 for b in KEY) for a in KEY} for c in counts]
+    return {(a, b): log((counts[1][a, b] + 0.5) / totals[1][a]) - log((counts[0][a, b] + 0.5) / totals[0][a]) for a in KEY for b in KEY}
+
+
+def brute_markov(text, ratio):
+    base, out = brute(text), []
+    for m in re.finditer(r"[+/_=A-Za-z0-9-]{12,}", text or ""):
+        if any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        score, n = sum(ratio[p] for p in zip(m[0], m[0][1:])), len(m[0]) - 1
+        mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+        total, mean = (secrets.MIN_TOTAL, secrets.MIN_MEAN) if mixed else (secrets.PLAIN_TOTAL, secrets.PLAIN_MEAN)
+        if abs(score - total) > 1e-6 and abs(score - mean * n) > 1e-6 and score >= total and score >= mean * n:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_models_and_spans_against_plain_python(spark):
+    r = random.Random(12)
+    words = ["customer", "ledger", "monthly", "report", "handler", "request", "island", "window", "session", "value"]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+    rows = []
+    for i in range(120):
+        parts = ["_".join(r.choices(words, k=r.randint(1, 4))) + r.choice(["", "7", "é"]) for _ in range(40)]
+        for _ in range(r.randint(0, 3)):
+            parts.insert(r.randrange(40), r.choice(["漢", "token = ", "AKIA", ""]) + "".join(r.choices(alphabet, k=r.randint(8, 40))))
+        rows.append((i, r.choice([" ", "\n", " 漢 "]).join(parts)))
+    rows += [(200, None), (201, ""), (202, "A" * 300), (203, "=" * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratio = brute_ratio([t for _, t in rows])
+    learned = secrets.train(docs)
+    assert np.allclose(learned.reshape(secrets.N, secrets.N), [[ratio[a, b] for b in KEY] for a in KEY])
+    got = {x.doc_id: x for x in secrets.scan(docs, learned).collect()}
+    total = 0
+    for i, text in rows:
+        want = sorted(brute(text) + brute_markov(text, ratio))
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want) and got[i].n_markov == sum(k == 3 for _, k, _ in want)
+        total += got[i].n_markov
+    assert total > 20
