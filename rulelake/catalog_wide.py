@@ -19,7 +19,7 @@ from .operators import audit, context, coverage, drift, facts, graph, journey, o
 from .plans import deltas, guards, policy, rules
 from .plans.tables import folder, spread
 from .sources import files as sources
-from .sources import stores, syntax
+from .sources import layout, stores, syntax
 from .streaming import changes
 
 
@@ -357,6 +357,20 @@ def _(spark, d):
     return lit_rows(spark, [(b,) for b in range(3)], "batch int").join(told, "batch", "left").select("batch", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("came", "went")])
 
 
+@query("p7_stored_pattern", f"WITH {G} SELECT ord, p, x || ',' || y AS a FROM g WHERE p = 'supplies' AND x LIKE '%::s7' UNION ALL SELECT ord, p, x || ',' || y AS a FROM g WHERE p = 'sells' AND x = 's9'")
+def _(spark, d):
+    stored = layout.write(edges(spark, d), folder(spark), "p", "a", None)
+    return graph.query(stored, "supplies", ["s7"]).unionByName(graph.query(stored, "sells", ["s9", "*"])).select("ord", "p", F.array_join("a", ",").alias("a"))
+
+
+@query("s3_stored_lookup", """SELECT 'order:' || o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) UNION ALL SELECT 'order:' || o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""")
+def _(spark, d):
+    least, most = table(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    stored = layout.write(fact_table(spark, d), folder(spark))
+    found = facts.by_id(stored, f"order:{least}").unionByName(facts.matching(stored, "order", [(0, str(most))]))
+    return found.select("id", F.col("args")[2].alias("status"))
+
+
 @query("o3_limited_query", """SELECT p_partkey AS part, total FROM (SELECT p_partkey, count(*) OVER () AS total, row_number() OVER (ORDER BY p_partkey) AS r FROM part WHERE p_size > 25) WHERE r <= 40""")
 def _(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 25, "large").otherwise("little").alias("p"), F.array(F.col("p_partkey").cast("string")).alias("a"), F.lit(None).cast("string").alias("src"), F.lit(False).alias("d"))

@@ -31,9 +31,14 @@ def snapshot(facts: DataFrame) -> DataFrame:
 
 
 def matching(facts: DataFrame, predicate: str, at: Iterable[tuple[int, str]] = ()) -> DataFrame:
-    """Facts whose argument at each position has that value; a position past the end never matches."""
+    """Facts whose argument at each position has that value; a position past the end never matches. From a stored layout
+    only the row groups that can hold the first argument are read."""
+    from ..sources import layout
+
     rows = by_predicate(facts, predicate)
     for i, value in at:
+        if i == 0 and layout.FIRST in facts.columns:
+            rows = rows.where(layout.first_is(value))
         rows = rows.where(F.try_element_at("args", F.lit(i + 1)) == value)
     return rows
 

@@ -23,15 +23,26 @@ def pattern(relation: str, args: Sequence[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def matching(edges: DataFrame, relation: str, args: Sequence[str] = ()) -> DataFrame:
+    """Edges that the pattern matches; from a stored layout only the row groups that can hold them are read."""
+    from ..sources import layout
+
+    if not any(c in relation for c in "*?"):
+        edges = edges.where(F.col("p") == relation)  # as it stands, a reader can skip by it
+        if layout.FIRST in edges.columns and args and args[0] != "*" and (first := layout.first_named(args[0])) is not None:
+            edges = edges.where(first)
+    return edges.where(pattern(relation, args))
+
+
 def query(edges: DataFrame, relation: str, args: Sequence[str] = (), limit: int = 0) -> DataFrame:
     """Matching edges in stored order; limit 0 is no limit."""
-    found = edges.where(pattern(relation, args)).orderBy("ord")
+    found = matching(edges, relation, args).orderBy("ord")
     return found.limit(limit) if limit else found
 
 
 def query_with_total(edges: DataFrame, relation: str, args: Sequence[str], limit: int) -> DataFrame:
     """The first edges, with how many there are and whether that is more."""
-    found = edges.where(pattern(relation, args))
+    found = matching(edges, relation, args)
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy("ord").limit(limit).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)
 

@@ -142,3 +142,33 @@ def test_running_sums_over_ranges(spark):
         for g, o, _ in rows:
             own = [v for x, p, v in rows if x == g]
             assert got[g, o] == once[g, o] == (sum(v for x, p, v in rows if x == g and (p >= o if descending else p <= o)), sum(own))
+
+
+def test_stored_layouts_are_skipped(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from rulelake.operators import facts, graph
+    from rulelake.sources import layout
+
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        rows = spark.range(20_000).select(F.concat(F.lit("f"), "id").alias("id"), F.concat(F.lit("p"), F.col("id") % 4).alias("predicate"), F.array(F.concat(F.lit("a::b"), F.col("id") % 300), F.lit("x")).alias("args"))
+        stored = layout.write(rows, f"{tmp_path}/facts")
+        edges = layout.write(rows.select(F.expr("CAST(substr(id, 2) AS BIGINT)").alias("ord"), F.col("predicate").alias("p"), F.col("args").alias("a")), f"{tmp_path}/edges", "p", "a", None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.id for r in facts.by_id(stored, "f77").collect()} == {"f77"}
+    want = {f"f{i}" for i in range(20_000) if i % 4 == 2 and i % 300 == 14}
+    assert {r.id for r in facts.matching(stored, "p2", [(0, "a::b14")]).collect()} == want and want
+    for name in ("b14", "a::b14", ":b14"):
+        assert {f"f{r.ord}" for r in graph.query(edges, "p2", [name]).collect()} == want
+    assert {f"f{r.ord}" for r in graph.query(edges, "p2", ["*b14", "x"]).collect()} == want and graph.query(edges, "p2", ["14"]).count() == 0
+    plan = graph.matching(edges, "p2", ["b14"])._jdf.queryExecution().toString()
+    assert "EqualTo(__first,41b)" in plan and "StringStartsWith(__first,41b:)" in plan and "EqualTo(p,p2)" in plan
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in glob.glob(f"{tmp_path}/edges/*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    stats = [{g.column(c).path_in_schema: g.column(c).statistics for c in range(g.num_columns)} for g in groups]
+    may = [s for s in stats if s["p"].min <= "p2" <= s["p"].max and s["__first"].min <= "41b:" and "41b" <= s["__first"].max]
+    assert len(groups) >= 15 and len(may) <= 3
