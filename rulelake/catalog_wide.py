@@ -19,7 +19,7 @@ from .operators import audit, context, coverage, drift, facts, graph, journey, o
 from .plans import deltas, guards, policy, rules
 from .plans.tables import folder, spread
 from .sources import files as sources
-from .sources import layout, stores, syntax
+from .sources import hashtree, layout, stores, syntax
 from .streaming import changes
 
 
@@ -371,6 +371,16 @@ def _(spark, d):
     return found.select("id", F.col("args")[2].alias("status"))
 
 
+@query("j32_hash_tree", """WITH f AS (SELECT 'src' || o_custkey % 5 || '/m' || o_custkey % 101 || '/f' || o_orderkey AS path, o_orderkey AS k, o_orderstatus AS h FROM orders)
+SELECT path, CASE WHEN k % 89 = 0 THEN 'added' WHEN k % 83 = 0 THEN 'removed' ELSE 'changed' END AS state FROM f WHERE k % 89 = 0 AND k % 83 <> 0 OR k % 83 = 0 AND k % 89 <> 0 OR k % 97 = 0 AND k % 89 <> 0 AND k % 83 <> 0""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    t = table(spark, d, "orders").select(k.alias("k"), F.concat(F.lit("src"), F.col("o_custkey") % 5, F.lit("/m"), F.col("o_custkey") % 101, F.lit("/f"), k).alias("path"), F.col("o_orderstatus").alias("hash"))
+    old = hashtree.write(t.where("k % 89 <> 0").select("path", "hash"), folder(spark))
+    new = hashtree.write(t.where("k % 83 <> 0").select("path", F.when(F.col("k") % 97 == 0, "other").otherwise(F.col("hash")).alias("hash")), folder(spark))
+    return hashtree.changes(old, new)
+
+
 @query("o3_limited_query", """SELECT p_partkey AS part, total FROM (SELECT p_partkey, count(*) OVER () AS total, row_number() OVER (ORDER BY p_partkey) AS r FROM part WHERE p_size > 25) WHERE r <= 40""")
 def _(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 25, "large").otherwise("little").alias("p"), F.array(F.col("p_partkey").cast("string")).alias("a"), F.lit(None).cast("string").alias("src"), F.lit(False).alias("d"))

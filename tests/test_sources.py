@@ -172,3 +172,44 @@ def test_stored_layouts_are_skipped(spark, tmp_path):
     stats = [{g.column(c).path_in_schema: g.column(c).statistics for c in range(g.num_columns)} for g in groups]
     may = [s for s in stats if s["p"].min <= "p2" <= s["p"].max and s["__first"].min <= "41b:" and "41b" <= s["__first"].max]
     assert len(groups) >= 15 and len(may) <= 3
+
+
+def test_hash_trees_against_the_full_join(spark, tmp_path, monkeypatch):
+    import random
+
+    from rulelake.operators import graph
+    from rulelake.sources import hashtree
+
+    r = random.Random(3)
+    names = sorted({"/".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5))) + r.choice(["", ".rs"]) for _ in range(400)})
+    before = {n: r.choice("xyz") for n in names}
+    after = dict(before)
+    for n in r.sample(names, 6):
+        after.pop(n)
+    for n in r.sample(sorted(after), 5):
+        after[n] = "new"
+    after |= {"a/new/one": "x", "z": "y"}
+    read, children = [], hashtree.children
+
+    def spied(tree, depth, folders):
+        rows = children(tree, depth, folders)
+        read.append({r.parent for r in rows.select("parent").distinct().collect()})
+        return rows
+    monkeypatch.setattr(hashtree, "children", spied)
+    for case, (x, y) in enumerate([(before, after), (after, before), (before, before), ({}, after), (before, {})]):
+        read.clear()
+        a, b = (spark.createDataFrame(sorted(t.items()), "path string, hash string") for t in (x, y))
+        got = sorted((c.path, c.state) for c in hashtree.changes(hashtree.write(a, f"{tmp_path}/{case}a"), hashtree.write(b, f"{tmp_path}/{case}b")).collect())
+        assert got == sorted((c.path, c.state) for c in graph.freshness(a, b).collect())
+        if case == 2:
+            assert not read
+    for few in (0, 500):
+        monkeypatch.setattr(hashtree, "LISTED", few)
+        read.clear()
+        one = {**before, names[7]: "changed"}
+        trees = [hashtree.write(spark.createDataFrame(sorted(t.items()), "path string, hash string"), f"{tmp_path}/{few}{k}") for k, t in enumerate((before, one))]
+        assert [tuple(c) for c in hashtree.changes(*trees).collect()] == [(names[7], "changed")]
+        folders = names[7].split("/")
+        assert len(read) <= 2 * (len(folders) + 1)
+        for parents in read:  # nothing beside the folders that lead to the changed file
+            assert parents <= {"/".join(folders[:i]) for i in range(len(folders) + 1)}
