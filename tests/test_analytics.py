@@ -397,7 +397,7 @@ def test_long_chains_and_rings_take_logarithmic_rounds(spark, monkeypatch):
 
     rounds, become = [], tables.Held.become
     monkeypatch.setattr(tables.Held, "become", lambda self, df: rounds.append(1) or become(self, df))
-    n = 3000
+    n = 1000
     at = lambda i: f"n{i * 7919 % n:04}"
     ring = spark.createDataFrame([(at(i), at(i + 1)) for i in range(n)] + [("tail", at(5)), (at(9), "out"), ("out", "end"), ("self", "self")], "x string, y string")
     sizes = graph.cycles(ring).groupBy("cycle").count().collect()

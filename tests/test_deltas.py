@@ -47,7 +47,7 @@ def test_random_changes_equal_an_evaluation_from_nothing(spark, name):
     state = {f[0]: f for f in (random_fact(r) for _ in range(12))}
     kept = deltas.Incremental(spark.createDataFrame(list(state.values()), FACT), RULES[name])
     held = keys(kept.agenda())
-    for _ in range(3):
+    for _ in range(2):
         log = []
         for seq in range(r.randint(1, 6)):
             if r.random() < 0.5:
