@@ -74,12 +74,13 @@ def _rows(files: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _many(files: DataFrame, rules: DataFrame, by_line: bool) -> DataFrame:
-    """(file, rule_id, level, line_no, n) of rules with needles, all found by one automaton in one pass over the texts."""
-    from ..plans.tables import BROADCAST_ROWS
-
-    told = [r.needle for r in rules.select("needle").where("needle <> '' AND NOT contains(needle, '\n')").distinct().limit(BROADCAST_ROWS + 1).collect()]
-    if len(told) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} needles in one set of rules")
+    """(file, rule_id, level, line_no, n) of rules with needles, all found in one pass over the texts: by one automaton, or
+    where there are too many for one, by windows that are joined with them."""
+    asked = rules.select("needle").where("needle <> '' AND NOT contains(needle, '\n')").distinct()
+    told = [r.needle for r in asked.limit(needles.MOST + 1).collect()]
+    if len(told) > needles.MOST:
+        hits_ = needles.windows(files, asked, by_line)
+        return gated(hits_.withColumnRenamed("needle", "of"), rules).where("of = needle").select("file", "rule_id", "level", "line_no", "n")
     told.sort()
     numbered = files.sparkSession.createDataFrame(list(enumerate(told)), "needle_no int, needle string") if told else rules.select(F.lit(0).alias("needle_no"), "needle").limit(0)
     known = rules.withColumnRenamed("needle", "of").join(numbered, F.col("of") == F.col("needle")).drop("of", "needle")
