@@ -28,3 +28,37 @@ def test_needles_beyond_one_automaton(spark, monkeypatch):
             lines += [(file, rule, n) for n, line in enumerate(t.split("\n"), 1) for _ in range(line.count(w))]
     assert sorted(map(tuple, audit.hit_counts(files, rules).collect())) == sorted(counts)
     assert sorted(map(tuple, audit.hits(files, rules).select("file", "rule_id", "line_no").collect())) == sorted(lines)
+
+
+def test_callees_of_a_common_name_are_not_all_compared(spark):
+    import re
+
+    from rulelake.operators import graph
+
+    calls = spark.createDataFrame([(i, "f", f"p{i}::m::T::x", "go", "T", True) for i in range(30)] + [(100 + i, "f", f"p{i}::m::x", "go", None, False) for i in range(30)],
+                                  "edge int, src string, caller string, callee string, receiver string, is_method boolean")
+    fns = spark.createDataFrame([(f"p{i}::m::T::go", f"p{i}::m", f"p{i}::m::T") for i in range(30)] + [(f"p{i}::go", f"p{i}", None) for i in range(30)], "fn string, module string, owner string")
+    told = graph.canonical_callees(calls, fns, spark.createDataFrame([], "from string, to string"))
+    want = {i: f"p{i}::m::T::go" for i in range(30)} | {100 + i: f"p{i}::go" for i in range(30)}
+    assert {r.edge: r.target for r in told.collect()} == want
+    joins = [line for line in told._jdf.queryExecution().optimizedPlan().toString().splitlines() if re.search(r"\bJoin\b.*leaf#", line)]
+    assert joins and all(line.count(" = ") > 1 for line in joins)
+
+
+def test_covered_functions_are_told_once(spark, monkeypatch):
+    import random
+
+    from rulelake.operators import coverage
+
+    r = random.Random(4)
+    data = [(f"t{r.randrange(9)}", f"f{r.randrange(3)}", r.randrange(900), r.randrange(3)) for _ in range(300)]
+    functions = [(f"f{i % 3}", None if i == 5 else f"n{i // 2 % 20}", s := 8 * r.randrange(100), s + r.choice([0, 3, 500, -1])) for i in range(80)]
+    vetoed = [("t1", "f1", f"n{i}") for i in range(0, 20, 3)]
+    want = {(t, f, n) for t, f, line, c in data if c for g, n, s, e in functions if f == g and s <= line <= e} - set(vetoed)
+    asked, place = [], coverage.lines_in_spans
+    monkeypatch.setattr(coverage, "lines_in_spans", lambda a, b: asked.append((a, b)) or place(a, b))
+    got = coverage.lcov_hits(spark.createDataFrame(data, "test string, file string, line long, count int"), spark.createDataFrame(functions, "file string, name string, start long, end long"),
+                             spark.createDataFrame(vetoed, "test string, file string, name string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    (lines, spans), = asked
+    assert lines.count() == lines.select("file", "line").distinct().count() and spans.count() == len({(f, s, e) for f, _, s, e in functions})
