@@ -157,14 +157,16 @@ def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None,
     tell which of them reach it. A round carries only new bits along the steps, and is written to the shared folder. deep
     (without stop nodes): for long paths, all bits also jump along chains (nodes with one way in), and jumps double.
     """
-    from ..plans.tables import Held, numbered
+    from ..plans.tables import Held, numbered, small
 
     first = starts.select("start", F.col("start").alias("node")).distinct() if "node" not in starts.columns else starts.select("start", "node").distinct()
-    index = Held(numbered(first.select("start").distinct(), "start", "n"))
+    hop = Held(steps.select("x", "y").distinct())
+    # starts with a next node in common reach much the same and get numbers side by side, so that a row tells of many
+    near = first.join(hop.df.select(F.col("x").alias("node"), "y"), "node", "left").groupBy("start").agg(F.concat_ws("\0", F.coalesce(F.min("y"), F.lit("")), F.col("start").cast("string")).alias("__place"))
+    index = Held(numbered(near, "__place", "n").drop("__place"))
     one = F.expr(f"shiftleft(1L, CAST(n % {LANES} AS INT))")
     block = F.expr(f"n div {LANES}").alias("block")
     reached = Held(first.join(index.df, "start").groupBy("node", block).agg(F.bit_or(one).alias("bits")))
-    hop = Held(steps.select("x", "y").distinct())
 
     def along(bits: DataFrame, by: DataFrame) -> DataFrame:
         return bits.join(by.select(F.col("x").alias("node"), "y"), "node").select(F.col("y").alias("node"), "block", "bits")
@@ -196,8 +198,8 @@ def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None,
         delta.drop()
     hop.drop()
     lanes = F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.call_function("getbit", "bits", i) == 1)
-    each = reached.df.select("node", "block", F.explode(lanes).alias("lane"))
-    out = each.select("node", (F.col("block") * LANES + F.col("lane")).alias("n")).join(index.df, "n").select("start", "node")
+    held = index.df.groupBy(block).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "start"))), lambda x: x["start"]).alias("starts"))  # LANES at most
+    out = reached.df.join(small(held), "block").select(F.explode(F.transform(lanes, lambda i: F.get("starts", i))).alias("start"), "node")  # rows of bits are joined, not what they tell
     return out if include_start else out.where("start <> node")
 
 

@@ -62,3 +62,13 @@ def test_covered_functions_are_told_once(spark, monkeypatch):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     (lines, spans), = asked
     assert lines.count() == lines.select("file", "line").distinct().count() and spans.count() == len({(f, s, e) for f, _, s, e in functions})
+
+
+def test_reach_is_told_after_the_join(spark):
+    from rulelake.operators import graph
+
+    steps = spark.createDataFrame([(f"t{i}", f"{'ab'[i % 2]}0") for i in range(150)] + [(f"{c}{i}", f"{c}{i + 1}") for c in "ab" for i in range(3)], "x string, y string")
+    got = graph.closure(steps.where("x LIKE 't%'").select(F.col("x").alias("start")), steps)
+    assert {(r.start, r.node) for r in got.collect()} == {(f"t{i}", f"t{i}") for i in range(150)} | {(f"t{i}", f"{'ab'[i % 2]}{k}") for i in range(150) for k in range(4)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # rows of bits are joined, not each start and node
