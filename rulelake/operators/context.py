@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A token is about so many bytes.
 BYTES_PER_TOKEN = 3
@@ -136,12 +139,21 @@ def emit(store: Sequence[dict], new: Sequence[dict]) -> list[tuple[str, str]]:
 
 def emitted(held: DataFrame, new: DataFrame) -> DataFrame:
     """emit() for many stores: held capsules (store, id, emitted_by, size) and new ones (store, ord, id, emitted_by, size,
-    priority) with their outcome. A store is bounded by its limits, and its new capsules are taken in order in one task."""
-    def run(key, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-        one = lambda r, **more: {"id": r.id, "emitted_by": r.emitted_by, "body": "x" * int(min(r.size, RECORD_BYTES + 1)), **more}
-        fresh = fresh.sort_values(["ord", "id"])
-        told = emit([one(r) for r in stored.itertuples(index=False, name="R")],
-                    [one(r, priority=r.priority) for r in fresh.itertuples(index=False, name="R")])
-        return pd.DataFrame({"store": fresh["store"].to_numpy(), "ord": fresh["ord"].to_numpy(), "id": fresh["id"].to_numpy(), "outcome": [o for _, o in told]})
-    shape = ", ".join(f"{c} {t}" for c, t in new.select("store", "ord", "id").dtypes) + ", outcome string"
-    return held.groupBy("store").cogroup(new.groupBy("store")).applyInPandas(run, shape)
+    priority) with their outcome. A store is bounded by its limits and is one row with its capsules; rows go through
+    Python by the batch."""
+    key = dict(new.dtypes)["store"]
+    shape = "array<struct<" + ", ".join(f"{c}: {t}" for c, t in [*new.select("ord", "id").dtypes, ("outcome", "string")]) + ">>"
+    stored = held.groupBy(F.col("store").alias("__store")).agg(F.collect_list(F.struct("id", "emitted_by", "size")).alias("old"))
+    fresh = new.groupBy("store").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("last"), "ord", F.col("id").isNull().alias("after"), "id", "emitted_by", "size", "priority"))).alias("fresh"))
+    body = lambda r: {"id": r["id"], "emitted_by": r["emitted_by"], "body": "x" * min(r["size"], RECORD_BYTES + 1)}
+
+    def run(batches):
+        for batch in batches:
+            told = []
+            for old, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                outcome = emit([body(r) for r in old or ()], [{**body(r), "priority": r["priority"]} for r in some])
+                told.append([{"ord": r["ord"], "id": r["id"], "outcome": o} for r, (_, o) in zip(some, outcome)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, result)], ["store", "told"])
+    both = fresh.join(stored, F.col("store").eqNullSafe(F.col("__store")), "left").select("store", "old", "fresh")
+    result = to_arrow_type(StructType.fromDDL(f"told {shape}")["told"].dataType)
+    return both.mapInArrow(run, f"store {key}, told {shape}").select("store", F.inline("told"))
