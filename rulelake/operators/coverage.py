@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lines of one block of the range join, levels of doubled blocks, and blocks of a span that is stored block by block.
 BLOCK, LEVELS, FEW_BLOCKS = 256, 56, 4
+#: Rows of one partition where sets are compared.
+PART_ROWS = 250_000
 
 
 def validated(hits: DataFrame) -> DataFrame:
@@ -157,6 +159,8 @@ def diff_lines(files: DataFrame) -> DataFrame:
 
 
 def set_changes(old: DataFrame, new: DataFrame, key: str, item: str) -> DataFrame:
-    """Items added to and removed from each key."""
-    added = new.select(key, item).distinct().join(old, [key, item], "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(old.select(key, item).distinct().join(new, [key, item], "left_anti").withColumn("change", F.lit("removed")))
+    """Items added to and removed from each key, in one shuffle whose partitions have a bounded number of rows."""
+    marked = new.select(key, item, F.lit(True).alias("__now")).unionByName(old.select(key, item, F.lit(False).alias("__now")))
+    parts = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // PART_ROWS))
+    sides = marked.repartition(parts, key, item).groupBy(key, item).agg(F.bool_or("__now").alias("__new"), F.bool_or(~F.col("__now")).alias("__old"))
+    return sides.where("__new <> __old").select(key, item, F.when(F.col("__new"), "added").otherwise("removed").alias("change"))
