@@ -72,3 +72,99 @@ def test_reach_is_told_after_the_join(spark):
     assert {(r.start, r.node) for r in got.collect()} == {(f"t{i}", f"t{i}") for i in range(150)} | {(f"t{i}", f"{'ab'[i % 2]}{k}") for i in range(150) for k in range(4)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # rows of bits are joined, not each start and node
+
+
+def test_notes_without_a_subject_match_by_their_body(spark):
+    """The words that mark a case's kind are not counted as words of its text."""
+    import inspect
+
+    from rulelake import catalog_wide
+    from rulelake.functions.text import tokens
+    from rulelake.operators import drift
+
+    said = F.lit("to a.b")
+    row = spark.range(1).select(drift.has_trigger(said).alias("hit"), F.size(tokens(said)).alias("n")).first()
+    assert row.hit and row.n == 0 and '"to a.b"' in inspect.getsource(catalog_wide)
+
+
+def test_best_matches_with_and_without_pairs(spark, monkeypatch):
+    import random
+
+    from rulelake.operators import drift
+    from rulelake.plans import tables
+
+    r = random.Random(16)
+    text = lambda n: " ".join(r.choice(["common"] + [f"w{i}" for i in range(12)]) for _ in range(n))
+    right = spark.createDataFrame([(f"t{i}", i, text(r.choice([0, 2, 6, 20]))) for i in range(30)], "target string, ord long, text string")
+    left = spark.createDataFrame([(i, r.choice([text(3), text(9), "", None])) for i in range(60)], "id int, text string")
+    counted = {least: sorted(map(tuple, drift.best_match(left, right, least=least).collect())) for least in (0, 14, 60)}
+    one_pass = drift.best_match(left, right)
+    assert "MapInArrow" in one_pass._jdf.queryExecution().optimizedPlan().toString() and len(counted[0]) > len(counted[60]) > 0
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)
+    for least, want in counted.items():
+        assert sorted(map(tuple, drift.best_match(left, right, least=least).collect())) == want
+
+
+def test_stores_are_rows_not_groups_of_frames(spark):
+    import random
+
+    from rulelake.operators import context
+
+    r = random.Random(3)
+    held = [(s, f"c{i}", r.choice("ab"), r.randrange(9000)) for s in (0, 1, 2, 9) for i in range(r.randrange(40))]
+    new = [(s, o, f"c{r.randrange(60)}", r.choice("ab"), r.randrange(9000), r.choice([10, 90])) for s in range(5) for o in range(40)]
+    new += [(None, 1, "c1", "a", 5, 10)]
+    want = []
+    for s in {n[0] for n in new}:
+        one = lambda i, by, size, *p: {"id": i, "emitted_by": by, "body": "x" * size, "priority": p[0] if p else None}
+        mine = sorted(n[1:] for n in new if n[0] == s)
+        want += [(s, n[0], i, o) for n, (i, o) in zip(mine, context.emit([one(*h[1:]) for h in held if h[0] == s], [one(*n[1:]) for n in mine]))]
+    got = context.emitted(spark.createDataFrame(held, "store int, id string, emitted_by string, size long"),
+                          spark.createDataFrame(new, "store int, ord int, id string, emitted_by string, size long, priority int"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert "CoGroup" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changes_of_sets_take_one_shuffle(spark):
+    from rulelake.operators import coverage
+
+    old = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (None, 1)], "k int, i int")
+    new = spark.createDataFrame([(1, 2), (1, 3), (3, None), (None, 1)], "k int, i int")
+    got = coverage.set_changes(old, new, "k", "i")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, 1, "removed"), (2, 1, "removed"), (1, 3, "added"), (3, None, "added")]))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_union_rule_reads_facts_once(spark):
+    from rulelake.operators import audit
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+    rows = [("a", "p", ["x"]), ("a", "q", ["y", "z"]), ("b", "p", ["x"]), ("c", "q", ["n", "z"]), ("c", "p", ["x"])]
+    facts = spark.createDataFrame(rows, "file string, predicate string, args array<string>").mapInPandas(counted, "file string, predicate string, args array<string>")
+    got = audit.union_rule(facts, [("p", ["?x"]), ("q", ["y", "?z"])]).select("file", "predicate", "condition")
+    assert sorted(map(tuple, got.collect())) == [("a", "p", 0), ("a", "q", 1)]
+    assert reads.value == len(rows)
+
+
+def test_source_files_are_dealt_out_to_all_cores(spark):
+    from rulelake import catalog_wide
+
+    assert catalog_wide.sources_of(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_reports_are_read_by_the_line(spark):
+    from rulelake import catalog
+    from rulelake.sources import files
+
+    text = "TN:a\r\nSF:x\nDA:3,2,h\nnoise\n\nend_of_record\nSF:y\nFNDA:1,go\nDA:4,0\nend_of_record\nDA:5,1"
+    want = [("r", 0, "a", "x", "DA", None, 3, 2), ("r", 1, None, "y", "DA", None, 4, 0), ("r", 1, None, "y", "FNDA", "go", None, 1), ("r", 2, None, None, "DA", None, 5, 1)]
+    got = files.lcov(spark.createDataFrame([("r", text)], "report string, text string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    for name in ("s11_lcov", "n6_section_ids"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "Window" in plan  # no report is one value
