@@ -156,14 +156,16 @@ def rollup(counts: DataFrame, offenders: int = 3) -> DataFrame:
 def union_rule(facts: DataFrame, conditions: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """Facts (file, predicate, args) that match any of a rule's conditions, in files where every condition has a match."""
     from ..model import is_variable
+    from ..plans.tables import cut
 
-    out = None
-    for n, (predicate, args) in enumerate(conditions):
-        rows = facts.where((F.col("predicate") == predicate) & (F.size("args") == len(args)))
+    holds = []
+    for predicate, args in conditions:
+        hit = (F.col("predicate") == predicate) & (F.size("args") == len(args))
         for i, a in enumerate(args):
-            rows = rows if is_variable(a) else rows.where(F.col("args")[i] == a)
-        rows = rows.withColumn("condition", F.lit(n))
-        out = rows if out is None else out.unionByName(rows)
+            hit = hit if is_variable(a) else hit & (F.get("args", F.lit(i)) == a)
+        holds.append(hit)
+    met = F.filter(F.array(*[F.when(hit, n) for n, hit in enumerate(holds)]), lambda n: n.isNotNull())
+    out = cut(facts.select("*", F.explode(met).alias("condition")))  # facts may come from parsers: they run once
     full = out.groupBy("file").agg(F.count_distinct("condition").alias("n")).where(F.col("n") == len(conditions)).select("file")
     return out.join(full, "file", "left_semi")
 
