@@ -267,7 +267,7 @@ def cycles(steps: DataFrame) -> DataFrame:
     inside a colour, what that node reaches is one strongly connected set.  Found sets leave, and the rest is coloured
     again: state is one row a node, however large a set is, and long chains and rings take logarithmic rounds.
     """
-    from ..plans.tables import Held
+    from ..plans.tables import Held, small
 
     every = Held(steps.select("x", "y").distinct())
     left, found = Held(every.df), []
@@ -292,9 +292,11 @@ def cycles(steps: DataFrame) -> DataFrame:
     if not found:
         return every.df.limit(0).select(F.col("x").alias("node"), F.lit("").alias("cycle"))
     loops = every.df.where("x = y").select(F.col("x").alias("node"), F.lit(True).alias("loop"))
-    sets = reduce(DataFrame.unionByName, [t.df for t in found]).groupBy("c").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    named = sets.withColumn("node", F.explode("nodes")).join(loops, "node", "left").where((F.size("nodes") > 1) | F.col("loop"))
-    return named.select("node", F.concat(F.lit("cycle:"), F.array_join("nodes", "+")).alias("cycle"))
+    members = reduce(DataFrame.unionByName, [t.df for t in found]).join(loops, "node", "left")
+    sets = members.groupBy("c").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"), F.array_join(F.array_sort(F.collect_list("node")), "+").alias("all"))
+    named = Held(sets.where("n > 1 OR loop").select("c", F.concat(F.lit("cycle:"), "all").alias("cycle")))
+    # a set's name is as long as the set, so it meets the members where they are and is in no shuffle
+    return members.select("node", "c").join(small(named.df), "c").select("node", "cycle")
 
 
 def compacted(edges: DataFrame, fresh: DataFrame, file: str) -> DataFrame:
