@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..model import Rule, is_variable
 from . import expressions, guards
-from .rules import _patterns, activations, alpha, beta
+from .rules import _patterns, activations, alpha, chained
 from .tables import Held
 
 FIELDS = ("id", "predicate", "args", "timestamp", "source")
@@ -57,7 +57,8 @@ def _order(rule: Rule, first: int) -> list[int]:
 
 def joined(facts: DataFrame, rule: Rule) -> DataFrame:
     """Rows in which all conditions hold, guards aside."""
-    return _columns(reduce(beta, [alpha(facts, c.predicate, c.args, n) for n, c in enumerate(_patterns(rule))]), rule)
+    patterns = _patterns(rule)
+    return _columns(chained([alpha(facts, c.predicate, c.args, n) for n, c in enumerate(patterns)], [c.predicate for c in patterns]), rule)
 
 
 def _columns(rows: DataFrame, rule: Rule, *more: str) -> DataFrame:
@@ -69,11 +70,11 @@ def joined_delta(old: DataFrame, new: DataFrame, changed: DataFrame, rule: Rule)
     """Signed rows of the conditions' join: __d is 1 for those that come and -1 for those that go."""
     out = []
     for at in range(len(_patterns(rule))):
-        parts = []
-        for i in _order(rule, at):
+        parts, order = [], _order(rule, at)
+        for i in order:
             c = _patterns(rule)[i]
             parts.append(alpha(changed, c.predicate, c.args, i, ["d"]) if i == at else alpha(old if i < at else new, c.predicate, c.args, i))
-        out.append(_columns(reduce(beta, parts), rule, "d"))
+        out.append(_columns(chained(parts, [_patterns(rule)[i].predicate for i in order]), rule, "d"))
     rows = reduce(DataFrame.unionByName, out)
     key = [F.col(f"`{c}`") for c in rows.columns if c != "d"]
     return rows.groupBy(*key).agg(F.sum("d").alias("__d")).where("__d <> 0")

@@ -168,3 +168,43 @@ def test_reports_are_read_by_the_line(spark):
     for name in ("s11_lcov", "n6_section_ids"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan and "Window" in plan  # no report is one value
+
+
+def test_pairs_of_one_relation_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from rulelake.model import Condition, Rule
+    from rulelake.operators import facts
+    from rulelake.plans import rules
+
+    rows = spark.range(1500).coalesce(1).select("id", F.when(F.col("id") < 1200, 0).when(F.col("id") < 1499, F.col("id") % 7 + 1).alias("n"))
+    own = facts.facts_of(rows, "in", ["id", "n"])
+    pairs = rules.activations(own, Rule("peers", (Condition("in", ("?a", "?n")), Condition("in", ("?b", "?n"))), ())).select("`?a`", "`?b`", "`?n`")
+    by = rows.groupBy("n").count().where("n IS NOT NULL").agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    got = pairs.groupBy(F.spark_partition_id().alias("task"), (F.col("`?n`") == "0").alias("frequent")).count().collect()
+    assert sum(r["count"] for r in got) == by == pairs.distinct().count()
+    assert max(r["count"] for r in got if r.frequent) < 1200 * 1200  # no task has all pairs of a frequent value
+
+
+def test_dealt_pairs_are_the_plain_join(spark, monkeypatch):
+    from rulelake.model import Condition, Rule
+    from rulelake.plans import deltas, rules
+
+    kind = "id string, predicate string, args array<string>, timestamp long, source string"
+    held = [(f"p{i}", "p", [f"x{i}", None if i == 9 else str(i % 3 * (i % 2)), "u" if i % 4 else "v"], 0, None) for i in range(12)] + [("q0", "q", ["0"], 0, "s"), ("p0", "p", ["x0", "0", "v"], 0, None)]
+    own = spark.createDataFrame(held, kind)
+    c = lambda *args: Condition("p", args)
+    three = Rule("three", (c("?a", "?n", "?s"), c("?b", "?n", "?s"), Condition("q", ("?n",)), c("?c", "?n", "v")), ())
+    two = Rule("two", (c("?a", "?n", "?s"), c("?b", "?n", "?s")), ())
+    log = spark.createDataFrame([("p1", None, None, 0, None, -1, 0), ("p20", "p", ["x20", "0", "u"], 0, None, 1, 1), ("p21", "p", ["x21", "2", "u"], 0, None, 1, 2)], f"{kind}, d int, seq int")
+
+    def told(bound):
+        monkeypatch.setattr(rules, "PEERS", bound, raising=False)
+        kept = deltas.Incremental(own.dropDuplicates(["id"]), two)
+        frames = [rules.Session(own, [two, three], share=share).agenda() for share in (False, True)]
+        frames += [rules.delta_activations(own.where("id < 'p4'"), own.where("id >= 'p4'"), two).select(*rules.AGENDA), kept.change(log).drop("bindings", "fact_sources"), kept.agenda()]
+        out = [sorted(map(repr, (tuple(sorted(v.items()) if isinstance(v, dict) else v for v in r) for r in f.collect()))) for f in frames]
+        kept.drop()
+        return out
+    plain, dealt = told(1000), told(2)
+    assert plain == dealt and all(plain) and plain[0] == plain[1]
