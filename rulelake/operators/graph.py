@@ -216,87 +216,172 @@ def bin_reaches(edges: DataFrame) -> DataFrame:
     return closure(mains, pairs(edges, "calls"), None, include_start=False).select(F.col("start").alias("main"), F.col("node").alias("fn"))
 
 
-def least_reached(values: DataFrame, steps: DataFrame) -> DataFrame:
-    """(node, v): the least v among a node's own and those of the nodes it reaches by steps (x, y); null if there is none.
+#: Steps whose strongly connected sets one task tells by itself.
+SET_STEPS = 20_000
+
+
+def connected_sets(steps: Sequence[tuple]) -> dict:
+    """The least member of its strongly connected set for each node of steps (x, y) whose set has several members (Tarjan,
+    without recursion)."""
+    to = {}
+    for x, y in steps:
+        to.setdefault(x, []).append(y)
+    at, low, path, out = {}, {}, [], {}
+    for first in to:
+        if first in at:
+            continue
+        at[first] = low[first] = len(at)
+        path.append(first)
+        work = [(first, iter(to[first]))]
+        while work:
+            x, ways = work[-1]
+            for y in ways:
+                if y not in at:
+                    at[y] = low[y] = len(at)
+                    path.append(y)
+                    work.append((y, iter(to.get(y, ()))))
+                    break
+                if low[y] >= 0:  # on the path
+                    low[x] = min(low[x], at[y])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
+                if low[x] == at[x]:
+                    group = [path.pop()]
+                    while group[-1] != x:
+                        group.append(path.pop())
+                    least = min(group)
+                    for y in group:
+                        low[y] = -1
+                        if len(group) > 1:
+                            out[y] = least
+    return out
+
+
+def sets_inside(classes: DataFrame, n: int) -> DataFrame:
+    """(node, c) for n steps (x, y, k) that fall into classes k of SET_STEPS at most: a task takes classes of about so many
+    steps, and each set lies inside one class."""
+    import pandas as pd
+
+    def run(pdf):
+        found = connected_sets(list(zip(pdf["x"].tolist(), pdf["y"].tolist())))
+        return pd.DataFrame({"node": list(found), "c": list(found.values())}, dtype="int64")
+    parts = max(1, -(-n // SET_STEPS))
+    return classes.withColumn("__part", F.pmod(F.xxhash64("k"), F.lit(parts))).groupBy("__part").applyInPandas(run, "node long, c long")
 
-    A round takes values over from the next nodes, and from the end of a jump along a chain of nodes with one step each;
-    jumps double every round, so a chain or ring of n nodes takes log n rounds."""
+
+def colours(steps: DataFrame, turn: int) -> DataFrame:
+    """(node, f, b) for steps (x, y) of numbers: of all nodes that a node reaches, and of all that reach it, the first in an
+    order of this turn; itself counts. A round takes them over from the next nodes and from the nodes that f and b name."""
     from ..plans.tables import Held
 
-    hop = steps.where("x <> y").select("x", "y")
-    state = Held(values.select("node", "v").join(unique_steps(hop), "node", "left"))
-    told = None
+    key = lambda c: F.col(c).bitwiseXOR(F.lit(turn))  # noqa: E731  an order of its own for each turn
+    ways = Held(steps.select(key("x").alias("node"), key("y").alias("at"), F.lit(True).alias("out")).unionByName(steps.select(key("y").alias("node"), key("x").alias("at"), F.lit(False).alias("out"))))
+    state, told = Held(ways.df.select("node").distinct().select("node", F.col("node").alias("f"), F.col("node").alias("b"))), None
     while True:
         now = state.df
-        asked = hop.select("x", "y", F.lit(False).alias("jump")).unionByName(now.where("to IS NOT NULL").select(F.col("node").alias("x"), F.col("to").alias("y"), F.lit(True).alias("jump")))
-        met = asked.join(now.select(F.col("node").alias("y"), F.col("v").alias("w"), F.col("to").alias("beyond")), "y").groupBy(F.col("x").alias("node")).agg(
-            F.min("w").alias("w"), F.max(F.when(F.col("jump"), F.coalesce("beyond", "y"))).alias("further"))
-        state.become(now.join(met, "node", "left").select("node", F.least("v", "w").alias("v"), F.col("further").alias("to")))
-        fresh = state.df.agg(F.count("v"), F.sum(F.xxhash64("node", "v") % 1_000_003)).first()
+        jumps = [now.where(f"{c} <> node").select("node", F.col(c).alias("at"), F.lit(c == "f").alias("out")) for c in "fb"]
+        met = reduce(DataFrame.unionByName, [ways.df, *jumps]).join(now.select(F.col("node").alias("at"), "f", "b"), "at")
+        state.become(now.unionByName(met.select("node", F.when(F.col("out"), F.col("f")).alias("f"), F.when(~F.col("out"), F.col("b")).alias("b"))).groupBy("node").agg(F.min("f").alias("f"), F.min("b").alias("b")))
+        fresh = state.df.agg(F.sum("f"), F.sum("b")).first()  # they only go down
         if fresh == told:
-            return state.df.select("node", "v")
+            ways.drop()
+            return state.df.select(*[key(c).alias(c) for c in ("node", "f", "b")])
         told = fresh
 
 
-def ending(steps: DataFrame) -> DataFrame:
-    """Nodes from which every way along steps (x, y) ends; chains and trees of them are found in logarithmic rounds."""
+def merged(steps: DataFrame, order) -> DataFrame:
+    """(node, k) for steps (x, y) of numbers without loops: classes so that a strongly connected set lies inside one.
+
+    A node with one way out is on a circle only with the next node, one with one way in only with the one before: it
+    merges with that node if this comes first in an order of the round, so that what merges is a tree. Nodes without a
+    way in or out leave. What is left of the steps goes down round by round; a rest that one task can take is told there,
+    and one that goes down no more is coloured."""
     from ..plans.tables import Held
 
-    nodes = steps.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    inner = steps.select(F.col("x").alias("node")).distinct().withColumn("goes", F.lit(True))
-    state = Held(nodes.join(inner, "node", "left").join(unique_steps(steps), "node", "left").select("node", "to", F.col("goes").isNull().alias("ends")))
-    n, told, limit = state.df.agg(F.count("*"), F.count_if("ends")).first() + (0,)
-    while told and limit <= 64:
-        now = state.df
-        asked = steps.select("x", "y", F.lit(False).alias("jump")).unionByName(now.where("to IS NOT NULL").select(F.col("node").alias("x"), F.col("to").alias("y"), F.lit(True).alias("jump")))
-        met = asked.join(now.select(F.col("node").alias("y"), F.col("ends").alias("e"), F.col("to").alias("beyond")), "y").groupBy(F.col("x").alias("node")).agg(
-            F.bool_and(F.col("jump") | F.col("e")).alias("every"), F.bool_or(F.col("jump") & F.col("e")).alias("far"), F.max(F.when(F.col("jump"), F.coalesce("beyond", "y"))).alias("further"))
-        state.become(now.join(met, "node", "left").select("node", F.col("further").alias("to"), (F.col("ends") | F.coalesce(F.col("every") | F.col("far"), F.lit(False))).alias("ends")))
-        fresh = state.df.where("ends").count()
-        limit = 0 if fresh > told else limit + 1
-        if fresh == n or fresh == told and 2**limit > n:  # by then every jump is at the end of its chain
+    rest, rounds, n, was = Held(steps.select("x", "y").distinct()), [], steps.count(), None
+    while n > SET_STEPS and (was is None or n < 0.8 * was):
+        key, turn = lambda c: F.col(c).bitwiseXOR(F.lit(turn)), order()  # noqa: E731, B023
+        sides = rest.df.select(F.col("x").alias("node"), F.col("y").alias("next"), F.lit(None).cast("long").alias("prior")).unionByName(rest.df.select(F.col("y").alias("node"), F.lit(None).cast("long").alias("next"), F.col("x").alias("prior")))
+        ways = sides.groupBy("node").agg(F.count("next").alias("outs"), F.count("prior").alias("ins"), F.min("next").alias("next"), F.min("prior").alias("prior"))
+        over = (F.col("outs") == 0) | (F.col("ins") == 0)
+        to = F.when(over, F.col("node")).when((F.col("outs") == 1) & (key("next") < key("node")), F.col("next")).when((F.col("ins") == 1) & (key("prior") < key("node")), F.col("prior")).otherwise(F.col("node"))
+        moves = Held(ways.select("node", to.alias("to"), over.alias("over"), F.lit(True).alias("more")))
+        while True:  # trees are a few nodes deep
+            once = moves.df.join(moves.df.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("over").alias("ended")), "to").select("node", F.col("further").alias("to"), F.col("ended").alias("over"))
+            twice = once.join(once.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("over").alias("ended")), "to").select("node", F.col("further").alias("to"), F.col("ended").alias("over"), (F.col("further") != F.col("to")).alias("more"))
+            if moves.become(twice).where("more").isEmpty():
+                break
+        end = lambda c: moves.df.select(F.col("node").alias(c), F.col("to").alias(f"__{c}"), F.col("over").alias(f"__over_{c}"))  # noqa: E731, B023
+        rest.become(rest.df.join(end("x"), "x").join(end("y"), "y").where("NOT __over_x AND NOT __over_y AND __x <> __y").select(F.col("__x").alias("x"), F.col("__y").alias("y")).distinct())
+        rounds.append(moves)
+        n, was = rest.df.count(), n
+    classes = steps.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("to", F.col("node"))
+    for moves in rounds:
+        moved = moves.df.where("to <> node").select(F.col("node").alias("to"), F.col("to").alias("further"))
+        classes = classes.join(moved, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+    if n <= SET_STEPS:
+        left = sets_inside(rest.df.withColumn("k", F.lit(0)), n).select(F.col("node").alias("to"), F.concat(F.lit("c"), "c").alias("c"))
+    else:
+        left = colours(rest.df, order()).select(F.col("node").alias("to"), F.concat_ws(":", F.lit("c"), "f", "b").alias("c"))
+    return Held(classes.join(left, "to", "left").select("node", F.coalesce("c", F.col("to").cast("string")).alias("k"))).df
+
+
+def strong(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of steps (x, y) numbered (node, id), and (id, c) for those whose strongly connected set may have several members.
+
+    Steps inside the classes of merged are all that matter. Small classes are told by tasks that take many of them; a
+    larger one is coloured: nodes whose two colours are one node are its set, the others fall into classes by their
+    colours, and so on."""
+    from random import Random
+
+    from ..plans.tables import Held, numbered
+
+    hop = Held(steps.where("x <> y").select("x", "y").distinct())
+    nodes = hop.df.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("__place", F.concat(F.hex(F.xxhash64("node")), F.lit(" "), F.col("node").cast("string")))
+    ids = Held(numbered(nodes, "__place", "id").select("node", "id")).df  # in an order that has nothing to do with steps
+    bits, random = max(1, ids.count().bit_length()), Random(7)
+    order = lambda: random.getrandbits(bits)
+    hop.become(hop.df.join(ids.select(F.col("node").alias("x"), F.col("id").alias("__x")), "x").join(ids.select(F.col("node").alias("y"), F.col("id").alias("__y")), "y").select(F.col("__x").alias("x"), F.col("__y").alias("y")))
+
+    def inside(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        return rows.select("x", "y").join(classes.select(F.col("node").alias("x"), "k"), "x").join(classes.select(F.col("node").alias("y"), F.col("k").alias("__k")), "y").where("k = __k").select("x", "y", "k")
+
+    left, found = Held(inside(hop.df, merged(hop.df, order))), []
+    while True:
+        sizes = left.df.groupBy("k").agg(F.count("*").alias("n"))
+        n, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        if not n:
             break
-        told = fresh
-    return state.df.where("ends").select("node")
+        large = sizes.where(F.col("n") > SET_STEPS).select("k")
+        found.append(Held(sets_inside(left.df.join(large, "k", "left_anti") if most > SET_STEPS else left.df, n)).df)
+        if most <= SET_STEPS:
+            break
+        left.become(left.df.join(large, "k", "left_semi"))
+        told = colours(left.df, order())
+        found.append(Held(told.where("f = b").select("node", F.col("f").alias("c"))).df)
+        left.become(inside(left.df, told.where("f <> b").select("node", F.concat_ws(":", "f", "b").alias("k"))))
+    hop.drop()
+    left.drop()
+    none = ids.limit(0).select(F.col("id").alias("node"), F.col("id").alias("c"))
+    return ids, reduce(DataFrame.unionByName, found, none).select(F.col("node").alias("id"), "c")
 
 
 def cycles(steps: DataFrame) -> DataFrame:
     """(node, cycle): members of each strongly connected set (a self-loop counts), named by its sorted members.
 
-    Nodes from which every way ends are dropped.  Of the rest each takes the least node that it reaches as its colour;
-    inside a colour, what that node reaches is one strongly connected set.  Found sets leave, and the rest is coloured
-    again: state is one row a node, however large a set is, and long chains and rings take logarithmic rounds.
+    State is one row a node, however large a set is; chains and rings merge in logarithmic rounds.
     """
     from ..plans.tables import Held, small
 
-    every = Held(steps.select("x", "y").distinct())
-    left, found = Held(every.df), []
-    while True:
-        if found:
-            gone = found[-1].df
-            left.become(left.df.join(gone.select(F.col("node").alias("x")), "x", "left_anti").join(gone.select(F.col("node").alias("y")), "y", "left_anti").select("x", "y"))
-        if left.df.isEmpty():
-            break
-        over = ending(left.df)
-        left.become(left.df.join(over.select(F.col("node").alias("x")), "x", "left_anti").join(over.select(F.col("node").alias("y")), "y", "left_anti").select("x", "y"))
-        if left.df.isEmpty():
-            break
-        nodes = left.df.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        colour = least_reached(nodes.withColumn("v", F.col("node")), left.df).withColumnRenamed("v", "c")
-        inside = Held(left.df.join(colour.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(colour.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y").where("cx = cy").select(
-            F.col("y").alias("x"), F.col("x").alias("y")))
-        back = least_reached(colour.select("node", F.when(F.col("node") == F.col("c"), F.col("c")).alias("v")), inside.df)
-        found.append(Held(back.where("v IS NOT NULL").select("node", F.col("v").alias("c"))))
-        inside.drop()
-    left.drop()
-    if not found:
-        return every.df.limit(0).select(F.col("x").alias("node"), F.lit("").alias("cycle"))
-    loops = every.df.where("x = y").select(F.col("x").alias("node"), F.lit(True).alias("loop"))
-    members = reduce(DataFrame.unionByName, [t.df for t in found]).join(loops, "node", "left")
-    sets = members.groupBy("c").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"), F.array_join(F.array_sort(F.collect_list("node")), "+").alias("all"))
-    named = Held(sets.where("n > 1 OR loop").select("c", F.concat(F.lit("cycle:"), "all").alias("cycle")))
+    ids, sets = strong(steps)
+    members = Held(sets.join(ids, "id").select("node", "c")).df
+    named = Held(members.groupBy("c").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("node")), "+").alias("all")).where("n > 1").select("c", F.concat(F.lit("cycle:"), "all").alias("cycle")))
     # a set's name is as long as the set, so it meets the members where they are and is in no shuffle
-    return members.select("node", "c").join(small(named.df), "c").select("node", "cycle")
+    several = members.join(small(named.df), "c").select("node", "cycle")
+    loops = steps.where("x = y").select(F.col("x").alias("node")).distinct()
+    return several.unionByName(loops.join(several.select("node"), "node", "left_anti").select("node", F.concat(F.lit("cycle:"), "node").alias("cycle")))
 
 
 def compacted(edges: DataFrame, fresh: DataFrame, file: str) -> DataFrame:

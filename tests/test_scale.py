@@ -208,3 +208,32 @@ def test_dealt_pairs_are_the_plain_join(spark, monkeypatch):
         return out
     plain, dealt = told(1000), told(2)
     assert plain == dealt and all(plain) and plain[0] == plain[1]
+
+
+def test_sets_of_long_rings_with_side_ways(spark, monkeypatch):
+    import random
+
+    from rulelake.operators import graph
+    from rulelake.plans import tables
+
+    rounds, become = [], tables.Held.become
+    monkeypatch.setattr(tables.Held, "become", lambda self, df: rounds.append(1) or become(self, df))
+    r, n = random.Random(3), 120
+    made = {(i, (2 * i + 1) % n) for i in range(n)} | {(i, i // 2) for i in range(n) if r.random() < 0.45}
+    made |= {(1000 + i, 1000 + (i + k) % 30) for i in range(30) for k in (1, 2, 5)} | {(1000, 3), (7, 2000), (2000, 2000)}
+    names = {x: f"n{x * 7919 % 10007}" for s in made for x in s}
+    to = {}
+    for x, y in made:
+        to.setdefault(x, set()).add(y)
+
+    def reach(x):
+        seen, go = set(), [x]
+        while go:
+            go += (new := to.get(go.pop(), set()) - seen)
+            seen |= new
+        return seen
+    far = {x: reach(x) for x in names}
+    want = {names[x]: "cycle:" + "+".join(sorted(names[y] for y in far[x] if x in far[y])) for x in names if x in far[x]}
+    steps = spark.createDataFrame([(names[x], names[y]) for x, y in made], "x string, y string")
+    monkeypatch.setattr(graph, "SET_STEPS", 60, raising=False)  # most is merged, and the second ring coloured
+    assert {row.node: row.cycle for row in graph.cycles(steps).collect()} == want and len(rounds) < 30
