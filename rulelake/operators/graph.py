@@ -79,10 +79,11 @@ def base(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("d"))
 
 
-def pairs(edges: DataFrame, *relations: str, of: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Relations of so many arguments as distinct rows."""
+def pairs(edges: DataFrame, *relations: str, of: Sequence[str] = ("x", "y"), once: bool = True) -> DataFrame:
+    """Relations of so many arguments as rows, distinct ones if once."""
     rows = edges.where(F.col("p").isin(*relations) & (F.size("a") == len(of)))
-    return rows.select(*[F.col("a")[i].alias(c) for i, c in enumerate(of)]).distinct()
+    rows = rows.select(*[F.col("a")[i].alias(c) for i, c in enumerate(of)])
+    return rows.distinct() if once else rows
 
 
 def derived(rows: DataFrame, relation: str, columns: Sequence[str], src: str | None = None) -> DataFrame:
@@ -136,8 +137,9 @@ def data_flows(edges: DataFrame) -> DataFrame:
     return pairs(edges, "consumes_data", "deserializes", of=("consumer", "artifact")).select("artifact", "consumer").distinct()
 
 
-#: Starts whose reach one row of a closure's state holds.
-LANES = 64
+#: Starts whose reach one number of a closure's state holds, numbers of one row, and rows beyond which the graph is reduced
+#: to its strongly connected sets first.
+LANES, WORDS, STATE_ROWS = 64, 8, 1_000_000
 
 
 def unique_steps(steps: DataFrame) -> DataFrame:
@@ -150,64 +152,119 @@ def doubled(jumps: DataFrame) -> DataFrame:
     return jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
 
 
-def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None, include_start: bool = True, deep: bool = False) -> DataFrame:
-    """(start, node) reached by steps (x, y); stop nodes are reached but not passed.
-
-    Starts are numbered, and LANES of them share a row: the state is a row for each node and block of starts, whose bits
-    tell which of them reach it. A round carries only new bits along the steps, and is written to the shared folder. deep
-    (without stop nodes): for long paths, all bits also jump along chains (nodes with one way in), and jumps double.
-    """
+def reach(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None, deep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What closure and reach_sizes tell from: the state (node, block, b0, b1, ...), the starts by the block and place of their
+    bit, and (node, set) of nodes that one node of the state stands for, if there are such."""
     from ..plans.tables import Held, numbered, small
 
     first = starts.select("start", F.col("start").alias("node")).distinct() if "node" not in starts.columns else starts.select("start", "node").distinct()
-    hop = Held(steps.select("x", "y").distinct())
+    if stop is not None:  # a stop node leads nowhere
+        steps = steps.join(stop.select(F.col(stop.columns[0]).alias("x")), "x", "left_anti")
+    called = Held(steps.select(F.col("y").alias("x")).distinct())
+    asked = first.select(F.col("node").alias("x")).unionByName(called.df).distinct()  # no other node's steps are ever taken
+    hop, sets = Held(steps.select("x", "y").join(asked, "x", "left_semi").distinct()), None
+    if not deep and called.df.count() * -(-first.select("start").distinct().count() // (LANES * WORDS)) > STATE_ROWS:
+        ids, told = strong(hop.df.join(called.df, "x", "left_semi"))
+        members = told.join(ids, "id").select("node", "c")
+        named = members.groupBy("c").agg(F.min("node").alias("set"), F.count("*").alias("n")).where("n > 1")
+        sets = Held(members.join(named, "c").select("node", "set")).df
+        of = lambda rows, c: rows.join(small(sets.select(F.col("node").alias(c), "set")), c, "left").withColumn(c, F.coalesce("set", c)).drop("set")
+        hop.become(of(of(hop.df, "x"), "y").where("x <> y").select("x", "y").distinct())
+        called.become(of(called.df, "x").distinct())
+        first = of(first, "node").distinct()
     # starts with a next node in common reach much the same and get numbers side by side, so that a row tells of many
     near = first.join(hop.df.select(F.col("x").alias("node"), "y"), "node", "left").groupBy("start").agg(F.concat_ws("\0", F.coalesce(F.min("y"), F.lit("")), F.col("start").cast("string")).alias("__place"))
     index = Held(numbered(near, "__place", "n").drop("__place"))
-    one = F.expr(f"shiftleft(1L, CAST(n % {LANES} AS INT))")
-    block = F.expr(f"n div {LANES}").alias("block")
-    reached = Held(first.join(index.df, "start").groupBy("node", block).agg(F.bit_or(one).alias("bits")))
+    words = [f"b{i}" for i in range(WORDS)]
+    one = [F.expr(f"IF(n div {LANES} % {WORDS} = {i}, shiftleft(1L, CAST(n % {LANES} AS INT)), 0L)") for i in range(WORDS)]
+    block = F.expr(f"n div {LANES * WORDS}").alias("block")
+    reached = Held(first.join(index.df, "start").groupBy("node", block).agg(*[F.bit_or(c).alias(w) for w, c in zip(words, one)]))
 
     def along(bits: DataFrame, by: DataFrame) -> DataFrame:
-        return bits.join(by.select(F.col("x").alias("node"), "y"), "node").select(F.col("y").alias("node"), "block", "bits")
+        return bits.join(by.select(F.col("x").alias("node"), "y"), "node").select(F.col("y").alias("node"), "block", *words)
 
     def summed(bits: DataFrame) -> DataFrame:
-        return bits.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+        return bits.groupBy("node", "block").agg(*[F.bit_or(w).alias(w) for w in words])
 
     if deep and stop is None:
         jumps, told = Held(unique_steps(hop.df.select(F.col("y").alias("x"), F.col("x").alias("y")))), None
         while True:
             back = jumps.df.select(F.col("to").alias("x"), F.col("node").alias("y"))
             reached.become(summed(reached.df.unionByName(along(reached.df, hop.df.unionByName(back)))))
-            now = reached.df.agg(F.count("*"), F.sum(F.xxhash64("node", "block", "bits") % 1_000_003)).first()
+            now = reached.df.agg(F.count("*"), F.sum(F.xxhash64("node", "block", *words) % 1_000_003)).first()
             if now == told:
                 break
             told = now
             jumps.become(doubled(jumps.df))
         jumps.drop()
     else:
-        delta = Held(reached.df)
+        delta, inner = Held(reached.df), Held(hop.df.join(called.df, "x", "left_semi"))  # after the first step only what is called goes on
+        ways = hop
         while True:
-            go = delta.df if stop is None else delta.df.join(stop.select(F.col(stop.columns[0]).alias("node")), "node", "left_anti")
-            old = reached.df.withColumnRenamed("bits", "old")
-            new = summed(along(go, hop.df)).join(old, ["node", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))).drop("old")
-            delta.become(new.where("bits <> 0"))
+            old = reached.df.select("node", "block", *[F.col(w).alias(f"old_{w}") for w in words])
+            new = summed(along(delta.df, ways.df)).join(old, ["node", "block"], "left").select("node", "block", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"old_{w}", F.lit(0).cast("long")))).alias(w) for w in words])
+            delta.become(new.where(" OR ".join(f"{w} <> 0" for w in words)))
             if delta.df.isEmpty():
                 break
             reached.become(summed(reached.df.unionByName(delta.df)))
+            ways = inner
         delta.drop()
+        inner.drop()
     hop.drop()
-    lanes = F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.call_function("getbit", "bits", i) == 1)
-    held = index.df.groupBy(block).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "start"))), lambda x: x["start"]).alias("starts"))  # LANES at most
-    out = reached.df.join(small(held), "block").select(F.explode(F.transform(lanes, lambda i: F.get("starts", i))).alias("start"), "node")  # rows of bits are joined, not what they tell
+    called.drop()
+    held = index.df.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"CAST(n % {LANES * WORDS} AS INT)"), "start"))).alias("starts"))  # LANES * WORDS at most
+    return reached.df, held, sets
+
+
+def lanes() -> Column:
+    """Array of the places whose bits a row of the state of reach has set."""
+    inside = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.call_function("getbit", f"b{w}", i) == 1), lambda i: i + w * LANES)
+    return F.concat(*[F.when(F.col(f"b{w}") == 0, F.array().cast("array<int>")).otherwise(inside(w)) for w in range(WORDS)])
+
+
+def closure(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None, include_start: bool = True, deep: bool = False) -> DataFrame:
+    """(start, node) reached by steps (x, y); stop nodes are reached but not passed.
+
+    Starts are numbered, and LANES * WORDS of them share a row: the state is a row for each node and block of starts, whose
+    bits tell which of them reach it. A round carries only new bits along the steps, and is written to the shared folder.
+    Where that state may be large, a strongly connected set is one node of it. deep (without stop nodes): for long paths,
+    all bits also jump along chains (nodes with one way in), and jumps double.
+    """
+    from ..plans.tables import small
+
+    state, held, sets = reach(starts, steps, stop, deep)
+    out = state.join(small(held), "block").select(F.explode(F.transform(lanes(), lambda i: F.try_element_at("starts", i))).alias("start"), "node")  # rows of bits are joined, not what they tell
+    if sets is not None:
+        out = out.join(small(sets.select(F.col("node").alias("member"), F.col("set").alias("node"))), "node", "left").select("start", F.coalesce("member", "node").alias("node"))
     return out if include_start else out.where("start <> node")
 
 
-def test_reaches(edges: DataFrame) -> DataFrame:
-    """(test, fn): everything a test calls, itself included, up to and with the entry points of programs."""
+def reach_sizes(starts: DataFrame, steps: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(start, n): how many nodes closure tells for a start, added up by the sizes of strongly connected sets."""
+    from ..plans.tables import small
+
+    state, held, sets = reach(starts, steps, stop)
+    if sets is not None:
+        state = state.join(small(sets.groupBy(F.col("set").alias("node")).agg(F.count("*").alias("n"))), "node", "left")
+    counted = state.select("block", F.explode(lanes()).alias("place"), F.coalesce("n", F.lit(1)).alias("n") if sets is not None else F.lit(1).alias("n"))
+    sums = counted.groupBy("block", "place").agg(F.sum("n").alias("n"))
+    return sums.join(held.select("block", F.explode("starts").alias("place", "start")), ["block", "place"]).select("start", "n")
+
+
+def _tested(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tests = pairs(edges, "defines_test", of=("file", "test")).select(F.col("test").alias("start"))
     mains = pairs(edges, "cargo_bin", of=("package", "name", "target")).select(F.concat("target", F.lit("::main")).alias("node"))
-    return closure(tests, pairs(edges, "calls"), mains).select(F.col("start").alias("test"), F.col("node").alias("fn"))
+    return tests, pairs(edges, "calls", once=False), mains
+
+
+def test_reaches(edges: DataFrame) -> DataFrame:
+    """(test, fn): everything a test calls, itself included, up to and with the entry points of programs."""
+    return closure(*_tested(edges)).select(F.col("start").alias("test"), F.col("node").alias("fn"))
+
+
+def test_reach_sizes(edges: DataFrame) -> DataFrame:
+    """(test, n): how many rows test_reaches has for a test."""
+    return reach_sizes(*_tested(edges)).select(F.col("start").alias("test"), "n")
 
 
 def bin_reaches(edges: DataFrame) -> DataFrame:
@@ -300,7 +357,8 @@ def merged(steps: DataFrame, order) -> DataFrame:
     and one that goes down no more is coloured."""
     from ..plans.tables import Held
 
-    rest, rounds, n, was = Held(steps.select("x", "y").distinct()), [], steps.count(), None
+    rest, rounds, was = Held(steps.select("x", "y").distinct()), [], None
+    n = rest.df.count()
     while n > SET_STEPS and (was is None or n < 0.8 * was):
         key, turn = lambda c: F.col(c).bitwiseXOR(F.lit(turn)), order()  # noqa: E731, B023
         sides = rest.df.select(F.col("x").alias("node"), F.col("y").alias("next"), F.lit(None).cast("long").alias("prior")).unionByName(rest.df.select(F.col("y").alias("node"), F.lit(None).cast("long").alias("next"), F.col("x").alias("prior")))
@@ -317,6 +375,8 @@ def merged(steps: DataFrame, order) -> DataFrame:
         rest.become(rest.df.join(end("x"), "x").join(end("y"), "y").where("NOT __over_x AND NOT __over_y AND __x <> __y").select(F.col("__x").alias("x"), F.col("__y").alias("y")).distinct())
         rounds.append(moves)
         n, was = rest.df.count(), n
+        if len(rounds) == 1 and n >= 0.8 * was:  # hardly anything merges
+            return Held(steps.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("k", F.lit("all"))).df
     classes = steps.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("to", F.col("node"))
     for moves in rounds:
         moved = moves.df.where("to <> node").select(F.col("node").alias("to"), F.col("to").alias("further"))

@@ -46,12 +46,20 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+#: Spark's setting by which the shuffle files of a finished statement are deleted.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """The rows, written once to the shared folder (in folders by a column, if one is given) and read back; a lost
-    executor only rereads files."""
+    executor only rereads files. What was shuffled for the write is deleted with it."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    schema = df.schema
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    schema, was = df.schema, df.sparkSession.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -237,3 +237,30 @@ def test_sets_of_long_rings_with_side_ways(spark, monkeypatch):
     steps = spark.createDataFrame([(names[x], names[y]) for x, y in made], "x string, y string")
     monkeypatch.setattr(graph, "SET_STEPS", 60, raising=False)  # most is merged, and the second ring coloured
     assert {row.node: row.cycle for row in graph.cycles(steps).collect()} == want and len(rounds) < 30
+
+
+def test_reach_over_sets_of_a_large_graph(spark, monkeypatch):
+    from pathlib import Path
+
+    from rulelake.operators import graph
+    from rulelake.plans import tables
+
+    made = {(f"t{i}", f"f{i % 7}") for i in range(600)} | {(f"f{i}", f"f{(i + 1) % 7}") for i in range(6)} | {("f5", "f0"), ("f4", "g"), ("g", "h"), ("h", "g"), ("h", "stop"), ("stop", "f6"), ("t3", "t2"), ("u", "v")}
+    to = {x: {y for z, y in made if z == x and x != "stop"} for x, _ in made}
+    far = {}
+    for t in [f"t{i}" for i in range(600)] + ["alone"]:
+        seen, go = {t}, [t]
+        while go:
+            go += (new := to.get(go.pop(), set()) - seen)
+            seen |= new
+        far[t] = seen
+    steps, starts = spark.createDataFrame(sorted(made), "x string, y string"), spark.createDataFrame([(t,) for t in far], "start string")
+    stop = spark.createDataFrame([("stop",)], "node string")
+    monkeypatch.setattr(graph, "STATE_ROWS", 0, raising=False)  # as if the state were large
+    assert {(r.start, r.node) for r in graph.closure(starts, steps, stop).collect()} == {(t, x) for t in far for x in far[t]}
+    assert {r.start: r.n for r in graph.reach_sizes(starts, steps, stop).collect()} == {t: len(x) for t, x in far.items()}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {p.name for d in disk for p in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    table = tables.cut(steps.groupBy("y").count())
+    assert shuffled() <= before and table.count() == len({y for _, y in made})  # nothing of it stays behind
