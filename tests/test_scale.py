@@ -264,3 +264,19 @@ def test_reach_over_sets_of_a_large_graph(spark, monkeypatch):
     before = shuffled()
     table = tables.cut(steps.groupBy("y").count())
     assert shuffled() <= before and table.count() == len({y for _, y in made})  # nothing of it stays behind
+
+
+def test_covered_functions_are_dealt_out(spark, monkeypatch):
+    from rulelake.operators import coverage
+
+    for name, value in (("NAMES", 4), ("TOLD_ROWS", 100)):
+        monkeypatch.setattr(coverage, name, value, raising=False)
+    data = [(f"t{i}", f"f{i % 2}", 10 + i % 3, 1) for i in range(60)]
+    functions = [(f"f{i % 2}", None if i == 7 else f"n{i}", 10 + i // 2 % 2, 11) for i in range(50)]
+    vetoed = [("t1", "f1", f"n{i}") for i in range(1, 20, 4)]
+    want = {(t, f, n) for t, f, line, _ in data for g, n, s, e in functions if f == g and s <= line <= e} - set(vetoed)
+    told = coverage.lcov_hits(spark.createDataFrame(data, "test string, file string, line long, count int"), spark.createDataFrame(functions, "file string, name string, start long, end long"),
+                              spark.createDataFrame(vetoed, "test string, file string, name string"))
+    assert sorted(map(repr, map(tuple, told.collect()))) == sorted(map(repr, want))
+    assert "Generate inline(names" in told._jdf.queryExecution().optimizedPlan().toString()  # names leave their row after the join
+    assert told.rdd.getNumPartitions() > len(want) // 100
